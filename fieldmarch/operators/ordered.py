@@ -184,3 +184,68 @@ def throttle(
     )
     out = kept.select(*keys, F.explode(picked).alias("_p"))
     return out.select(*[F.col(c) if c in keys else F.col(f"_p._row.{c}").alias(c) for c in df.columns])
+
+
+def automaton(
+    df: DataFrame, keys: list[str], t: str, symbol: str, states: list[str], step: dict[tuple[str, str], str],
+    name: str = "state", start: str | None = None, order: str | None = None, chunk_s: float = CHUNK_S,
+) -> DataFrame:
+    """State of a finite machine after every row; ``step`` maps (state, symbol) to the next state.
+
+    Missing pairs leave the state alone. A chunk is a function from states to states, so each one
+    reports where every start state would end; the reports are chained per keys (cut where a
+    chunk ends in one state whatever came before), and rows are replayed from the real entry.
+    """
+    symbols = sorted({s for _, s in step})
+    table = F.array(*[
+        F.array(*[F.lit(states.index(step.get((s, y), s))) for y in symbols]) for s in states
+    ])
+    code = F.array_position(F.array(*[F.lit(y) for y in symbols]), F.col(symbol)).cast("int") - 1
+    payload = [c for c in df.columns if c not in keys]
+    rows = F.struct(
+        F.col(t).alias("_t"), F.col(order or t).alias("_o"), F.coalesce(code, F.lit(-1)).alias("_y"),
+        F.struct(*payload).alias("_row"),
+    )
+    per = chunked(df, t, chunk_s).groupBy(*keys, CHUNK).agg(F.sort_array(F.collect_list(rows)).alias("_rows"))
+
+    def move(s, row):
+        return F.when(row["_y"] < 0, s).otherwise(F.get(F.get(table, s), row["_y"]))
+
+    ends = F.transform(
+        F.array(*[F.lit(i) for i in range(len(states))]), lambda s: F.aggregate("_rows", s, move)
+    )
+    report = per.select(*keys, CHUNK, ends.alias("_ends"))
+    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
+    settled = F.lag(F.array_min("_ends") == F.array_max("_ends")).over(by_chunk)
+    report = report.withColumn("_settled", F.when(settled, F.array_min(F.lag("_ends").over(by_chunk))))
+    first = F.row_number().over(by_chunk) == 1
+    begin = states.index(start or states[0])
+    report = report.withColumn("_known", F.when(first, F.lit(begin)).otherwise(F.col("_settled")))
+    report = report.withColumn("_seg", F.sum(F.col("_known").isNotNull().cast("bigint")).over(by_chunk))
+    entries = "array<struct<chunk:bigint,entry:int>>"
+    zero = F.struct(F.lit(begin).alias("s"), F.array().cast(entries).alias("e"))
+
+    def chain(acc, c):
+        entry = F.coalesce(c["_known"], acc["s"])
+        seen = F.array(F.struct(c[CHUNK].alias("chunk"), entry.alias("entry")))
+        return F.struct(F.get(c["_ends"], entry).alias("s"), F.concat(acc["e"], seen).cast(entries).alias("e"))
+
+    links = (
+        report.groupBy(*keys, "_seg")
+        .agg(F.sort_array(F.collect_list(F.struct(CHUNK, "_ends", "_known"))).alias("_chain"))
+        .select(*keys, F.explode(F.aggregate("_chain", zero, chain)["e"]).alias("_l"))
+        .select(*keys, F.col("_l.chunk").alias(CHUNK), F.col("_l.entry").alias("_entry"))
+    )
+    path = F.aggregate(
+        "_rows",
+        F.struct(F.col("_entry").alias("s"), F.array().cast("array<int>").alias("p")),
+        lambda acc, r: F.struct(move(acc["s"], r).alias("s"), F.concat(acc["p"], F.array(move(acc["s"], r))).alias("p")),
+    )["p"]
+    out = per.join(links, [*keys, CHUNK]).select(
+        *keys, F.explode(F.arrays_zip(F.col("_rows"), path.alias("_path"))).alias("_z")
+    )
+    names = F.array(*[F.lit(s) for s in states])
+    return out.select(
+        *[F.col(c) if c in keys else F.col(f"_z._rows._row.{c}").alias(c) for c in df.columns],
+        F.get(names, F.col("_z._path")).alias(name),
+    )

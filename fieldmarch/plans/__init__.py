@@ -1,4 +1,4 @@
 """Queries over the given tables, grouped by job."""
 
-from . import alarms  # noqa: F401
+from . import alarms, fleet, ingest  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
