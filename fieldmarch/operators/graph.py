@@ -43,17 +43,19 @@ def _undirected(links: DataFrame) -> DataFrame:
     return both.distinct()
 
 
-def _roots(point: DataFrame) -> DataFrame:
+def _roots(point: DataFrame, jumps: int = 3) -> DataFrame:
     """Double the pointers ``a -> to`` until each leads to a vertex that points to itself."""
     point = cut(point)
     while True:
-        far = point.select(F.col("a").alias("to"), F.col("to").alias("far"))
-        jumped = point.join(far, "to", "left").select(
-            "a", "to", F.coalesce("far", "to").alias("next"))
-        jumped = cut(jumped)
-        if jumped.filter("next <> to").isEmpty():
-            return point
-        point = jumped.select("a", F.col("next").alias("to"))
+        ahead = point
+        for _ in range(jumps):
+            far = ahead.select(F.col("a").alias("to"), F.col("to").alias("far"))
+            ahead = ahead.join(far, "to", "left").select("a", F.coalesce("far", "to").alias("to"))
+        ahead = cut(ahead)
+        after = ahead.select(F.col("a").alias("to"), F.col("to").alias("next"))
+        if ahead.join(after, "to").filter("next <> to").isEmpty():
+            return ahead
+        point = ahead
 
 
 def strong_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -138,51 +140,85 @@ def shortest_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u", "v").agg(best.alias("e")).select("u", "v", "e.edge_ord", "e.length_m", "e.geometry")
 
 
-def shortest_paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """``start, goal, distance_m, hops, path`` of every distinct reachable pair.
+def reachable(pairs: DataFrame, scc: DataFrame, links: DataFrame) -> DataFrame:
+    """The (start, goal) pairs with a directed path, told from strong parts alone.
 
-    All requests advance together: one round extends the improved labels of every request by one
-    edge, keeps the best label of each (request, node), and drops labels that even a straight
-    line to the goal could not make better than what has been found. Pairs in different connected
-    parts never start. The loop ends when no label improves, so results are exact;
-    ``max_rounds`` is for callers that want an error instead of a long search.
+    Inside a part everything is reachable; between parts a search runs over the links that join
+    different parts, from the distinct parts that need it.
+    """
+    at = scc.select(F.col("node_id").alias("start"), F.col("scc").alias("cs"))
+    to = scc.select(F.col("node_id").alias("goal"), F.col("scc").alias("cg"))
+    placed = cut(pairs.join(at, "start").join(to, "goal"))
+    asked = placed.filter("cs <> cg").select("cs", "cg").distinct()
+    lu = scc.select(F.col("node_id").alias("u"), F.col("scc").alias("at"))
+    lv = scc.select(F.col("node_id").alias("v"), F.col("scc").alias("next"))
+    over = cut(links.join(lu, "u").join(lv, "v").filter("at <> next").select("at", "next").distinct())
+    seen = cut(asked.select("cs", F.col("cs").alias("at")).distinct())
+    front = seen
+    while not front.isEmpty():
+        step = front.join(over, "at").select("cs", F.col("next").alias("at")).distinct()
+        front = cut(step.join(seen, ["cs", "at"], "left_anti"))
+        seen = cut(seen.unionByName(front))
+    yes = seen.select("cs", F.col("at").alias("cg"))
+    same = placed.filter("cs = cg")
+    return same.unionByName(placed.filter("cs <> cg").join(yes, ["cs", "cg"], "left_semi")).select("start", "goal")
+
+
+def shortest_paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, detour: float = 1.5, slack_m: float = 150.0) -> DataFrame:
+    """``start, goal, distance_m, hops, path`` of every distinct pair that has a path.
+
+    All pairs advance together. A pair first gets a length budget somewhat above the straight
+    line; labels whose length plus straight line to the goal exceeds it are dropped, which
+    keeps the search inside an ellipse. Every path within the budget is considered, so a goal
+    that is reached has its exact distance; pairs that are not get twice the budget. Only pairs
+    known to be reachable are searched, so the loop ends.
     """
     links = cut(shortest_edges(edges).select("u", "v", "length_m"))
-    part = weak_components(nodes, links)
-    place = nodes.select("node_id", "lon", "lat")
-    pairs = requests.select("start", "goal").distinct()
-    pairs = pairs.join(part.select(F.col("node_id").alias("start"), F.col("component").alias("cs")), "start")
-    pairs = pairs.join(part.select(F.col("node_id").alias("goal"), F.col("component").alias("cg")), "goal")
-    pairs = pairs.filter("cs = cg")
-    goal = place.select(F.col("node_id").alias("goal"), F.col("lon").alias("g_lon"), F.col("lat").alias("g_lat"))
-    pairs = cut(pairs.join(goal, "goal").select("start", "goal", "g_lon", "g_lat"))
-
-    zero = F.lit(0.0)
-    front = pairs.select("start", "goal", "g_lon", "g_lat", F.col("start").alias("node"), zero.alias("d"), F.lit(0).alias("hops"))
-    settled = cut(front.select("start", "goal", "node", "d", "hops", F.lit(None).cast("bigint").alias("parent")))
-    reached = settled.filter("node = goal").select("start", "goal", F.col("d").alias("bound"))
-    rounds = 0
-    ends = place.select(F.col("node_id").alias("v"), "lon", "lat")
+    scc = cut(strong_components(nodes, links))
+    pairs = reachable(requests.select("start", "goal").distinct(), scc, links)
+    at = nodes.select(F.col("node_id").alias("start"), F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"))
+    to = nodes.select(F.col("node_id").alias("goal"), F.col("lon").alias("g_lon"), F.col("lat").alias("g_lat"))
+    straight = haversine_m(F.col("s_lon"), F.col("s_lat"), F.col("g_lon"), F.col("g_lat"))
+    pairs = pairs.join(at, "start").join(to, "goal").select(
+        "start", "goal", "g_lon", "g_lat", (straight * detour + slack_m).alias("budget"))
+    pairs = cut(pairs)
+    roads = links.join(nodes.select(F.col("node_id").alias("v"), "lon", "lat"), "v").withColumnRenamed("u", "node")
+    roads = cut(roads)
+    done = None
+    while not pairs.isEmpty():
+        labels = cut(_search(pairs, roads))
+        paths = cut(_trace(labels))
+        done = paths if done is None else done.unionByName(paths)
+        rest = pairs.join(paths.select("start", "goal"), ["start", "goal"], "left_anti")
+        pairs = cut(rest.withColumn("budget", F.col("budget") * 2))
+    if done is None:
+        schema = "start bigint, goal bigint, distance_m double, hops int, path array<bigint>"
+        return nodes.sparkSession.createDataFrame([], schema)
+    return done
+
+
+def _search(pairs: DataFrame, roads: DataFrame) -> DataFrame:
+    """Best label of each (start, goal, node) within the pair's budget."""
+    keys = ["start", "goal"]
+    none = F.lit(None).cast("bigint")
+    state = pairs.select(
+        *keys, F.col("start").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("fresh"), F.lit(0).alias("hops"), none.alias("parent"))
     while True:
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError("shortest path search did not settle")
-        step = front.join(links.withColumnRenamed("u", "node"), "node").join(ends, "v")
-        step = step.withColumn("nd", F.col("d") + F.col("length_m"))
-        step = step.withColumn("least", F.col("nd") + haversine_m(F.col("lon"), F.col("lat"), F.col("g_lon"), F.col("g_lat")) * (1 - 1e-9))
-        step = step.join(reached, ["start", "goal"], "left").filter("bound IS NULL OR least <= bound + 1e-6")
-        label = F.struct(F.col("nd").alias("d"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("parent"))
-        best = step.groupBy("start", "goal", "g_lon", "g_lat", F.col("v").alias("node")).agg(F.min(label).alias("l"))
-        old = settled.select("start", "goal", "node", F.col("d").alias("old"))
-        better = best.join(old, ["start", "goal", "node"], "left").filter("old IS NULL OR l.d < old")
-        front = cut(better.select("start", "goal", "g_lon", "g_lat", "node", "l.d", "l.hops", "l.parent"))
+        front = state.filter("fresh")
         if front.isEmpty():
-            break
-        fresh = front.select("start", "goal", "node", "d", "hops", "parent")
-        kept = settled.join(fresh.select("start", "goal", "node"), ["start", "goal", "node"], "left_anti")
-        settled = cut(kept.unionByName(fresh))
-        reached = settled.filter("node = goal").select("start", "goal", F.col("d").alias("bound"))
-    return _trace(settled)
+            return state.drop("fresh")
+        found = state.filter("node = goal").select(*keys, F.col("d").alias("found"))
+        limit = pairs.join(found, keys, "left").select(
+            *keys, "g_lon", "g_lat", F.least("budget", F.coalesce("found", "budget")).alias("limit"))
+        step = front.join(roads, "node").join(limit, keys)
+        nd = F.col("d") + F.col("length_m")
+        ahead = haversine_m(F.col("lon"), F.col("lat"), F.col("g_lon"), F.col("g_lat")) * (1 - 1e-9)
+        step = step.filter(nd + ahead <= F.col("limit") + 1e-6).select(
+            *keys, F.col("v").alias("node"), nd.alias("d"), F.lit(True).alias("fresh"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("parent"))
+        # false sorts before true, so a label is fresh only when it is really shorter.
+        label = F.min(F.struct("d", "fresh", "hops", "parent")).alias("l")
+        state = state.withColumn("fresh", F.lit(False)).unionByName(step).groupBy(*keys, "node").agg(label)
+        state = cut(state.select(*keys, "node", "l.d", "l.fresh", "l.hops", "l.parent"))
 
 
 def _trace(settled: DataFrame) -> DataFrame:

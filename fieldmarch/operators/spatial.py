@@ -16,8 +16,8 @@ TRAIL_RINGS = 5
 MAX_SNAP_M = 250.0
 
 LEAF_DEG = 0.004
-FANOUT = 8
-LEVELS = 5
+FANOUT = 16
+LEVELS = 4
 CELL = ["map_id", "cx", "cy"]
 
 
@@ -41,9 +41,11 @@ def _spread(df: DataFrame, radius: int | Column) -> DataFrame:
     return wide
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, pid: str) -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame, pid: str, decimals: int | None = None) -> DataFrame:
     """``pid, node_id, snap_m``: the exact nearest node of the same map, first in map order on a tie.
 
+    With ``decimals`` distances are compared rounded, so more of them tie.
+
     Most points find theirs in the nine leaf cells around them. The others walk down a pyramid of
     node boxes: at each level only boxes that may hold the nearest node survive, judged by
     lower and upper distance bounds, so a far point still meets few nodes.
@@ -51,14 +53,16 @@ def nearest_node(points: DataFrame, nodes: DataFrame, pid: str) -> DataFrame:
     pts = _with_cell(points.select(pid, "map_id", "lon", "lat"), LEAF_DEG)
     nod = _with_cell(nodes.select("map_id", "node_id", "node_ord", "lon", "lat"), LEAF_DEG)
     dist = haversine_m(F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat"))
-    best = F.min_by(F.struct(F.col("d"), F.col("node_id")), F.struct("d", "node_ord")).alias("best")
+    rank = F.col("d") if decimals is None else F.bround("d", decimals)
+    slack = 1e-6 if decimals is None else 10.0**-decimals
+    best = F.min_by(F.struct(rank.alias("d"), F.col("node_id")), F.struct(rank.alias("d"), "node_ord")).alias("best")
     leaf = nod.select(*CELL, "node_id", "node_ord", F.col("lon").alias("n_lon"), F.col("lat").alias("n_lat"))
 
     around = _spread(leaf, 1).drop("cx", "cy").withColumnsRenamed({"_x": "cx", "_y": "cy"})
     near = pts.join(around, CELL).withColumn("d", dist).groupBy(pid, "lat").agg(best)
     # Whatever lies outside the nine cells is at least one cell away.
     safe = F.radians(F.lit(LEAF_DEG)) * EARTH_R_M * F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + 2 * LEAF_DEG)))
-    near = near.filter(F.col("best.d") <= 0.99 * safe).select(pid, "best")
+    near = near.filter(F.col("best.d") <= 0.99 * safe - slack).select(pid, "best")
 
     far = pts.join(near, pid, "left_anti")
     boxes = nod.groupBy(*CELL).agg(
@@ -66,12 +70,12 @@ def nearest_node(points: DataFrame, nodes: DataFrame, pid: str) -> DataFrame:
     )
     step = FANOUT ** (LEVELS - 1)
     walk = far.drop("cx", "cy").join(_coarser(boxes, step), "map_id")
-    walk = _prune(walk, pid)
+    walk = _prune(walk, pid, slack)
     for level in range(LEVELS - 2, -1, -1):
         finer = _coarser(boxes, FANOUT**level)
         finer = finer.withColumn("_px", F.floor(F.col("cx") / FANOUT)).withColumn("_py", F.floor(F.col("cy") / FANOUT))
         up = walk.select(pid, "map_id", "lon", "lat", F.col("cx").alias("_px"), F.col("cy").alias("_py"))
-        walk = _prune(up.join(finer, ["map_id", "_px", "_py"]).drop("_px", "_py"), pid)
+        walk = _prune(up.join(finer, ["map_id", "_px", "_py"]).drop("_px", "_py"), pid, slack)
     found = walk.select(pid, "lon", "lat", *CELL).join(leaf, CELL).withColumn("d", dist).groupBy(pid).agg(best)
     return near.unionByName(found).select(pid, "best.node_id", F.col("best.d").alias("snap_m"))
 
@@ -82,10 +86,10 @@ def _coarser(boxes: DataFrame, step: int) -> DataFrame:
     ).agg(F.min("w").alias("w"), F.max("e").alias("e"), F.min("s").alias("s"), F.max("n").alias("n"))
 
 
-def _prune(walk: DataFrame, pid: str) -> DataFrame:
+def _prune(walk: DataFrame, pid: str, slack: float) -> DataFrame:
     low, high = box_bounds_m(*[F.col(c) for c in ("lon", "lat", "w", "e", "s", "n")])
     walk = walk.withColumn("_low", low).withColumn("_best", F.min(high).over(Window.partitionBy(pid)))
-    return walk.filter(F.col("_low") <= F.col("_best") * (1 + 1e-9) + 1e-6).drop("w", "e", "s", "n", "_low", "_best")
+    return walk.filter(F.col("_low") <= F.col("_best") * (1 + 1e-9) + slack).drop("w", "e", "s", "n", "_low", "_best")
 
 
 def snap(points: DataFrame, nodes: DataFrame, pid: str, max_m: float = MAX_SNAP_M) -> DataFrame:
@@ -158,11 +162,9 @@ def nearest_poi(points: DataFrame, pois: DataFrame, pid: str, radius_m: float =
     best = nearest_node(
         per_kind.withColumn("map_id", scoped),
         pois.select(scoped.alias("map_id"), F.col("poi_id").alias("node_id"), F.col("poi_ord").alias("node_ord"), "lon", "lat"),
-        "_pid",
-    )
-    return per_kind.join(best, "_pid").select(
-        pid, "kind", F.col("node_id").alias("poi_id"), F.bround("snap_m", 1).alias("distance_m")
+        "_pid", decimals=1,
     )
+    return per_kind.join(best, "_pid").select(pid, "kind", F.col("node_id").alias("poi_id"), F.col("snap_m").alias("distance_m"))
 
 
 def bounds(nodes: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def trail_offset(spark, d):
     return out.select("event_id", F.col("ring").cast("bigint").alias("ring"), F.round("offset_m", 3).alias("offset_m"))
 
 
-@query("nearest_poi", T.ctes("fixes", "pois") + f""" SELECT event_id, kind, arg_min(poi_id,[dr, d, CAST(poi_ord AS DOUBLE)]) AS poi_id, min(dr) AS distance_m FROM (
+@query("nearest_poi", T.ctes("fixes", "pois") + f""" SELECT event_id, kind, arg_min(poi_id,[dr, CAST(poi_ord AS DOUBLE)]) AS poi_id, min(dr) AS distance_m FROM (
     SELECT event_id, kind, poi_id, poi_ord, d, round_even(d,1) AS dr FROM (SELECT f.event_id, p.kind, p.poi_id, p.poi_ord, {H('f.lon', 'f.lat', 'p.lon', 'p.lat')} AS d
       FROM fixes f JOIN pois p ON p.map_id=f.map_id)) GROUP BY event_id, kind""")
 def nearest_poi(spark, d):
