@@ -1,4 +1,4 @@
 """Queries over the given tables, grouped by job."""
 
-from . import alarms, fleet, ingest, maps, routes  # noqa: F401
+from . import alarms, fleet, ingest, maps, model, router, routes  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..columns import LARGEST, between, first_reason, settle
 from ..functions.checksum import crc16, hex_upper, xor8
 from ..functions.geo import nmea_degrees
 
@@ -34,29 +35,6 @@ POWER_STATES = {  # state -> (gate_on, shutdown_pending); None allows any
 MAX_LINE_BYTES = 4096
 
 
-def first_reason(*checks: tuple[Column, str]) -> Column:
-    """The code of the first check whose condition holds, else NULL; a NULL condition does not hold."""
-    return F.coalesce(*[F.when(cond, F.lit(code)) for cond, code in checks], F.lit(None).cast("string"))
-
-
-LARGEST = 1.7976931348623157e308
-
-
-def between(value: Column, low: float = -LARGEST, high: float = LARGEST) -> Column:
-    """Finite and within the bounds; never NULL."""
-    return F.coalesce(value.between(low, high), F.lit(False))
-
-
-def settle(df: DataFrame, **cols: Column) -> DataFrame:
-    """Add columns that later steps read many times, computed once.
-
-    They pass through a one-row ``explode``: the optimizer does not copy expressions across it,
-    where it would repeat a checksum or a parse for every check and every pushed filter.
-    """
-    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
-    return df.select("*", made.alias("_settled")).select(*df.columns, "_settled.*")
-
-
 def frame_csv(fields: list[Column], tag: str = "SA1") -> Column:
     """``$TAG,…*XX`` line of the given fields."""
     body = F.concat_ws(",", F.lit(tag), *[f.cast("string") for f in fields])
