@@ -72,20 +72,25 @@ def nfkc_pieces(pieces: Column) -> Column:
     return F.coalesce(_nfkc_all(F.when(~plain, pieces)), pieces)
 
 
-def collapse_repeats(pieces: Column, composed: Column) -> Column:
+def tidy_pieces(composed: Column) -> Column:
+    return F.transform(composed, _tidy)
+
+
+def collapse_repeats(pieces: Column, tidy: Column) -> Column:
     """Join clauses, dropping one that says the same as the one before it.
 
-    ``composed`` is :func:`nfkc_pieces` of the clauses, settled, since lambdas cannot call Python.
+    ``tidy`` is :func:`tidy_pieces` of :func:`nfkc_pieces`. Both inputs should be settled: a lambda
+    would work an expression out again for every clause, and cannot call Python at all.
     """
-    norm = F.transform(composed, _tidy)
-    pairs = F.zip_with(pieces, norm, lambda p, n: F.struct(p.alias("p"), n.alias("n")))
-    kept = F.filter(pairs, lambda x, i: (i == 0) | (x["n"] != F.get(pairs, i - 1)["n"]))
-    return F.array_join(F.transform(kept, lambda x: x["p"]), " ")
+    kept = F.filter(pieces, lambda p, i: (i == 0) | (F.get(tidy, i) != F.get(tidy, i - 1)))
+    return F.array_join(kept, " ")
 
 
-def fold_loop(text: Column) -> Column:
-    """The shortest word prefix that, three or more times over, is the whole text; else the text."""
-    words = F.split(text, " ")
+def fold_loop(text: Column, words: Column) -> Column:
+    """The shortest word prefix that, three or more times over, is the whole text; else the text.
+
+    ``words`` is the text split at spaces, settled.
+    """
     n = F.size(words)
 
     def loops(size):

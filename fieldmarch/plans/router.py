@@ -174,8 +174,10 @@ PIECES_SQL = r"list_filter(list_transform(string_split(regexp_replace(trim(text,
 def collapse_repeats(spark, d):
     u = settle(utterances(spark, d), pieces=X.repeat_pieces(F.col("text")))
     u = settle(u, composed=X.nfkc_pieces(F.col("pieces")))
-    u = settle(u, joined=X.collapse_repeats(F.col("pieces"), F.col("composed")))
-    u = settle(u, folded=X.fold_loop(F.col("joined")))
+    u = settle(u, tidy=X.tidy_pieces(F.col("composed")))
+    u = settle(u, joined=X.collapse_repeats(F.col("pieces"), F.col("tidy")))
+    u = settle(u, words=F.split("joined", " "))
+    u = settle(u, folded=X.fold_loop(F.col("joined"), F.col("words")))
     return u.select("id", F.md5("folded").alias("digest"), F.length("folded").cast("bigint").alias("n_chars"))
 
 
