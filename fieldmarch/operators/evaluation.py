@@ -18,8 +18,9 @@ def score(cases: DataFrame, decisions: DataFrame, key: str, fields: list[str]) -
 
 
 def drop_leaked(cases: DataFrame, shown: DataFrame, text: str) -> DataFrame:
-    """Cases whose text was not shown to the model."""
-    return cases.join(shown.select(text).distinct(), text, "left_anti")
+    """Cases whose text was not shown to the model; whole texts are compared by digest, so none is shuffled."""
+    digest = F.sha2(text, 256)
+    return cases.withColumn("_d", digest).join(shown.select(digest.alias("_d")).distinct(), "_d", "left_anti").drop("_d")
 
 
 def accuracy(scored: DataFrame, expected: str, actual: str, never: str = "refuse", gate: float = ACCURACY_GATE) -> DataFrame:

@@ -48,6 +48,13 @@ def _project(s: Column, lon: Column, lat: Column) -> Column:
     ))
 
 
+def candidates(positions: DataFrame, profile: DataFrame, key: str = "route_id") -> DataFrame:
+    """Add ``spots``: the nearest place on every segment of the position's route."""
+    lon, lat = F.col("lon"), F.col("lat")
+    spots = F.array_compact(F.transform("segs", lambda s: _project(s, lon, lat)))
+    return positions.join(profile, key).withColumn("spots", spots).drop("segs")
+
+
 def progress(positions: DataFrame, profile: DataFrame, key: str = "route_id", minimum: str = "min_progress_m") -> DataFrame:
     """Add ``at``: cross track, progress, remaining metres and next vertex on the position's route.
 
