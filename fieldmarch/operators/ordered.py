@@ -74,7 +74,9 @@ def running(df: DataFrame, keys: list[str], order: list[str], name: str, value:
         total = F.coalesce(local, F.col("_in"))
     else:
         summary, local = agg(F.col("_v")), agg(F.col("_v")).over(upto)
-        total = local + F.coalesce("_in", F.lit(0)) if how == "sum" else F.greatest(local, F.col("_in"))
+        seen = local.isNotNull() | F.col("_in").isNotNull()
+        added = F.coalesce(local, F.lit(0)) + F.coalesce("_in", F.lit(0))
+        total = F.when(seen, added) if how == "sum" else F.greatest(local, F.col("_in"))
     out = with_carry(df, keys, [Carry("_in", summary, how)])
     return out.withColumn(name, total).drop("_v", "_in")
 

@@ -174,13 +174,13 @@ def env_trend(spark, d):
     return field_rules.env_trend(e, ["device_id", "boot_id"], "us").select("event_id", "cold", "falling")
 
 
-@query("energy_budget", """SELECT user_id AS device_id, round(sum(w*h)*14,7) AS base_wh, round(sum(w*h)*14*1.15*1.25,7) AS planned_wh FROM (SELECT user_id, value/100 AS h, CASE event_type WHEN 'click' THEN 6.0 WHEN 'view' THEN 3.5 WHEN 'purchase' THEN 1.25 ELSE 0.5 END AS w FROM events) GROUP BY user_id""")
+@query("energy_budget", """SELECT user_id AS device_id, round(sum(w*h)*14,7) AS base_wh, round(sum(w*h)*14*1.15*1.25,9) AS planned_wh FROM (SELECT user_id, value/100 AS h, CASE event_type WHEN 'click' THEN 6.0 WHEN 'view' THEN 3.5 WHEN 'purchase' THEN 1.25 ELSE 0.5 END AS w FROM events) GROUP BY user_id""")
 def energy_budget(spark, d):
     k = F.col("event_type")
     watts = F.when(k == "click", 6.0).when(k == "view", 3.5).when(k == "purchase", 1.25).otherwise(0.5)
     spent = T.read(spark, d, "events").select(F.col("user_id").alias("device_id"), watts.alias("watts"), (F.col("value") / 100).alias("hours_per_day"))
     out = field_rules.energy_budget(spent, ["device_id"], 14)
-    return out.select("device_id", F.round("base_wh", 7).alias("base_wh"), F.round("planned_wh", 7).alias("planned_wh"))
+    return out.select("device_id", F.round("base_wh", 7).alias("base_wh"), F.round("planned_wh", 9).alias("planned_wh"))
 
 
 @query("daylight_margin", """SELECT o_orderkey, round(ratio,4) AS ratio, CASE WHEN ratio>=1.5 THEN 'ample' WHEN ratio>=1 THEN 'tight' WHEN ratio IS NOT NULL THEN 'short' END AS band FROM (SELECT o_orderkey, (o_totalprice/20)/((o_custkey%5000)/nullif(spd,0)) AS ratio FROM (

@@ -138,3 +138,61 @@ def shortest_path(spark, d):
     paths = graph.shortest_paths(req, T.edges(spark, d), T.nodes(spark, d))
     out = req.join(paths, ["start", "goal"], "left")
     return out.select("req_id", "start", "goal", F.round("distance_m", 3).alias("distance_m"), F.col("distance_m").isNull().alias("no_path"))
+
+
+def trails(spark: SparkSession, d: str) -> DataFrame:
+    e = graph.edge_points(graph.undirected(T.edges(spark, d), ["key"]), T.nodes(spark, d))
+    return e.select("map_id", "edge_ord", "points")
+
+
+@query("trail_graph", T.ctes("segments") + f""" SELECT u, v, round(min(l),3) AS length_m FROM (SELECT unnest([a,b]) AS u, unnest([b,a]) AS v, l FROM (
+    SELECT CAST(round(lon_a*1e7) AS BIGINT)||','||CAST(round(lat_a*1e7) AS BIGINT) AS a, CAST(round(lon_b*1e7) AS BIGINT)||','||CAST(round(lat_b*1e7) AS BIGINT) AS b, {H('lon_a', 'lat_a', 'lon_b', 'lat_b', 6371008.8)} AS l FROM segments)) GROUP BY u, v""")
+def trail_graph(spark, d):
+    from ..sources.maps import trail_graph as build
+
+    return build(trails(spark, d)).withColumn("length_m", F.round("length_m", 3))
+
+
+T.define("crop_box", ["pois"], """SELECT map_id, cx-hw/lm AS w, cx+hw/lm AS e, cy-hh/111320.0 AS s, cy+hh/111320.0 AS n FROM (SELECT map_id, cx, cy, lm, greatest(w0, h0*1024.0::DOUBLE/420.0::DOUBLE) AS hw, greatest(h0, w0/(1024.0::DOUBLE/420.0::DOUBLE)) AS hh FROM (
+    SELECT map_id, cx, cy, lm, (e-w)*lm/2+38 AS w0, (n-s)*111320.0/2+38 AS h0 FROM (SELECT map_id, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n, (min(lon)+max(lon))/2 AS cx, (min(lat)+max(lat))/2 AS cy, 111320.0*cos(radians((min(lat)+max(lat))/2)) AS lm
+      FROM pois WHERE lat BETWEEN 37.502 AND 37.503 GROUP BY map_id)))""")
+
+
+@query("crop_trails", T.ctes("segments", "crop_box") + """ SELECT DISTINCT g.map_id, g.edge_ord FROM segments g JOIN crop_box b USING (map_id)
+    WHERE (lon_a BETWEEN w AND e AND lat_a BETWEEN s AND n) OR (lon_b BETWEEN w AND e AND lat_b BETWEEN s AND n)""")
+def crop_trails(spark, d):
+    focus = T.pois(spark, d).filter(F.col("lat").between(37.502, 37.503))
+    out = spatial.crop(trails(spark, d).withColumnRenamed("points", "coords"), focus, aspect=1024 / 420)
+    return out.select("map_id", "edge_ord")
+
+
+@query("graph_roundtrip", T.ctes("edges") + " SELECT edge_ord, u, v, key, round_even(length_m,6) AS length_m, geometry FROM edges")
+def graph_roundtrip(spark, d):
+    from ..sources.maps import read_graph, write_graph
+
+    _, e = read_graph(spark, write_graph(T.nodes(spark, d), T.edges(spark, d)))
+    return e.select("edge_ord", "u", "v", "key", "length_m", "geometry")
+
+
+T.define("osm_ways", [], """SELECT p_partkey//40 AS way_id, p_partkey AS k, CASE WHEN p_partkey%37=0 THEN p_partkey+1000000000 ELSE p_partkey END AS ref, (['path','footway','motorway','service','steps','track'])[(p_partkey//40)%6+1] AS highway,
+    (['','No','designated','','yes'])[(p_partkey//40)%5+1] AS foot, (['','private','',''])[(p_partkey//40)%4+1] AS access, (['','-1','yes','no'])[(p_partkey//40)%7%4+1] AS one FROM part""")
+
+
+@query("osm_graph", T.ctes("osm_ways", "nodes") + f""", legs AS (SELECT a.way_id, CAST(a.k%40 AS INTEGER) AS pos, a.ref AS u, b.ref AS v, a.one FROM osm_ways a JOIN osm_ways b ON b.way_id=a.way_id AND b.k=a.k+1
+      WHERE a.highway<>'motorway' AND NOT (lower(a.foot)='no' OR (a.access='private' AND a.foot NOT IN ('designated','yes')))),
+    known AS (SELECT l.*, {H('x.lon', 'x.lat', 'y.lon', 'y.lat')} AS len FROM legs l JOIN nodes x ON x.node_id=l.u JOIN nodes y ON y.node_id=l.v)
+    SELECT way_id, pos, u, v, round(len,4) AS length_m FROM known WHERE one<>'-1' UNION ALL SELECT way_id, pos, v, u, round(len,4) FROM known WHERE one<>'yes'""")
+def osm_graph(spark, d):
+    from ..sources.maps import osm_to_graph
+
+    c = F.col
+    way = F.expr("p_partkey div 40")
+    pick = lambda items, n: F.get(F.array(*[F.lit(i) for i in items]), n.cast("int"))
+    ways = T.read(spark, d, "part").groupBy(way.alias("way_id")).agg(
+        F.sort_array(F.collect_list(F.struct(c("p_partkey").alias("k"), F.when(c("p_partkey") % 37 == 0, c("p_partkey") + 1000000000).otherwise(c("p_partkey")).alias("r")))).alias("rs"))
+    ways = ways.select(
+        "way_id", F.transform("rs", lambda x: x["r"]).alias("refs"), pick(["path", "footway", "motorway", "service", "steps", "track"], c("way_id") % 6).alias("highway"),
+        pick(["", "No", "designated", "", "yes"], c("way_id") % 5).alias("foot"), pick(["", "private", "", ""], c("way_id") % 4).alias("access"),
+        pick(["", "-1", "yes", "no"], c("way_id") % 7 % 4).alias("oneway_foot"))
+    out = osm_to_graph(ways, T.nodes(spark, d).select("node_id", "lon", "lat"))
+    return out.withColumn("length_m", F.round("length_m", 4))
