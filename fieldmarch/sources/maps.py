@@ -22,6 +22,10 @@ def _rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     return spark.read.format("xml").schema(schema).option("rowTag", tag).load(path)
 
 
+def _has_key(key: str):
+    return lambda x: x["_key"] == key
+
+
 def read_graphml(spark: SparkSession, path: str, map_id: int = 0) -> tuple[DataFrame, DataFrame]:
     """``nodes`` and ``edges`` of a GraphML file; an undirected graph gives every edge both ways.
 
@@ -37,7 +41,7 @@ def read_graphml(spark: SparkSession, path: str, map_id: int = 0) -> tuple[DataF
 
     def value(name: str, target: str) -> Column:
         mine = [k for k in keys if k["name"] == name and k["target"] in (target, "all")]
-        found = [F.get(F.filter("data", lambda x, i=k["id"]: x["_key"] == i), F.lit(0))["_VALUE"] for k in mine]
+        found = [F.get(F.filter("data", _has_key(k["id"])), F.lit(0))["_VALUE"] for k in mine]
         return F.coalesce(*found, *[F.lit(k["default"]) for k in mine], F.lit(None).cast("string"))
 
     nodes = _rows(spark, path, "node", f"_id string, data {_DATA}").select(

@@ -62,22 +62,23 @@ def parse_csv(df: DataFrame, line: str = "line") -> DataFrame:
     df = settle(df, is_csv=is_csv, _body=body, _sum=F.when(s.contains("*"), tail))
     df = settle(df, _f=F.split("_body", ","), _xor=xor8(F.col("_body")))
     texts = {name: F.get("_f", F.lit(i + 1)) for i, name in enumerate(CSV_FIELDS)}
-    df = settle(df, **{
-        n: F.when(t.rlike(r"^-?[0-9]{1,10}$"), t.try_cast("bigint")) for n, t in texts.items()
-    })
-    fix, dht, co_ok = F.col("gps_state") == 2, F.col("dht_valid") == 1, F.col("co_state") == 1
-    outside = reduce(lambda a, b: a | b, [~F.col(n).between(lo, hi) for n, (lo, hi) in CSV_BOUNDS.items()])
+    df = settle(df, _v=F.struct(*[
+        F.when(t.rlike(r"^-?[0-9]{1,10}$"), t.try_cast("bigint")).alias(n) for n, t in texts.items()
+    ]))
+    v = lambda name: F.col(f"_v.{name}")
+    fix, dht, co_ok = v("gps_state") == 2, v("dht_valid") == 1, v("co_state") == 1
+    outside = reduce(lambda a, b: a | b, [~v(n).between(lo, hi) for n, (lo, hi) in CSV_BOUNDS.items()])
     reason = first_reason(
         (~s.contains("*"), "checksum_missing"),
         (F.length("_sum") != 2, "checksum_length"),
         (~F.col("_sum").rlike("^[0-9A-Fa-f]{2}$"), "checksum_format"),
         (F.conv("_sum", 16, 10).cast("int") != F.col("_xor"), "checksum_mismatch"),
         (F.size("_f") != len(CSV_FIELDS) + 1, "field_count"),
-        (reduce(lambda a, b: a | b, [F.col(n).isNull() for n in CSV_FIELDS]), "not_integer"),
+        (reduce(lambda a, b: a | b, [v(n).isNull() for n in CSV_FIELDS]), "not_integer"),
         (outside, "out_of_range"),
-        (fix & ~(F.col("lat_e7").between(-900000000, 900000000) & F.col("lon_e7").between(-1800000000, 1800000000)), "coordinate_range"),
-        (dht & ~(F.col("temp_x10").between(-450, 1300) & F.col("hum_x10").between(0, 1000)), "environment_range"),
-        (co_ok & ~F.col("co_ppm").between(0, 10000), "co_range"),
+        (fix & ~(v("lat_e7").between(-900000000, 900000000) & v("lon_e7").between(-1800000000, 1800000000)), "coordinate_range"),
+        (dht & ~(v("temp_x10").between(-450, 1300) & v("hum_x10").between(0, 1000)), "environment_range"),
+        (co_ok & ~v("co_ppm").between(0, 10000), "co_range"),
     )
     df = settle(df, reason=F.when(F.col("is_csv"), reason))
     good = F.col("is_csv") & F.col("reason").isNull()
@@ -86,21 +87,21 @@ def parse_csv(df: DataFrame, line: str = "line") -> DataFrame:
         return F.when(good & cond, value)
 
     return df.select(
-        *[c for c in df.columns if c not in ("_body", "_sum", "_f", "_xor", *CSV_FIELDS)],
+        *[c for c in df.columns if c not in ("_body", "_sum", "_f", "_xor", "_v")],
         F.when(good, F.lit("ogt1")).alias("protocol"),
-        F.when(good, F.col("seq")).alias("seq"),
-        F.when(good, F.col("uptime_ms")).alias("uptime_ms"),
+        F.when(good, v("seq")).alias("seq"),
+        F.when(good, v("uptime_ms")).alias("uptime_ms"),
         F.when(good, fix).alias("fix"),
-        when(fix, F.col("lat_e7") / 1e7).alias("lat"),
-        when(fix, F.col("lon_e7") / 1e7).alias("lon"),
-        F.when(good, F.col("sats")).alias("satellites"),
+        when(fix, v("lat_e7") / 1e7).alias("lat"),
+        when(fix, v("lon_e7") / 1e7).alias("lon"),
+        F.when(good, v("sats")).alias("satellites"),
         F.lit(None).cast("double").alias("acc_m"),
         F.when(good, dht).alias("env_valid"),
-        when(dht, F.col("temp_x10") / 10.0).alias("temp_c"),
-        when(dht, F.col("hum_x10") / 10.0).alias("humidity_pct"),
+        when(dht, v("temp_x10") / 10.0).alias("temp_c"),
+        when(dht, v("hum_x10") / 10.0).alias("humidity_pct"),
         F.when(good, co_ok).alias("co_valid"),
-        F.when(good, F.col("co_state") == 0).alias("co_warming_up"),
-        when(co_ok, F.col("co_ppm").cast("double")).alias("co_ppm"),
+        F.when(good, v("co_state") == 0).alias("co_warming_up"),
+        when(co_ok, v("co_ppm").cast("double")).alias("co_ppm"),
         F.when(good, F.when(co_ok, "normal").otherwise("unknown")).alias("co_level"),
     )
 
@@ -118,19 +119,19 @@ TELEMETRY_JSON = """v string, event string, seq string, uptime_ms string,
 
 
 def parse_json_line(df: DataFrame, line: str = "line") -> DataFrame:
-    """Add ``j`` (all members of any device event) and ``json_reason`` for what every event needs."""
+    """Add ``_j`` (all members of any device event) and ``json_reason`` for what every event needs."""
     s = F.trim(F.col(line))
     has_crc = s.rlike(r',"crc16":"[0-9A-Fa-f]{4}"\}$')
     # The CRC member is the last 16 characters; it covers everything before it plus the brace.
     base = F.when(has_crc, F.concat(F.substring(s, F.lit(1), F.length(s) - 16), F.lit("}")))
     df = settle(
-        df, j=F.from_json(s, TELEMETRY_JSON, {"mode": "PERMISSIVE"}), _json=F.try_parse_json(s).isNotNull(),
+        df, _j=F.from_json(s, TELEMETRY_JSON, {"mode": "PERMISSIVE"}), _json=F.try_parse_json(s).isNotNull(),
         _sent=F.when(has_crc, F.substring(s, -6, 4)), _crc=crc16(base), _object=s.startswith("{"),
     )
-    event = F.col("j.event")
+    event = F.col("_j.event")
     framed = event.isin("telemetry", "button", "output", "power")
-    version = F.col("j.v").try_cast("double")
-    seq = F.col("j.seq").try_cast("double")
+    version = F.col("_j.v").try_cast("double")
+    seq = F.col("_j.seq").try_cast("double")
     reason = first_reason(
         (~F.col("_json"), "not_json"),
         (~F.col("_object"), "not_object"),
@@ -178,15 +179,15 @@ def parse_telemetry_json(df: DataFrame) -> DataFrame:
     Three settled steps: text to typed values, the flags that have defaults, then the checks.
     """
     keep = df.columns
-    is_tel = F.coalesce(F.col("j.event") == "telemetry", F.lit(False))
-    iso, trend = F.col("j.rtc.iso_utc"), F.col("j.env.press_trend")
+    is_tel = F.coalesce(F.col("_j.event") == "telemetry", F.lit(False))
+    iso, trend = F.col("_j.rtc.iso_utc"), F.col("_j.env.press_trend")
     names = [*OPTIONAL_BOUNDS, *OTHER_NUMBERS]
     df = settle(
         df,
-        n=F.struct(*[_num(f"j.{x}").alias(x.replace(".", "_")) for x in names]),
-        f=F.struct(*[_flag(f"j.{x}").alias(x.replace(".", "_")) for x in FLAGS]),
-        utc=F.when(iso.rlike(r"(Z|\+00:00)$"), F.regexp_replace(iso, r"Z$", "+00:00").try_cast("timestamp")),
-        trend=F.lower(F.trim(F.coalesce(F.when(trend != "", trend), F.lit("unknown")))),
+        _n=F.struct(*[_num(f"_j.{x}").alias(x.replace(".", "_")) for x in names]),
+        _f=F.struct(*[_flag(f"_j.{x}").alias(x.replace(".", "_")) for x in FLAGS]),
+        _utc=F.when(iso.rlike(r"(Z|\+00:00)$"), F.regexp_replace(iso, r"Z$", "+00:00").try_cast("timestamp")),
+        _trend=F.lower(F.trim(F.coalesce(F.when(trend != "", trend), F.lit("unknown")))),
     )
 
     def defaulted(text: str, flag: str, default: Column) -> Column:
@@ -195,119 +196,119 @@ def parse_telemetry_json(df: DataFrame) -> DataFrame:
     no = F.lit(False)
     df = settle(
         df,
-        sht=defaulted("j.env.sht_valid", "f.env_sht_valid", F.col("f.env_valid")),
-        press=defaulted("j.env.pressure_valid", "f.env_pressure_valid", F.col("j.env.press_hpa").isNotNull()),
-        co_alarm=defaulted("j.co.alarm", "f.co_alarm", no), warming=defaulted("j.co.warming_up", "f.co_warming_up", no),
-        rtc=defaulted("j.rtc", "f.rtc_valid", no), power=defaulted("j.power", "f.power_valid", no),
-        level=F.coalesce("j.co.level", F.lit("unknown")),
-        bounds=first_reason(*[
-            (_bad(F.col(f"j.{x}"), F.col("n." + x.replace(".", "_")), lo, hi), code)
+        _sht=defaulted("_j.env.sht_valid", "_f.env_sht_valid", F.col("_f.env_valid")),
+        _press=defaulted("_j.env.pressure_valid", "_f.env_pressure_valid", F.col("_j.env.press_hpa").isNotNull()),
+        _co_alarm=defaulted("_j.co.alarm", "_f.co_alarm", no), _warming=defaulted("_j.co.warming_up", "_f.co_warming_up", no),
+        _rtc=defaulted("_j.rtc", "_f.rtc_valid", no), _power=defaulted("_j.power", "_f.power_valid", no),
+        _level=F.coalesce("_j.co.level", F.lit("unknown")),
+        _bounds=first_reason(*[
+            (_bad(F.col(f"_j.{x}"), F.col("_n." + x.replace(".", "_")), lo, hi), code)
             for x, (lo, hi, code) in OPTIONAL_BOUNDS.items()
         ]),
     )
     c = F.col
-    fix, env, press, rtc, trend = c("f.gps_fix"), c("f.env_valid"), c("press"), c("rtc"), c("trend")
+    fix, env, press, rtc, trend = c("_f.gps_fix"), c("_f.env_valid"), c("_press"), c("_rtc"), c("_trend")
     reason = first_reason(
-        (~between(c("n.uptime_ms"), 0), "uptime_range"),
+        (~between(c("_n.uptime_ms"), 0), "uptime_range"),
         (fix.isNull(), "gps_missing"),
-        (c("bounds").isNotNull(), "bounds"),
-        (fix & ~(between(c("n.gps_lat"), -90, 90) & between(c("n.gps_lon"), -180, 180)), "coordinate_range"),
+        (c("_bounds").isNotNull(), "bounds"),
+        (fix & ~(between(c("_n.gps_lat"), -90, 90) & between(c("_n.gps_lon"), -180, 180)), "coordinate_range"),
         (rtc.isNull(), "rtc_valid_type"),
         (~rtc & iso.isNotNull(), "rtc_unexpected_time"),
-        (rtc & (iso.isNull() | (F.length(iso) > 40) | c("utc").isNull()), "rtc_time_format"),
-        (rtc & ~F.year("utc").between(2025, 2100), "rtc_year_range"),
+        (rtc & (iso.isNull() | (F.length(iso) > 40) | c("_utc").isNull()), "rtc_time_format"),
+        (rtc & ~F.year("_utc").between(2025, 2100), "rtc_year_range"),
         (env.isNull(), "env_missing"),
-        (~c("sht").eqNullSafe(env), "env_sht_conflict"),
+        (~c("_sht").eqNullSafe(env), "env_sht_conflict"),
         (press.isNull(), "env_pressure_type"),
         (~trend.isin(TRENDS), "env_trend"),
-        (env & ~(between(c("n.env_temp_c"), -45, 130) & between(c("n.env_humidity_pct"), 0, 100)), "environment_range"),
-        (~env & (c("j.env.temp_c").isNotNull() | c("j.env.humidity_pct").isNotNull()), "env_unexpected_value"),
-        (press & ~between(c("n.env_press_hpa"), 300, 1100), "pressure_range"),
-        (press & c("j.env.bmp_address").isNotNull() & ~F.coalesce(c("n.env_bmp_address").isin(118.0, 119.0), no), "pressure_address"),
-        (~press & (c("j.env.press_hpa").isNotNull() | (trend != "unknown")), "pressure_unexpected_value"),
-        (c("f.co_valid").isNull() | c("warming").isNull() | c("co_alarm").isNull(), "co_missing"),
-        (~c("level").isin(CO_LEVELS), "co_level"),
-        (c("co_alarm") & (c("level") != "alarm"), "co_alarm_conflict"),
-        (c("f.co_valid") & c("n.co_ppm").isNull(), "co_ppm_missing"),
-        (c("power").isNull(), "power_valid_type"),
-        ((c("j.power.jetson_gate_on").isNotNull() & c("f.power_jetson_gate_on").isNull())
-         | (c("j.power.shutdown_pending").isNotNull() & c("f.power_shutdown_pending").isNull()), "power_gate_type"),
+        (env & ~(between(c("_n.env_temp_c"), -45, 130) & between(c("_n.env_humidity_pct"), 0, 100)), "environment_range"),
+        (~env & (c("_j.env.temp_c").isNotNull() | c("_j.env.humidity_pct").isNotNull()), "env_unexpected_value"),
+        (press & ~between(c("_n.env_press_hpa"), 300, 1100), "pressure_range"),
+        (press & c("_j.env.bmp_address").isNotNull() & ~F.coalesce(c("_n.env_bmp_address").isin(118.0, 119.0), no), "pressure_address"),
+        (~press & (c("_j.env.press_hpa").isNotNull() | (trend != "unknown")), "pressure_unexpected_value"),
+        (c("_f.co_valid").isNull() | c("_warming").isNull() | c("_co_alarm").isNull(), "co_missing"),
+        (~c("_level").isin(CO_LEVELS), "co_level"),
+        (c("_co_alarm") & (c("_level") != "alarm"), "co_alarm_conflict"),
+        (c("_f.co_valid") & c("_n.co_ppm").isNull(), "co_ppm_missing"),
+        (c("_power").isNull(), "power_valid_type"),
+        ((c("_j.power.jetson_gate_on").isNotNull() & c("_f.power_jetson_gate_on").isNull())
+         | (c("_j.power.shutdown_pending").isNotNull() & c("_f.power_shutdown_pending").isNull()), "power_gate_type"),
     )
-    reason = F.when(reason == "bounds", c("bounds")).otherwise(reason)
+    reason = F.when(reason == "bounds", c("_bounds")).otherwise(reason)
     df = settle(df, tel_reason=F.when(is_tel, F.coalesce("json_reason", reason)))
     good = is_tel & c("tel_reason").isNull()
     tel = F.struct(
-        F.lit("v1").alias("protocol"), c("n.seq").cast("bigint").alias("seq"), c("n.uptime_ms").cast("bigint").alias("uptime_ms"),
-        fix.alias("fix"), F.when(fix, c("n.gps_lat")).alias("lat"), F.when(fix, c("n.gps_lon")).alias("lon"),
-        F.coalesce(c("n.gps_sats"), F.lit(0.0)).cast("bigint").alias("satellites"),
-        c("n.gps_hdop").alias("hdop"), c("n.gps_acc_m").alias("acc_m"),
-        F.when(c("j.gps.acc_m").isNotNull(), "reported").otherwise("unknown").alias("accuracy_kind"),
-        rtc.alias("rtc_valid"), F.when(rtc, c("utc")).alias("rtc_utc"), c("n.rtc_age_s").alias("rtc_age_s"),
-        env.alias("env_valid"), F.when(env, c("n.env_temp_c")).alias("temp_c"),
-        F.when(env, c("n.env_humidity_pct")).alias("humidity_pct"), press.alias("pressure_valid"),
-        F.when(press, c("n.env_press_hpa")).alias("press_hpa"), F.when(press, trend).otherwise("unknown").alias("press_trend"),
-        F.when(press, c("n.env_bmp_address").cast("int")).alias("bmp_address"),
-        c("f.co_valid").alias("co_valid"), c("warming").alias("co_warming_up"), c("n.co_ppm").alias("co_ppm"),
-        c("level").alias("co_level"), c("co_alarm"),
-        c("power").alias("power_valid"), c("n.power_percent").alias("percent"), c("n.power_days_left").alias("days_left"),
-        c("f.power_jetson_gate_on").alias("gate_on"), c("f.power_shutdown_pending").alias("shutdown_pending"),
+        F.lit("v1").alias("protocol"), c("_n.seq").cast("bigint").alias("seq"), c("_n.uptime_ms").cast("bigint").alias("uptime_ms"),
+        fix.alias("fix"), F.when(fix, c("_n.gps_lat")).alias("lat"), F.when(fix, c("_n.gps_lon")).alias("lon"),
+        F.coalesce(c("_n.gps_sats"), F.lit(0.0)).cast("bigint").alias("satellites"),
+        c("_n.gps_hdop").alias("hdop"), c("_n.gps_acc_m").alias("acc_m"),
+        F.when(c("_j.gps.acc_m").isNotNull(), "reported").otherwise("unknown").alias("accuracy_kind"),
+        rtc.alias("rtc_valid"), F.when(rtc, c("_utc")).alias("rtc_utc"), c("_n.rtc_age_s").alias("rtc_age_s"),
+        env.alias("env_valid"), F.when(env, c("_n.env_temp_c")).alias("temp_c"),
+        F.when(env, c("_n.env_humidity_pct")).alias("humidity_pct"), press.alias("pressure_valid"),
+        F.when(press, c("_n.env_press_hpa")).alias("press_hpa"), F.when(press, trend).otherwise("unknown").alias("press_trend"),
+        F.when(press, c("_n.env_bmp_address").cast("int")).alias("bmp_address"),
+        c("_f.co_valid").alias("co_valid"), c("_warming").alias("co_warming_up"), c("_n.co_ppm").alias("co_ppm"),
+        c("_level").alias("co_level"), c("_co_alarm").alias("co_alarm"),
+        c("_power").alias("power_valid"), c("_n.power_percent").alias("percent"), c("_n.power_days_left").alias("days_left"),
+        c("_f.power_jetson_gate_on").alias("gate_on"), c("_f.power_shutdown_pending").alias("shutdown_pending"),
     )
     return df.select(*keep, "tel_reason", F.when(good, tel).alias("telemetry"))
 
 
 def parse_hw_event(df: DataFrame) -> DataFrame:
     """Typed button, output, power and position events of JSON lines, with ``event_reason``."""
-    event = F.coalesce(F.col("j.event"), F.lit(""))
-    held = _num("j.held_ms")
-    active, gate, pending = _flag("j.active"), _flag("j.gate_on"), _flag("j.shutdown_pending")
+    event = F.coalesce(F.col("_j.event"), F.lit(""))
+    held = _num("_j.held_ms")
+    active, gate, pending = _flag("_j.active"), _flag("_j.gate_on"), _flag("_j.shutdown_pending")
     needed = reduce(lambda a, b: a | b, [
-        (F.col("j.state") == s) & ~((gate == pair[0]) & (pending == pair[1])) for s, pair in POWER_STATES.items() if pair
+        (F.col("_j.state") == s) & ~((gate == pair[0]) & (pending == pair[1])) for s, pair in POWER_STATES.items() if pair
     ])
-    has_fix = F.when(F.col("j.fix").isNull(), F.col("j.lat").isNotNull() & F.col("j.lon").isNotNull()).otherwise(
-        F.col("j.fix") == "true")
+    has_fix = F.when(F.col("_j.fix").isNull(), F.col("_j.lat").isNotNull() & F.col("_j.lon").isNotNull()).otherwise(
+        F.col("_j.fix") == "true")
     reasons = {
         "button": first_reason(
-            (~F.coalesce(F.col("j.button"), F.lit("")).isin(BUTTONS), "button_kind"),
-            (~F.coalesce(F.col("j.state"), F.lit("")).isin("pressed", "released"), "button_state"),
+            (~F.coalesce(F.col("_j.button"), F.lit("")).isin(BUTTONS), "button_kind"),
+            (~F.coalesce(F.col("_j.state"), F.lit("")).isin("pressed", "released"), "button_state"),
             (~between(held, 0, 3_600_000), "held_range"),
-            ((F.col("j.state") == "pressed") & (F.floor(held) != 0), "held_while_pressed"),
+            ((F.col("_j.state") == "pressed") & (F.floor(held) != 0), "held_while_pressed"),
         ),
         "output": first_reason(
             (active.isNull(), "active_type"),
-            (~F.coalesce(F.col("j.output") == "trail", F.lit(False))
-             | ~F.coalesce(F.col("j.level"), F.lit("")).isin(list(OUTPUT_LEVELS)), "output_kind"),
-            (active != (F.col("j.level") != "off"), "level_active_conflict"),
-            (~between(_num("j.watchdog_ms"), 100, 60_000), "watchdog_range"),
+            (~F.coalesce(F.col("_j.output") == "trail", F.lit(False))
+             | ~F.coalesce(F.col("_j.level"), F.lit("")).isin(list(OUTPUT_LEVELS)), "output_kind"),
+            (active != (F.col("_j.level") != "off"), "level_active_conflict"),
+            (~between(_num("_j.watchdog_ms"), 100, 60_000), "watchdog_range"),
         ),
         "power": first_reason(
-            (~F.coalesce(F.col("j.state"), F.lit("")).isin(list(POWER_STATES)), "power_state"),
+            (~F.coalesce(F.col("_j.state"), F.lit("")).isin(list(POWER_STATES)), "power_state"),
             (gate.isNull() | pending.isNull(), "gate_type"),
             (needed, "state_gate_conflict"),
         ),
         "fix": first_reason(
-            (~F.coalesce(F.col("j.ok") == "true", F.lit(False)), "fix_failed"),
-            (~has_fix & _bad(F.col("j.last_age_s"), _num("j.last_age_s"), 0), "fix_age_range"),
-            (has_fix & ~(between(_num("j.lat"), -90, 90) & between(_num("j.lon"), -180, 180)), "coordinate_range"),
-            (has_fix & (_bad(F.col("j.acc_m"), _num("j.acc_m"), 0) | _bad(F.col("j.age_s"), _num("j.age_s"), 0)), "fix_quality_range"),
-            (has_fix & F.col("j.sats").isNotNull() & ~between(_num("j.sats"), 0, 99), "fix_sats_range"),
+            (~F.coalesce(F.col("_j.ok") == "true", F.lit(False)), "fix_failed"),
+            (~has_fix & _bad(F.col("_j.last_age_s"), _num("_j.last_age_s"), 0), "fix_age_range"),
+            (has_fix & ~(between(_num("_j.lat"), -90, 90) & between(_num("_j.lon"), -180, 180)), "coordinate_range"),
+            (has_fix & (_bad(F.col("_j.acc_m"), _num("_j.acc_m"), 0) | _bad(F.col("_j.age_s"), _num("_j.age_s"), 0)), "fix_quality_range"),
+            (has_fix & F.col("_j.sats").isNotNull() & ~between(_num("_j.sats"), 0, 99), "fix_sats_range"),
         ),
     }
     own = reduce(lambda acc, kv: acc.when(event == kv[0], kv[1]), reasons.items(), F.when(F.lit(False), F.lit("")))
     df = settle(df, event_reason=F.when(event.isin(list(reasons)), F.coalesce("json_reason", own)))
-    action = reduce(lambda a, kv: a.when(F.col("j.level") == kv[0], kv[1]), OUTPUT_LEVELS.items(), F.when(F.lit(False), ""))
-    seq = _num("j.seq").cast("bigint").alias("seq")
+    action = reduce(lambda a, kv: a.when(F.col("_j.level") == kv[0], kv[1]), OUTPUT_LEVELS.items(), F.when(F.lit(False), ""))
+    seq = _num("_j.seq").cast("bigint").alias("seq")
     good = F.col("event_reason").isNull()
     return (
         df.withColumn("button_event", F.when(good & (event == "button"), F.struct(
-            seq, F.col("j.button").alias("button"), F.col("j.state").alias("state"), held.cast("bigint").alias("held_ms"))))
+            seq, F.col("_j.button").alias("button"), F.col("_j.state").alias("state"), held.cast("bigint").alias("held_ms"))))
         .withColumn("output_event", F.when(good & (event == "output"), F.struct(
-            seq, F.col("j.level").alias("level"), active.alias("active"),
-            _num("j.watchdog_ms").cast("bigint").alias("watchdog_ms"), action.alias("action"))))
+            seq, F.col("_j.level").alias("level"), active.alias("active"),
+            _num("_j.watchdog_ms").cast("bigint").alias("watchdog_ms"), action.alias("action"))))
         .withColumn("power_event", F.when(good & (event == "power"), F.struct(
-            seq, F.col("j.state").alias("state"), gate.alias("gate_on"), pending.alias("shutdown_pending"))))
+            seq, F.col("_j.state").alias("state"), gate.alias("gate_on"), pending.alias("shutdown_pending"))))
         .withColumn("fix_event", F.when(good & (event == "fix"), F.struct(
-            has_fix.alias("fix"), F.when(has_fix, _num("j.lat")).alias("lat"), F.when(has_fix, _num("j.lon")).alias("lon"),
-            F.when(has_fix, _num("j.acc_m")).alias("acc_m"))))
+            has_fix.alias("fix"), F.when(has_fix, _num("_j.lat")).alias("lat"), F.when(has_fix, _num("_j.lon")).alias("lon"),
+            F.when(has_fix, _num("_j.acc_m")).alias("acc_m"))))
     )
 
 
@@ -321,7 +322,7 @@ def route_lines(df: DataFrame, line: str = "line") -> DataFrame:
     fields = [c for c in csv.columns if c not in df.columns and c not in ("is_csv", "csv_reason")]
     csv = csv.select(*df.columns, "is_csv", "csv_reason", F.struct(*fields).alias("csv"))
     out = parse_hw_event(parse_telemetry_json(parse_json_line(csv, line)))
-    event = F.coalesce(F.col("j.event"), F.lit(""))
+    event = F.coalesce(F.col("_j.event"), F.lit(""))
     reason = F.when(F.col("is_csv"), F.col("csv_reason")).otherwise(
         F.coalesce("json_reason", "tel_reason", "event_reason"))
     kind = (
