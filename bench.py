@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from fieldmarch import plans
@@ -29,6 +30,7 @@ def main() -> None:
         start = time.perf_counter()
         plans.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         spent[name] = round(time.perf_counter() - start, 3)
+        print(f"{name}: {spent[name]} s", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(spent.values()), 3), "unit": "sec", "queries": spent, "sf": os.path.basename(sf.rstrip("/")),
     }))

@@ -6,16 +6,8 @@ from pyspark.sql import Column, functions as F
 
 
 def xor8(text: Column) -> Column:
-    """XOR of all characters of an ASCII string.
-
-    Bit k of the XOR is the parity of the number of characters that have bit k set, so seven
-    ``translate`` calls (compiled, no lambda per character) give the whole checksum.
-    """
-    total = F.lit(0)
-    for bit in range(7):
-        having = "".join(chr(c) for c in range(128) if c >> bit & 1)
-        total = total + (F.length(text) - F.length(F.translate(text, having, ""))) % 2 * (1 << bit)
-    return total
+    """XOR of all characters of an ASCII string."""
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda acc, char: acc.bitwiseXOR(F.ascii(char)))
 
 
 def _ccitt_table() -> list[int]:

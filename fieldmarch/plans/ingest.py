@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..columns import between, first_reason, settle
 from ..functions.checksum import crc16, hex_upper, xor8
 from ..functions.geo import nmea_e7
 from ..operators import fleet, ordered
+from ..session import cut
 from ..sources import telemetry as S
 from . import tables as T
 from .registry import query
@@ -50,7 +52,7 @@ def csv_lines(spark: SparkSession, d: str) -> DataFrame:
     """CSV frames as devices send them; every 23rd event's checksum has a flipped bit."""
     f = frame_fields(spark, d)
     line = S.frame_csv([F.col(c) for c in S.CSV_FIELDS])
-    f = S.settle(f, line=line)
+    f = settle(f, line=line)
     flipped = F.conv(F.substring_index("line", "*", -1), 16, 10).cast("int").bitwiseXOR(F.lit(1))
     broken = F.concat(F.substring_index("line", "*", 1), F.lit("*"), hex_upper(flipped, 2))
     f = f.withColumn("line", F.when(F.col("event_id") % 23 == 0, broken).otherwise(F.col("line")))
@@ -71,13 +73,13 @@ def event_lines(spark: SparkSession, d: str) -> DataFrame:
         '{"v":1,"event":"power","seq":%d,"state":"shutdown_ack","gate_on":true,"shutdown_pending":%s}', c("event_id"),
         F.when(c("event_id") % 4 == 0, "false").otherwise("true"))
     payload = F.when(c("event_type") == "click", button).when(c("event_type") == "view", output).when(c("event_type") == "signup", power)
-    e = S.settle(e, payload=payload)
+    e = settle(e, payload=payload)
     payload = c("payload")
     line = (
         F.when(payload.isNotNull(), F.when(c("event_id") % 19 == 0, payload).otherwise(S.frame_json(payload)))
         .when(c("event_type") == "purchase", '{"event":"hello"}').otherwise("boot ok")
     )
-    return S.settle(e, line=line).select("event_id", "device_id", "boot_id", c("t_s").alias("recv_s"), "line")
+    return settle(e, line=line).select("event_id", "device_id", "boot_id", c("t_s").alias("recv_s"), "line")
 
 
 def raw_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -136,12 +138,14 @@ def sequence_gaps(spark, d):
     count(*) FILTER (kind='ignored') AS ignored, count(*) FILTER (kind='button') AS buttons, any_value(g.gaps) AS gaps
     FROM lines l LEFT JOIN (SELECT device_id, count(*) FILTER (seq_gap) AS gaps FROM gaps GROUP BY device_id) g USING (device_id) GROUP BY l.device_id""")
 def ingest_quality(spark, d):
+    # Lines are parsed once into a stored table, as the ingest job does; both reports read that.
     routed = S.route_lines(raw_lines(spark, d))
+    routed = cut(routed.select("device_id", "recv_s", "kind", "csv.seq", "csv.uptime_ms"))
     counts = routed.groupBy("device_id").agg(
         F.count(F.lit(1)).alias("received"), F.count_if(F.col("kind") == "rejected").alias("rejected"),
         F.count_if(F.col("kind") == "ignored").alias("ignored"), F.count_if(F.col("kind") == "button").alias("buttons"),
     )
-    tel = routed.filter("kind = 'telemetry'").select("device_id", "recv_s", "csv.seq", "csv.uptime_ms")
+    tel = routed.filter("kind = 'telemetry'")
     gaps = ordered.sequence_gaps(tel, ["device_id"]).groupBy("device_id").agg(F.count_if("seq_gap").alias("gaps"))
     return counts.join(gaps, "device_id", "left")
 
@@ -194,7 +198,7 @@ def fix_carry(spark, d):
     count(*) AS n FROM (SELECT user_id, CASE WHEN event_type<>'error' THEN value END AS v FROM events) GROUP BY ALL""")
 def validate_ranges(spark, d):
     v = F.when(F.col("event_type") != "error", F.col("value"))
-    code = S.first_reason((v.isNull(), "missing"), (~S.between(v, 1), "low"), (~S.between(v, high=100), "high"))
+    code = first_reason((v.isNull(), "missing"), (~between(v, 1), "low"), (~between(v, high=100), "high"))
     e = T.read(spark, d, "events").select(F.col("user_id").alias("device_id"), F.coalesce(code, F.lit("ok")).alias("verdict"))
     return e.groupBy("device_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
