@@ -62,10 +62,10 @@ def parse_csv(df: DataFrame, line: str = "line") -> DataFrame:
     df = settle(df, is_csv=is_csv, _body=body, _sum=F.when(s.contains("*"), tail))
     df = settle(df, _f=F.split("_body", ","), _xor=xor8(F.col("_body")))
     texts = {name: F.get("_f", F.lit(i + 1)) for i, name in enumerate(CSV_FIELDS)}
-    df = settle(df, _v=F.struct(*[
-        F.when(t.rlike(r"^-?[0-9]{1,10}$"), t.try_cast("bigint")).alias(n) for n, t in texts.items()
-    ]))
-    v = lambda name: F.col(f"_v.{name}")
+    df = settle(df, **{
+        f"_v_{n}": F.when(t.rlike(r"^-?[0-9]{1,10}$"), t.try_cast("bigint")) for n, t in texts.items()
+    })
+    v = lambda name: F.col(f"_v_{name}")
     fix, dht, co_ok = v("gps_state") == 2, v("dht_valid") == 1, v("co_state") == 1
     outside = reduce(lambda a, b: a | b, [~v(n).between(lo, hi) for n, (lo, hi) in CSV_BOUNDS.items()])
     reason = first_reason(
@@ -87,7 +87,7 @@ def parse_csv(df: DataFrame, line: str = "line") -> DataFrame:
         return F.when(good & cond, value)
 
     return df.select(
-        *[c for c in df.columns if c not in ("_body", "_sum", "_f", "_xor", "_v")],
+        *[c for c in df.columns if c not in ("_body", "_sum", "_f", "_xor") and not c.startswith("_v_")],
         F.when(good, F.lit("ogt1")).alias("protocol"),
         F.when(good, v("seq")).alias("seq"),
         F.when(good, v("uptime_ms")).alias("uptime_ms"),
@@ -184,8 +184,8 @@ def parse_telemetry_json(df: DataFrame) -> DataFrame:
     names = [*OPTIONAL_BOUNDS, *OTHER_NUMBERS]
     df = settle(
         df,
-        _n=F.struct(*[_num(f"_j.{x}").alias(x.replace(".", "_")) for x in names]),
-        _f=F.struct(*[_flag(f"_j.{x}").alias(x.replace(".", "_")) for x in FLAGS]),
+        **{"_n_" + x.replace(".", "_"): _num(f"_j.{x}") for x in names},
+        **{"_f_" + x.replace(".", "_"): _flag(f"_j.{x}") for x in FLAGS},
         _utc=F.when(iso.rlike(r"(Z|\+00:00)$"), F.regexp_replace(iso, r"Z$", "+00:00").try_cast("timestamp")),
         _trend=F.lower(F.trim(F.coalesce(F.when(trend != "", trend), F.lit("unknown")))),
     )
@@ -196,23 +196,23 @@ def parse_telemetry_json(df: DataFrame) -> DataFrame:
     no = F.lit(False)
     df = settle(
         df,
-        _sht=defaulted("_j.env.sht_valid", "_f.env_sht_valid", F.col("_f.env_valid")),
-        _press=defaulted("_j.env.pressure_valid", "_f.env_pressure_valid", F.col("_j.env.press_hpa").isNotNull()),
-        _co_alarm=defaulted("_j.co.alarm", "_f.co_alarm", no), _warming=defaulted("_j.co.warming_up", "_f.co_warming_up", no),
-        _rtc=defaulted("_j.rtc", "_f.rtc_valid", no), _power=defaulted("_j.power", "_f.power_valid", no),
+        _sht=defaulted("_j.env.sht_valid", "_f_env_sht_valid", F.col("_f_env_valid")),
+        _press=defaulted("_j.env.pressure_valid", "_f_env_pressure_valid", F.col("_j.env.press_hpa").isNotNull()),
+        _co_alarm=defaulted("_j.co.alarm", "_f_co_alarm", no), _warming=defaulted("_j.co.warming_up", "_f_co_warming_up", no),
+        _rtc=defaulted("_j.rtc", "_f_rtc_valid", no), _power=defaulted("_j.power", "_f_power_valid", no),
         _level=F.coalesce("_j.co.level", F.lit("unknown")),
         _bounds=first_reason(*[
-            (_bad(F.col(f"_j.{x}"), F.col("_n." + x.replace(".", "_")), lo, hi), code)
+            (_bad(F.col(f"_j.{x}"), F.col("_n_" + x.replace(".", "_")), lo, hi), code)
             for x, (lo, hi, code) in OPTIONAL_BOUNDS.items()
         ]),
     )
     c = F.col
-    fix, env, press, rtc, trend = c("_f.gps_fix"), c("_f.env_valid"), c("_press"), c("_rtc"), c("_trend")
+    fix, env, press, rtc, trend = c("_f_gps_fix"), c("_f_env_valid"), c("_press"), c("_rtc"), c("_trend")
     reason = first_reason(
-        (~between(c("_n.uptime_ms"), 0), "uptime_range"),
+        (~between(c("_n_uptime_ms"), 0), "uptime_range"),
         (fix.isNull(), "gps_missing"),
         (c("_bounds").isNotNull(), "bounds"),
-        (fix & ~(between(c("_n.gps_lat"), -90, 90) & between(c("_n.gps_lon"), -180, 180)), "coordinate_range"),
+        (fix & ~(between(c("_n_gps_lat"), -90, 90) & between(c("_n_gps_lon"), -180, 180)), "coordinate_range"),
         (rtc.isNull(), "rtc_valid_type"),
         (~rtc & iso.isNotNull(), "rtc_unexpected_time"),
         (rtc & (iso.isNull() | (F.length(iso) > 40) | c("_utc").isNull()), "rtc_time_format"),
@@ -221,37 +221,37 @@ def parse_telemetry_json(df: DataFrame) -> DataFrame:
         (~c("_sht").eqNullSafe(env), "env_sht_conflict"),
         (press.isNull(), "env_pressure_type"),
         (~trend.isin(TRENDS), "env_trend"),
-        (env & ~(between(c("_n.env_temp_c"), -45, 130) & between(c("_n.env_humidity_pct"), 0, 100)), "environment_range"),
+        (env & ~(between(c("_n_env_temp_c"), -45, 130) & between(c("_n_env_humidity_pct"), 0, 100)), "environment_range"),
         (~env & (c("_j.env.temp_c").isNotNull() | c("_j.env.humidity_pct").isNotNull()), "env_unexpected_value"),
-        (press & ~between(c("_n.env_press_hpa"), 300, 1100), "pressure_range"),
-        (press & c("_j.env.bmp_address").isNotNull() & ~F.coalesce(c("_n.env_bmp_address").isin(118.0, 119.0), no), "pressure_address"),
+        (press & ~between(c("_n_env_press_hpa"), 300, 1100), "pressure_range"),
+        (press & c("_j.env.bmp_address").isNotNull() & ~F.coalesce(c("_n_env_bmp_address").isin(118.0, 119.0), no), "pressure_address"),
         (~press & (c("_j.env.press_hpa").isNotNull() | (trend != "unknown")), "pressure_unexpected_value"),
-        (c("_f.co_valid").isNull() | c("_warming").isNull() | c("_co_alarm").isNull(), "co_missing"),
+        (c("_f_co_valid").isNull() | c("_warming").isNull() | c("_co_alarm").isNull(), "co_missing"),
         (~c("_level").isin(CO_LEVELS), "co_level"),
         (c("_co_alarm") & (c("_level") != "alarm"), "co_alarm_conflict"),
-        (c("_f.co_valid") & c("_n.co_ppm").isNull(), "co_ppm_missing"),
+        (c("_f_co_valid") & c("_n_co_ppm").isNull(), "co_ppm_missing"),
         (c("_power").isNull(), "power_valid_type"),
-        ((c("_j.power.jetson_gate_on").isNotNull() & c("_f.power_jetson_gate_on").isNull())
-         | (c("_j.power.shutdown_pending").isNotNull() & c("_f.power_shutdown_pending").isNull()), "power_gate_type"),
+        ((c("_j.power.jetson_gate_on").isNotNull() & c("_f_power_jetson_gate_on").isNull())
+         | (c("_j.power.shutdown_pending").isNotNull() & c("_f_power_shutdown_pending").isNull()), "power_gate_type"),
     )
     reason = F.when(reason == "bounds", c("_bounds")).otherwise(reason)
     df = settle(df, tel_reason=F.when(is_tel, F.coalesce("json_reason", reason)))
     good = is_tel & c("tel_reason").isNull()
     tel = F.struct(
-        F.lit("v1").alias("protocol"), c("_n.seq").cast("bigint").alias("seq"), c("_n.uptime_ms").cast("bigint").alias("uptime_ms"),
-        fix.alias("fix"), F.when(fix, c("_n.gps_lat")).alias("lat"), F.when(fix, c("_n.gps_lon")).alias("lon"),
-        F.coalesce(c("_n.gps_sats"), F.lit(0.0)).cast("bigint").alias("satellites"),
-        c("_n.gps_hdop").alias("hdop"), c("_n.gps_acc_m").alias("acc_m"),
+        F.lit("v1").alias("protocol"), c("_n_seq").cast("bigint").alias("seq"), c("_n_uptime_ms").cast("bigint").alias("uptime_ms"),
+        fix.alias("fix"), F.when(fix, c("_n_gps_lat")).alias("lat"), F.when(fix, c("_n_gps_lon")).alias("lon"),
+        F.coalesce(c("_n_gps_sats"), F.lit(0.0)).cast("bigint").alias("satellites"),
+        c("_n_gps_hdop").alias("hdop"), c("_n_gps_acc_m").alias("acc_m"),
         F.when(c("_j.gps.acc_m").isNotNull(), "reported").otherwise("unknown").alias("accuracy_kind"),
-        rtc.alias("rtc_valid"), F.when(rtc, c("_utc")).alias("rtc_utc"), c("_n.rtc_age_s").alias("rtc_age_s"),
-        env.alias("env_valid"), F.when(env, c("_n.env_temp_c")).alias("temp_c"),
-        F.when(env, c("_n.env_humidity_pct")).alias("humidity_pct"), press.alias("pressure_valid"),
-        F.when(press, c("_n.env_press_hpa")).alias("press_hpa"), F.when(press, trend).otherwise("unknown").alias("press_trend"),
-        F.when(press, c("_n.env_bmp_address").cast("int")).alias("bmp_address"),
-        c("_f.co_valid").alias("co_valid"), c("_warming").alias("co_warming_up"), c("_n.co_ppm").alias("co_ppm"),
+        rtc.alias("rtc_valid"), F.when(rtc, c("_utc")).alias("rtc_utc"), c("_n_rtc_age_s").alias("rtc_age_s"),
+        env.alias("env_valid"), F.when(env, c("_n_env_temp_c")).alias("temp_c"),
+        F.when(env, c("_n_env_humidity_pct")).alias("humidity_pct"), press.alias("pressure_valid"),
+        F.when(press, c("_n_env_press_hpa")).alias("press_hpa"), F.when(press, trend).otherwise("unknown").alias("press_trend"),
+        F.when(press, c("_n_env_bmp_address").cast("int")).alias("bmp_address"),
+        c("_f_co_valid").alias("co_valid"), c("_warming").alias("co_warming_up"), c("_n_co_ppm").alias("co_ppm"),
         c("_level").alias("co_level"), c("_co_alarm").alias("co_alarm"),
-        c("_power").alias("power_valid"), c("_n.power_percent").alias("percent"), c("_n.power_days_left").alias("days_left"),
-        c("_f.power_jetson_gate_on").alias("gate_on"), c("_f.power_shutdown_pending").alias("shutdown_pending"),
+        c("_power").alias("power_valid"), c("_n_power_percent").alias("percent"), c("_n_power_days_left").alias("days_left"),
+        c("_f_power_jetson_gate_on").alias("gate_on"), c("_f_power_shutdown_pending").alias("shutdown_pending"),
     )
     return df.select(*keep, "tel_reason", F.when(good, tel).alias("telemetry"))
 
@@ -320,7 +320,7 @@ def route_lines(df: DataFrame, line: str = "line") -> DataFrame:
     df = df.filter(F.trim(F.col(line)) != "")
     csv = parse_csv(df, line).withColumnRenamed("reason", "csv_reason")
     fields = [c for c in csv.columns if c not in df.columns and c not in ("is_csv", "csv_reason")]
-    csv = csv.select(*df.columns, "is_csv", "csv_reason", F.struct(*fields).alias("csv"))
+    csv = csv.select(*df.columns, "is_csv", "csv_reason", *[F.col(f).alias(f"_csv_{f}") for f in fields])
     out = parse_hw_event(parse_telemetry_json(parse_json_line(csv, line)))
     event = F.coalesce(F.col("_j.event"), F.lit(""))
     reason = F.when(F.col("is_csv"), F.col("csv_reason")).otherwise(
@@ -332,7 +332,7 @@ def route_lines(df: DataFrame, line: str = "line") -> DataFrame:
         .otherwise("ignored")
     )
     return settle(out, kind=kind, reason=reason).select(
-        *df.columns, "kind", "reason", "csv", "telemetry",
+        *df.columns, "kind", "reason", F.struct(*[F.col(f"_csv_{f}").alias(f) for f in fields]).alias("csv"), "telemetry",
         "button_event", "output_event", "power_event", "fix_event",
     )
 
