@@ -14,7 +14,7 @@ HEADLINES = [
     "frame_roundtrip", "ingest_quality", "sequence_gaps", "fix_carry", "co_alarm", "co_alarm_intervals", "alert_edges", "trail_output",
     "throttle", "point_ago", "device_snapshot", "button_sessions", "power_phase", "history_summary", "nearest_node", "trail_offset",
     "nearest_poi", "segments", "graph_wcc", "graph_scc", "route_progress", "route_deviation", "sun_times", "return_deadline",
-    "normalize_text", "route_utterance", "overlay_cascade", "collapse_repeats", "token_estimate", "device_state_text", "card_render",
+    "normalize_text", "route_utterance", "token_estimate", "device_state_text", "card_render",
     "intent_guard", "polish_guard", "eval_score", "latency_budget", "stage_latency", "acceptance", "energy_per_query", "co_rise",
 ]
 

@@ -137,11 +137,7 @@ def days(spark: SparkSession, d: str) -> DataFrame:
     o = T.read(spark, d, "orders").select(
         "o_orderkey", c("o_orderdate").cast("date").alias("day"), (c("o_custkey") * 13 % 140 - 70).cast("double").alias("lat"),
         (c("o_custkey") * 29 % 360 - 180).cast("double").alias("lon"), off.alias("off"), "o_totalprice")
-    at = [c("day"), c("lat"), c("lon")]
-    return o.select(
-        "*", solar.event_epoch(*at, solar.ZENITH_OFFICIAL, True, c("off")).alias("sunrise"),
-        solar.event_epoch(*at, solar.ZENITH_OFFICIAL, False, c("off")).alias("sunset"),
-        solar.event_epoch(*at, solar.ZENITH_CIVIL, False, c("off")).alias("civil_end"))
+    return solar.sun_events(o, c("day"), c("lat"), c("lon"), c("off"))
 
 
 @query("sun_times", T.ctes("suns") + """ SELECT o_orderkey, sunrise, sunset, civil_end, CAST(floor((sunset-(mid+43200-off*60))/60.0) AS BIGINT) AS remaining_min FROM suns""")

@@ -17,7 +17,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in ("events", "documents", "conversations") and df.rdd.getNumPartitions() * 2 <= cores:
+    if name in ("events", "documents", "conversations", "orders") and df.rdd.getNumPartitions() * 2 <= cores:
         return df.repartition(cores)
     return df
 

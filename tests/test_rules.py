@@ -43,14 +43,13 @@ def test_trail_status(spark, loc, fix, off, acc, want):
 
 
 def test_sun_in_seoul_and_at_the_pole(spark):
-    day = F.lit(dt.date(2026, 8, 9))
-    at = (F.lit(37.5665), F.lit(126.9780))
-    r = one(spark, up=solar.event_epoch(day, *at, 90.833, True, F.lit(540)), down=solar.event_epoch(day, *at, 90.833, False, F.lit(540)),
-            civil=solar.event_epoch(day, *at, 96.0, False, F.lit(540)), none=solar.event_epoch(F.lit(dt.date(2026, 12, 21)), F.lit(89.0), F.lit(0.0), 90.833, True, F.lit(0)))
+    rows = [(dt.date(2026, 8, 9), 37.5665, 126.9780, 540), (dt.date(2026, 12, 21), 89.0, 0.0, 0)]
+    df = spark.createDataFrame(rows, "day date, lat double, lon double, off int")
+    r, pole = solar.sun_events(df, *[F.col(c) for c in ("day", "lat", "lon", "off")]).orderBy("day").collect()
     kst = dt.timezone(dt.timedelta(hours=9))
-    up, down = (dt.datetime.fromtimestamp(e, kst) for e in (r.up, r.down))
+    up, down = (dt.datetime.fromtimestamp(e, kst) for e in (r.sunrise, r.sunset))
     assert 4 <= up.hour <= 7 and 18 <= down.hour <= 21 and up.date() == down.date() == dt.date(2026, 8, 9)
-    assert r.civil > r.down and r.none is None
+    assert r.civil_end > r.sunset and (pole.sunrise, pole.sunset, pole.civil_end) == (None, None, None)
 
 
 def test_return_plan_levels(spark):
