@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_copies
+from . import mixing, near_copies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents: four-word shingles, similarity 0.8."""
     return near_copies.near_copies(_table(spark, sf_dir, "documents"), words=4, percent=80).drop("row")
+
+
+@_query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken from every document so that sources come near their targets."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
