@@ -120,7 +120,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(at), np.uint64)
     padded = np.concatenate([words.hash, np.zeros(k, np.uint64)])
     for j in range(k):
-        h = h * _STEP + np.where(j < size, padded[at + j], 0)
+        h = np.where(j < size, h * _STEP + padded[at + j], h)
     return mix(h ^ size.astype(np.uint64)), first
 
 
