@@ -7,16 +7,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmarch.llm import near_copies
+from fieldmarch.llm import leaks, lines, mixing, near_copies, toxicity
 from fieldmarch.session import shared_dir
 
 
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, fitted on the labelled ones among them, calls toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop(docs, toxicity.train(docs, labels, toxicity.CATEGORIES), "toxic")
+
+
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each group of like lines stays; documents left without a word go."""
+    return lines.drop_repeated_lines(docs)
+
+
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
     return near_copies.drop_near_copies(docs, words=5, percent=80)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near_copies", remove_near_copies)]
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or edited, go."""
+    return leaks.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it, with the number of the copy."""
+    return mixing.repeat_rows(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", remove_toxic),
+    ("line_dedup", remove_repeated_lines),
+    ("near_copies", remove_near_copies),
+    ("decontamination", remove_leaks),
+    ("mixing", mix_sources),
+]
 
 #: Trained models, signatures and alignments are not expressible in SQL.
 ORACLE_SQL: str | None = None
