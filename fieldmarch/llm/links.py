@@ -30,25 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest chain. Each round ends in written tables.
     """
     live = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = None
-    turn = 0
+    steps: list[DataFrame] = []
     while not live.isEmpty():
-        order = (lambda c: c) if turn % 2 == 0 else (lambda c, t=turn: F.xxhash64(c, F.lit(t)))
+        order = (lambda c: c) if len(steps) % 2 == 0 else (lambda c, t=len(steps): F.xxhash64(c, F.lit(t)))
         both = live.select("a", "b").union(live.select("b", "a"))
-        step = cut(
-            both.groupBy(F.col("a").alias("node"))
-            .agg(F.min(F.struct(order(F.col("b")).alias("o"), F.col("b").alias("to"))).alias("best"))
-            .select("node", F.when(F.struct(order(F.col("node")).alias("o"), F.col("node").alias("to")) <= F.col("best"), F.col("node")).otherwise(F.col("best.to")).alias("to"))
-        )
-        if roots is None:
-            nxt = cut(step.select("node", F.col("to").alias("root")))
-        else:
-            nxt = cut(
-                roots.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-                .union(step.join(roots, "node", "left_anti").select("node", "to"))
-            )
-            discard(roots)
-        roots = nxt
+        rank = lambda c: F.struct(order(F.col(c)).alias("o"), F.col(c).alias("to"))  # noqa: E731, B023
+        step = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("best")).select("node", F.least(rank("node"), "best")["to"].alias("to")))
         of_a = step.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         of_b = step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         fresh = cut(
@@ -56,13 +43,20 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
         )
         discard(live)
-        discard(step)
         live = fresh
-        turn += 1
+        steps.append(step)
     discard(live)
-    if roots is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    return roots
+    roots = None
+    for step in reversed(steps):  # the last and smallest first
+        nxt = step.withColumnRenamed("to", "root") if roots is None else _compose(step.withColumnRenamed("to", "root"), roots)
+        roots = cut(nxt)
+        discard(step)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0) if roots is None else roots
+
+
+def _compose(first: DataFrame, then: DataFrame) -> DataFrame:
+    """``(node, root)`` whose roots are nodes of ``then`` get the roots there."""
+    return first.join(then.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, sets_of: Callable, percent: int) -> DataFrame:
@@ -157,25 +151,27 @@ def join_classes(members: DataFrame, distance: Callable[[str, str], Column], mos
     both = tested.union(tested.select("cls", "pivot"))
     near = cut(near.join(both, ["pivot", "cls"], "left_anti"))
     discard(live)
-    partners = 8
+    partners = 32
     while True:
         of_x = roots.select(F.col("node").alias("pivot"), F.col("root").alias("rx"))
         of_y = roots.select(F.col("node").alias("cls"), F.col("root").alias("ry"))
-        apart = near.join(of_x, "pivot", "left").join(of_y, "cls", "left").filter(F.coalesce("rx", "pivot") != F.coalesce("ry", "cls"))
+        apart = near.join(of_x, "pivot", "left").join(of_y, "cls", "left").withColumns({"rx": F.coalesce("rx", "pivot"), "ry": F.coalesce("ry", "cls")}).filter("rx <> ry")
         nearest = Window.partitionBy("pivot").orderBy("far", "cls")
-        ranked = cut(apart.select("pivot", "cls", "far", F.row_number().over(nearest).alias("n")))
+        ranked = cut(apart.select("pivot", "cls", "far", "rx", "ry", F.row_number().over(nearest).alias("n")))
         discard(near)
-        pairs = cut(ranked.filter(F.col("n") <= partners).select(F.least("pivot", "cls").alias("pivot"), F.greatest("pivot", "cls").alias("cls")).distinct())
-        near = cut(ranked.filter(F.col("n") > partners).drop("n"))
-        discard(ranked)
-        if pairs.isEmpty():
+        chosen = ranked.filter(F.col("n") <= partners)
+        if chosen.isEmpty():
+            discard(ranked)
             break
-        more = cut(linked.union(verify(pairs, texts, sets_of, percent)))
-        for old in (pairs, linked, roots):
+        fresh = cut(verify(chosen.select("pivot", "cls"), texts, sets_of, percent))
+        merged = components(fresh.join(chosen.select(F.col("pivot").alias("a"), F.col("cls").alias("b"), "rx", "ry"), ["a", "b"]).select(F.col("rx").alias("a"), F.col("ry").alias("b")))
+        near = cut(ranked.filter(F.col("n") > partners).select("pivot", "cls", "far"))
+        # roots that were lone classes until now have no row yet
+        more = cut(_compose(roots, merged).union(merged.join(roots, "node", "left_anti").select("node", "root")))
+        for old in (ranked, fresh, merged, roots):
             discard(old)
-        linked = more
-        roots = components(linked)
-        partners *= 8
-    for done in (tested, held, texts, sigs, linked, near, pairs):
+        roots = more
+        partners *= 32
+    for done in (tested, held, texts, sigs, linked):
         discard(done)
     return roots.select(F.col("node").alias("cls"), "root")
