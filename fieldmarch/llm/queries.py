@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldmarch.session import cut
 
-from . import chat, leaks, lines, mixing, near_copies, topk, toxicity
+from . import chat, leaks, lines, mixing, near_copies, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,9 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-1), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(quoted))
     return chat.read_back(cut(chat.windows(rows.union(more))))
+
+
+@_query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
