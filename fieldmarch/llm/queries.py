@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldmarch.session import cut
 
-from . import chat, leaks, lines, mixing, near_copies, topk, toxicity, warc
+from . import chat, html, leaks, lines, mixing, near_copies, ngrams, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,15 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back."""
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the automaton and by the base model."""
+    return ngrams.score(_table(spark, sf_dir, "documents"))
