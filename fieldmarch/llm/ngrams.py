@@ -26,7 +26,7 @@ from .words import Words, mix, slices
 
 ORDER = 3
 #: Mass kept back at a state, by the length of its sequence.
-KEPT_BACK = {1: 30.0, 2: 8.0}
+KEPT_BACK = {1: 200.0, 2: 4.0}
 ADDED = 0.1
 BLOCK_BYTES = 8 << 20
 RANGE_GRAMS = 2_000_000
