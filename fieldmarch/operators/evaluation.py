@@ -75,15 +75,15 @@ def missing_runs(observed: DataFrame, run: str, expected: Column | int, by: list
 def acceptance(events: DataFrame, keys: list[str], order: str, fields: list[str], checks: dict[str, Column], need: list[str]) -> DataFrame:
     """Fold event rows into one row per run and judge it.
 
-    The newest given value of each field counts. A run with a failed check fails; one that lacks
-    any field in ``need``, or whose evidence is simulated, is unverified; else it passes.
+    The newest given value of each field counts. A run that lacks any field in ``need`` is unverified, even if a check
+    fails on what there is; else a failed check fails it; else it passes. ``failed`` names the failed checks in any case.
     """
     folded = events.groupBy(*keys).agg(*[
         F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])
     bad = reduce(lambda a, b: a | b, [F.coalesce(~c, F.lit(False)) for c in checks.values()])
     lacking = reduce(lambda a, b: a | b, [F.col(f).isNull() for f in need])
     failed = F.array_compact(F.array(*[F.when(~c, F.lit(n)) for n, c in checks.items()]))
-    return folded.withColumn("verdict", F.when(bad, "fail").when(lacking, "unverified").otherwise("pass")).withColumn("failed", failed)
+    return folded.withColumn("verdict", F.when(lacking, "unverified").when(bad, "fail").otherwise("pass")).withColumn("failed", failed)
 
 
 def reproducible(df: DataFrame, by: list[str], signature: list[str]) -> DataFrame:

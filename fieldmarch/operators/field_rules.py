@@ -46,8 +46,8 @@ def env_trend(df: DataFrame, keys: list[str], t: str) -> DataFrame:
 
 
 def daylight_margin(light_s: Column, distance_m: Column, speed_mps: Column) -> dict[str, Column]:
-    """Seconds of light left over seconds of walking left, and its band."""
-    ratio = light_s / (distance_m / F.when(speed_mps != 0, speed_mps))
+    """Seconds of light left over seconds of walking left, and its band; both NULL without a way to go or a speed."""
+    ratio = light_s / (F.when(distance_m > 0, distance_m) / F.when(speed_mps != 0, speed_mps))
     return {"ratio": ratio, "band": F.when(ratio >= 1.5, "ample").when(ratio >= 1.0, "tight").when(ratio.isNotNull(), "short")}
 
 

@@ -159,10 +159,10 @@ def last_checkpoints(df: DataFrame, keys: list[str], t: str, keep: int = CHECKPO
 
 
 def valid_commands(df: DataFrame, body: str) -> DataFrame:
-    """Command bodies that are objects with exactly ``action`` and ``request_id`` and a known action."""
+    """Command bodies that are objects of a known ``action`` (space around it ignored), perhaps a ``request_id``, and nothing else."""
     keys = F.json_object_keys(F.col(body))
-    action = F.get_json_object(F.col(body), "$.action")
-    exact = (F.size(keys) == 2) & F.array_contains(keys, "action") & F.array_contains(keys, "request_id")
+    action = F.trim(F.get_json_object(F.col(body), "$.action"))
+    exact = F.array_contains(keys, "action") & (F.size(F.array_except(keys, F.array(F.lit("action"), F.lit("request_id")))) == 0)
     return df.withColumn("action", action).withColumn(
         "accepted", F.coalesce(exact & action.isin(COMMANDS), F.lit(False))
     )

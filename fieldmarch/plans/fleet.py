@@ -170,6 +170,7 @@ def valid_commands(spark, d):
     body = (
         F.when(c("event_id") % 7 == 0, F.lit("[1, 2"))
         .when(c("event_id") % 5 == 0, F.format_string('{"action":"%s","request_id":"r%d","lat":1}', action, c("event_id")))
+        .when(c("event_id") % 3 == 0, F.format_string('{"action":" %s "}', action))
         .otherwise(F.format_string('{"action":"%s","request_id":"r%d"}', action, c("event_id")))
     )
     e = T.read(spark, d, "events").select("event_id", body.alias("body"))

@@ -11,15 +11,8 @@ from ..functions.geo import haversine_m
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One that comes as too few splits to occupy the cores is spread over them.
-
-    The number of splits is known from the plan; a table of many files is never shuffled here.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("events", "documents", "conversations", "orders") and df.rdd.getNumPartitions() * 2 <= cores:
-        return df.repartition(cores)
-    return df
+    """A given table; how finely files are split is the session's ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ev(spark: SparkSession, d: str) -> DataFrame:

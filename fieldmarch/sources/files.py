@@ -38,15 +38,15 @@ def position_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_positions(df: DataFrame, path: str) -> None:
-    """Append positions, partitioned by day and clustered by device so that each task writes few files."""
+    """Append positions by day; each task writes a range of devices, and large days are dealt to as many tasks as they need."""
     days = df.withColumn("day", F.to_date("recorded_at"))
-    days.repartition("day", F.pmod(F.hash("device_id"), F.lit(64))).write.mode("append").partitionBy("day").parquet(path)
+    days.repartitionByRange("day", "device_id", "monotonic_s").write.mode("append").partitionBy("day").parquet(path)
 
 
 def compact_positions(spark: SparkSession, path: str, target: str, since: str, rows_per_file: int = 5_000_000) -> None:
     """Rewrite the days still retained into ``target`` with large files; readers switch to it afterwards."""
     kept = spark.read.parquet(path).filter(F.col("day") >= since)
-    kept.repartition("day", F.pmod(F.hash("device_id"), F.lit(64))).sortWithinPartitions("device_id", "monotonic_s").write.option(
+    kept.repartitionByRange("day", "device_id", "monotonic_s").sortWithinPartitions("day", "device_id", "monotonic_s").write.option(
         "maxRecordsPerFile", rows_per_file).partitionBy("day").parquet(target)
 
 

@@ -32,7 +32,12 @@ POWER_STATES = {  # state -> (gate_on, shutdown_pending); None allows any
     "gate_on": (True, False), "gate_off": (False, False), "shutdown_requested": (True, True),
     "shutdown_ack": (True, True), "shutdown_cancelled": (True, False), "shutdown_timeout": (True, False), "status": None,
 }
+#: Longer lines are rejected unread.
 MAX_LINE_BYTES = 4096
+#: Members that are booleans, sent as text instead.
+QUOTED_FLAG = (
+    r'"(fix|valid|sht_valid|pressure_valid|warming_up|alarm|jetson_gate_on|shutdown_pending|active|gate_on|ok)"\s*:\s*"(true|false)"'
+)
 
 
 def frame_csv(fields: list[Column], tag: str = "SA1") -> Column:
@@ -72,7 +77,7 @@ def parse_csv(df: DataFrame, line: str = "line") -> DataFrame:
         (~s.contains("*"), "checksum_missing"),
         (F.length("_sum") != 2, "checksum_length"),
         (~F.col("_sum").rlike("^[0-9A-Fa-f]{2}$"), "checksum_format"),
-        (F.conv("_sum", 16, 10).cast("int") != F.col("_xor"), "checksum_mismatch"),
+        (~F.conv("_sum", 16, 10).cast("int").eqNullSafe(F.col("_xor")), "checksum_mismatch"),
         (F.size("_f") != len(CSV_FIELDS) + 1, "field_count"),
         (reduce(lambda a, b: a | b, [v(n).isNull() for n in CSV_FIELDS]), "not_integer"),
         (outside, "out_of_range"),
@@ -124,8 +129,10 @@ def parse_json_line(df: DataFrame, line: str = "line") -> DataFrame:
     has_crc = s.rlike(r',"crc16":"[0-9A-Fa-f]{4}"\}$')
     # The CRC member is the last 16 characters; it covers everything before it plus the brace.
     base = F.when(has_crc, F.concat(F.substring(s, F.lit(1), F.length(s) - 16), F.lit("}")))
+    # A flag sent as text is no flag, and satellites that are given must be a number.
     df = settle(
         df, _j=F.from_json(s, TELEMETRY_JSON, {"mode": "PERMISSIVE"}), _json=F.try_parse_json(s).isNotNull(),
+        _quoted=s.rlike(QUOTED_FLAG), _blank_sats=s.rlike(r'"sats"\s*:\s*(null|"\s*")'),
         _sent=F.when(has_crc, F.substring(s, -6, 4)), _crc=crc16(base), _object=s.startswith("{"),
     )
     event = F.col("_j.event")
@@ -136,7 +143,7 @@ def parse_json_line(df: DataFrame, line: str = "line") -> DataFrame:
         (~F.col("_json"), "not_json"),
         (~F.col("_object"), "not_object"),
         (framed & F.col("_sent").isNull(), "crc_missing"),
-        (framed & (F.conv("_sent", 16, 10).cast("int") != F.col("_crc")), "crc_mismatch"),
+        (framed & ~F.conv("_sent", 16, 10).cast("int").eqNullSafe(F.col("_crc")), "crc_mismatch"),
         (framed & ~between(version, 1, 255), "version_range"),
         (framed & (F.floor(version) != 1), "version_unsupported"),
         (framed & ~between(seq, 0, UINT32_MAX), "seq_range"),
@@ -146,7 +153,7 @@ def parse_json_line(df: DataFrame, line: str = "line") -> DataFrame:
 
 def _flag(name: str) -> Column:
     text = F.col(name)
-    return F.when(text == "true", True).when(text == "false", False)
+    return F.when(F.col("_quoted"), F.lit(None).cast("boolean")).when(text == "true", True).when(text == "false", False)
 
 
 def _num(name: str) -> Column:
@@ -212,6 +219,7 @@ def parse_telemetry_json(df: DataFrame) -> DataFrame:
         (~between(c("_n_uptime_ms"), 0), "uptime_range"),
         (fix.isNull(), "gps_missing"),
         (c("_bounds").isNotNull(), "bounds"),
+        (c("_blank_sats"), "gps_sats_range"),
         (fix & ~(between(c("_n_gps_lat"), -90, 90) & between(c("_n_gps_lon"), -180, 180)), "coordinate_range"),
         (rtc.isNull(), "rtc_valid_type"),
         (~rtc & iso.isNotNull(), "rtc_unexpected_time"),
@@ -265,7 +273,7 @@ def parse_hw_event(df: DataFrame) -> DataFrame:
         (F.col("_j.state") == s) & ~((gate == pair[0]) & (pending == pair[1])) for s, pair in POWER_STATES.items() if pair
     ])
     has_fix = F.when(F.col("_j.fix").isNull(), F.col("_j.lat").isNotNull() & F.col("_j.lon").isNotNull()).otherwise(
-        F.col("_j.fix") == "true")
+        F.coalesce(_flag("_j.fix"), F.lit(False)))
     reasons = {
         "button": first_reason(
             (~F.coalesce(F.col("_j.button"), F.lit("")).isin(BUTTONS), "button_kind"),
@@ -286,7 +294,7 @@ def parse_hw_event(df: DataFrame) -> DataFrame:
             (needed, "state_gate_conflict"),
         ),
         "fix": first_reason(
-            (~F.coalesce(F.col("_j.ok") == "true", F.lit(False)), "fix_failed"),
+            (~F.coalesce(_flag("_j.ok"), F.lit(False)), "fix_failed"),
             (~has_fix & _bad(F.col("_j.last_age_s"), _num("_j.last_age_s"), 0), "fix_age_range"),
             (has_fix & ~(between(_num("_j.lat"), -90, 90) & between(_num("_j.lon"), -180, 180)), "coordinate_range"),
             (has_fix & (_bad(F.col("_j.acc_m"), _num("_j.acc_m"), 0) | _bad(F.col("_j.age_s"), _num("_j.age_s"), 0)), "fix_quality_range"),
