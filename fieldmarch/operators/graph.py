@@ -14,8 +14,49 @@ from ..functions.geo import bearing_deg, haversine_m
 from ..session import cut
 
 
+def mapped(df: DataFrame) -> DataFrame:
+    """A table of one map without a ``map_id`` gets 0 for it."""
+    return df if "map_id" in df.columns else df.withColumn("map_id", F.lit(0))
+
+
+def dense_ids(nodes: DataFrame) -> DataFrame:
+    """``map_id, node_id, vid``: a number for each node of each map, whatever the type of its id, in the order of the ids.
+
+    Loops run on these numbers, so equal ids of two maps are two nodes. The table is written, so the numbers stay.
+    """
+    ids = mapped(nodes).select("map_id", "node_id").distinct().orderBy("map_id", "node_id")
+    return cut(ids.withColumn("vid", F.monotonically_increasing_id()))
+
+
+def _numbered(df: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with node ids in ``columns`` replaced by their numbers; rows with an unknown node drop out."""
+    df = mapped(df)
+    for name in columns:
+        own = ids.select("map_id", F.col("node_id").alias(name), F.col("vid").alias("_vid"))
+        df = df.join(own, ["map_id", name]).drop(name).withColumnRenamed("_vid", name)
+    return df
+
+
 def weak_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``node_id, component`` (the smallest node id of each connected part) of undirected links.
+    """``map_id, node_id, component`` (the smallest node id of each connected part) of undirected links of any number of maps."""
+    return _parts(nodes, links, _weak, "component")
+
+
+def strong_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``map_id, node_id, scc`` (the smallest node id of each strongly connected part) of directed links of any number of maps."""
+    return _parts(nodes, links, _strong, "scc")
+
+
+def _parts(nodes: DataFrame, links: DataFrame, job, name: str) -> DataFrame:
+    ids = dense_ids(nodes)
+    found = job(ids.select(F.col("vid").alias("node_id")), _numbered(links.select(*[c for c in ("map_id", "u", "v") if c in links.columns]), ids, "u", "v"))
+    least = ids.select(F.col("vid").alias(name), F.col("node_id").alias("_least"))
+    out = found.withColumnRenamed("node_id", "vid").join(ids, "vid").join(least, name)
+    return out.select("map_id", "node_id", F.col("_least").alias(name))
+
+
+def _weak(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``node_id, component`` of undirected links between numbered nodes.
 
     Contraction: every vertex points to its smallest neighbour, pointers are doubled until they
     reach roots, and links are rewritten to roots and de-duplicated. The number of vertices with
@@ -58,8 +99,8 @@ def _roots(point: DataFrame, jumps: int = 3) -> DataFrame:
         point = ahead
 
 
-def strong_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``node_id, scc`` (the smallest node id of each strongly connected part) of directed links.
+def _strong(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``node_id, scc`` of directed links between numbered nodes.
 
     Most walkways go both ways, and such pairs are strongly connected as they stand: they are
     contracted first. On what is left, vertices without a way in or out are peeled off, then
@@ -67,7 +108,7 @@ def strong_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     links = links.select("u", "v").filter("u <> v").distinct()
     mutual = links.join(links.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"])
-    block = weak_components(nodes, mutual)
+    block = _weak(nodes, mutual)
     left = block.select(F.col("node_id").alias("u"), F.col("component").alias("cu"))
     right = block.select(F.col("node_id").alias("v"), F.col("component").alias("cv"))
     rest = links.join(left, "u").join(right, "v").filter("cu <> cv")
@@ -137,7 +178,7 @@ def _reach(links: DataFrame) -> DataFrame:
 def shortest_edges(edges: DataFrame) -> DataFrame:
     """The shortest of parallel edges, the first in map order on a tie."""
     best = F.min_by(F.struct("edge_ord", "length_m", "geometry"), F.struct("length_m", "edge_ord"))
-    return edges.groupBy("u", "v").agg(best.alias("e")).select("u", "v", "e.edge_ord", "e.length_m", "e.geometry")
+    return mapped(edges).groupBy("map_id", "u", "v").agg(best.alias("e")).select("map_id", "u", "v", "e.edge_ord", "e.length_m", "e.geometry")
 
 
 def reachable(pairs: DataFrame, scc: DataFrame, links: DataFrame) -> DataFrame:
@@ -165,7 +206,7 @@ def reachable(pairs: DataFrame, scc: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def shortest_paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, detour: float = 1.5, slack_m: float = 150.0) -> DataFrame:
-    """``start, goal, distance_m, hops, path`` of every distinct pair that has a path.
+    """``map_id, start, goal, distance_m, hops, path`` of every distinct pair of a map that has a path.
 
     All pairs advance together. A pair first gets a length budget somewhat above the straight
     line; labels whose length plus straight line to the goal exceeds it are dropped, which
@@ -173,8 +214,25 @@ def shortest_paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, deto
     that is reached has its exact distance; pairs that are not get twice the budget. Only pairs
     known to be reachable are searched, so the loop ends.
     """
-    links = cut(shortest_edges(edges).select("u", "v", "length_m"))
-    scc = cut(strong_components(nodes, links))
+    ids = dense_ids(nodes)
+    wanted = mapped(requests).select("map_id", "start", "goal").distinct()
+    lengths = mapped(edges).groupBy("map_id", "u", "v").agg(F.min("length_m").alias("length_m"))
+    places = _numbered(nodes.select(*[c for c in ("map_id", "node_id", "lon", "lat") if c in nodes.columns]), ids, "node_id")
+    paths = _paths(_numbered(wanted, ids, "start", "goal"), _numbered(lengths, ids, "u", "v"), places, detour, slack_m)
+    back = ids.select("map_id", "node_id", F.col("vid").alias("node"))
+    named = (
+        paths.select("start", "goal", F.posexplode("path").alias("pos", "node")).join(back, "node")
+        .groupBy("start", "goal").agg(F.first("map_id").alias("map_id"), F.sort_array(F.collect_list(F.struct("pos", "node_id"))).alias("_p"))
+        .select("start", "goal", "map_id", F.col("_p.node_id").alias("path"))
+    )
+    return paths.drop("path").join(named, ["start", "goal"]).select(
+        "map_id", F.get("path", F.lit(0)).alias("start"), F.element_at("path", -1).alias("goal"), "distance_m", "hops", "path")
+
+
+def _paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, detour: float, slack_m: float) -> DataFrame:
+    """The same on numbered nodes."""
+    links = cut(edges.select("u", "v", "length_m"))
+    scc = cut(_strong(nodes.select("node_id"), links))
     pairs = reachable(requests.select("start", "goal").distinct(), scc, links)
     at = nodes.select(F.col("node_id").alias("start"), F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"))
     to = nodes.select(F.col("node_id").alias("goal"), F.col("lon").alias("g_lon"), F.col("lat").alias("g_lat"))
@@ -261,9 +319,10 @@ def oriented(points: Column, lon_u, lat_u, lon_v, lat_v) -> Column:
 
 def edge_points(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with ``points``, their vertices from u to v."""
-    u = nodes.select(F.col("node_id").alias("u"), F.col("lon").alias("lon_u"), F.col("lat").alias("lat_u"))
-    v = nodes.select(F.col("node_id").alias("v"), F.col("lon").alias("lon_v"), F.col("lat").alias("lat_v"))
-    at = edges.join(u, "u").join(v, "v").withColumn("_g", linestring(F.col("geometry")))
+    edges, nodes = mapped(edges), mapped(nodes)
+    u = nodes.select("map_id", F.col("node_id").alias("u"), F.col("lon").alias("lon_u"), F.col("lat").alias("lat_u"))
+    v = nodes.select("map_id", F.col("node_id").alias("v"), F.col("lon").alias("lon_v"), F.col("lat").alias("lat_v"))
+    at = edges.join(u, ["map_id", "u"]).join(v, ["map_id", "v"]).withColumn("_g", linestring(F.col("geometry")))
     pts = oriented(F.col("_g"), *[F.col(c) for c in ("lon_u", "lat_u", "lon_v", "lat_v")])
     return at.select(*edges.columns, pts.alias("points"))
 
@@ -273,20 +332,21 @@ def route_geometry(paths: DataFrame, edges: DataFrame, nodes: DataFrame) -> Data
 
     A path of one node gives that node as its only vertex.
     """
-    keys = ["start", "goal"]
+    keys = ["map_id", "start", "goal"]
+    paths, nodes = mapped(paths), mapped(nodes)
     best = edge_points(shortest_edges(edges), nodes)
     hops = paths.filter(F.size("path") > 1).select(
         *keys, F.posexplode(F.arrays_zip(
             F.slice("path", F.lit(1), F.size("path") - 1).alias("u"), F.slice("path", F.lit(2), F.size("path") - 1).alias("v"))).alias("hop", "e"))
-    hops = hops.select(*keys, "hop", "e.u", "e.v").join(best, ["u", "v"])
+    hops = hops.select(*keys, "hop", "e.u", "e.v").join(best, ["map_id", "u", "v"])
     tail = F.when(F.col("hop") == 0, F.col("points")).otherwise(F.slice("points", F.lit(2), F.size("points") - 1))
     joined = hops.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("hop", tail.alias("points"), "length_m"))).alias("_h"))
     lines = joined.select(
         *keys, F.flatten(F.transform("_h", lambda h: h["points"])).alias("points"),
         F.aggregate("_h", F.lit(0.0), lambda a, h: a + h["length_m"]).alias("distance_m"))
-    place = nodes.select(F.col("node_id").alias("start"), "lon", "lat")
-    single = paths.filter(F.size("path") == 1).join(place, "start").select(
+    place = nodes.select("map_id", F.col("node_id").alias("start"), "lon", "lat")
+    single = paths.filter(F.size("path") == 1).join(place, ["map_id", "start"]).select(
         *keys, F.array(F.struct("lon", "lat")).cast(POINTS).alias("points"), F.lit(0.0).alias("distance_m"))
     return lines.withColumn("points", F.col("points").cast(POINTS)).unionByName(single)
 
@@ -302,7 +362,7 @@ def route_records(trips: DataFrame, edges: DataFrame, nodes: DataFrame, max_snap
     wanted = ends.filter("_a AND _b")
     paths = cut(shortest_paths(wanted, edges, nodes))
     lines = route_geometry(paths, edges, nodes)
-    out = ends.join(lines.withColumn("_found", F.lit(True)), ["start", "goal"], "left")
+    out = ends.join(lines.withColumn("_found", F.lit(True)), ["map_id", "start", "goal"], "left")
     c = F.col
     reason = (
         F.when(~F.coalesce("_a", F.lit(False)), "start_out_of_bounds").when(~F.coalesce("_b", F.lit(False)), "goal_out_of_bounds")
@@ -328,7 +388,7 @@ def route_records(trips: DataFrame, edges: DataFrame, nodes: DataFrame, max_snap
 
 def suggested_pair(nodes: DataFrame, scc: DataFrame) -> DataFrame:
     """Per map: the southernmost (then westernmost) node of the largest strong part, and the node farthest from it."""
-    at = nodes.join(scc, "node_id")
+    at = mapped(nodes).join(mapped(scc), ["map_id", "node_id"])
     size = at.groupBy("map_id", "scc").agg(F.count(F.lit(1)).alias("n"), F.min("node_ord").alias("first"))
     big = size.groupBy("map_id").agg(F.max_by("scc", F.struct("n", -F.col("first"))).alias("scc"))
     inside = at.join(big, ["map_id", "scc"])

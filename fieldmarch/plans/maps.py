@@ -118,12 +118,12 @@ def _sample(spark: SparkSession, d: str, limit: int) -> DataFrame:
     SELECT node_id, c FROM lab UNION SELECT x.b, min(g.c) FROM grow g JOIN (SELECT u AS a, v AS b FROM edges UNION SELECT v, u FROM edges) x ON x.a=g.node_id
       JOIN recurring.grow o ON o.node_id=x.b WHERE g.c<o.c GROUP BY x.b) SELECT node_id, c AS component FROM grow""")
 def graph_wcc(spark, d):
-    return graph.weak_components(T.nodes(spark, d), T.edges(spark, d))
+    return graph.weak_components(T.nodes(spark, d), T.edges(spark, d)).select("node_id", "component")
 
 
 @query("graph_scc")
 def graph_scc(spark, d):
-    return graph.strong_components(T.nodes(spark, d), T.edges(spark, d))
+    return graph.strong_components(T.nodes(spark, d), T.edges(spark, d)).select("node_id", "scc")
 
 
 @query("suggested_points")
@@ -136,7 +136,7 @@ def suggested_points(spark, d):
 def shortest_path(spark, d):
     req = T.requests(spark, d)
     paths = graph.shortest_paths(req, T.edges(spark, d), T.nodes(spark, d))
-    out = req.join(paths, ["start", "goal"], "left")
+    out = req.join(paths, ["map_id", "start", "goal"], "left")
     return out.select("req_id", "start", "goal", F.round("distance_m", 3).alias("distance_m"), F.col("distance_m").isNull().alias("no_path"))
 
 

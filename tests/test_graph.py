@@ -56,7 +56,7 @@ def dijkstra(links, start):
 def test_shortest_paths(spark, world):
     place, links, nodes, edges = world
     pairs = [(s, g) for s in (0, 7, 46) for g in range(60)]
-    req = spark.createDataFrame(pairs, "start long, goal long")
+    req = spark.createDataFrame([(0, *p) for p in pairs], "map_id long, start long, goal long")
     paths = graph.cut(graph.shortest_paths(req, edges, nodes))
     got = {(r.start, r.goal): r for r in paths.collect()}
     short = {}
@@ -148,3 +148,22 @@ def test_route_records_reasons(spark, world):
     assert [got[i].reason for i in range(1, 6)] == [None, "start_out_of_bounds", "goal_out_of_bounds", "no_path", None]
     assert got[1].distance_m == round(dijkstra(links, 0)[7], 1)
     assert got[5].distance_m == 0 and len(got[5].points) == 1
+
+
+def test_maps_with_equal_ids_of_any_type(spark):
+    """Two maps use the ids 1..3; only the first has a way from 1 to 3."""
+    for kind in ("long", "string"):
+        cast = int if kind == "long" else str
+        at = [(m, cast(i), i, 127 + i * 0.001 + m, 37.5) for m in (0, 1) for i in (1, 2, 3)]
+        nodes = spark.createDataFrame(at, f"map_id int, node_id {kind}, node_ord long, lon double, lat double")
+        rows = [(0, 0, cast(1), cast(2), 0, 90.0, None), (0, 1, cast(2), cast(3), 0, 90.0, None), (1, 0, cast(2), cast(1), 0, 50.0, None), (1, 1, cast(1), cast(2), 0, 50.0, None)]
+        edges = spark.createDataFrame(rows, f"map_id int, edge_ord long, u {kind}, v {kind}, key long, length_m double, geometry string")
+        part = lambda df, name: {(r.map_id, int(r.node_id)): int(r[name]) for r in df.collect()}
+        assert part(graph.weak_components(nodes, edges), "component") == {(0, 1): 1, (0, 2): 1, (0, 3): 1, (1, 1): 1, (1, 2): 1, (1, 3): 3}
+        assert part(graph.strong_components(nodes, edges), "scc") == {(0, 1): 1, (0, 2): 2, (0, 3): 3, (1, 1): 1, (1, 2): 1, (1, 3): 3}
+        req = spark.createDataFrame([(m, cast(1), cast(3)) for m in (0, 1)], f"map_id int, start {kind}, goal {kind}")
+        paths = graph.cut(graph.shortest_paths(req, edges, nodes))
+        assert [(r.map_id, r.distance_m, [int(x) for x in r.path]) for r in paths.collect()] == [(0, 180.0, [1, 2, 3])]
+        assert [(r.map_id, r.distance_m, len(r.points)) for r in graph.route_geometry(paths, edges, nodes).collect()] == [(0, 180.0, 3)]
+        trips = spark.createDataFrame([(m, m, 127.001 + m, 37.5, 127.003 + m, 37.5) for m in (0, 1)], "req_id long, map_id int, lon double, lat double, to_lon double, to_lat double")
+        assert {r.req_id: (r.reason, r.distance_m) for r in graph.route_records(trips, edges, nodes).collect()} == {0: (None, 180.0), 1: ("no_path", None)}
