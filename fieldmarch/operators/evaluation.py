@@ -39,24 +39,47 @@ def confusion(df: DataFrame, expected: str, actual: str, labels: list[str]) -> D
     return every.join(counts, expected, "left").fillna(0)
 
 
+#: Slices of a group's range of values; a group's rank is looked for in one of them.
+SLICES = 4096
+
+
+def at_rank(df: DataFrame, keys: list[str], value: str, *ranks: Column) -> DataFrame:
+    """``keys, n, min_v, max_v, v0, v1, ...``: the values at given ranks (from 0, as functions of ``n``) of each sorted group.
+
+    A group is first counted in slices of its range, then only the slices that hold a rank are counted by value, so no task sees more
+    than a slice's distinct values of a group. NULL values do not count.
+    """
+    stat = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min_v"), F.max(value).alias("max_v"))
+    wanted = stat.withColumn("_rank", F.explode(F.array_distinct(F.array(*[r.cast("bigint") for r in ranks])))).filter("_rank >= 0 AND _rank < n")
+    share = (F.col(value) - F.col("min_v")) / F.nullif(F.col("max_v") - F.col("min_v"), F.lit(0))
+    part = F.coalesce(F.least(F.floor(share * SLICES), F.lit(SLICES - 1)), F.lit(0)).cast("int")
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value).join(stat, keys).select(*keys, value, part.alias("_part"))
+    upto = Window.partitionBy(*keys).orderBy("_part")
+    slices = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(upto))
+    held = slices.join(wanted.select(*keys, "_rank"), keys).filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
+    held = held.select(*keys, "_part", "_rank", (F.col("_upto") - F.col("_c")).alias("_before"))
+    inner = Window.partitionBy(*keys, "_part").orderBy(value)
+    values = rows.join(held.select(*keys, "_part").distinct(), [*keys, "_part"], "left_semi").groupBy(*keys, "_part", value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = values.withColumn("_in", F.sum("_c").over(inner)).join(held, [*keys, "_part"]).filter(F.col("_before") + F.col("_in") > F.col("_rank"))
+    found = ranked.groupBy(*keys, "_rank").agg(F.min(value).alias("_v"))
+    out = stat
+    for i, rank in enumerate(ranks):
+        own = found.select(*keys, F.col("_rank").alias(f"_r{i}"), F.col("_v").alias(f"v{i}"))
+        out = out.withColumn(f"_r{i}", rank.cast("bigint")).join(own, [*keys, f"_r{i}"], "left").drop(f"_r{i}")
+    return out
+
+
 def latency(df: DataFrame, keys: list[str], seconds: str, error: str, budget: float = LATENCY_BUDGET_S) -> DataFrame:
     """Max, exact median and errors; the budget is judged on the worst, not on the median."""
-    return df.groupBy(*keys).agg(
-        F.max(seconds).alias("max_s"), F.median(seconds).alias("median_s"), F.count_if(error).alias("errors"),
-        (F.max(seconds) <= budget).alias("within_budget"))
+    n = F.col("n")
+    middle = at_rank(df, keys, seconds, F.floor((n - 1) / 2), F.floor(n / 2)).select(*keys, ((F.col("v0") + F.col("v1")) / 2).alias("median_s"))
+    worst = df.groupBy(*keys).agg(F.max(seconds).alias("max_s"), F.count_if(error).alias("errors"), (F.max(seconds) <= budget).alias("within_budget"))
+    return worst.join(middle, keys)
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``sorted[n // 2]`` of each group from counts of distinct values, so no group is gathered whole.
-
-    Equal values are counted on the map side; the running count is a window over distinct values.
-    """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.min(value).alias("min_v"), F.max(value).alias("max_v"))
-    upto = Window.partitionBy(*keys).orderBy(value)
-    ranked = counts.withColumn("_upto", F.sum("_n").over(upto)).join(total, keys)
-    hit = ranked.filter(F.col("_upto") > F.floor(F.col("_all") / 2))
-    return hit.groupBy(*keys).agg(F.min(value).alias("upper_median"), F.first("min_v").alias("min_v"), F.first("max_v").alias("max_v"))
+    """``sorted[n // 2]`` of each group, with its extremes."""
+    return at_rank(df, keys, value, F.floor(F.col("n") / 2)).select(*keys, F.col("v0").alias("upper_median"), "min_v", "max_v")
 
 
 def step_max(df: DataFrame, run: str, steps: str) -> DataFrame:
