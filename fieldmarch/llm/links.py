@@ -75,19 +75,27 @@ def verify(pairs: DataFrame, texts: DataFrame, sets_of: Callable, percent: int)
     )
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, own = None, None
+        own = np.zeros(0, np.uint64)
         for batch in batches:
-            pivot, part, role, cls = (batch.column(c).to_numpy() for c in ("pivot", "part", "role", "cls"))
+            if not batch.num_rows:
+                continue
+            pivot, role, cls = (batch.column(c).to_numpy() for c in ("pivot", "role", "cls"))
             values, first = sets_of(batch.column("text"))
+            size = np.diff(first)
             found = []
-            for i in range(batch.num_rows):
-                mine = values[first[i] : first[i + 1]]
-                if role[i] == 0:
-                    group, own = (pivot[i], part[i]), mine.copy()
-                elif own is not None and group == (pivot[i], part[i]):
-                    both = len(np.intersect1d(own, mine, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(mine) - both):
-                        found.append(i)
+            # members follow their pivot, which may be in the batch before
+            heads = np.flatnonzero(role == 0)
+            for head, stop in zip([-1, *heads], [*heads, len(role)], strict=True):
+                if head >= 0:
+                    own = values[first[head] : first[head + 1]].copy()
+                a = head + 1
+                if a < stop and len(own):
+                    mine = values[first[a] : first[stop]]
+                    hit = own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine
+                    seen = np.concatenate([[0], np.cumsum(hit)])
+                    both = seen[first[a + 1 : stop + 1] - first[a]] - seen[first[a:stop] - first[a]]
+                    found.append(a + np.flatnonzero(100 * both >= percent * (len(own) + size[a:stop] - both)))
+            found = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.record_batch([pa.array(pivot[found]), pa.array(cls[found])], names=["a", "b"])
 
     return rows.mapInArrow(check, "a long, b long").distinct()
@@ -114,13 +122,14 @@ def _own_shingles(texts: DataFrame, sets_of: Callable) -> DataFrame:
     return texts.mapInArrow(measure, "cls long, size long").join(own, "cls", "left").select("cls", "size", F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def join_classes(members: DataFrame, distance: Callable[[str, str], Column], most: int, texts_of: Callable[[DataFrame], DataFrame], sets_of: Callable, percent: int) -> DataFrame:
+def join_classes(members: DataFrame, distance: Callable[[str, str], Column], most: int, met: Callable[[str, str, Column], Column], texts_of: Callable[[DataFrame], DataFrame], sets_of: Callable, percent: int) -> DataFrame:
     """Roots of linked classes: ``members(cls, keys, ...)`` to ``(cls, root)``; classes without a link are left out.
 
     ``distance(a, b)`` compares the signature columns of two aliases of ``members``; only pairs within ``most`` are tested.
+    ``met(a, b, at)`` says whether two classes share a key before the one at position ``at``, so a pair is met once.
     ``texts_of(wanted)`` gives ``(cls, text)`` of the wanted classes.
     """
-    keys = members.select("cls", F.explode("keys").alias("key"))
+    keys = members.select("cls", F.posexplode("keys").alias("at", "key"))
     shared = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).filter("pivot < other").select("key", "pivot")
     held = cut(keys.join(shared, "key"))
     marks = [c for c in members.columns if c != "keys"]
@@ -133,7 +142,7 @@ def join_classes(members: DataFrame, distance: Callable[[str, str], Column], mos
     tested = cut(star.filter(distance("a", "b") <= most).select("pivot", F.col("leaf").alias("cls")))
     linked = cut(verify(tested, texts, sets_of, percent))
     roots = components(linked)
-    keyed = held.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    keyed = held.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "at", "cls", F.coalesce("root", "cls").alias("root"))
     sizes = keyed.groupBy("key", "root").count()
     ruling = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("ruler"), F.count("*").alias("parts")).filter("parts > 1")
     open_keys = keyed.join(ruling.select("key", "ruler"), "key")
@@ -145,8 +154,8 @@ def join_classes(members: DataFrame, distance: Callable[[str, str], Column], mos
     possible = 100 * common >= percent * (F.col("x.size") + F.col("y.size") - common)
     far = distance("x", "y")
     near = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & possible & (far <= most))
-        .select(F.col("x.cls").alias("pivot"), F.col("y.cls").alias("cls"), far.alias("far")).distinct()
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & possible & (far <= most) & ~met("x", "y", F.col("x.at")))
+        .select(F.col("x.cls").alias("pivot"), F.col("y.cls").alias("cls"), far.alias("far"))
     )
     both = tested.union(tested.select("cls", "pivot"))
     near = cut(near.join(both, ["pivot", "cls"], "left_anti"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,17 +60,26 @@ def _keys() -> Column:
     return F.array(*keys)
 
 
+def _unlike(a: str, b: str, name: str) -> Column:
+    """Symbols in which one chunk of two signatures differs."""
+    x = F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
+    for shift in (8, 4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+
+
 def _distance(a: str, b: str) -> Column:
     """Symbols in which two signatures differ."""
-    total = None
-    ones = F.lit(0x0001000100010001)
-    for name in SIGNATURE:
-        x = F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
-        for shift in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        n = F.bit_count(x.bitwiseAND(ones))
-        total = n if total is None else total + n
-    return total
+    return reduce(lambda x, y: x + y, [_unlike(a, b, name) for name in SIGNATURE])
+
+
+def _met(a: str, b: str, at: Column) -> Column:
+    """Whether a chunk before that of key ``at`` has one unlike symbol at most, or this one has none and the key is not its first."""
+    before = F.lit(False)
+    for c, name in enumerate(SIGNATURE):
+        n = _unlike(a, b, name)
+        before = before | ((at >= (c + 1) * SYMBOLS) & (n <= ERRORS)) | ((at > c * SYMBOLS) & (at < (c + 1) * SYMBOLS) & (n == 0))
+    return before
 
 
 def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -103,7 +113,7 @@ def near_copies(docs: DataFrame, words: int = 4, percent: int = 80, doc_id: str
         rows = classes.select("cls", "row").join(wanted, "cls", "left_semi").hint("shuffle_hash")
         return source.select("row", "text").join(rows, "row").select("cls", "text")
 
-    roots = join_classes(classes.select("cls", _keys().alias("keys"), *SIGNATURE), _distance, MOST, texts_of, _sets_of(words), percent)
+    roots = join_classes(classes.select("cls", _keys().alias("keys"), *SIGNATURE), _distance, MOST, _met, texts_of, _sets_of(words), percent)
     rooted = classes.select("cls", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("cls", "component_id")
