@@ -28,8 +28,8 @@ ORDER = 3
 #: Mass kept back at a state, by the length of its sequence.
 KEPT_BACK = {1: 200.0, 2: 4.0}
 ADDED = 0.1
-BLOCK_BYTES = 8 << 20
-RANGE_GRAMS = 2_000_000
+BLOCK_BYTES = 4 << 20
+RANGE_GRAMS = 1_500_000
 _BEGIN, _END = mix(np.array([0xB0, 0xE0], np.uint64))
 _STEP = np.uint64(0xA0761D6478BD642F)
 _TAG = np.uint64(3)
@@ -86,19 +86,22 @@ class Walk:
 
 def _asked(walk: Walk) -> tuple[np.ndarray, list[np.ndarray]]:
     """Sorted distinct n-grams of a block, and for each order the index of each place's n-gram (-1: none)."""
-    places = [walk.known(k) for k in range(1, len(walk.grams) + 1)]
-    distinct, back = np.unique(np.concatenate([g[p] for g, p in zip(walk.grams, places, strict=True)]), return_inverse=True)
-    index, start = [], 0
-    for p in places:
-        at = np.full(len(walk.place), -1)
-        at[p] = back[start : start + len(p)]
+    own, index = [], []
+    for k, grams in enumerate(walk.grams, 1):  # an order at a time, to hold less at once
+        p = walk.known(k)
+        distinct, back = np.unique(grams[p], return_inverse=True)
+        at = np.full(len(walk.place), -1, np.int32)
+        at[p] = back
+        own.append(distinct)
         index.append(at)
-        start += len(p)
-    return distinct, index
+    every = np.sort(np.concatenate(own))
+    for distinct, at in zip(own, index, strict=True):
+        at[at >= 0] = np.searchsorted(every, distinct).astype(np.int32)[at[at >= 0]]
+    return every, index
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """Blocks of about 8 MB of whole documents, compressed: ``block, ids, held, texts``."""
+    """Blocks of about 4 MB of whole documents, compressed: ``block, ids, held, texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
