@@ -16,6 +16,8 @@ HEADLINES = [
     "nearest_poi", "segments", "graph_wcc", "graph_scc", "route_progress", "route_deviation", "sun_times", "return_deadline",
     "normalize_text", "route_utterance", "token_estimate", "device_state_text", "card_render",
     "intent_guard", "polish_guard", "eval_score", "latency_budget", "stage_latency", "acceptance", "energy_per_query", "co_rise",
+    "line_kinds", "trail_status", "shortest_path", "route_geometry", "route_record", "suggested_points", "overlay_cascade",
+    "collapse_repeats", "rule_match",
 ]
 
 

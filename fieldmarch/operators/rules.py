@@ -8,7 +8,7 @@ per list, so routing is a stateless projection without shuffle, and texts are sc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..columns import settle
 from ..functions.text import any_of, apply_lexicon, normalize_utterance
@@ -117,17 +117,24 @@ def cascade(df: DataFrame, text: str, pending: str, base: dict, overlay: dict, l
     return settle(df, decision=F.when(use, over).otherwise(F.col("_base")), stage=stage).drop("_fixed", "_base", "_over")
 
 
+#: Rules that travel together; each text meets each block of them once.
+RULE_BLOCK = 500
+
+
 def match_table(utterances: DataFrame, rules: DataFrame, text: str) -> DataFrame:
-    """Every (utterance, rule) pair that matches, for rules kept as rows.
+    """Every (utterance, rule) pair that matches, for rules kept as rows ``rule_id, patterns, excludes``.
 
-    ``rules`` has ``rule_id, patterns, excludes``. A rule table is small by nature; it is collected
-    as one row of settings and exploded beside each text, so nothing is shuffled or joined in pairs.
+    Rules are a stated set, held against all texts in blocks of 500: an equality join on the block's number. The plan has the same
+    size for any number of rules, and what a text is joined with is bounded by the block.
     """
-    rows = rules.orderBy("rule_id").collect()
-    if len(rows) > 5000:
-        raise ValueError("a rule table of this size needs an index, not a scan")
-    out = [F.when(_hit({"patterns": r["patterns"], "exclude_patterns": r["excludes"]}, F.col(text)), F.lit(r["rule_id"])) for r in rows]
-    return utterances.withColumn("rule_id", F.explode(F.array_compact(F.array(*out))))
+    blocks = max(1, -(-rules.count() // RULE_BLOCK))
+    place = F.floor((F.row_number().over(Window.orderBy("rule_id")) - 1) / RULE_BLOCK).cast("int")
+    packed = rules.withColumn("_block", place).groupBy("_block").agg(F.collect_list(F.struct("rule_id", "patterns", "excludes")).alias("_rules"))
+    dealt = utterances.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "_block")
+    found = lambda patterns: F.exists(patterns, lambda p: F.coalesce(F.regexp_like(F.col(text), p), F.lit(False)))
+    none = F.array().cast("array<string>")
+    hits = F.filter("_rules", lambda r: found(F.coalesce(r["patterns"], none)) & ~found(F.coalesce(r["excludes"], none)))
+    return dealt.withColumn("rule_id", F.explode(F.transform(hits, lambda r: r["rule_id"]))).drop("_block", "_rules")
 
 
 def cards_for(df: DataFrame, cards: DataFrame, scenario: str) -> DataFrame:

@@ -49,13 +49,14 @@ T.define("frames", ["ev"], """SELECT event_id, device_id, boot_id, t_s, event_ty
 
 
 def csv_lines(spark: SparkSession, d: str) -> DataFrame:
-    """CSV frames as devices send them; every 23rd event's checksum has a flipped bit."""
+    """CSV frames as devices send them; every 23rd event's checksum has a flipped bit, every 29th line a letter that is not ASCII."""
     f = frame_fields(spark, d)
     line = S.frame_csv([F.col(c) for c in S.CSV_FIELDS])
     f = settle(f, line=line)
     flipped = F.conv(F.substring_index("line", "*", -1), 16, 10).cast("int").bitwiseXOR(F.lit(1))
     broken = F.concat(F.substring_index("line", "*", 1), F.lit("*"), hex_upper(flipped, 2))
-    f = f.withColumn("line", F.when(F.col("event_id") % 23 == 0, broken).otherwise(F.col("line")))
+    foreign = F.concat(F.substring_index("line", "*", 1), F.lit("\ufffd*"), F.substring_index("line", "*", -1))
+    f = f.withColumn("line", F.when(F.col("event_id") % 23 == 0, broken).when(F.col("event_id") % 29 == 0, foreign).otherwise(F.col("line")))
     return f.select("event_id", "device_id", "boot_id", F.col("t_s").alias("recv_s"), "line")
 
 
@@ -76,7 +77,9 @@ def event_lines(spark: SparkSession, d: str) -> DataFrame:
     e = settle(e, payload=payload)
     payload = c("payload")
     line = (
-        F.when(payload.isNotNull(), F.when(c("event_id") % 19 == 0, payload).otherwise(S.frame_json(payload)))
+        F.when(payload.isNotNull(), F.when(c("event_id") % 19 == 0, payload).when(
+            # changed after it was signed, beside a letter that no checksum covers
+            c("event_id") % 31 == 0, F.regexp_replace(S.frame_json(payload), r'^\{"v":1,', '{"v":1,"note":"\uac00",')).otherwise(S.frame_json(payload)))
         .when(c("event_type") == "purchase", '{"event":"hello"}').otherwise("boot ok")
     )
     return settle(e, line=line).select("event_id", "device_id", "boot_id", c("t_s").alias("recv_s"), "line")
@@ -86,7 +89,7 @@ def raw_lines(spark: SparkSession, d: str) -> DataFrame:
     return csv_lines(spark, d).unionByName(event_lines(spark, d))
 
 
-CSV_REASON_SQL = """CASE WHEN event_id%23=0 THEN 'checksum_mismatch'
+CSV_REASON_SQL = """CASE WHEN event_id%23=0 OR event_id%29=0 THEN 'checksum_mismatch'
     WHEN dht_valid=1 AND (hum_x10>1000 OR temp_x10<-450) THEN 'environment_range' END"""
 T.define("lines", ["frames"], f"""SELECT event_id, device_id, 'csv' AS form, t_s AS recv_s, seq, uptime_ms,
       {CSV_REASON_SQL} AS reason, CASE WHEN ({CSV_REASON_SQL}) IS NULL THEN 'telemetry' ELSE 'rejected' END AS kind FROM frames
@@ -94,6 +97,7 @@ T.define("lines", ["frames"], f"""SELECT event_id, device_id, 'csv' AS form, t_s
       CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN event_type='click' THEN 'button' WHEN event_type='view' THEN 'output'
         WHEN event_type='signup' THEN 'power' ELSE 'ignored' END FROM (SELECT *, CASE WHEN event_type='error' THEN 'not_json'
         WHEN event_type<>'purchase' AND event_id%19=0 THEN 'crc_missing'
+        WHEN event_type<>'purchase' AND event_id%31=0 THEN 'crc_mismatch'
         WHEN event_type='click' AND event_id%2=1 AND floor(value*100)>3600000 THEN 'held_range'
         WHEN event_type='view' AND event_id%2=1 THEN 'level_active_conflict'
         WHEN event_type='view' AND event_id%3000+50<100 THEN 'watchdog_range'

@@ -43,7 +43,7 @@ def fixes(spark: SparkSession, d: str) -> DataFrame:
         (lat / F.lit(1e7)).alias("lat"), (lon / F.lit(1e7)).alias("lon"),
         F.when(F.col("event_id") % 7 != 0, (F.col("event_id") % 40).cast("double")).alias("acc_m"),
         (F.col("event_id") % 21).alias("satellites"),
-        (F.col("event_type") != "error").alias("fix"),
+        (F.col("event_type") != "error").alias("fix"), "value",
     )
 
 
