@@ -121,18 +121,31 @@ def graph_wcc(spark, d):
     return graph.weak_components(T.nodes(spark, d), T.edges(spark, d)).select("node_id", "component")
 
 
-@query("graph_scc")
+#: Strong parts by plain reachability; feasible where the twin runs, on small tables.
+SCC_SQL = T.ctes("edges") + """, steps AS (SELECT DISTINCT u, v FROM edges), reach(s, t) AS (SELECT node_id, node_id FROM nodes
+    UNION SELECT r.s, e.v FROM reach r JOIN steps e ON e.u=r.t), parts AS (SELECT a.s AS node_id, min(a.t) AS scc FROM reach a JOIN reach b ON a.s=b.t AND a.t=b.s GROUP BY a.s)"""
+
+
+@query("graph_scc", SCC_SQL + " SELECT node_id, scc FROM parts")
 def graph_scc(spark, d):
     return graph.strong_components(T.nodes(spark, d), T.edges(spark, d)).select("node_id", "scc")
 
 
-@query("suggested_points")
+@query("suggested_points", SCC_SQL + f""", inside AS (SELECT n.*, b.scc FROM nodes n JOIN parts p USING (node_id) JOIN (
+      SELECT map_id, scc FROM (SELECT map_id, scc, row_number() OVER (PARTITION BY map_id ORDER BY count(*) DESC, min(node_ord)) AS r
+        FROM nodes JOIN parts USING (node_id) GROUP BY map_id, scc) WHERE r=1) b ON b.map_id=n.map_id AND b.scc=p.scc),
+    here AS (SELECT map_id, node_id AS start, lon AS lon_s, lat AS lat_s FROM (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY lat, lon, node_ord) AS r FROM inside) WHERE r=1)
+    SELECT map_id, start, node_id AS goal FROM (SELECT map_id, start, node_id, row_number() OVER (PARTITION BY map_id ORDER BY {H('lon_s', 'lat_s', 'lon', 'lat')} DESC, node_ord) AS r
+      FROM inside JOIN here USING (map_id)) WHERE r=1""")
 def suggested_points(spark, d):
     n = T.nodes(spark, d)
     return graph.suggested_pair(n, graph.strong_components(n, T.edges(spark, d)))
 
 
-@query("shortest_path")
+@query("shortest_path", T.ctes("edges", "requests") + """, steps AS (SELECT u, v, min(length_m) AS w FROM edges GROUP BY u, v),
+    best(s, t, d) USING KEY (s, t) AS (SELECT DISTINCT start, start, CAST(0 AS DOUBLE) FROM requests
+      UNION SELECT p.s, e.v, min(p.d+e.w) FROM best p JOIN steps e ON e.u=p.t LEFT JOIN recurring.best o ON o.s=p.s AND o.t=e.v WHERE o.d IS NULL OR p.d+e.w<o.d GROUP BY p.s, e.v)
+    SELECT req_id, start, goal, round(d,3) AS distance_m, d IS NULL AS no_path FROM requests LEFT JOIN best ON s=start AND t=goal""")
 def shortest_path(spark, d):
     req = T.requests(spark, d)
     paths = graph.shortest_paths(req, T.edges(spark, d), T.nodes(spark, d))
