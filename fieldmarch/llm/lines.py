@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmarch.session import cut, discard
@@ -128,11 +127,11 @@ def fuzzy_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         by_row = spots.groupBy("row").agg(F.collect_list("spot").alias("wanted"))
         return source.select("row", "text").join(by_row.hint("shuffle_hash"), "row").mapInArrow(_pick, "cls long, text string")
 
-    def met(a: str, b: str, at: Column) -> Column:
-        return reduce(lambda x, y: x | y, [(at > i) & (F.col(f"{a}.k{i}") == F.col(f"{b}.k{i}")) for i in range(BANDS)])
+    def share(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return (others == own).any(axis=1)
 
     bands = [F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(BANDS)]
-    roots = join_classes(classes.select("cls", "keys", *bands), lambda a, b: F.lit(0), 0, met, texts_of, _sets_of, percent)
+    roots = join_classes(classes.select("cls", "keys", *bands), lambda a, b: F.lit(True), share, texts_of, _sets_of, percent)
     rooted = classes.select("cls", "first").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     named = rooted.join(best, "root").select("cls", "best")

@@ -2,10 +2,9 @@
 
 Items are classes (numbered ``cls``); a class has keys, and any two classes that may be alike share one. Candidates of a key form a star
 around its smallest class; they are verified exactly on their texts and merged by distributed union-find. Only keys that still hold
-several components are looked at again, and only classes outside a key's largest component look for partners there: each takes its
-nearest untested partners in other components, more in every round, until none is left. Pairs are left out beforehand only where a link
-is impossible: shingles that no other open class has cannot be shared, which bounds the intersection. So a key shared by a third of all
-rows costs one test a row, and no pair that could join two components stays untested.
+several components are looked at again: their classes outside the largest component, the stragglers, are dealt in blocks and meet the
+members of that component and one another, and what may be alike is verified inside the task. So a key shared by a third of all rows costs
+one test a row and one look a straggler and row, no pair is ever written down unless it is a link, and none is left out.
 """
 
 from __future__ import annotations
@@ -14,12 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmarch.session import cut, discard
 
 MEMBERS_A_GROUP = 64
+STRAGGLERS_A_PART = 512
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -101,86 +101,79 @@ def verify(pairs: DataFrame, texts: DataFrame, sets_of: Callable, percent: int)
     return rows.mapInArrow(check, "a long, b long").distinct()
 
 
-def _own_shingles(texts: DataFrame, sets_of: Callable) -> DataFrame:
-    """For each class its set's size and how many of its shingles no other class of ``texts`` has: ``(cls, size, own)``."""
+def _settle(rows: DataFrame, marks: list[str], may: Callable[[np.ndarray, np.ndarray], np.ndarray], sets_of: Callable, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between roots from ``rows(group, part, role, cls, root, text, *marks)``: stragglers (role 0), then whom they meet."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mine, found = None, [], set()
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            group, part, role, root = (batch.column(c).to_numpy() for c in ("group", "part", "role", "root"))
+            mark = np.stack([batch.column(m).to_numpy() for m in marks], axis=1)
             values, first = sets_of(batch.column("text"))
-            cls = np.repeat(batch.column("cls").to_numpy(), np.diff(first))
-            distinct, at, counts = np.unique(values, return_index=True, return_counts=True)
-            # a shingle of several texts of this batch is settled here and needs no owner
-            yield pa.record_batch([pa.array(distinct.view(np.int64)), pa.array(cls[at]), pa.array(counts)], names=["h", "cls", "n"])
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, first = sets_of(batch.column("text"))
-            yield pa.record_batch([batch.column("cls"), pa.array(np.diff(first))], names=["cls", "size"])
-
-    lone = texts.mapInArrow(emit, "h long, cls long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.first("cls").alias("cls")).filter("n = 1")
-    own = lone.groupBy("cls").agg(F.count("*").alias("own"))
-    return texts.mapInArrow(measure, "cls long, size long").join(own, "cls", "left").select("cls", "size", F.coalesce("own", F.lit(0)).alias("own"))
-
-
-def join_classes(members: DataFrame, distance: Callable[[str, str], Column], most: int, met: Callable[[str, str, Column], Column], texts_of: Callable[[DataFrame], DataFrame], sets_of: Callable, percent: int) -> DataFrame:
+            size, links = np.diff(first), []
+            edges = np.flatnonzero((group[1:] != group[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, len(role)], strict=True):
+                if at != (group[a], part[a]):
+                    at, mine, found = (group[a], part[a]), [], set()
+                if role[a] == 0:
+                    mine += [(root[i], mark[i], values[first[i] : first[i + 1]].copy()) for i in range(a, b)]
+                    continue
+                for own_root, own_mark, own in mine:
+                    fits = (root[a:b] != own_root) & (100 * np.minimum(size[a:b], len(own)) >= percent * np.maximum(size[a:b], len(own)))
+                    which = a + np.flatnonzero(fits)
+                    which = which[may(own_mark, mark[which])]
+                    # one link between two components is enough
+                    which = which[[(own_root, r) not in found for r in root[which].tolist()]] if len(which) else which
+                    if not len(which):
+                        continue
+                    runs = np.concatenate([[0], np.cumsum(size[which])])
+                    theirs = values[np.arange(runs[-1]) + np.repeat(first[which] - runs[:-1], size[which])]
+                    seen = np.concatenate([[0], np.cumsum(own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs)])
+                    both = seen[runs[1:]] - seen[runs[:-1]]
+                    for r in set(root[which[100 * both >= percent * (len(own) + size[which] - both)]].tolist()):
+                        found.add((own_root, r))
+                        links.append((own_root, r))
+            yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
+
+    order = ["group", "part", "role", "cls"]
+    return rows.repartition("group", "part").sortWithinPartitions(*order).mapInArrow(check, "a long, b long").distinct()
+
+
+def join_classes(members: DataFrame, near: Callable[[str, str], Column], may: Callable[[np.ndarray, np.ndarray], np.ndarray], texts_of: Callable[[DataFrame], DataFrame], sets_of: Callable, percent: int) -> DataFrame:
     """Roots of linked classes: ``members(cls, keys, ...)`` to ``(cls, root)``; classes without a link are left out.
 
-    ``distance(a, b)`` compares the signature columns of two aliases of ``members``; only pairs within ``most`` are tested.
-    ``met(a, b, at)`` says whether two classes share a key before the one at position ``at``, so a pair is met once.
-    ``texts_of(wanted)`` gives ``(cls, text)`` of the wanted classes.
+    The other columns of ``members`` are numbers that mark a class: ``near(a, b)`` tells from the marks of two aliases whether to test
+    them, and ``may`` the same from one row of marks and a matrix of others. ``texts_of(wanted)`` gives ``(cls, text)`` of the wanted.
     """
-    keys = members.select("cls", F.posexplode("keys").alias("at", "key"))
+    keys = members.select("cls", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).filter("pivot < other").select("key", "pivot")
     held = cut(keys.join(shared, "key"))
-    marks = [c for c in members.columns if c != "keys"]
+    marks = [c for c in members.columns if c not in ("cls", "keys")]
     texts = cut(texts_of(held.select("cls").distinct()))
-    sigs = cut(members.select(marks).join(held.select("cls").distinct(), "cls", "left_semi"))
+    sigs = cut(members.select("cls", *marks).join(held.select("cls").distinct(), "cls", "left_semi"))
 
     star = held.filter("cls <> pivot").select("pivot", "cls").distinct()
     a, b = sigs.alias("a"), sigs.alias("b")
     star = star.withColumnRenamed("cls", "leaf").join(a, F.col("pivot") == F.col("a.cls")).join(b, F.col("leaf") == F.col("b.cls"))
-    tested = cut(star.filter(distance("a", "b") <= most).select("pivot", F.col("leaf").alias("cls")))
-    linked = cut(verify(tested, texts, sets_of, percent))
+    linked = cut(verify(star.filter(near("a", "b")).select("pivot", F.col("leaf").alias("cls")), texts, sets_of, percent))
     roots = components(linked)
-    keyed = held.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "at", "cls", F.coalesce("root", "cls").alias("root"))
+    keyed = held.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     sizes = keyed.groupBy("key", "root").count()
-    ruling = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("ruler"), F.count("*").alias("parts")).filter("parts > 1")
-    open_keys = keyed.join(ruling.select("key", "ruler"), "key")
-    room = _own_shingles(texts.join(open_keys.select("cls").distinct(), "cls", "left_semi"), sets_of)
-    able = room.filter(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
-    live = cut(open_keys.join(able, "cls").join(sigs, "cls"))
-    x, y = live.filter("root <> ruler").alias("x"), live.alias("y")
-    common = F.least(F.col("x.size") - F.col("x.own"), F.col("y.size") - F.col("y.own"))
-    possible = 100 * common >= percent * (F.col("x.size") + F.col("y.size") - common)
-    far = distance("x", "y")
-    near = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & possible & (far <= most) & ~met("x", "y", F.col("x.at")))
-        .select(F.col("x.cls").alias("pivot"), F.col("y.cls").alias("cls"), far.alias("far"))
-    )
-    both = tested.union(tested.select("cls", "pivot"))
-    near = cut(near.join(both, ["pivot", "cls"], "left_anti"))
-    discard(live)
-    partners = 32
-    while True:
-        of_x = roots.select(F.col("node").alias("pivot"), F.col("root").alias("rx"))
-        of_y = roots.select(F.col("node").alias("cls"), F.col("root").alias("ry"))
-        apart = near.join(of_x, "pivot", "left").join(of_y, "cls", "left").withColumns({"rx": F.coalesce("rx", "pivot"), "ry": F.coalesce("ry", "cls")}).filter("rx <> ry")
-        nearest = Window.partitionBy("pivot").orderBy("far", "cls")
-        ranked = cut(apart.select("pivot", "cls", "far", "rx", "ry", F.row_number().over(nearest).alias("n")))
-        discard(near)
-        chosen = ranked.filter(F.col("n") <= partners)
-        if chosen.isEmpty():
-            discard(ranked)
-            break
-        fresh = cut(verify(chosen.select("pivot", "cls"), texts, sets_of, percent))
-        merged = components(fresh.join(chosen.select(F.col("pivot").alias("a"), F.col("cls").alias("b"), "rx", "ry"), ["a", "b"]).select(F.col("rx").alias("a"), F.col("ry").alias("b")))
-        near = cut(ranked.filter(F.col("n") > partners).select("pivot", "cls", "far"))
-        # roots that were lone classes until now have no row yet
-        more = cut(_compose(roots, merged).union(merged.join(roots, "node", "left_anti").select("node", "root")))
-        for old in (ranked, fresh, merged, roots):
-            discard(old)
-        roots = more
-        partners *= 32
-    for done in (tested, held, texts, sigs, linked):
+    ruling = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("group"), F.count("*").alias("parts")).filter("parts > 1")
+    stragglers = cut(keyed.join(ruling.select("key", "group"), "key").filter("root <> group").select("group", "cls", "root").distinct())
+    # a group is a ruling component and all stragglers of its keys; stragglers go to parts of a bounded size
+    parts = stragglers.groupBy("group").agg(F.ceil(F.count("*") / STRAGGLERS_A_PART).alias("parts"))
+    own = stragglers.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    ruled = keyed.select("cls", "root").distinct().join(parts.select(F.col("group").alias("root"), "parts"), "root")
+    met = ruled.select(F.col("root").alias("group"), "cls", "root", "parts").union(stragglers.join(parts, "group").select("group", "cls", "root", "parts"))
+    met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = own.select("group", "part", F.lit(0).alias("role"), "cls", "root").union(met.select("group", "part", F.lit(1), "cls", "root"))
+    found = cut(_settle(rows.join(sigs, "cls").join(texts, "cls").select("group", "part", "role", "cls", "root", "text", *marks), marks, may, sets_of, percent))
+    merged = components(found)
+    # roots that were lone classes until now have no row yet
+    out = cut(_compose(roots, merged).union(merged.join(roots, "node", "left_anti").select("node", "root")))
+    for done in (held, texts, sigs, linked, roots, stragglers, found, merged):
         discard(done)
-    return roots.select(F.col("node").alias("cls"), "root")
+    return out.select(F.col("node").alias("cls"), "root")

@@ -73,13 +73,10 @@ def _distance(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [_unlike(a, b, name) for name in SIGNATURE])
 
 
-def _met(a: str, b: str, at: Column) -> Column:
-    """Whether a chunk before that of key ``at`` has one unlike symbol at most, or this one has none and the key is not its first."""
-    before = F.lit(False)
-    for c, name in enumerate(SIGNATURE):
-        n = _unlike(a, b, name)
-        before = before | ((at >= (c + 1) * SYMBOLS) & (n <= ERRORS)) | ((at > c * SYMBOLS) & (at < (c + 1) * SYMBOLS) & (n == 0))
-    return before
+def _may(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the signatures ``others`` differ from ``own`` in MOST symbols at most."""
+    unlike = np.ascontiguousarray(others).view(np.uint16) != np.ascontiguousarray(own).view(np.uint16)
+    return unlike.sum(axis=1) <= MOST
 
 
 def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -113,7 +110,7 @@ def near_copies(docs: DataFrame, words: int = 4, percent: int = 80, doc_id: str
         rows = classes.select("cls", "row").join(wanted, "cls", "left_semi").hint("shuffle_hash")
         return source.select("row", "text").join(rows, "row").select("cls", "text")
 
-    roots = join_classes(classes.select("cls", _keys().alias("keys"), *SIGNATURE), _distance, MOST, _met, texts_of, _sets_of(words), percent)
+    roots = join_classes(classes.select("cls", _keys().alias("keys"), *SIGNATURE), lambda a, b: _distance(a, b) <= MOST, _may, texts_of, _sets_of(words), percent)
     rooted = classes.select("cls", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("cls", "component_id")
