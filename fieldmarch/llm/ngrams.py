@@ -28,7 +28,9 @@ ORDER = 3
 #: Mass kept back at a state, by the length of its sequence.
 KEPT_BACK = {1: 200.0, 2: 4.0}
 ADDED = 0.1
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: N-grams are told apart by so many bits, two of them for the order: fewer bytes to move, one in a million mistaken at 10**10 n-grams.
+HASH_BITS = 56
 RANGE_GRAMS = 1_500_000
 _BEGIN, _END = mix(np.array([0xB0, 0xE0], np.uint64))
 _STEP = np.uint64(0xA0761D6478BD642F)
@@ -71,12 +73,12 @@ class Walk:
         for k in range(1, order + 1):
             if k > 1:
                 longer = np.zeros_like(h)
-                longer[1:] = mix(self.grams[-1][:-1] * _STEP + steps[1:])
+                longer[1:] = mix(h[:-1] * _STEP + steps[1:])
                 h = longer
             tag = np.where(place >= k - 1, np.uint64(k), np.uint64(0))
             if k == 1:
                 tag = np.where(place > 0, np.uint64(1), np.uint64(0))
-            self.grams.append((h & ~_TAG) | tag)
+            self.grams.append((h >> np.uint64(64 - HASH_BITS) & ~_TAG) | tag)
         self.place = place
 
     def known(self, k: int) -> np.ndarray:
@@ -101,7 +103,7 @@ def _asked(walk: Walk) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """Blocks of about 4 MB of whole documents, compressed: ``block, ids, held, texts``."""
+    """Blocks of about 2 MB of whole documents, compressed: ``block, ids, held, texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -159,7 +161,7 @@ def score(docs: DataFrame, order: int = ORDER, kept_back: dict[int, float] = KEP
                 total = np.zeros(len(grams), np.int64)
                 for at in index:
                     total += np.bincount(at[taught & (at >= 0)], minlength=len(grams))
-                edges = np.searchsorted(grams, (np.arange((1 << bits) + 1, dtype=object) << (64 - bits))[:-1].astype(np.uint64)) if bits else np.zeros(1, np.int64)
+                edges = np.searchsorted(grams, (np.arange((1 << bits) + 1, dtype=object) << (HASH_BITS - bits))[:-1].astype(np.uint64)) if bits else np.zeros(1, np.int64)
                 edges = np.append(edges, len(grams))
                 full = np.flatnonzero(edges[:-1] < edges[1:])
                 yield pa.record_batch(
