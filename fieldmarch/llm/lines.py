@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmarch.session import cut, discard
@@ -15,9 +15,13 @@ from .links import join_classes
 from .words import fold, minima, mix, range_hashes, sets, signed, slices, text_buffers
 
 SHINGLE = 12
-BANDS = 12
-ROWS = 3
-#: Shorter lines say too little to be called copies of one another.
+BANDS = 22
+ROWS = 5
+#: Bits of a line's sketch, one a minimum; at the threshold 6 of them differ on average and over UNLIKE about once in a million.
+SKETCH = 64
+UNLIKE = 20
+#: So many lines have their minima in memory at a time.
+LINES_AT_ONCE = 1 << 14
 LEAST_CHARS = 20
 _BLANK = np.zeros(128, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -53,41 +57,66 @@ class Lines:
     def values(self) -> np.ndarray:
         return _CHAR[self.points & 0xFFFF] + (self.points >> 16).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
-    def shingles(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of 12 characters of the chosen lines, shorter lines whole, and where each line's begin."""
-        runs = np.where(self.size[rows] >= SHINGLE, self.size[rows] - SHINGLE + 1, np.minimum(self.size[rows], 1))
+    def shingles(self, rows: np.ndarray, chars: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of ``chars`` characters of the chosen lines, shorter lines whole, and where each line's begin."""
+        runs = np.where(self.size[rows] >= chars, self.size[rows] - chars + 1, np.minimum(self.size[rows], 1))
         first = np.concatenate([[0], np.cumsum(runs)])
         start = np.arange(first[-1]) + np.repeat(self.start[rows] - first[:-1], runs)
-        return range_hashes(self.values(), start, np.minimum(start + SHINGLE, np.repeat(self.stop[rows], runs))), first
+        return range_hashes(self.values(), start, np.minimum(start + chars, np.repeat(self.stop[rows], runs))), first
 
 
-def _sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _sets_of(chars: int):
     """Sets of shingles of texts that are single lines."""
-    lines = Lines(texts)
-    return sets(*lines.shingles(np.flatnonzero(lines.number == 0)))
 
-
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
-            lines = Lines(part.column("text"))
-            rows = np.flatnonzero(lines.size >= LEAST_CHARS)
-            cls = range_hashes(lines.values(), lines.start[rows], lines.stop[rows]) if len(rows) else np.zeros(0, np.uint64)
-            # lines that repeat in this slice need one signature
-            _, once = np.unique(cls, return_index=True)
-            once.sort()
-            values, first = lines.shingles(rows[once])
-            low = minima(values, first, BANDS * ROWS, seed=2).reshape(-1, BANDS, ROWS)
-            # bands meet by all their minima and their own number
-            keys = np.stack([fold(low[:, b].ravel() + np.tile(np.arange(ROWS, dtype=np.uint64), len(once)), np.arange(len(once) + 1) * ROWS) + np.uint64(b) for b in range(BANDS)], axis=1)
-            filled = np.zeros(len(rows), np.int64)
-            filled[once] = BANDS
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled)]), pa.int32()), pa.array(signed(keys.ravel())))
-            at = lines.text[rows]
-            yield pa.record_batch(
-                [part.column("doc_id").take(pa.array(at)), part.column("row").take(pa.array(at)), pa.array(lines.number[rows]), pa.array(signed(cls)), lists],
-                names=["doc_id", "row", "line", "cls", "keys"],
-            )
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lines = Lines(texts)
+        return sets(*lines.shingles(np.flatnonzero(lines.number == 0), chars))
+
+    return run
+
+
+def _marks(lines: Lines, rows: np.ndarray, chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all bands, number of distinct shingles and sketch of each chosen line."""
+    keys, size, sketch = np.zeros((len(rows), BANDS), np.uint64), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.uint64)
+    for a in range(0, len(rows), LINES_AT_ONCE):
+        at = slice(a, min(len(rows), a + LINES_AT_ONCE))
+        values, first = lines.shingles(rows[at], chars)
+        size[at] = np.diff(sets(values, first)[1])
+        low = minima(values, first, BANDS * ROWS, seed=2)
+        bits = mix(low[:, :SKETCH]) >> np.uint64(63)
+        sketch[at] = (bits << np.arange(SKETCH, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        low, each = low.reshape(-1, BANDS, ROWS), np.arange(len(first)) * ROWS
+        # bands meet by all their minima and their own number
+        for b in range(BANDS):
+            keys[at, b] = fold(low[:, b].ravel() + np.tile(np.arange(ROWS, dtype=np.uint64), len(low)), each) + np.uint64(b)
+    return keys, size, sketch
+
+
+def _signatures(chars: int, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                lines = Lines(part.column("text"))
+                rows = np.flatnonzero(lines.size >= least)
+                cls = range_hashes(lines.values(), lines.start[rows], lines.stop[rows]) if len(rows) else np.zeros(0, np.uint64)
+                # lines that repeat in this slice need one signature
+                _, once = np.unique(cls, return_index=True)
+                once.sort()
+                keys, size, sketch = _marks(lines, rows[once], chars)
+                filled, sizes, sketches = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.uint64)
+                filled[once], sizes[once], sketches[once] = BANDS, size, sketch
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled)]), pa.int32()), pa.array(signed(keys.ravel())))
+                at = lines.text[rows]
+                none = filled == 0
+                yield pa.record_batch(
+                    [
+                        part.column("doc_id").take(pa.array(at)), part.column("row").take(pa.array(at)), pa.array(lines.number[rows]), pa.array(signed(cls)), lists,
+                        pa.array(sizes, mask=none), pa.array(signed(sketches), mask=none),
+                    ],
+                    names=["doc_id", "row", "line", "cls", "keys", "size", "sketch"],
+                )
+
+    return run
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,31 +136,36 @@ def _source(docs: DataFrame) -> DataFrame:
     return source.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def fuzzy_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Every line of 20 characters or more: ``doc_id, row, line, first_doc_id, first_line, kept``.
+def fuzzy_lines(docs: DataFrame, percent: int = 80, chars: int = SHINGLE, least: int = LEAST_CHARS) -> DataFrame:
+    """Every line of ``least`` characters or more: ``doc_id, row, line, first_doc_id, first_line, kept``.
 
     Lines end at a line feed and count from 0; white space at their ends and the case of A-Z do not matter. Lines are linked when their
-    sets of 12-character shingles have a Jaccard similarity of ``percent`` or more. Of each component the line of the smallest document
-    and number stays; the others name it. Shorter and blank lines are never copies and are not listed; nulls and empty texts have no
-    lines. Null ids come last and can keep a line. Rows that repeat id and text are one document (``row`` is the number of both).
+    sets of shingles of ``chars`` characters have a Jaccard similarity of ``percent`` or more; a line of fewer characters is one shingle.
+    Of each component the line of the smallest document and number stays; the others name it. Shorter and blank lines are never copies
+    and are not listed; nulls and empty texts have no lines. Null ids come last and can keep a line. Rows that repeat id and text are one
+    document (``row`` is the number of both). Long shingles link only long lines: one changed character spoils ``chars`` of them.
 
-    12 bands of 3 minima find 99.98 % of pairs at the threshold itself, and more above it; equal lines are one class before that.
+    22 bands of 5 minima find 99.98 % of pairs at the threshold itself, and more above it; equal lines are one class before that.
+    Candidates are tested if their numbers of shingles and their sketches allow the similarity.
     """
     source = _source(docs)
-    found = cut(source.mapInArrow(_signatures, "doc_id long, row long, line long, cls long, keys array<long>"))
+    found = cut(source.mapInArrow(_signatures(chars, least), "doc_id long, row long, line long, cls long, keys array<long>, size long, sketch long"))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order"), "row", "line", "doc_id")
-    classes = cut(found.groupBy("cls").agg(F.min(place).alias("first"), F.max("keys").alias("keys")))
+    classes = cut(found.groupBy("cls").agg(F.min(place).alias("first"), F.max("keys").alias("keys"), F.max("size").alias("size"), F.max("sketch").alias("sketch")))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         spots = classes.join(wanted, "cls", "left_semi").select(F.col("first.row").alias("row"), F.struct(F.col("first.line").alias("line"), "cls").alias("spot"))
         by_row = spots.groupBy("row").agg(F.collect_list("spot").alias("wanted"))
         return source.select("row", "text").join(by_row.hint("shuffle_hash"), "row").mapInArrow(_pick, "cls long, text string")
 
-    def share(own: np.ndarray, others: np.ndarray) -> np.ndarray:
-        return (others == own).any(axis=1)
+    def near(a: str, b: str) -> Column:
+        x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+        return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= UNLIKE)
+
+    def may(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((others[:, 1] ^ own[1]).view(np.uint64)) <= UNLIKE
 
-    bands = [F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(BANDS)]
-    roots = join_classes(classes.select("cls", "keys", *bands), lambda a, b: F.lit(True), share, texts_of, _sets_of, percent)
+    roots = join_classes(classes.select("cls", "keys", "size", "sketch"), near, may, texts_of, _sets_of(chars), percent)
     rooted = classes.select("cls", "first").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     named = rooted.join(best, "root").select("cls", "best")
@@ -147,13 +181,13 @@ def fuzzy_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     return out
 
 
-def drop_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, percent: int = 80, chars: int = SHINGLE, least: int = LEAST_CHARS) -> DataFrame:
     """``docs`` without the lines that ``fuzzy_lines`` does not keep; documents that had words and keep none are left out.
 
     Texts without such lines stay as they are, to the byte. ``n_chars`` follows the text where the table has it.
     """
     row, own, gone, emptied = (f"__lines_{x}" for x in ("row", "own", "gone", "emptied"))
-    dropped = fuzzy_lines(docs, percent).filter("not kept").groupBy(F.col("row").alias(own)).agg(F.collect_set("line").alias(gone))
+    dropped = fuzzy_lines(docs, percent, chars, least).filter("not kept").groupBy(F.col("row").alias(own)).agg(F.collect_set("line").alias(gone))
     marked = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     joined = marked.join(dropped.hint("shuffle_hash"), F.col(row) == F.col(own), "left")
     lines = F.split("text", "\n", -1)

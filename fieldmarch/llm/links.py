@@ -148,18 +148,21 @@ def join_classes(members: DataFrame, near: Callable[[str, str], Column], may: Ca
     them, and ``may`` the same from one row of marks and a matrix of others. ``texts_of(wanted)`` gives ``(cls, text)`` of the wanted.
     """
     keys = members.select("cls", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).filter("pivot < other").select("key", "pivot")
-    held = cut(keys.join(shared, "key"))
+    shared = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other"), F.count("*").alias("members")).filter("pivot < other")
+    held = cut(keys.join(shared.select("key", "pivot", "members"), "key"))
     marks = [c for c in members.columns if c not in ("cls", "keys")]
-    texts = cut(texts_of(held.select("cls").distinct()))
     sigs = cut(members.select("cls", *marks).join(held.select("cls").distinct(), "cls", "left_semi"))
 
     star = held.filter("cls <> pivot").select("pivot", "cls").distinct()
     a, b = sigs.alias("a"), sigs.alias("b")
     star = star.withColumnRenamed("cls", "leaf").join(a, F.col("pivot") == F.col("a.cls")).join(b, F.col("leaf") == F.col("b.cls"))
-    linked = cut(verify(star.filter(near("a", "b")).select("pivot", F.col("leaf").alias("cls")), texts, sets_of, percent))
+    star = cut(star.filter(near("a", "b")).select("pivot", F.col("leaf").alias("cls")))
+    # a key of two classes is settled by its star
+    crowd = held.filter("members > 2")
+    texts = cut(texts_of(star.select("pivot").union(star.select("cls")).union(crowd.select("cls")).toDF("cls").distinct()))
+    linked = cut(verify(star, texts, sets_of, percent))
     roots = components(linked)
-    keyed = held.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    keyed = crowd.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     sizes = keyed.groupBy("key", "root").count()
     ruling = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("group"), F.count("*").alias("parts")).filter("parts > 1")
     stragglers = cut(keyed.join(ruling.select("key", "group"), "key").filter("root <> group").select("group", "cls", "root").distinct())
@@ -174,6 +177,6 @@ def join_classes(members: DataFrame, near: Callable[[str, str], Column], may: Ca
     merged = components(found)
     # roots that were lone classes until now have no row yet
     out = cut(_compose(roots, merged).union(merged.join(roots, "node", "left_anti").select("node", "root")))
-    for done in (held, texts, sigs, linked, roots, stragglers, found, merged):
+    for done in (held, star, texts, sigs, linked, roots, stragglers, found, merged):
         discard(done)
     return out.select(F.col("node").alias("cls"), "root")

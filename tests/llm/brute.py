@@ -47,3 +47,31 @@ def near_copies(rows, k, percent):
     return sorted(
         [(d, len(sets[i]), least.get(root(i)), d is not None and d == least.get(root(i))) for i, (d, _) in enumerate(rows)], key=repr
     )
+
+
+def like_lines(rows, chars, least, percent=80):
+    """rows: (id, text); id, line, first id, first line and kept of each line of ``least`` characters or more, all pairs compared."""
+    found = []
+    for d, t in rows:
+        for n, x in enumerate((t or "").split("\n")):
+            x = lower(x).strip(" \t\n\x0b\x0c\r")
+            if len(x) >= max(1, least):
+                found.append((d, n, frozenset(x[i : i + chars] for i in range(max(1, len(x) - chars + 1)))))
+    parent = list(range(len(found)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in range(len(found)):
+        for b in range(a):
+            x, y = found[a][2], found[b][2]
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
+                parent[root(a)] = root(b)
+    order = lambda i: (found[i][0] is None, found[i][0] or 0, found[i][1])
+    best = {}
+    for i in range(len(found)):
+        if root(i) not in best or order(i) < order(best[root(i)]):
+            best[root(i)] = i
+    return sorted([(d, n, *found[best[root(i)]][:2], best[root(i)] == i) for i, (d, n, _) in enumerate(found)], key=repr)

@@ -2,7 +2,7 @@
 
 import random
 
-from fieldmarch.llm import lines
+from fieldmarch.llm import lines, queries
 
 from . import brute
 
@@ -69,3 +69,33 @@ def test_against_all_pairs(spark):
     left = lines.drop_repeated_lines(df)
     assert left.columns == df.columns
     assert sorted([(r.doc_id, r.text) for r in left.collect()], key=repr) == sorted(want, key=repr)
+
+
+def edited_pairs(seed):
+    """Lines of 40 to 150 characters, each with a copy that has one word or one character changed in the middle."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(2, 9)))
+    for i in range(240):
+        words, size = [], rng.randrange(40, 150)
+        while len(" ".join(words)) < size:
+            words.append(word())
+        line, copy = " ".join(words), list(words)
+        if i % 2:
+            copy[len(copy) // 2] = word()
+            yield line, " ".join(copy)
+        else:
+            at = len(line) // 2
+            yield line, f"{line[:at]}*{line[at + 1 :]}"
+
+
+def test_edits_of_ordinary_lines_as_the_query_runs_it(spark, tmp_path):
+    pairs = list(edited_pairs(5))
+    five = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    alike = [100 * len(five(a) & five(b)) >= 80 * len(five(a) | five(b)) for a, b in pairs]
+    missed_at_12 = [x and 100 * len(shingle_set(a) & shingle_set(b)) < 80 * len(shingle_set(a) | shingle_set(b)) for x, (a, b) in zip(alike, pairs, strict=True)]
+    assert sum(missed_at_12) > 40
+    rows = [(2 * i + j, line) for i, pair in enumerate(pairs) for j, line in enumerate(pair)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.first_doc_id, r.kept) for r in queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    for i, linked in enumerate(alike):
+        assert got[2 * i + 1] == ((2 * i, False) if linked else (2 * i + 1, True)), pairs[i]
