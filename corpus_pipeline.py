@@ -18,8 +18,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each group of like lines stays; documents left without a word go. Five-character shingles, similarity 0.8."""
-    return lines.drop_repeated_lines(docs, chars=5)
+    """One line of each group of like lines stays; documents left without a word go. All lines, five-character shingles, similarity 0.8."""
+    return lines.drop_repeated_lines(docs, chars=5, least=1)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def fuzzy_lines(docs: DataFrame, percent: int = 80, chars: int = SHINGLE, least: int = LEAST_CHARS) -> DataFrame:
-    """Every line of ``least`` characters or more: ``doc_id, row, line, first_doc_id, first_line, kept``.
+    """Every line of ``least`` characters or more, with 1 every line that is not blank: ``doc_id, row, line, first_doc_id, first_line, kept``.
 
     Lines end at a line feed and count from 0; white space at their ends and the case of A-Z do not matter. Lines are linked when their
     sets of shingles of ``chars`` characters have a Jaccard similarity of ``percent`` or more; a line of fewer characters is one shingle.

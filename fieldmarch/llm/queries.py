@@ -51,8 +51,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of 20 characters or more with the line that stands for it: shingles of 5 characters, similarity 0.8."""
-    return lines.fuzzy_lines(_table(spark, sf_dir, "documents"), chars=5).drop("row")
+    """Every line that is not blank with the line that stands for it: shingles of 5 characters, similarity 0.8."""
+    return lines.fuzzy_lines(_table(spark, sf_dir, "documents"), chars=5, least=1).drop("row")
 
 
 @_query

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from fieldmarch.llm import lines, queries
 
 from . import brute
@@ -99,3 +100,20 @@ def test_edits_of_ordinary_lines_as_the_query_runs_it(spark, tmp_path):
     got = {r.doc_id: (r.first_doc_id, r.kept) for r in queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
     for i, linked in enumerate(alike):
         assert got[2 * i + 1] == ((2 * i, False) if linked else (2 * i + 1, True)), pairs[i]
+
+
+def test_short_lines_as_the_query_runs_it(spark, tmp_path):
+    rows = [(0, "Home\nx\n  \n" + "a line of ordinary length, to be kept\nok"), (1, "home \n\n\tHOME\nX"), (2, "\n \n"), (3, None), (4, "OK\nmenu"), (None, "menu\nno"), (5, "-")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()
+    assert sorted([(r.doc_id, r.line, r.first_doc_id, r.first_line, r.kept) for r in got], key=repr) == brute.like_lines(rows, 5, 1)
+    assert len(got) == 12 and sum(not r.kept for r in got) == 5
+    left = {r.doc_id: r.text for r in corpus_pipeline.remove_repeated_lines(spark, df, str(tmp_path)).collect()}
+    assert left == {0: rows[0][1], 2: "\n \n", 3: None, 4: "menu", None: "no", 5: "-"}
+
+
+def test_given_lines_at_the_query_measure(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = queries.QUERIES["op8_line_dedup"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted([(r.doc_id, r.line, r.first_doc_id, r.first_line, r.kept) for r in got], key=repr) == brute.like_lines(rows, 5, 1)
