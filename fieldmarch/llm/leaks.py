@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .words import Words, shingles, slices
 
 SEED_WORDS = 3
-SEED_SPACING = 3
+#: Shorter items have seeds of one word less: few runs of three words survive an edit there.
+SHORT_ITEM = 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items are a query set: so many characters of them are held at a time, whatever their number.
 BLOCK_CHARS = 8_000_000
@@ -20,31 +21,27 @@ FILTER_BITS = 20
 
 
 class Items:
-    """A block of benchmark items as word hashes, with n-grams and, once counted, their seeds."""
+    """A block of benchmark items as word hashes, with all their n-grams as seeds in order."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         words = Words(pa.array(texts, pa.large_string()))
-        grams, first = shingles(words, SEED_WORDS)
         self.ids = ids
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        self.grams = [grams[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        self.known = np.unique(grams)
-        #: lengths of n-grams to look for: shorter ones only if some item is that short
-        self.sizes = sorted({min(len(w), SEED_WORDS) for w in self.words} - {0})
-        self.seeds = self.owner = self.place = None
-
-    def choose_seeds(self, frequency: np.ndarray) -> None:
-        """Of every ``SEED_SPACING`` neighbouring n-grams of an item the one in the fewest documents: rare for the item, however common it is."""
+        self.length = words.count
+        short = words.count < SHORT_ITEM
         seeds, owner, place = [], [], []
-        for i, grams in enumerate(self.grams):
-            df = frequency[np.searchsorted(self.known, grams)]
-            for a in range(0, len(grams), SEED_SPACING):
-                at = a + int(np.argmin(df[a : a + SEED_SPACING]))
-                seeds.append(grams[at])
-                owner.append(i)
-                place.append(at)
-        order = np.argsort(np.array(seeds, np.uint64), kind="stable")
-        self.seeds, self.owner, self.place = np.array(seeds, np.uint64)[order], np.array(owner, np.int64)[order], np.array(place, np.int64)[order]
+        for size, chosen in ((SEED_WORDS - 1, short), (SEED_WORDS, ~short)):
+            grams, first = shingles(words, size)
+            item = np.repeat(np.arange(len(ids)), np.diff(first))
+            mine = chosen[item]
+            seeds.append(grams[mine])
+            owner.append(item[mine])
+            place.append((np.arange(len(grams)) - first[item])[mine])
+        seeds, owner, place = np.concatenate(seeds), np.concatenate(owner), np.concatenate(place)
+        order = np.argsort(seeds, kind="stable")
+        self.seeds, self.owner, self.place = seeds[order], owner[order], place[order]
+        #: lengths of n-grams to look for: shorter ones only if some item is that short
+        self.sizes = sorted({min(n, SEED_WORDS - (n < SHORT_ITEM)) for n in words.count.tolist()} - {0})
 
 
 def _mask(hashes: np.ndarray) -> np.ndarray:
@@ -84,7 +81,7 @@ def _document_hits(words: np.ndarray, spots: np.ndarray, grams: np.ndarray, item
     item, diagonal = items.owner[which], at - items.place[which]
     order = np.lexsort((diagonal, item))
     item, diagonal = item[order], diagonal[order]
-    reach = np.array([len(items.words[i]) for i in item]) // 2 + 8
+    reach = items.length[item] // 2 + 8
     fresh = np.ones(len(item), bool)
     fresh[1:] = (item[1:] != item[:-1]) | (np.diff(diagonal) > reach[1:])
     bounds = [*np.flatnonzero(fresh), len(item)]
@@ -112,6 +109,8 @@ def _hits(texts: pa.Array, items: Items, mask: np.ndarray, threshold: float) ->
         grams, first = shingles(words, size)
         spots = _found(grams, items.seeds, mask)
         row = np.searchsorted(first, spots, side="right") - 1
+        # a text of fewer words is looked up whole under its own size
+        spots, row = spots[words.count[row] >= size], row[words.count[row] >= size]
         for r in np.unique(row):
             mine = spots[row == r] - first[r]
             yield from ((r, *hit) for hit in _document_hits(words.hash[words.first[r] : words.first[r + 1]], mine, grams[first[r] : first[r + 1]], items, threshold))
@@ -131,34 +130,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-def _seeded(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Iterator:
-    """Broadcast blocks whose seeds are chosen by how many documents hold each n-gram of the block."""
+def _seeded(spark: SparkSession, benchmark: DataFrame) -> Iterator:
+    """Broadcast blocks of items that have seeds."""
     for items in _blocks(benchmark):
-        if not len(items.known):
-            continue
-        known = spark.sparkContext.broadcast(items.known)
-
-        def count(batches: Iterator[pa.RecordBatch], known=known, sizes=tuple(items.sizes)) -> Iterator[pa.RecordBatch]:
-            mask, total = _mask(known.value), np.zeros(len(known.value), np.int64)
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    words = Words(part.column("text"))
-                    for size in sizes:
-                        grams, first = shingles(words, size)
-                        spots = _found(grams, known.value, mask)
-                        row = np.searchsorted(first, spots, side="right") - 1
-                        which = np.searchsorted(known.value, grams[spots])
-                        once = np.unique(row * len(known.value) + which)
-                        total += np.bincount(once % len(known.value), minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["gram", "n"])
-
-        frequency = np.zeros(len(items.known), np.int64)
-        # at most one row an n-gram of the block
-        for r in docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            frequency[r.gram] = r.n
-        items.choose_seeds(frequency)
-        yield spark.sparkContext.broadcast(items)
+        if len(items.seeds):
+            yield spark.sparkContext.broadcast(items)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -166,13 +142,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) ->
 
     Words are compared lower-cased (A-Z). ``score`` is the local alignment score over the score of the whole item, 1 for a verbatim copy;
     a quarter of the words replaced gives about 0.62. A row for each document and item with ``score >= threshold``, at the best passage.
+    Every run of 3 words of an item, of 2 in items under 16 words, is a seed: a passage is scored if one of them stayed as it was.
     Null or empty texts on either side give no rows; null ids are carried through; items of fewer than 3 words have one seed, all their
     words. Repeated rows give repeated rows. Other columns are not read.
     """
     spark, out = docs.sparkSession, None
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, score double, first_word long, last_word long"
-    for block in _seeded(spark, source, benchmark):
+    for block in _seeded(spark, benchmark):
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             items = block.value
@@ -192,7 +169,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) ->
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, judged where they are read: nothing is shuffled."""
     spark = docs.sparkSession
-    for block in _seeded(spark, docs, benchmark):
+    for block in _seeded(spark, benchmark):
 
         def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             mask = _mask(block.value.seeds)

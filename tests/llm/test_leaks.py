@@ -65,3 +65,34 @@ def test_given_documents(spark):
     items = [(r.item_id, " ".join(brute.words(r.text))) for r in bench.collect()]
     verbatim = {(r.doc_id, i) for r in df.collect() for i, t in items if f" {t} " in f" {' '.join(brute.words(r.text))} "}
     assert verbatim and found >= verbatim and all(r.score > 0.9 for r in leaks.find_leaks(df, bench).collect())
+
+
+def test_recall_against_full_alignment(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items = [(i, [word() for _ in range(rng.choice([5, 8, 12, 16, 16, 20, 24, 30]))]) for i in range(120)]
+    docs, want = [], set()
+    for d in range(3600):
+        i, own = items[d % len(items)]
+        copy = list(own)
+        for k in rng.sample(range(len(own)), round(len(own) * rng.choice([0.25, 0.3, 0.33]))):
+            copy[k] = f"e{rng.random()}"
+        words = [word() for _ in range(20)] + copy + [word() for _ in range(20)]
+        docs.append((d, " ".join(words)))
+        number = {w: n for n, w in enumerate(dict.fromkeys(own + words))}
+        if leaks.align(np.array([number[w] for w in own]), np.array([number[w] for w in words]))[0] >= len(own):
+            want.add((d, i))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = [(r.doc_id, r.item_id) for r in leaks.find_leaks(df, bench).collect()]
+    assert len(want) > 2500 and len(found) == len(set(found))
+    missed = want - set(found)
+    assert len(missed) <= 0.002 * len(want), (len(missed), len(want))
+    kept = {r.doc_id for r in leaks.drop_leaks(df, bench).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in found}
+
+
+def test_short_texts_are_found_once(spark):
+    df = spark.createDataFrame([(1, "only two"), (2, "one")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "only two"), (8, "a long item " + "of many words " * 6), (9, "one")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in leaks.find_leaks(df, bench).collect()) == [(1, 7), (2, 9)]
