@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldmarch.session import cut, discard
 
-from .links import join_classes
+from .links import join_classes, one_of_each
 from .words import fold, minima, mix, range_hashes, sets, signed, slices, text_buffers
 
 SHINGLE = 12
@@ -184,11 +184,13 @@ def fuzzy_lines(docs: DataFrame, percent: int = 80, chars: int = SHINGLE, least:
 def drop_repeated_lines(docs: DataFrame, percent: int = 80, chars: int = SHINGLE, least: int = LEAST_CHARS) -> DataFrame:
     """``docs`` without the lines that ``fuzzy_lines`` does not keep; documents that had words and keep none are left out.
 
-    Texts without such lines stay as they are, to the byte. ``n_chars`` follows the text where the table has it.
+    Of rows that repeat id and text one stays, if the text has words. Texts without such lines stay as they are, to the byte. ``n_chars``
+    follows the text where the table has it.
     """
     row, own, gone, emptied = (f"__lines_{x}" for x in ("row", "own", "gone", "emptied"))
     dropped = fuzzy_lines(docs, percent, chars, least).filter("not kept").groupBy(F.col("row").alias(own)).agg(F.collect_set("line").alias(gone))
     marked = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    marked = one_of_each(marked, row, marked.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).groupBy(row).count())
     joined = marked.join(dropped.hint("shuffle_hash"), F.col(row) == F.col(own), "left")
     lines = F.split("text", "\n", -1)
     numbers = F.sequence(F.lit(0), F.size(lines) - 1)

@@ -180,3 +180,12 @@ def join_classes(members: DataFrame, near: Callable[[str, str], Column], may: Ca
     for done in (held, star, texts, sigs, linked, roots, stragglers, found, merged):
         discard(done)
     return out.select(F.col("node").alias("cls"), "root")
+
+
+def one_of_each(rows: DataFrame, number: str, counts: DataFrame) -> DataFrame:
+    """``rows`` with one row left of those that share a ``number`` which ``counts(number, count)`` has more than once.
+
+    Only repeated rows are grouped, with a combine before the shuffle, so a row repeated by the million is no large task.
+    """
+    many = cut(counts.filter("count > 1").select(number))
+    return rows.join(many, number, "left_anti").unionByName(rows.join(many, number, "left_semi").dropDuplicates([number]))

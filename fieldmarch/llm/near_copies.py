@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldmarch.session import cut, discard
 
-from .links import join_classes
+from .links import join_classes, one_of_each
 from .words import Words, fold, minima, mix, sets, shingles, signed, slices
 
 CHUNKS = 9
@@ -98,6 +98,11 @@ def near_copies(docs: DataFrame, words: int = 4, percent: int = 80, doc_id: str
     Null ids: such rows take part, but a component without any id has a null ``component_id`` and keeps none. Rows that repeat an id
     are rows of their own and share its fate. Other columns are not read, so their names cannot clash.
     """
+    return _grouped(docs, words, percent, doc_id, text).drop("root")
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Rows of ``near_copies`` with ``root``, a number of the component; null for rows without words."""
     source = _source(docs, doc_id, text)
     marks = ", ".join(f"{s} long" for s in SIGNATURE)
     signed_rows = cut(source.mapInArrow(_signatures(words), f"doc_id long, row long, n_shingles long, cls long, {marks}"))
@@ -113,10 +118,10 @@ def near_copies(docs: DataFrame, words: int = 4, percent: int = 80, doc_id: str
     roots = join_classes(classes.select("cls", _keys().alias("keys"), *SIGNATURE), lambda a, b: _distance(a, b) <= MOST, _may, texts_of, _sets_of(words), percent)
     rooted = classes.select("cls", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("cls", "component_id")
+    named = rooted.join(least, "root").select("cls", "root", "component_id")
     out = cut(
         signed_rows.select("doc_id", "row", "n_shingles", "cls").join(named, "cls", "left")
-        .select("doc_id", "row", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        .select("doc_id", "row", "n_shingles", "root", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
     for table in (signed_rows, classes):
@@ -125,11 +130,16 @@ def near_copies(docs: DataFrame, words: int = 4, percent: int = 80, doc_id: str
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay when each group of near copies keeps its document of the smallest id; rows without words stay.
+    """The rows of ``docs`` that stay when each group of near copies keeps one row of its smallest id; rows without words stay.
 
-    A row without an id goes if any of its group has one.
+    A row without an id goes if any of its group has one, or else all but one go. Of rows that tie on the id the one with the smallest
+    number of id and text stays, and of rows that repeat both any one.
     """
-    found = near_copies(docs, words, percent)
-    gone = found.filter("not kept and component_id is not null").select("row").distinct()
-    marked = docs.withColumn("near_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    return marked.join(gone, marked["near_row"] == gone["row"], "left_anti").drop("near_row")
+    found = _grouped(docs, words, percent, "doc_id", "text").filter("root is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    kept = found.groupBy("root").agg(F.min(order)["row"].alias("kept_row"))
+    gone = found.select("root", "row").distinct().join(kept, "root").filter("row <> kept_row").select(F.col("row").alias("gone_row"))
+    near_row = "__near_row"
+    marked = docs.withColumn(near_row, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    left = marked.join(gone, marked[near_row] == gone["gone_row"], "left_anti")
+    return one_of_each(left, near_row, found.groupBy(F.col("row").alias(near_row)).count()).select(*docs.columns)

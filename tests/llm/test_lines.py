@@ -117,3 +117,12 @@ def test_given_lines_at_the_query_measure(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = queries.QUERIES["op8_line_dedup"](spark, "/root/testdata/sf0.001").collect()
     assert sorted([(r.doc_id, r.line, r.first_doc_id, r.first_line, r.kept) for r in got], key=repr) == brute.like_lines(rows, 5, 1)
+
+
+def test_repeated_rows_stay_once(spark):
+    text = "first line of the text\nsecond line, which is another"
+    rows = [(1, text)] * 20 + [(None, text + " one of no id at all")] * 5 + [(2, " \n")] * 2 + [(3, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    left = lines.drop_repeated_lines(df, chars=5, least=1)
+    assert left.columns == df.columns
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([(1, text), (None, "second line, which is another one of no id at all"), *rows[-4:]], key=repr)

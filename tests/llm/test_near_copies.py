@@ -55,3 +55,18 @@ def test_given_documents(spark):
     rows = duckdb.execute("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert got(near_copies.near_copies(df)) == brute.near_copies(rows, 4, 80)
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    rows = [(1, text("a"), "x")] * 40 + [(1, text("a").replace("a30 ", "z "), "y"), (3, text("a"), "x")]
+    rows += [(None, text("b"), "x")] * 30 + [(None, text("b").replace("b30 ", "z "), "y")]
+    rows += [(None, text("c"), "x"), (8, text("c"), "y"), (9, text("d"), "x"), (9, text("e"), "x"), (None, None, "x"), (None, None, "x"), (5, " ", "x"), (5, " ", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    left = [tuple(r) for r in near_copies.drop_near_copies(df, 5).collect()]
+    first = lambda i: [(d, (t or "").split(" ")[0]) for d, t, _ in left if d == i]
+    assert first(1) == [(1, "a0")] and first(3) == [] and first(8) == [(8, "c0")] and sorted(first(9)) == [(9, "d0"), (9, "e0")]
+    assert sorted(first(None)) == [(None, ""), (None, ""), (None, "b0")] and len(first(5)) == 2 and len(left) == 9
+    assert set(left) <= set(rows)
+    assert near_copies.near_copies(df).columns == ["doc_id", "row", "n_shingles", "component_id", "kept"]
+    assert near_copies.drop_near_copies(df.limit(0), 5).collect() == []
