@@ -41,6 +41,8 @@ _NAMED = re.compile(
     r"pagination|pager|toolbar|masthead|topbar|skip|widget\w*|tags|copyright|legal)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names that say what a wrapper has or lacks, not what it is.
+_MODIFIER = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|sticky)[_-]\S*", re.IGNORECASE)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
@@ -61,17 +63,56 @@ class Block:
     label: str = ""
 
 
-def _unwanted(name: str, attributes: str, inside: bool) -> bool:
-    """Whether the element says of itself that it is no part of the article."""
+def _unwanted(name: str, attributes: str, inside: bool) -> str:
+    """Whether the element says of itself that it is no part of the article: "sure", or "named" if only its class or id does."""
     if name in BOILERPLATE or (name == "header" and not inside):
-        return True
+        return "sure"
+    said = ""
     for key, value in _ATTRIBUTE.findall(attributes):
         value, key = value.strip("\"'").lower(), key.lower()
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and _NAMED.search(value):
-            return True
+        if key in ("class", "id") and name not in ("html", "body", "article", "main") and _NAMED.search(_MODIFIER.sub("", value)):
+            said = "named"
         if (key == "role" and value in _ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            return "sure"
+    return said
+
+
+class _Named:
+    """Elements that only their class or id calls unwanted, and which of them hold the article all the same."""
+
+    def __init__(self) -> None:
+        self.outer: list[int] = []
+        self.anchors: list[tuple[str, int]] = []
+
+    def open(self, outer: int) -> int:
+        self.outer.append(outer)
+        return len(self.outer) - 1
+
+    def rejected(self, sizes: list[tuple[int, int]]) -> list[bool]:
+        """Which elements stay unwanted, from (innermost element or -1, length) of the blocks that nothing else rejects.
+
+        An element is the article's if it encloses a ``main``, or else ``article``, or else ``h1``, and none of that kind stands free of
+        such elements; or if it encloses most of the text and no ``main`` or ``article`` stands free. Cards and comments that are
+        articles of their own beside the free one do not count.
+        """
+        size, holds = [0] * len(self.outer), [False] * len(self.outer)
+        for at, n in sizes:
+            if at >= 0:
+                size[at] += n
+        best = next((k for k in ("main", "article", "h1") if any(kind == k for kind, _ in self.anchors)), "")
+        free = {kind for kind, at in self.anchors if at < 0}
+        for kind, at in self.anchors:
+            if at >= 0 and kind == best and best not in free:
+                holds[at] = True
+        for i in range(len(self.outer) - 1, -1, -1):
+            if self.outer[i] >= 0:
+                size[self.outer[i]] += size[i]
+                holds[self.outer[i]] |= holds[i]
+        total, bad = sum(n for _, n in sizes), []
+        for i, outer in enumerate(self.outer):
+            most = 2 * size[i] > total and not free & {"main", "article"}
+            bad.append(not (holds[i] or most) or (outer >= 0 and bad[outer]))
+        return bad
 
 
 def blocks(page: str) -> list[Block]:
@@ -79,16 +120,19 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    in_link = unwanted = 0
+    in_link = 0
     heading = False
     inside = section = 0
-    skip: list[str] = []  # open elements from the outermost unwanted one inwards
+    skip: list[tuple[str, str, int]] = []  # open elements from the outermost unwanted one inwards: name, why unwanted, innermost named one
+    sure = 0
+    named, within = _Named(), []
     at = 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, len(" ".join(html.unescape("".join(linked)).split())), heading, inside > 0, bool(skip), section))
+            out.append(Block(text, len(" ".join(html.unescape("".join(linked)).split())), heading, inside > 0, sure > 0, section))
+            within.append(skip[-1][2] if skip else -1)
         parts.clear()
         linked.clear()
 
@@ -122,21 +166,30 @@ def blocks(page: str) -> list[Block]:
         if name in ("article", "main"):
             inside = max(0, inside - 1) if closing else inside + 1
             section += 1
-        if skip:
-            if closing and name in skip:
-                while skip.pop() != name:
-                    pass
-            elif not closing and name not in VOID and not m[4].endswith("/"):
-                # an unwanted paragraph ends where the next block begins
-                if skip[-1] == "p" and name in BLOCKS:
-                    skip.pop()
-                if skip or _unwanted(name, m[4], inside > 0):
-                    skip.append(name)
-        elif not closing and name not in VOID and _unwanted(name, m[4], inside > 0):
-            skip.append(name)
+        if closing:
+            if any(x[0] == name for x in skip):
+                while True:
+                    gone = skip.pop()
+                    sure -= gone[1] == "sure"
+                    if gone[0] == name:
+                        break
+        elif name not in VOID and not (skip and m[4].endswith("/")):
+            # an unwanted paragraph ends where the next block begins
+            if skip and skip[-1][0] == "p" and name in BLOCKS:
+                sure -= skip.pop()[1] == "sure"
+            why = "" if sure else _unwanted(name, m[4], inside > 0)
+            if skip or why:
+                outer = skip[-1][2] if skip else -1
+                skip.append((name, why, named.open(outer) if why == "named" else outer))
+                sure += why == "sure"
+        if not closing and not sure and name in ("main", "article", "h1"):
+            named.anchors.append((name, skip[-1][2] if skip else -1))
     if at < len(page):
         say(page[at:])
     flush()
+    bad = named.rejected([(i, len(b.text)) for i, b in zip(within, out, strict=True) if not b.unwanted])
+    for i, b in zip(within, out, strict=True):
+        b.unwanted = b.unwanted or (i >= 0 and bad[i])
     return out
 
 
@@ -154,10 +207,15 @@ def classify(found: list[Block]) -> None:
             b.label = "bad" if b.linked and not b.inside else "unsure"
         elif density >= STOP_HIGH:
             b.label = "good" if size >= LONG or b.inside else "unsure"
-        elif density >= STOP_LOW or b.inside:
+        elif density >= STOP_LOW or b.inside or not b.linked:
             b.label = "unsure"
         else:
             b.label = "bad"
+    if all(b.label != "good" for b in found):
+        # stop words tell nothing of a page in a language without them
+        for b in found:
+            if b.label == "unsure" and not b.heading and not b.linked and len(b.text) >= LONG:
+                b.label = "good"
     before, after = _decided(found), [None if j is None else len(found) - 1 - j for j in reversed(_decided(found[::-1]))]
     first = [b.label for b in found]
     for i, b in enumerate(found):

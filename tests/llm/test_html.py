@@ -47,3 +47,32 @@ def test_given_pages_and_awkward_rows(spark):
     odd = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (1, "u", "", 2), (2, "u", "<article><p>" + "é w " * 300_000, 3)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id or -1, r.n_chars) for r in html.extract(odd).collect()) == [(-1, 0), (1, 0), (1, 0), (2, 1_199_999)]
     assert html.extract(df.limit(0)).collect() == []
+
+
+def test_names_of_wrappers_do_not_reject_the_article():
+    side = f'<div class="sidebar"><p>{PROSE * 2}</p></div><section id="comments"><article><p>{PROSE}</p></article></section>'
+    want = f"Title\n\n{(PROSE * 3).strip()}"
+    for names in ("layout has-sidebar", "no-sidebar", "post has-comments", "page sticky-nav", "content legal", "with-related", "row without_ads"):
+        for at in ("class", "id"):
+            assert html.main_text(f'<body><div {at}="{names}"><h1>Title</h1><p>{PROSE * 3}</p>{side.split("<section")[0]}</div></body>') == want, names
+            assert html.main_text(f'<body><section {at}="{names}"><article><h1>Title</h1><p>{PROSE * 3}</p></article></section>{"" if names == "content legal" else side}</body>') == want, names
+    # without a heading or article, the wrapper of most of the text stays
+    assert html.main_text(f'<body><div class="legal"><p>{PROSE * 3}</p></div><div class="tags"><p>{PROSE * 2}</p></div></body>') == (PROSE * 3).strip()
+    # what stands beside the article stays unwanted, however long
+    assert html.main_text(f"<body><main><h1>Title</h1><p>{PROSE * 3}</p></main>{side * 5}</body>") == want
+    # hidden or navigation stays unwanted inside such a wrapper
+    assert html.main_text(f'<body><div class="legal"><nav>{PROSE}</nav><article><h1>Title</h1><p>{PROSE * 3}</p><div hidden>{PROSE}</div></article></div></body>') == want
+
+
+POLISH = "Dawno temu wysoko ponad doliną stała samotna chata, której mieszkańcy każdego ranka schodzili wąską ścieżką ku rzece po świeżą wodę. "
+KOREAN = "산길을 걷는 사람들은 해가 지기 전에 대피소에 도착해야 한다고 안내판에 적혀 있었고 우리는 발걸음을 재촉했다. "
+
+
+def test_text_without_known_stop_words():
+    menu = "<div><a href=1>Pierwsza strona serwisu i wszystkie inne strony tego samego serwisu, razem z archiwum</a></div>"
+    for text in (POLISH, KOREAN):
+        body = (text * 4).strip()
+        assert html.main_text(f"<body>{menu}<div><p>{body}</p><p>{text.strip()}</p><p>{body}</p></div>{menu}</body>") == "\n\n".join([body, text.strip(), body])
+        # between good blocks a block in another language follows them
+        assert html.main_text(f"<body><p>{PROSE * 3}</p><p>{text * 2}</p><p>{PROSE * 3}</p></body>") == "\n\n".join([(PROSE * 3).strip(), (text * 2).strip(), (PROSE * 3).strip()])
+    assert html.main_text("<body>" + "<div class=sidebar>" * 3000 + PROSE * 3 + "</div>" * 3000) == (PROSE * 3).strip()
