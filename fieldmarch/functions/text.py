@@ -108,14 +108,23 @@ def asr_clean(text: Column, noise: list[str]) -> Column:
     return F.trim(F.array_join(F.filter(lines, lambda x: (x != "") & ~x.isin(noise)), " "))
 
 
-def estimate_tokens(text: Column) -> Column:
-    """Cautious token estimate from counts of Hangul, ASCII letters and digits, and the rest."""
+def char_classes(text: Column) -> Column:
+    """How many characters are Hangul, ASCII letters or digits, and neither these nor spaces."""
     count = lambda cls: F.length(F.regexp_replace(text, f"[^{cls}]", ""))
     hangul, plain, spaces = count("가-힣"), count("A-Za-z0-9"), count(" ")
-    other = F.greatest(F.length(text) - hangul - plain - spaces, F.lit(0))
+    return F.struct(hangul.alias("hangul"), plain.alias("plain"), F.greatest(F.length(text) - hangul - plain - spaces, F.lit(0)).alias("other"))
+
+
+def tokens_of(hangul: Column, plain: Column, other: Column) -> Column:
     return F.ceil(hangul / 1.3 + plain / 3.5 + other / 1.5)
 
 
+def estimate_tokens(text: Column) -> Column:
+    """Cautious token estimate from counts of Hangul, ASCII letters and digits, and the rest."""
+    n = char_classes(text)
+    return tokens_of(n["hangul"], n["plain"], n["other"])
+
+
 def strip_fillers(norm: Column, fillers: list[str]) -> Column:
     """Drop leading filler words but keep at least one word."""
     words = F.split(norm, " ")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from functools import reduce
 
-from ..functions.text import estimate_tokens
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..columns import settle
+from ..functions.text import char_classes, tokens_of
 from ..vocabulary import DEMO_PREFIX
 
 
@@ -90,33 +93,56 @@ def spoken(lines: Column, demo: Column) -> Column:
     return F.when(demo, F.concat(F.lit(DEMO_PREFIX), text)).otherwise(text)
 
 
-def state_text(parts: Column, max_tokens: int = 60) -> Column:
-    """As many leading parts as fit the token limit, joined by a bar; the tail goes first."""
-    text = lambda n: F.array_join(F.slice(parts, F.lit(1), n), " | ")
-    sizes = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda n: estimate_tokens(text(n)) <= max_tokens)
-    return (
-        F.when(parts.isNull(), "device=unavailable").when(F.size(parts) == 0, "device=empty")
-        .when(F.size(sizes) == 0, "device=truncated").otherwise(text(F.element_at(sizes, -1)))
-    )
-
+def state_parts(d: str) -> list[Column]:
+    """The ordered parts of a device's state line, NULL where a part is absent; ``d`` names a struct as for :func:`card_lines`.
 
-def state_parts(d: str) -> Column:
-    """The ordered parts of a device's state line; same struct as :func:`card_lines`."""
+    Besides those fields it has the device's own ``co_alarm, co_level`` (a latched alarm outlives its reading), ``pressure_valid``,
+    ``sunset_clock``, ``target_id`` and ``eta_min``.
+    """
     c = lambda name: F.col(f"{d}.{name}")
-    join = lambda head, *items: F.trim(F.concat(F.lit(head), F.array_join(F.array_compact(F.array(*items)), " ")))
     tag = lambda pre, v, post: F.concat(F.lit(pre), v, F.lit(post))
+
+    def join(head: str, *items: Column) -> Column:
+        return F.concat(F.lit(head), F.concat_ws(" ", *items))
+
+    filled = lambda name: F.when(c(name) != "", c(name))
     gps = F.when(c("gps_fix"), join("gps=", F.lit("fix"), tag("acc", fixed(c("acc_m")), "m"), tag("sats", c("satellites").cast("string"), ""))).otherwise(
         join("gps=", F.lit("nofix"), tag("last", fixed(c("last_age_s")), "s")))
-    sun = F.when(c("sun_computed") | c("remaining_min").isNotNull(), join(
-        "sun=", tag("rem", fixed(c("remaining_min")), "min"), tag("return", c("return_by_clock"), ""), tag("lvl=", c("sun_level"), "")))
+    sun = F.when(F.coalesce(c("sun_computed"), F.lit(False)) | c("remaining_min").isNotNull(), join(
+        "sun=", tag("set", filled("sunset_clock"), ""), tag("rem", fixed(c("remaining_min")), "min"), tag("return", filled("return_by_clock"), ""),
+        tag("lvl=", filled("sun_level"), "")))
+    pressed = F.coalesce(c("pressure_valid"), F.lit(False)) & c("press_hpa").isNotNull()
     env = F.when(c("env_valid"), join(
-        "env=", tag("", fixed(c("temp_c"), 1), "C"), tag("", fixed(c("humidity_pct")), "%"), tag("", fixed(c("press_hpa"), 1), "hPa"),
-        F.when(c("press_hpa").isNotNull(), F.coalesce(c("press_trend"), F.lit("unknown")))))
-    level = F.when(c("co_ppm") >= 100, "alarm").when(c("co_ppm") >= 35, "warning").otherwise("normal")
+        "env=", tag("", fixed(c("temp_c"), 1), "C"), tag("", fixed(c("humidity_pct")), "%"),
+        F.when(pressed, F.concat_ws(" ", tag("", fixed(c("press_hpa"), 1), "hPa"), F.coalesce(filled("press_trend"), F.lit("unknown"))))))
+    level = F.when(c("co_alarm"), "alarm").otherwise(F.coalesce(filled("co_level"), F.lit("normal")))
     co = F.when(c("co_valid") & ~F.coalesce(c("co_stale"), F.lit(False)), join("co=", tag("", fixed(c("co_ppm")), "ppm"), level))
     power = F.when(c("power_valid"), join("pwr=", tag("", fixed(c("percent")), "%"), tag("", fixed(c("days_left"), 1), "d")))
-    trail = F.when(c("trail_status").isNotNull(), join("trail=", c("trail_status"), tag("off", fixed(c("offset_m")), "m")))
+    trail = F.when(c("trail_status") != "", join("trail=", c("trail_status"), tag("off", fixed(c("offset_m")), "m")))
     route = F.when(c("route_available"), join(
-        "route=", F.coalesce(c("target_kind"), F.lit("target")), tag("", fixed(c("distance_m")), "m"), tag("", fixed(c("bearing_deg")), "deg"),
-        tag("eta", F.ceil(c("distance_m") / 60.0).cast("string"), "min")))
-    return F.array_compact(F.array(gps, sun, env, co, power, trail, route, F.when(c("arrived"), "arrived=yes")))
+        "route=", F.coalesce(filled("target_id"), filled("target_kind"), F.lit("target")), tag("", fixed(c("distance_m")), "m"),
+        tag("", fixed(c("bearing_deg")), "deg"), tag("eta", fixed(c("eta_min")), "min")))
+    return [gps, sun, env, co, power, trail, route, F.when(c("arrived"), F.lit("arrived=yes"))]
+
+
+def state_line(df: DataFrame, d: str, max_tokens: int = 60, name: str = "state") -> DataFrame:
+    """Add the state line: as many leading parts as fit the token limit, joined by a bar; the tail goes first.
+
+    The estimate only grows with each part, so counts of each part are taken once and summed along the line.
+    """
+    parts = state_parts(d)
+    n = len(parts)
+    df = settle(df, **{f"_p{i}": p for i, p in enumerate(parts)})
+    kinds = ("hangul", "plain", "other")
+    df = settle(df, **{f"_n{i}": char_classes(F.col(f"_p{i}")) for i in range(n)})
+    total = {k: F.lit(0) for k in kinds}
+    bars, fits = F.lit(-1), []
+    for i in range(n):
+        there = F.col(f"_p{i}").isNotNull()
+        bars = bars + there.cast("int")
+        total = {k: total[k] + F.coalesce(F.col(f"_n{i}.{k}"), F.lit(0)) for k in kinds}
+        fits.append(there & (tokens_of(total["hangul"], total["plain"], total["other"] + bars) <= max_tokens))
+    text = F.concat_ws(" | ", *[F.when(fit, F.col(f"_p{i}")) for i, fit in enumerate(fits)])
+    any_part = reduce(lambda a, b: a | b, [F.col(f"_p{i}").isNotNull() for i in range(n)])
+    line = F.when(F.col(d).isNull(), "device=unavailable").when(~any_part, "device=empty").when(text == "", "device=truncated").otherwise(text)
+    return df.withColumn(name, line).drop(*[f"_p{i}" for i in range(n)], *[f"_n{i}" for i in range(n)])

@@ -172,16 +172,19 @@ def coord_e7(spark, d):
     return e.select("event_id", nmea_e7(raw, F.when(F.col("event_id") % 2 == 0, "N").otherwise("S")).alias("e7"))
 
 
-@query("nmea_ingest", T.ctes("fixes") + """ SELECT device_id, count(*) AS n, count(*) FILTER (event_id%29<>0 AND fix) AS fixes,
-    count(*) FILTER (event_id%29=0) AS rejected, CAST(sum(CASE WHEN event_id%29<>0 AND fix THEN CAST(round(deg*6000) AS BIGINT) END) AS BIGINT) AS sum_centimin
-    FROM (SELECT *, event_id%90+(CAST(event_id%6000 AS DOUBLE)/100.0::DOUBLE)/60.0::DOUBLE AS deg FROM fixes) GROUP BY device_id""")
+@query("nmea_ingest", T.ctes("fixes") + """ SELECT device_id, count(*) AS n, count(*) FILTER (NOT bad AND fix) AS fixes,
+    count(*) FILTER (bad) AS rejected, CAST(sum(CASE WHEN NOT bad AND fix THEN CAST(round(deg*6000) AS BIGINT) END) AS BIGINT) AS sum_centimin
+    FROM (SELECT *, event_id%29=0 OR event_id%31=0 OR event_id%37=0 AS bad, event_id%90+(CAST(event_id%6000 AS DOUBLE)/100.0::DOUBLE)/60.0::DOUBLE AS deg FROM fixes) GROUP BY device_id""")
 def nmea_ingest(spark, d):
     c = F.col
     body = F.format_string(
         "GNGGA,120000.00,%02d%02d.%02d,N,12704.5428,E,%d,%02d,0.8,35.0,M,0.0,M,,", c("event_id") % 90,
         F.expr("event_id % 6000 div 100"), c("event_id") % 100, c("fix").cast("int"), c("satellites"))
     check = xor8(body).bitwiseXOR((c("event_id") % 29 == 0).cast("int"))
-    lines = T.fixes(spark, d).select("device_id", F.concat(F.lit("$"), body, F.lit("*"), hex_upper(check, 2)).alias("line"))
+    # a letter that no checksum covers, once beside the right checksum and once beside one of nothing
+    foreign = F.when(c("event_id") % 31 == 0, "\ufffd").when(c("event_id") % 37 == 0, "\uac00").otherwise("")
+    check = F.when(c("event_id") % 37 == 0, 0).otherwise(check)
+    lines = T.fixes(spark, d).select("device_id", F.concat(F.lit("$"), body, foreign, F.lit("*"), hex_upper(check, 2)).alias("line"))
     p = S.parse_nmea(lines)
     return p.groupBy("device_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("fix").alias("fixes"),

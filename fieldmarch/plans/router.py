@@ -246,7 +246,10 @@ def device_rows(spark: SparkSession, d: str) -> DataFrame:
         (c("event_id") % 5 != 0).alias("env_valid"), (c("event_id") % 400 / 10.0).alias("temp_c"), (c("event_id") % 100).cast("double").alias("humidity_pct"),
         F.when(c("event_id") % 4 == 0, (c("event_id") % 8000 + 3000) / 10.0).alias("press_hpa"), at(["rising", "steady", "falling", "unknown"], 4).alias("press_trend"),
         (c("event_id") % 3 == 1).alias("power_valid"), (c("event_id") % 101).cast("double").alias("percent"), (c("event_id") % 90 / 10.0).alias("days_left"),
-        (c("event_type") != "error").alias("co_valid"), (c("event_id") % 7 == 0).alias("co_stale"), F.round(v, 3).alias("co_ppm"))
+        (c("event_type") != "error").alias("co_valid"), (c("event_id") % 7 == 0).alias("co_stale"), F.round(v, 3).alias("co_ppm"),
+        (c("event_id") % 11 == 0).alias("co_alarm"), at(["normal", "warning", "unknown", None], 4).alias("co_level"), (c("event_id") % 8 != 4).alias("pressure_valid"),
+        at(["18:05", None, "", "19:40", "18:30"], 5).alias("sunset_clock"), F.when(c("event_id") % 6 == 0, F.concat(F.lit("checkpoint-"), c("event_id"))).alias("target_id"),
+        F.when(c("event_id") % 10 != 0, F.ceil(v / 10).cast("double")).alias("eta_min"))
     e = T.read(spark, d, "events").withColumn("scenario", at(R.SCENARIOS, 14))
     return settle(e, dev=state).select("event_id", "scenario", "dev")
 
@@ -261,20 +264,21 @@ T.define("dev", [], """SELECT event_id, (['lost','route','daylight','weather','s
     event_id%2=0 AS ravail, CAST(event_id%360 AS DOUBLE) AS brg, round(value*7,3) AS dist, event_id%3=0 AS sunc, round(value-30,3) AS rem, (['17:40',NULL])[event_id%2+1] AS retby,
     (['current_fix','last_fix'])[event_id%2+1] AS sref, (['danger','caution','normal'])[event_id%3+1] AS lvl, event_id%5<>0 AS envv, CAST(event_id%400 AS DOUBLE)/10.0::DOUBLE AS temp,
     CAST(event_id%100 AS DOUBLE) AS hum, CASE WHEN event_id%4=0 THEN CAST(event_id%8000+3000 AS DOUBLE)/10.0::DOUBLE END AS press, (['rising','steady','falling','unknown'])[event_id%4+1] AS trend,
-    event_id%3=1 AS pwr, CAST(event_id%101 AS DOUBLE) AS pct, CAST(event_id%90 AS DOUBLE)/10.0::DOUBLE AS days, event_type<>'error' AS cov, event_id%7=0 AS costale, round(value,3) AS ppm FROM events""")
+    event_id%3=1 AS pwr, CAST(event_id%101 AS DOUBLE) AS pct, CAST(event_id%90 AS DOUBLE)/10.0::DOUBLE AS days, event_type<>'error' AS cov, event_id%7=0 AS costale, round(value,3) AS ppm,
+    event_id%11=0 AS coalarm, (['normal','warning','unknown',NULL])[event_id%4+1] AS colevel, event_id%8<>4 AS pressv, (['18:05',NULL,NULL,'19:40','18:30'])[event_id%5+1] AS sunset,
+    CASE WHEN event_id%6=0 THEN 'checkpoint-'||event_id END AS tid, CASE WHEN event_id%10<>0 THEN ceil(value/10) END AS eta FROM events""")
 TOK_SQL = "ceil(length(regexp_replace({0},'[^A-Za-z0-9]','','g'))/3.5::DOUBLE+(length({0})-length(regexp_replace({0},'[^A-Za-z0-9]','','g'))-length(regexp_replace({0},'[^ ]','','g')))/1.5::DOUBLE)"
 
 
 @query("device_state_text", T.ctes("dev") + f""" SELECT event_id, array_to_string(p[1:list_max(list_filter(range(1,len(p)+1), lambda n: {TOK_SQL.format("array_to_string(p[1:n],' | ')")}<=60))], ' | ') AS state FROM (
     SELECT event_id, list_filter([CASE WHEN fix THEN 'gps=fix'||coalesce(' acc'||{num('acc')}||'m','')||' sats'||sats ELSE 'gps=nofix'||coalesce(' last'||{num('lage')}||'s','') END,
-      'sun=rem'||{num('rem')}||'min'||coalesce(' return'||retby,'')||' lvl='||lvl,
-      CASE WHEN envv THEN 'env='||{num('temp', 1)}||'C '||{num('hum')}||'%'||coalesce(' '||{num('press', 1)}||'hPa '||trend,'') END,
-      CASE WHEN cov AND NOT costale THEN 'co='||{num('ppm')}||'ppm '||CASE WHEN ppm>=100 THEN 'alarm' WHEN ppm>=35 THEN 'warning' ELSE 'normal' END END,
+      'sun='||coalesce('set'||sunset||' ','')||'rem'||{num('rem')}||'min'||coalesce(' return'||retby,'')||' lvl='||lvl,
+      CASE WHEN envv THEN 'env='||{num('temp', 1)}||'C '||{num('hum')}||'%'||coalesce(CASE WHEN pressv THEN ' '||{num('press', 1)}||'hPa '||trend END,'') END,
+      CASE WHEN cov AND NOT costale THEN 'co='||{num('ppm')}||'ppm '||CASE WHEN coalarm THEN 'alarm' ELSE coalesce(colevel,'normal') END END,
       CASE WHEN pwr THEN 'pwr='||{num('pct')}||'% '||{num('days', 1)}||'d' END, 'trail='||trail||' off'||{num('off')}||'m',
-      CASE WHEN ravail THEN 'route='||kind||' '||{num('dist')}||'m '||{num('brg')}||'deg eta'||CAST(ceil(dist/60.0) AS BIGINT)||'min' END, CASE WHEN arr THEN 'arrived=yes' END], lambda x: x IS NOT NULL) AS p FROM dev)""")
+      CASE WHEN ravail THEN 'route='||coalesce(tid, kind)||' '||{num('dist')}||'m '||{num('brg')}||'deg'||coalesce(' eta'||{num('eta')}||'min','') END, CASE WHEN arr THEN 'arrived=yes' END], lambda x: x IS NOT NULL) AS p FROM dev)""")
 def device_state_text(spark, d):
-    rows = settle(device_rows(spark, d), parts=replies.state_parts("dev"))
-    return rows.select("event_id", replies.state_text(F.col("parts")).alias("state"))
+    return replies.state_line(device_rows(spark, d), "dev").select("event_id", "state")
 
 
 @query("card_render", T.ctes("dev") + f""" SELECT event_id, CASE WHEN event_id%4=0 THEN {q(V.DEMO_PREFIX)} ELSE '' END || CASE

@@ -32,7 +32,7 @@ POWER_STATES = {  # state -> (gate_on, shutdown_pending); None allows any
     "gate_on": (True, False), "gate_off": (False, False), "shutdown_requested": (True, True),
     "shutdown_ack": (True, True), "shutdown_cancelled": (True, False), "shutdown_timeout": (True, False), "status": None,
 }
-#: Longer lines are rejected unread.
+#: Longer lines are rejected and not parsed.
 MAX_LINE_BYTES = 4096
 #: Members that are booleans, sent as text instead.
 QUOTED_FLAG = (
@@ -326,12 +326,14 @@ def route_lines(df: DataFrame, line: str = "line") -> DataFrame:
     Blank lines are dropped. Rejected lines keep their text, so they can be stored as quarantine.
     """
     df = df.filter(F.trim(F.col(line)) != "")
-    csv = parse_csv(df, line).withColumnRenamed("reason", "csv_reason")
+    names, too_long = df.columns, F.octet_length(line) > MAX_LINE_BYTES
+    df = df.withColumn("_read", F.when(~too_long, F.col(line)).otherwise(""))
+    csv = parse_csv(df, "_read").withColumnRenamed("reason", "csv_reason")
     fields = [c for c in csv.columns if c not in df.columns and c not in ("is_csv", "csv_reason")]
     csv = csv.select(*df.columns, "is_csv", "csv_reason", *[F.col(f).alias(f"_csv_{f}") for f in fields])
-    out = parse_hw_event(parse_telemetry_json(parse_json_line(csv, line)))
+    out = parse_hw_event(parse_telemetry_json(parse_json_line(csv, "_read")))
     event = F.coalesce(F.col("_j.event"), F.lit(""))
-    reason = F.when(F.col("is_csv"), F.col("csv_reason")).otherwise(
+    reason = F.when(too_long, "line_length").when(F.col("is_csv"), F.col("csv_reason")).otherwise(
         F.coalesce("json_reason", "tel_reason", "event_reason"))
     kind = (
         F.when(reason.isNotNull(), "rejected")
@@ -340,7 +342,7 @@ def route_lines(df: DataFrame, line: str = "line") -> DataFrame:
         .otherwise("ignored")
     )
     return settle(out, kind=kind, reason=reason).select(
-        *df.columns, "kind", "reason", F.struct(*[F.col(f"_csv_{f}").alias(f) for f in fields]).alias("csv"), "telemetry",
+        *names, "kind", "reason", F.struct(*[F.col(f"_csv_{f}").alias(f) for f in fields]).alias("csv"), "telemetry",
         "button_event", "output_event", "power_event", "fix_event",
     )
 
@@ -373,7 +375,7 @@ def parse_nmea(df: DataFrame, line: str = "line") -> DataFrame:
         (~s.startswith("$") | ~s.contains("*"), "frame"),
         (F.length("_sum") < 2, "checksum_length"),
         (~F.substring("_sum", 1, 2).rlike("^[0-9A-Fa-f]{2}$"), "checksum_format"),
-        (F.conv(F.substring("_sum", 1, 2), 16, 10).cast("int") != F.col("_xor"), "checksum_mismatch"),
+        (~F.conv(F.substring("_sum", 1, 2), 16, 10).cast("int").eqNullSafe(F.col("_xor")), "checksum_mismatch"),
         ((gga | rmc) & (F.size("_f") < 10), "field_count"),
         (gga & ~between(quality, 0, 8), "quality_range"),
         (gga & ~between(sats, 0, 99), "satellites_range"),

@@ -236,3 +236,47 @@ def test_catalog_and_cases(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"id":"a","text":"t","expected":"lost"}\n{oops')
     with pytest.raises(Exception, match="(?i)malformed|failfast"):
         files.eval_cases(spark, str(tmp_path / "c.jsonl"), "id string, text string, expected string").collect()
+
+
+def test_nmea_letters_that_no_checksum_covers(spark):
+    body = "GNGGA,120000.00,3730.00,N,12704.5428,E,1,08,0.8,35.0,M,0.0,M,,"
+    lines = [(f"${body}�*00",), (f"${body}�*{_xor(body)}",), (f"${body}*{_xor(body)}",)]
+    got = S.parse_nmea(spark.createDataFrame(lines, "line string")).collect()
+    assert [(r.nmea_kind, r.reason, r.lat is None) for r in got] == [("rejected", "checksum_mismatch", True)] * 2 + [("fix", None, False)]
+
+
+def _xor(body):
+    x = 0
+    for b in body.encode():
+        x ^= b
+    return f"{x:02X}"
+
+
+def test_lines_over_the_limit_are_rejected(spark):
+    long, short = ('{"event":"hello","x":"' + "가" * n + '"}' for n in (1400, 1300))
+    got = S.route_lines(spark.createDataFrame([(long,), (short,)], "line string")).collect()
+    assert [(r.kind, r.reason, len(r.line)) for r in got] == [("rejected", "line_length", 1424), ("ignored", None, 1324)]
+
+
+def test_state_line_of_a_latched_alarm(spark):
+    from pyspark.sql import functions as F
+
+    from fieldmarch.operators import replies
+
+    names = """gps_fix:boolean,acc_m:double,satellites:long,last_age_s:double,sun_computed:boolean,remaining_min:double,return_by_clock:string,sun_level:string,
+        sunset_clock:string,env_valid:boolean,temp_c:double,humidity_pct:double,press_hpa:double,pressure_valid:boolean,press_trend:string,co_valid:boolean,co_stale:boolean,
+        co_ppm:double,co_alarm:boolean,co_level:string,power_valid:boolean,percent:double,days_left:double,trail_status:string,offset_m:double,route_available:boolean,
+        target_id:string,target_kind:string,distance_m:double,bearing_deg:double,eta_min:double,arrived:boolean"""
+    kinds = dict(x.strip().split(":") for x in names.split(","))
+
+    def line(most=60, **values):
+        df = spark.range(1).select(F.struct(*[F.lit(values.get(n)).cast(k).alias(n) for n, k in kinds.items()]).alias("dev"))
+        return replies.state_line(df, "dev", most).first().state
+
+    assert line() == "gps=nofix"
+    assert line(co_valid=True, co_ppm=20.0, co_alarm=True, co_level="normal") == "gps=nofix | co=20ppm alarm"
+    assert line(co_valid=True, co_ppm=120.0, co_level="warning") == "gps=nofix | co=120ppm warning"
+    assert line(env_valid=True, temp_c=1.25, press_hpa=1000.0) == "gps=nofix | env=1.2C"
+    full = dict(sun_computed=True, sunset_clock="18:05", remaining_min=7.5, sun_level="normal", route_available=True, target_id="checkpoint-3", distance_m=9.0, arrived=True)
+    assert line(**full) == "gps=nofix | sun=set18:05 rem8min lvl=normal | route=checkpoint-3 9m | arrived=yes"
+    assert line(18, **full) == "gps=nofix | sun=set18:05 rem8min lvl=normal" and line(2, **full) == "device=truncated"
