@@ -66,7 +66,7 @@ def power_phase(df: DataFrame, keys: list[str], t: str, chunk_s: float = CHUNK_S
     idle = F.col("state").isin("shutdown_cancelled", "shutdown_timeout", "gate_off", "gate_on") | (
         (F.col("state") == "status") & ~F.coalesce("shutdown_pending", F.lit(False)))
     symbol = (
-        F.when(F.col("source") == "command", F.when(F.col("state") == "cancel", "cancel").when(live, "ack"))
+        F.when(F.col("source") == "command", F.when(F.col("state") == "cancel", "cancel").when((F.col("state") == "ack") & live, "ack"))
         .when(F.col("source") == "telemetry", F.when(F.col("shutdown_pending") == F.lit(False), "idle"))
         .when(F.col("state") == "shutdown_requested", "pending")
         .when(F.col("state") == "shutdown_ack", "armed")

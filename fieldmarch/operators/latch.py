@@ -39,6 +39,17 @@ def run_starts(df: DataFrame, keys: list[str], t: str, value: str, name: str = "
     return out.withColumn(name, F.coalesce("_local", "_carry")).drop("_changed_at", "_local", "_carry")
 
 
+def co_band(v: Column) -> Column:
+    """What a reading does to the latch: x (missing), A, W, m (neither raises nor clears) or C."""
+    return (
+        F.when(v.isNull() | F.isnan(v), "x")
+        .when(v >= CO_ALARM_PPM, "A")
+        .when(v >= CO_WARN_PPM, "W")
+        .when(v >= CO_CLEAR_PPM, "m")
+        .otherwise("C")
+    )
+
+
 def co_latch(df: DataFrame, keys: list[str], t: str = "t_s", ppm: str = "ppm", chunk_s: float = CHUNK_S) -> DataFrame:
     """Latched carbon monoxide level of every reading: none, warning or alarm.
 
@@ -46,15 +57,7 @@ def co_latch(df: DataFrame, keys: list[str], t: str = "t_s", ppm: str = "ppm", c
     nor clears. A reading that completes the clear hold opens a new epoch; the level is the
     worst thing seen in the epoch so far.
     """
-    v = F.col(ppm)
-    band = (
-        F.when(v.isNull() | F.isnan(v), "x")
-        .when(v >= CO_ALARM_PPM, "A")
-        .when(v >= CO_WARN_PPM, "W")
-        .when(v >= CO_CLEAR_PPM, "m")
-        .otherwise("C")
-    )
-    base = run_starts(chunked(df.withColumn("_band", band), t, chunk_s), keys, t, "_band")
+    base = run_starts(chunked(df.withColumn("_band", co_band(F.col(ppm))), t, chunk_s), keys, t, "_band")
     held = F.col(t) - F.col("run_start")
     clear = (F.col("_band") == "C") & (held >= CO_CLEAR_HOLD_S)
     rank = F.when(F.col("_band") == "A", 2).when((F.col("_band") == "W") & (held >= CO_WARN_HOLD_S), 1).otherwise(0)
