@@ -81,6 +81,26 @@ def running(df: DataFrame, keys: list[str], order: list[str], name: str, value:
     return out.withColumn(name, total).drop("_v", "_in")
 
 
+def running_all(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Several running values in one pass over the chunks: running ``sum``, or the ``last`` value that is not NULL, each up to its row.
+
+    A register that can be emptied holds structs, whose members may be NULL.
+    """
+    upto = within(keys, *order).rowsBetween(Window.unboundedPreceding, 0)
+    for i, (value, _) in enumerate(cols.values()):
+        df = df.withColumn(f"_v{i}", value)
+    carries = []
+    for i, (_, how) in enumerate(cols.values()):
+        v = F.col(f"_v{i}")
+        carries.append(Carry(f"_in{i}", F.sum(v) if how == "sum" else F.max_by(v, F.when(v.isNotNull(), F.struct(*order))), how))
+    out = with_carry(df, keys, carries)
+    for i, (name, (_, how)) in enumerate(cols.items()):
+        v, before = F.col(f"_v{i}"), F.col(f"_in{i}")
+        local = F.coalesce(F.sum(v).over(upto), F.lit(0)) + F.coalesce(before, F.lit(0)) if how == "sum" else F.coalesce(F.last(v, ignorenulls=True).over(upto), before)
+        out = out.withColumn(name, local)
+    return out.drop(*[f"_v{i}" for i in range(len(cols))], *[f"_in{i}" for i in range(len(cols))])
+
+
 def sequence_gaps(df: DataFrame, keys: list[str], t: str = "recv_s", chunk_s: float = CHUNK_S) -> DataFrame:
     """Flag rows whose ``seq`` does not follow the previous one (mod 2^32); a reboot is no gap."""
     out = previous(

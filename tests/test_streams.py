@@ -2,13 +2,12 @@
 
 import tempfile
 
-import pytest
 from pyspark.sql import functions as F
 
-from fieldmarch.operators import fleet as fleet_ops, latch, ordered
-from fieldmarch.plans import fleet, ingest, routes as plan_routes, tables as T
+from fieldmarch.operators import fleet as fleet_ops
+from fieldmarch.plans import ingest, routes as plan_routes, tables as T
 from fieldmarch.operators import routes
-from fieldmarch.streaming import jobs, steps
+from fieldmarch.streaming import carry, jobs, steps
 
 
 def run(df, name, mode="append"):
@@ -35,36 +34,6 @@ def same(a, b, cols):
     assert want and got == want
 
 
-def test_co_latch(spark, sf):
-    co = T.co_readings(spark, sf)
-    out = jobs.fold(as_stream(co, "t_s"), ["device_id", "boot_id"], ["t_s"], steps.co_level,
-                    "device_id long, boot_id long, t_s double, ppm double, level string")
-    same(run(out, "co_stream"), latch.co_latch(co, ["device_id", "boot_id"]), ["device_id", "boot_id", "t_s", "level"])
-
-
-def test_alerts(spark, sf):
-    ch = fleet.alert_channels(spark, sf)
-    out = jobs.fold(as_stream(ch, "t_s"), ["device_id"], ["t_s"], steps.alerts,
-                    "device_id long, t_s double, ord int, channel string, key string, repeated boolean, sound boolean")
-    same(run(out, "alert_stream"), latch.alert_edges(ch, ["device_id"]), ["device_id", "t_s", "ord", "key", "repeated", "sound"])
-
-
-def test_throttle(spark, sf):
-    fx = fleet_ops.live_fixes(T.fixes(spark, sf)).select("event_id", "device_id", "boot_id", "t_s")
-    out = jobs.fold(as_stream(fx, "t_s"), ["device_id", "boot_id"], ["t_s"], steps.thin(100.0),
-                    "device_id long, boot_id long, event_id long, t_s double")
-    same(run(out, "thin_stream"), ordered.throttle(fx, ["device_id", "boot_id"], "t_s", 100.0), ["event_id", "t_s"])
-
-
-def test_buttons(spark, sf):
-    c = F.col
-    b = T.ev(spark, sf).select(
-        "device_id", "t_s", F.lit("voice").alias("button"), F.when(c("event_id") % 2 == 0, "pressed").otherwise("released").alias("state"),
-        F.when(c("event_id") % 2 == 0, 0).otherwise(F.floor(c("value") * 100)).cast("long").alias("held_ms"))
-    out = jobs.fold(as_stream(b, "t_s"), ["device_id"], ["t_s"], steps.buttons, "device_id long, t_s double, held_ms long, outcome string")
-    same(run(out, "button_stream"), fleet_ops.button_sessions(b, ["device_id"], "t_s"), ["device_id", "t_s", "outcome"])
-
-
 def test_ingest_and_quarantine(spark, sf):
     lines = ingest.raw_lines(spark, sf)
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -99,39 +68,13 @@ def test_route_progress_only_grows_and_asks_for_a_new_route(spark, sf):
         by[r.device_id] = r.progress_m
 
 
-@pytest.mark.parametrize("actions, status, selected", [
-    (["route_basecamp"], "rejected", None),
-    (["save_basecamp", "save_checkpoint", "route_basecamp"], "accepted", "basecamp"),
-    (["find_nearest_water", "confirm_destination", "clear_destination"], "accepted", None),
-    (["find_nearest_water", "reject_destination", "confirm_destination"], "rejected", None),
-    (["find_nearest_water"], "confirmation_required", None),
-])
-def test_waypoint_commands(actions, status, selected):
-    state = {}
-    row = {"fix": True, "lat": 1.0, "lon": 2.0, "poi_lat": 3.0, "poi_lon": 4.0, "ago_lat": None, "ago_lon": None}
-    for i, action in enumerate(actions):
-        (out,) = steps.waypoints(state, {**row, "t_s": i, "action": action})
-    assert (out["status"], out["selected"], out["seq"]) == (status, selected, len(actions))
-
-
-def test_checkpoints_keep_the_last_fifty():
-    state = {}
-    for i in range(60):
-        steps.waypoints(state, {"t_s": i, "action": "save_checkpoint", "fix": True, "lat": i, "lon": 0})
-    assert len(state["checkpoints"]) == 50 and state["checkpoints"][0]["lat"] == 10
-
-
-def test_conversation_waits_run_out():
-    state = {}
-    say = lambda t, **k: [o["event"] for o in steps.conversation(state, {
-        "t_s": t, "said_at": t, "speech_s": 1.5, "norm": "x y z", "wake": False, "remainder": "", "answer": None, "asks": False, **k})]
-    assert say(0) == ["no_wake"]
-    assert say(1, wake=True) == ["wake"]
-    assert say(5, asks=True) == ["command"]
-    assert say(8, speech_s=0.5, norm="uh") == ["short_confirm", "command"]
-    assert say(13.9) == ["command"]
-    assert say(20) == ["timeout", "no_wake"]
-    assert say(21, speech_s=5.0, wake=True) == ["ignored_length"]
+def test_a_stream_of_carried_rows(spark, sf):
+    fx = fleet_ops.live_fixes(T.fixes(spark, sf)).select("event_id", "device_id", "boot_id", "t_s")
+    job, folder = carry.throttled(["device_id", "boot_id"], "t_s", 100.0), tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    q = carry.start(as_stream(fx, "t_s"), job, folder)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    same(carry.Carried(job, folder).results(spark), job.run(fx), ["event_id", "t_s"])
 
 
 def test_newest_goes_stale(spark, sf):
