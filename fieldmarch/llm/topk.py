@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 8192
 LIST_LENGTH = 4096
 SCALE = 256
-#: Sums of products below this are exact in doubles.
-EXACT = float(1 << 53)
+#: Sums of products below the first are exact in doubles, below the second in 64-bit integers.
+EXACT, LARGEST = float(1 << 53), float(1 << 63)
+#: Lists are read in two parts, and all queries' parts in so many rounds.
+ROUNDS = 6
 
 
 def vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -44,42 +46,74 @@ class Queries:
 
     def __init__(self, number: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int):
         self.number, self.ids, self.matrix, self.k = number, ids, matrix, k
-        self.up, self.down = np.maximum(matrix, 0), np.minimum(matrix, 0)
-        self.found = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
         #: The k-th best score known: nobody below it can qualify.
-        self.bar = np.full(len(ids), -np.inf)
+        self.bar = np.full(len(ids), np.iinfo(np.int64).min)
+        self.read_entries = self.all_entries = 0
 
     def read(self, ids: np.ndarray, block: np.ndarray) -> None:
-        """Read the sorted lists of a block of candidates deeper and deeper until no outsider can qualify, then settle the rest.
+        """Read the sorted lists of a block of candidates, part by part, until each query's best are known with their scores.
 
-        Lists of components are read from the top for positive weights and from the bottom for negative ones. What has not been read
-        lies between the list's far end and the value just read, which bounds every score from both sides.
+        A query reads the list of a component from the top if its weight is positive, from the bottom if negative: first the half at that
+        end, later the rest. It reads parts in order of what they can settle, weight times the spread of their values, a share of all parts
+        a round. Values read add up to a candidate's known score; a value not read yet lies between the list's far end and the value that
+        was read last. That bounds every score from both sides, and what cannot reach the k-th best lower bound is left. Scores are final
+        when nothing of a candidate is unread, so they come from the lists alone.
         """
-        n = len(ids)
-        lists = np.sort(block, axis=0)
-        least, most = lists[0], lists[-1]
-        alive = np.ones((len(self.ids), n), bool)
-        alive[np.isin(self.ids, ids)] &= self.ids[np.isin(self.ids, ids), None] != ids[None, :]
-        depth = max(1, n // 16)
-        while depth < n:
-            top, bottom = lists[n - depth], lists[depth - 1]
-            lower = self.up @ np.where(block > top, block, least).T + self.down @ np.where(block < bottom, block, most).T
-            upper = self.up @ np.maximum(block, top).T + self.down @ np.minimum(block, bottom).T
-            lower[~alive] = -np.inf
-            if n > self.k:
-                self.bar = np.maximum(self.bar, np.partition(lower, n - self.k, axis=1)[:, n - self.k])
-            alive &= upper >= self.bar[:, None]
-            if alive.sum() <= 4 * self.k * len(self.ids):
+        n, d, k = len(ids), block.shape[1], self.k
+        largest = d * float(np.abs(block).max(initial=0)) * float(np.abs(self.matrix).max(initial=0))
+        if 2 * largest >= LARGEST:
+            raise ValueError("scores do not fit a long")
+        kind = np.float64 if 2 * largest < EXACT else np.int64
+        w, block = self.matrix.astype(kind), block.astype(kind)
+        # oriented: the upper end is where reading begins; columns d.. are those of negative weights
+        lists = np.concatenate([block, -block], axis=1)
+        ordered = np.sort(lists, axis=0)
+        far, near, middle = ordered[0], ordered[-1], ordered[n // 2]
+        early = lists > middle  # in the half that is read first
+        weights = np.concatenate([np.maximum(w, 0), np.maximum(-w, 0)], axis=1)
+        spread = np.concatenate([near - middle, middle - far])
+        gain = np.concatenate([weights, weights], axis=1) * spread
+        gain[:, : 2 * d] += gain[:, 2 * d :]  # the first half comes no later than the second
+        turn = np.empty(gain.shape, np.int64)
+        np.put_along_axis(turn, np.argsort(-gain, axis=1, kind="stable"), np.arange(4 * d)[None] * ROUNDS // (2 * d), axis=1)
+        turn[:, 2 * d :] = np.maximum(turn[:, 2 * d :], turn[:, : 2 * d])
+        used = weights > 0
+        first, second = np.where(used, turn[:, : 2 * d], 0), np.where(used, turn[:, 2 * d :], 0)
+        last = max(int(first.max(initial=0)), int(second.max(initial=0)))
+
+        alive = self.ids[:, None] != ids[None, :]
+        columns = np.arange(n)
+        for now in range(last + 1):
+            one, two = weights * (first <= now), weights * (second <= now)
+            e, v = early[columns].astype(kind), lists[columns]
+            # what is read, and what is not: those past the middle of half-read lists, and all of unread ones
+            known = one @ (e * v).T + two @ ((1 - e) * v).T
+            half, none = one - two, weights - one
+            rest = (1 - e).T
+            lower = known + (half * far) @ rest + (none @ far)[:, None]
+            upper = known + (half * middle) @ rest + (none @ near)[:, None]
+            at = alive[:, columns]
+            bound = np.where(at, lower, np.iinfo(np.int64).min if kind is np.int64 else -np.inf)
+            if len(columns) > k:
+                best = np.partition(bound, len(columns) - k, axis=1)[:, len(columns) - k]
+                self.bar = np.maximum(self.bar, np.where(np.isfinite(best), best, np.iinfo(np.int64).min).astype(np.int64) if kind is np.float64 else best)
+            at &= upper >= self.bar[:, None]
+            alive[:, columns] = at
+            left = at.any(axis=0)
+            if now == last or not left.any() or (lower[at] == upper[at]).all():
                 break
-            depth *= 2
-        for q in np.flatnonzero(alive.any(axis=1)):
-            at = np.flatnonzero(alive[q])
-            scores = block[at] @ self.matrix[q]
-            held, known = self.found[q]
-            every, score = np.concatenate([held, ids[at]]), np.concatenate([known, scores])
-            best = _best(every, score, self.k)
+            columns = columns[left]
+        # a part of a list is half its entries; one that a query without candidates would read is not read
+        self.all_entries += int(used.sum()) * n
+        self.read_entries += (int((one > 0).sum()) + int((two > 0).sum())) * n // 2
+        for q in np.flatnonzero(at.any(axis=1)):
+            mine = np.flatnonzero(at[q])
+            held, scores = self.found[q]
+            every, score = np.concatenate([held, ids[columns[mine]]]), np.concatenate([scores, lower[q, mine].astype(np.int64)])
+            best = _best(every, score, k)
             self.found[q] = every[best], score[best]
-            if len(best) == self.k:
+            if len(best) == k:
                 self.bar[q] = max(self.bar[q], score[best[-1]])
 
 
@@ -89,7 +123,8 @@ def top_k(vectors_of: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     Components become ``floor(256 * x)``; the score is the inner product; ties go to the smaller ``vec_id``. Vectors that are null,
     empty, or hold a null or non-finite component take no part, nor do rows without an id; a query meets vectors of its own length
     only, and no row of its own id. Equal query rows are asked once; query rows that share an id but not their vector are queries of
-    their own. Components past about 2**20 may lose exactness beyond 2**53 in a sum and raise an error instead of a wrong score.
+    their own. Sums are doubles while they are exact and 64-bit integers beyond; a score that might not fit a long raises an error.
+    An empty table gives no rows; a very long vector is one like others; other columns are not read, so their names cannot clash.
 
     Queries are a stated set, held in blocks of 8192; each block reads the vectors once, and every task keeps k rows a query.
     """
@@ -127,8 +162,6 @@ def top_k(vectors_of: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
             def settle(d: int) -> None:
                 ids, block = (np.concatenate(x) for x in zip(*waiting.pop(d), strict=True))
-                if d * np.abs(block).max(initial=0) * np.abs(queries[d].matrix).max(initial=0) >= EXACT:
-                    raise ValueError("components too large for exact scores")
                 for a in range(0, len(ids), LIST_LENGTH):
                     queries[d].read(ids[a : a + LIST_LENGTH], block[a : a + LIST_LENGTH])
 
@@ -146,7 +179,7 @@ def top_k(vectors_of: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 yield pa.record_batch(
                     [
                         pa.array(np.repeat(q.number, sizes)), pa.array(np.repeat(q.ids, sizes)),
-                        pa.array(np.concatenate([ids for ids, _ in q.found])), pa.array(np.concatenate([s for _, s in q.found]).astype(np.int64)),
+                        pa.array(np.concatenate([ids for ids, _ in q.found])), pa.array(np.concatenate([s for _, s in q.found])),
                     ],
                     names=["query", "query_id", "vec_id", "score"],
                 )
