@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldmarch.llm import leaks, lines, mixing, near_copies, toxicity
-from fieldmarch.session import shared_dir
+from fieldmarch.session import cut, discard
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +18,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line of each group of like lines stays; documents left without a word go. All lines, five-character shingles, similarity 0.8."""
-    return lines.drop_repeated_lines(docs, chars=5, least=1)
+    return lines.drop_repeated_lines(docs, percent=80, chars=5, least=1)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +49,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table, each written as Parquet and read again."""
+    """All stages over the whole documents table, each written as Parquet and read again; a table goes once the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
