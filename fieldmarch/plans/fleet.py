@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import asof, fleet, latch, ordered
+from ..operators import alerts, asof, fleet, latch, ordered
+from ..vocabulary import DEMO_PREFIX
 from . import tables as T
 from .registry import query
 
@@ -250,3 +251,40 @@ def trail_output(spark, d):
         F.when(k.isin("view", "error"), "off_trail").when(k == "click", "off_trail_estimate").otherwise("on_trail").alias("status"))
     out = latch.trail_output(e, ["device_id"], "t_s", "status", chunk_s=100.0)
     return out.select("device_id", "event_id", "t_s", "action", "keepalive")
+
+
+def alert_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots a few seconds apart, some with longer silence between; the device's own level may stay above its reading."""
+    c, k = F.col, F.col("event_id")
+    return T.ev(spark, d).select(
+        "device_id", (c("t_s") / 50.0).alias("t_s"), F.when(k % 13 != 0, c("value")).alias("co_ppm"),
+        ((c("value") >= 60) & (k % 5 != 0)).alias("co_alarm"), F.when(c("value") >= 20, "warning").otherwise("normal").alias("co_level"),
+        F.when(c("event_type") == "view", "off_trail").when(c("event_type") == "click", "off_trail_estimate").otherwise("on_trail").alias("trail_status"),
+        F.when(k % 3 == 0, "return_now").otherwise("normal").alias("sun_status"), (c("event_type") == "signup").alias("arrived"),
+        F.when(k % 4 == 0, "").when(k % 4 == 1, "basecamp").when(k % 4 == 2, "checkpoint-2").alias("target_id"),
+        F.when(k % 7 < 3, "basecamp").when(k % 7 < 6, "destination").alias("target_kind"), (k % 6 == 0).alias("demo"))
+
+
+T.define("ard", ["ev"], """SELECT device_id, t_s/50.0::DOUBLE AS t_s, event_id AS k, CASE WHEN event_id%13<>0 THEN value END AS ppm, event_id%6=0 AS demo,
+    CASE WHEN value>=60 AND event_id%5<>0 THEN 'alarm' WHEN value>=20 THEN 'warning' END AS co, CASE event_type WHEN 'view' THEN 'off_trail' WHEN 'click' THEN 'off_trail_estimate' END AS trail,
+    CASE WHEN event_id%3=0 THEN 'return_now' END AS sun, CASE WHEN event_type='signup' THEN coalesce(CASE event_id%4 WHEN 1 THEN 'basecamp' WHEN 2 THEN 'checkpoint-2' END,
+      CASE WHEN event_id%7<3 THEN 'basecamp' WHEN event_id%7<6 THEN 'destination' END, 'target') END AS arr, event_id%4=1 OR event_id%7<3 AS base,
+    lead(t_s/50.0::DOUBLE) OVER (PARTITION BY device_id ORDER BY t_s) AS nt FROM ev""")
+T.define("achan", ["ard"], """SELECT device_id, t_s, 0 AS ord, 'co_key' AS channel, co AS key FROM ard UNION ALL SELECT device_id, t_s, 1, 'trail_key', trail FROM ard
+    UNION ALL SELECT device_id, t_s, 2, 'daylight_key', sun FROM ard UNION ALL SELECT device_id, t_s, 3, 'arrival_key', arr FROM ard
+    UNION ALL SELECT device_id, t_s+3.0::DOUBLE, o, ch, CASE WHEN o=2 THEN sun END FROM ard, (VALUES (0,'co_key'),(1,'trail_key'),(2,'daylight_key'),(3,'arrival_key')) AS x(o, ch)
+      WHERE nt IS NULL OR nt>t_s+3.0::DOUBLE""")
+for _name, _new in (("chan_n", "achan_n"), ("emit", "aemit")):
+    T.define(_new, ["achan" if _new == "achan_n" else "achan_n"], T.sql_of(_name).replace("FROM chan ", "FROM achan ").replace("chan_n", "achan_n").replace("FROM emit ", "FROM aemit "))
+
+
+@query("alerts_from_readings", T.ctes("aemit") + f""" SELECT e.device_id, e.t_s, CAST(ord AS INTEGER) AS ord, CASE ord WHEN 0 THEN 'co_'||key WHEN 1 THEN 'trail' WHEN 2 THEN 'daylight' ELSE 'arrival' END AS kind,
+    'SAFE-PROACTIVE-'||(['CO','TRAIL','DAYLIGHT','ARRIVAL'])[ord+1] AS source_id, CASE WHEN ord=0 AND key='warning' THEN 'caution' ELSE 'alarm' END AS severity,
+    CASE WHEN ord=0 THEN key END AS sound, rep AS repeated, CASE WHEN demo AND ord<>0 THEN '{DEMO_PREFIX}' ELSE '' END||CASE ord
+      WHEN 0 THEN CASE key WHEN 'alarm' THEN '{alerts.CO_TEXT["alarm"][0]}' ELSE '{alerts.CO_TEXT["warning"][0]}' END||' 센서 계측은 '||coalesce(CAST(CAST(round_even(ppm,0) AS BIGINT) AS VARCHAR),'확인 불가')||'피피엠입니다. '||
+        CASE key WHEN 'alarm' THEN '{alerts.CO_TEXT["alarm"][1]}' ELSE '{alerts.CO_TEXT["warning"][1]}' END
+      WHEN 1 THEN CASE key WHEN 'off_trail' THEN '{alerts.TRAIL_TEXT["off_trail"]}' ELSE '{alerts.TRAIL_TEXT["off_trail_estimate"]}' END
+      WHEN 2 THEN '{alerts.DAYLIGHT_TEXT}' ELSE CASE WHEN coalesce(base, false) THEN '{alerts.ARRIVAL_TEXT[0]}' ELSE '{alerts.ARRIVAL_TEXT[1]}' END END AS text
+    FROM aemit e JOIN ard a ON a.device_id=e.device_id AND a.t_s=e.t_s WHERE e.e""")
+def alerts_from_readings(spark, d):
+    return alerts.alerts_from_readings(alert_readings(spark, d), ["device_id"], chunk_s=60.0)

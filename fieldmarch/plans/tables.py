@@ -162,6 +162,10 @@ def define(name: str, needs: list[str], sql: str) -> None:
     _CTES[name] = (needs, sql)
 
 
+def sql_of(name: str) -> str:
+    return _CTES[name][1]
+
+
 def ctes(*names: str) -> str:
     """``WITH`` clause holding the named tables and whatever they build on, open for more."""
     done: list[str] = []
