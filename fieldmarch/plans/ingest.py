@@ -219,3 +219,44 @@ def sensor_state(spark, d):
     e = e.withColumn("ok", F.col("event_type") != "error").withColumn("has_fix", F.col("event_id") % 3 != 0)
     out = fleet.sensor_state(e, ["device_id", "boot_id"], "t_s", "since", "ok", "has_fix")
     return out.select("event_id", "device_id", "t_s", "co_state", "gps_state")
+
+
+def telemetry_lines(spark: SparkSession, d: str) -> DataFrame:
+    """JSON telemetry as devices send it, with every part present for some lines, and lines that break one rule each."""
+    c, k = F.col, F.col("event_id")
+    part = lambda cond, **m: F.when(cond, F.struct(*[v.alias(n) for n, v in m.items()]))
+    yes, fix, env, press, alarm = F.lit(True), k % 3 != 0, k % 5 != 0, k % 4 != 0, c("value") >= 60
+    payload = F.to_json(F.struct(
+        F.lit(1).alias("v"), F.lit("telemetry").alias("event"), k.alias("seq"), F.expr("t_us div 1000").alias("uptime_ms"),
+        part(yes, fix=fix, lat=F.when(fix, c("lat")), lon=F.when(fix, c("lon")), sats=F.when(k % 8 != 0, c("satellites")), acc_m=c("acc_m"), age_s=k % 9 / 4.0).alias("gps"),
+        part(k % 6 != 0, valid=k % 4 != 3, iso_utc=F.when(k % 4 != 3, F.format_string("2026-08-09T03:%02d:%02dZ", k % 60, k * 7 % 60))).alias("rtc"),
+        part(yes, valid=env, temp_c=F.when(env | (k % 43 == 0), (k % 600 - 100) / 10.0), humidity_pct=F.when(env, (k % 1000) / 10.0), pressure_valid=F.when(k % 7 != 0, press),
+             press_hpa=F.when(press, (k % 800 + 300).cast("double")), press_trend=F.when(press, "rising"), bmp_address=F.when(k % 10 == 0, k % 3 + 117)).alias("env"),
+        part(yes, valid=c("event_type") != "error", warming_up=F.when(k % 2 == 0, k % 9 == 0), ppm=F.when(c("event_type") != "error", c("value")),
+             level=F.when(alarm & (k % 29 != 0), "alarm").otherwise("normal"), alarm=alarm).alias("co"),
+        part(k % 11 != 0, valid=k % 2 == 0, percent=(k % 102).cast("double"), days_left=k % 90 / 10.0, jetson_gate_on=k % 3 == 1).alias("power")))
+    # a foreign member named like a flag changes nothing; a flag sent as text is none
+    payload = F.when(k % 31 == 0, F.replace(payload, F.lit('{"v":1'), F.lit('{"v":1,"note":{"ok":"true","alarm":"false"}'))).when(
+        k % 37 == 0, F.regexp_replace(payload, '"fix":(true|false)', '"fix":"$1"')).otherwise(payload)
+    e = settle(T.fixes(spark, d).join(T.ev(spark, d).select("event_id", "t_us"), "event_id"), payload=payload)
+    e = settle(e, line=S.frame_json(c("payload")))
+    return e.select("event_id", "device_id", F.when(k % 23 == 0, F.replace("line", F.lit('"seq":'), F.lit('"seq":1'))).otherwise(c("line")).alias("line"))
+
+
+@query("telemetry_json", T.ctes("fixes", "ev") + """ SELECT event_id, reason, CASE WHEN good THEN event_id END AS seq, CASE WHEN good THEN t_us//1000 END AS uptime_ms, CASE WHEN good THEN fix END AS fix,
+    CASE WHEN good AND fix THEN lat END AS lat, CASE WHEN good THEN CASE WHEN event_id%8<>0 THEN satellites ELSE 0 END END AS satellites,
+    CASE WHEN good THEN CASE WHEN acc_m IS NOT NULL THEN 'reported' ELSE 'unknown' END END AS accuracy_kind,
+    CASE WHEN good AND event_id%6<>0 AND event_id%4<>3 THEN 1786244400+60*(event_id%60)+event_id*7%60 END AS rtc_s, CASE WHEN good AND env THEN CAST(event_id%600-100 AS DOUBLE)/10.0::DOUBLE END AS temp_c,
+    CASE WHEN good AND press THEN CAST(event_id%800+300 AS DOUBLE) END AS press_hpa, CASE WHEN good THEN CASE WHEN press THEN 'rising' ELSE 'unknown' END END AS press_trend,
+    CASE WHEN good AND press AND event_id%10=0 THEN CAST(event_id%3+117 AS INTEGER) END AS bmp_address, CASE WHEN good AND event_type<>'error' THEN value END AS co_ppm,
+    CASE WHEN good THEN CASE WHEN value>=60 THEN 'alarm' ELSE 'normal' END END AS co_level, CASE WHEN good THEN value>=60 END AS co_alarm, CASE WHEN good THEN event_id%2=0 AND event_id%9=0 END AS co_warming_up,
+    CASE WHEN good THEN event_id%11<>0 AND event_id%2=0 END AS power_valid, CASE WHEN good AND event_id%11<>0 THEN CAST(event_id%102 AS DOUBLE) END AS percent, CASE WHEN good AND event_id%11<>0 THEN event_id%3=1 END AS gate_on
+    FROM (SELECT *, reason IS NULL AS good FROM (SELECT f.event_id, f.lat, f.acc_m, f.satellites, f.event_id%3<>0 AS fix, ev.t_us, ev.value, ev.event_type, event_id%5<>0 AS env, event_id%4<>0 AS press, CASE WHEN event_id%23=0 THEN 'crc_mismatch'
+      WHEN event_id%37=0 AND event_id%31<>0 THEN 'gps_missing' WHEN event_id%11<>0 AND event_id%102>100 THEN 'power_percent_range' WHEN event_id%5=0 AND event_id%43=0 THEN 'env_unexpected_value'
+      WHEN event_id%4<>0 AND event_id%10=0 AND event_id%3=0 THEN 'pressure_address' WHEN ev.value>=60 AND event_id%29=0 THEN 'co_alarm_conflict' END AS reason FROM fixes f JOIN ev USING (event_id)
+      )) """)
+def telemetry_json(spark, d):
+    t = lambda n: F.col(f"telemetry.{n}")
+    return S.route_lines(telemetry_lines(spark, d)).select(
+        "event_id", "reason", *[t(n).alias(n) for n in ("seq", "uptime_ms", "fix", "lat", "satellites", "accuracy_kind")], F.unix_timestamp(t("rtc_utc")).alias("rtc_s"),
+        *[t(n).alias(n) for n in ("temp_c", "press_hpa", "press_trend", "bmp_address", "co_ppm", "co_level", "co_alarm", "co_warming_up", "power_valid", "percent", "gate_on")])

@@ -34,7 +34,7 @@ POWER_STATES = {  # state -> (gate_on, shutdown_pending); None allows any
 }
 #: Longer lines are rejected and not parsed.
 MAX_LINE_BYTES = 4096
-#: Members that are booleans, sent as text instead.
+#: Where a member that is named like a flag is sent as text; whether it is the flag is then told by its place.
 QUOTED_FLAG = (
     r'"(fix|valid|sht_valid|pressure_valid|warming_up|alarm|jetson_gate_on|shutdown_pending|active|gate_on|ok)"\s*:\s*"(true|false)"'
 )
@@ -130,9 +130,10 @@ def parse_json_line(df: DataFrame, line: str = "line") -> DataFrame:
     # The CRC member is the last 16 characters; it covers everything before it plus the brace.
     base = F.when(has_crc, F.concat(F.substring(s, F.lit(1), F.length(s) - 16), F.lit("}")))
     # A flag sent as text is no flag, and satellites that are given must be a number.
+    df = settle(df, _quoted=s.rlike(QUOTED_FLAG))
     df = settle(
         df, _j=F.from_json(s, TELEMETRY_JSON, {"mode": "PERMISSIVE"}), _json=F.try_parse_json(s).isNotNull(),
-        _quoted=s.rlike(QUOTED_FLAG), _blank_sats=s.rlike(r'"sats"\s*:\s*(null|"\s*")'),
+        _v=F.when(F.col("_quoted"), F.try_parse_json(s)), _blank_sats=s.rlike(r'"sats"\s*:\s*(null|"\s*")'),
         _sent=F.when(has_crc, F.substring(s, -6, 4)), _crc=crc16(base), _object=s.startswith("{"),
     )
     event = F.col("_j.event")
@@ -153,7 +154,8 @@ def parse_json_line(df: DataFrame, line: str = "line") -> DataFrame:
 
 def _flag(name: str) -> Column:
     text = F.col(name)
-    return F.when(F.col("_quoted"), F.lit(None).cast("boolean")).when(text == "true", True).when(text == "false", False)
+    as_text = F.col("_quoted") & (F.schema_of_variant(F.try_variant_get("_v", "$" + name.removeprefix("_j"), "variant")) == "STRING")
+    return F.when(as_text, F.lit(None).cast("boolean")).when(text == "true", True).when(text == "false", False)
 
 
 def _num(name: str) -> Column:
@@ -401,7 +403,7 @@ def parse_nmea(df: DataFrame, line: str = "line") -> DataFrame:
         F.when(good & rmc, text(9)).alias("date"),
         F.when(good & rmc, opt(7)).alias("speed_knots"),
         F.when(good & rmc, opt(8)).alias("course_deg"),
-        F.lit(None).cast("double").alias("acc_m"),
+        F.lit(None).cast("double").alias("acc_m"), F.when(good & (gga | rmc), "unknown").alias("accuracy_kind"),
     )
 
 
