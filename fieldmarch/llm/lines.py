@@ -9,20 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmarch.columns import settle
 from fieldmarch.session import cut, discard
 
-from .links import join_classes, one_of_each
-from .words import fold, minima, mix, range_hashes, sets, signed, slices, text_buffers
+from .links import join_keyed, one_of_each
+from .words import minima, mix, range_hashes, sets, signed, slices, text_buffers
 
-SHINGLE = 12
+SHINGLE = 5
 BANDS = 22
 ROWS = 5
 #: Bits of a line's sketch, one a minimum; at the threshold 6 of them differ on average and over UNLIKE about once in a million.
 SKETCH = 64
 UNLIKE = 20
-#: So many lines have their minima in memory at a time.
-LINES_AT_ONCE = 1 << 14
-LEAST_CHARS = 20
+#: So many lines have their bins in memory at a time.
+LINES_AT_ONCE = 1 << 13
+LEAST_CHARS = 1
+SLICE = 2 << 20
 _BLANK = np.zeros(128, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _CHAR = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -75,55 +77,111 @@ def _sets_of(chars: int):
     return run
 
 
-def _marks(lines: Lines, rows: np.ndarray, chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all bands, number of distinct shingles and sketch of each chosen line."""
-    keys, size, sketch = np.zeros((len(rows), BANDS), np.uint64), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.uint64)
-    for a in range(0, len(rows), LINES_AT_ONCE):
-        at = slice(a, min(len(rows), a + LINES_AT_ONCE))
-        values, first = lines.shingles(rows[at], chars)
-        size[at] = np.diff(sets(values, first)[1])
-        low = minima(values, first, BANDS * ROWS, seed=2)
-        bits = mix(low[:, :SKETCH]) >> np.uint64(63)
-        sketch[at] = (bits << np.arange(SKETCH, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        low, each = low.reshape(-1, BANDS, ROWS), np.arange(len(first)) * ROWS
-        # bands meet by all their minima and their own number
-        for b in range(BANDS):
-            keys[at, b] = fold(low[:, b].ravel() + np.tile(np.arange(ROWS, dtype=np.uint64), len(low)), each) + np.uint64(b)
-    return keys, size, sketch
-
-
-def _signatures(chars: int, least: int):
+def _scatter(values: np.ndarray) -> np.ndarray:
+    """32-bit hashes whose every bit depends on all of a value's."""
+    values = (values ^ (values >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    values = (values ^ (values >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return values ^ (values >> np.uint32(16))
+
+
+def _donors() -> np.ndarray:
+    """For each bin the order in which it looks at others when it is empty: the same for all lines."""
+    order = _scatter(np.arange(BANDS, dtype=np.uint32)[:, None] * np.uint32(0x9E3779B1) + np.arange(BANDS, dtype=np.uint32)[None] + np.uint32(1))
+    order[np.arange(BANDS), np.arange(BANDS)] = 0  # itself first
+    return np.argsort(order, axis=1, kind="stable")
+
+
+_DONORS = _donors()
+_EMPTY = np.uint32(0xFFFFFFFF)
+
+
+def band_keys(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each line of at least one shingle.
+
+    One-permutation MinHash, ROWS times: a hash deals a line's shingles to BANDS bins, each keeps its least; an empty bin takes the value
+    of the first filled one in its own order of the others. A band's key joins its bin of all permutations.
+    """
+    n, line = len(first) - 1, np.repeat(np.arange(len(first) - 1) * BANDS, np.diff(first))
+    low = values.astype(np.uint32) ^ (values >> np.uint64(32)).astype(np.uint32)
+    keys = np.zeros((n, BANDS), np.uint64)
+    for k in range(ROWS):
+        h = _scatter(low ^ np.uint32(0x9E3779B1 * (k + 1) & 0xFFFFFFFF))
+        bins = np.full(n * BANDS, _EMPTY)
+        np.minimum.at(bins, line + (h.astype(np.uint64) * np.uint64(BANDS) >> np.uint64(32)).astype(np.int64), h)
+        bins = bins.reshape(n, BANDS)
+        short = np.flatnonzero((bins == _EMPTY).any(axis=1))
+        filled = bins[short] != _EMPTY
+        donor = np.argmax(filled[:, _DONORS], axis=2)
+        bins[short] = np.take_along_axis(bins[short], _DONORS[np.arange(BANDS), donor], axis=1)
+        keys = mix(keys + bins + np.uint64(k))
+    return mix(keys + np.arange(BANDS, dtype=np.uint64))
+
+
+def _classes(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Lines that are not blank, and a number for each that equal ones share."""
+    rows = np.flatnonzero(lines.size > 0)
+    return rows, range_hashes(lines.values(), lines.start[rows], lines.stop[rows]) if len(rows) else np.zeros(0, np.uint64)
+
+
+def _found(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", SLICE):
                 lines = Lines(part.column("text"))
-                rows = np.flatnonzero(lines.size >= least)
-                cls = range_hashes(lines.values(), lines.start[rows], lines.stop[rows]) if len(rows) else np.zeros(0, np.uint64)
-                # lines that repeat in this slice need one signature
-                _, once = np.unique(cls, return_index=True)
-                once.sort()
-                keys, size, sketch = _marks(lines, rows[once], chars)
-                filled, sizes, sketches = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.uint64)
-                filled[once], sizes[once], sketches[once] = BANDS, size, sketch
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled)]), pa.int32()), pa.array(signed(keys.ravel())))
-                at = lines.text[rows]
-                none = filled == 0
+                rows, cls = _classes(lines)
+                keep = lines.size[rows] >= least
+                rows, cls = rows[keep], cls[keep]
+                at = pa.array(lines.text[rows])
                 yield pa.record_batch(
-                    [
-                        part.column("doc_id").take(pa.array(at)), part.column("row").take(pa.array(at)), pa.array(lines.number[rows]), pa.array(signed(cls)), lists,
-                        pa.array(sizes, mask=none), pa.array(signed(sketches), mask=none),
-                    ],
-                    names=["doc_id", "row", "line", "cls", "keys", "size", "sketch"],
+                    [part.column("doc_id").take(at), part.column("row").take(at), pa.array(lines.number[rows]), pa.array(signed(cls))],
+                    names=["doc_id", "row", "line", "cls"],
                 )
 
     return run
 
 
+def _keyed(chars: int, least: int):
+    """A row for each key of each line, lines that repeat in a slice once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                lines = Lines(part.column("text"))
+                rows, cls = _classes(lines)
+                keep = lines.size[rows] >= least
+                cls, once = np.unique(cls[keep], return_index=True)
+                rows = np.sort(rows[keep][once])
+                cls = range_hashes(lines.values(), lines.start[rows], lines.stop[rows]) if len(rows) else cls
+                for a in range(0, len(rows), LINES_AT_ONCE):
+                    keys = band_keys(*lines.shingles(rows[a : a + LINES_AT_ONCE], chars))
+                    yield pa.record_batch([pa.array(signed(keys.ravel())), pa.array(np.repeat(signed(cls[a : a + LINES_AT_ONCE]), BANDS))], names=["key", "cls"])
+
+    return run
+
+
+def _marked(chars: int):
+    """Adds the number of distinct shingles and the sketch of each line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                values, first = _sets_of(chars)(part.column("text"))
+                bits = mix(minima(values, first, SKETCH, seed=2)) >> np.uint64(63)
+                sketch = (bits << np.arange(SKETCH, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+                yield pa.record_batch([part.column("cls"), part.column("text"), pa.array(np.diff(first)), pa.array(signed(sketch))], names=["cls", "text", "size", "sketch"])
+
+    return run
+
+
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of wanted lines: ``wanted`` lists (line, cls) of the row."""
+    """Texts of wanted lines: ``wanted`` lists (line, cls) of the row. Rows that repeat meet in one task and answer once."""
+    seen: set[int] = set()
     for batch in batches:
         cls, texts = [], []
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+        for row, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "wanted")), strict=True):
+            if row in seen:
+                continue
+            seen.add(row)
             lines = text.split("\n")
             for w in wanted:
                 cls.append(w["cls"])
@@ -142,16 +200,17 @@ def fuzzy_lines(docs: DataFrame, percent: int = 80, chars: int = SHINGLE, least:
     Lines end at a line feed and count from 0; white space at their ends and the case of A-Z do not matter. Lines are linked when their
     sets of shingles of ``chars`` characters have a Jaccard similarity of ``percent`` or more; a line of fewer characters is one shingle.
     Of each component the line of the smallest document and number stays; the others name it. Shorter and blank lines are never copies
-    and are not listed; nulls and empty texts have no lines. Null ids come last and can keep a line. Rows that repeat id and text are one
-    document (``row`` is the number of both). Long shingles link only long lines: one changed character spoils ``chars`` of them.
+    and are not listed; nulls and empty texts have no lines; an empty table gives no rows. Null ids come last and can keep a line. Rows
+    that repeat id and text are one document (``row`` is the number of both). Very long texts and lines are taken whole. Other columns are
+    not read, so their names cannot clash. Long shingles link only long lines: one changed character spoils ``chars`` of them.
 
-    22 bands of 5 minima find 99.98 % of pairs at the threshold itself, and more above it; equal lines are one class before that.
+    22 bands of 5 minima find 99.9 % of pairs at the threshold itself, and more above it; equal lines are one class before that.
     Candidates are tested if their numbers of shingles and their sketches allow the similarity.
     """
     source = _source(docs)
-    found = cut(source.mapInArrow(_signatures(chars, least), "doc_id long, row long, line long, cls long, keys array<long>, size long, sketch long"))
+    found = cut(source.mapInArrow(_found(least), "doc_id long, row long, line long, cls long"))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order"), "row", "line", "doc_id")
-    classes = cut(found.groupBy("cls").agg(F.min(place).alias("first"), F.max("keys").alias("keys"), F.max("size").alias("size"), F.max("sketch").alias("sketch")))
+    classes = cut(found.groupBy("cls").agg(F.min(place).alias("first")))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         spots = classes.join(wanted, "cls", "left_semi").select(F.col("first.row").alias("row"), F.struct(F.col("first.line").alias("line"), "cls").alias("spot"))
@@ -163,9 +222,12 @@ def fuzzy_lines(docs: DataFrame, percent: int = 80, chars: int = SHINGLE, least:
         return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= UNLIKE)
 
     def may(own: np.ndarray, others: np.ndarray) -> np.ndarray:
-        return np.bitwise_count((others[:, 1] ^ own[1]).view(np.uint64)) <= UNLIKE
+        fits = 100 * np.minimum(others[:, 0], own[0]) >= percent * np.maximum(others[:, 0], own[0])
+        return fits & (np.bitwise_count((others[:, 1] ^ own[1]).view(np.uint64)) <= UNLIKE)
 
-    roots = join_classes(classes.select("cls", "keys", "size", "sketch"), near, may, texts_of, _sets_of(chars), percent)
+    keys = source.mapInArrow(_keyed(chars, least), "key long, cls long")
+    marked = lambda texts: texts.mapInArrow(_marked(chars), "cls long, text string, size long, sketch long")
+    roots = join_keyed(keys, marked, near, may, texts_of, _sets_of(chars), percent)
     rooted = classes.select("cls", "first").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     named = rooted.join(best, "root").select("cls", "best")
@@ -184,19 +246,19 @@ def fuzzy_lines(docs: DataFrame, percent: int = 80, chars: int = SHINGLE, least:
 def drop_repeated_lines(docs: DataFrame, percent: int = 80, chars: int = SHINGLE, least: int = LEAST_CHARS) -> DataFrame:
     """``docs`` without the lines that ``fuzzy_lines`` does not keep; documents that had words and keep none are left out.
 
-    Of rows that repeat id and text one stays, if the text has words. Texts without such lines stay as they are, to the byte. ``n_chars``
-    follows the text where the table has it.
+    Of rows that repeat id and text one stays, if the text has words; null and empty texts stay. Texts without such lines stay as they
+    are, to the byte. ``n_chars`` follows the text where the table has it.
     """
     row, own, gone, emptied = (f"__lines_{x}" for x in ("row", "own", "gone", "emptied"))
     dropped = fuzzy_lines(docs, percent, chars, least).filter("not kept").groupBy(F.col("row").alias(own)).agg(F.collect_set("line").alias(gone))
     marked = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     marked = one_of_each(marked, row, marked.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).groupBy(row).count())
     joined = marked.join(dropped.hint("shuffle_hash"), F.col(row) == F.col(own), "left")
-    lines = F.split("text", "\n", -1)
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    left = F.filter(F.arrays_zip(lines.alias("l"), numbers.alias("n")), lambda x: ~F.array_contains(F.col(gone), x["n"].cast("long")))
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda x: x["l"]), "\n"))
-    cleaned = joined.withColumn("text", text).withColumn(emptied, F.col(gone).isNotNull() & ~F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    # split once: a lambda would split the text again for every line
+    split = settle(joined, __lines_all=F.when(F.col(gone).isNotNull(), F.split("text", "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("__lines_all").cast("long") - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda n: F.get("__lines_all", n.cast("int"))), "\n"))
+    cleaned = split.withColumn("text", text).withColumn(emptied, F.col(gone).isNotNull() & ~F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     kept = cleaned.filter(~F.col(emptied))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

@@ -101,6 +101,47 @@ def verify(pairs: DataFrame, texts: DataFrame, sets_of: Callable, percent: int)
     return rows.mapInArrow(check, "a long, b long").distinct()
 
 
+def _screen(rows: DataFrame, marks: list[str], may: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The ``rows(group, part, role, cls, root, *marks)`` that have anybody to be tested with, told by marks alone: no text moves for others."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mine, hit = None, [], set()
+        names = ["group", "part", "role", "cls", "root"]
+
+        def rows_of(role: int, cls: list[int], root: list[int]) -> pa.RecordBatch:
+            group, part = at
+            n = len(cls)
+            return pa.record_batch([pa.array([group] * n, pa.int64()), pa.array([part] * n, pa.int64()), pa.array([role] * n, pa.int32()), pa.array(cls, pa.int64()), pa.array(root, pa.int64())], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group, part, role, cls, root = (batch.column(c).to_numpy() for c in names)
+            mark = np.stack([batch.column(m).to_numpy() for m in marks], axis=1)
+            edges = np.flatnonzero((group[1:] != group[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, len(role)], strict=True):
+                if at != (group[a], part[a]):
+                    if hit:
+                        yield rows_of(0, [mine[i][0] for i in hit], [mine[i][1] for i in hit])
+                    at, mine, hit = (group[a], part[a]), [], set()
+                if role[a] == 0:
+                    mine += zip(cls[a:b].tolist(), root[a:b].tolist(), mark[a:b], strict=True)
+                    continue
+                met = np.zeros(b - a, bool)
+                for i, (_, own_root, own) in enumerate(mine):
+                    which = may(own, mark[a:b]) & (root[a:b] != own_root)
+                    if which.any():
+                        hit.add(i)
+                        met |= which
+                if met.any():
+                    yield rows_of(1, cls[a:b][met].tolist(), root[a:b][met].tolist())
+        if hit:
+            yield rows_of(0, [mine[i][0] for i in hit], [mine[i][1] for i in hit])
+
+    dealt = rows.repartition("group", "part").sortWithinPartitions("group", "part", "role", "cls")
+    return dealt.mapInArrow(check, "group long, part long, role int, cls long, root long")
+
+
 def _settle(rows: DataFrame, marks: list[str], may: Callable[[np.ndarray, np.ndarray], np.ndarray], sets_of: Callable, percent: int) -> DataFrame:
     """Links ``(a, b)`` between roots from ``rows(group, part, role, cls, root, text, *marks)``: stragglers (role 0), then whom they meet."""
 
@@ -152,15 +193,81 @@ def join_classes(members: DataFrame, near: Callable[[str, str], Column], may: Ca
     held = cut(keys.join(shared.select("key", "pivot", "members"), "key"))
     marks = [c for c in members.columns if c not in ("cls", "keys")]
     sigs = cut(members.select("cls", *marks).join(held.select("cls").distinct(), "cls", "left_semi"))
+    star = cut(_star(held, sigs, near))
+    texts = cut(texts_of(star.select("pivot").union(star.select("cls")).union(held.filter("members > 2").select("cls")).toDF("cls").distinct()))
+    return _rooted(held, star, sigs, marks, texts, may, sets_of, percent)
+
 
+def join_keyed(keys: DataFrame, marked: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], may: Callable[[np.ndarray, np.ndarray], np.ndarray], texts_of: Callable[[DataFrame], DataFrame], sets_of: Callable, percent: int) -> DataFrame:
+    """As ``join_classes``, from rows ``keys(key, cls)`` that may repeat; ``marked(texts)`` adds the marks to ``(cls, text)``.
+
+    Keys move once, and only classes that share one get marks.
+    """
+    held = cut(shared_keys(keys))
+    texts = cut(marked(texts_of(held.select("cls").distinct())))
+    marks = [c for c in texts.columns if c not in ("cls", "text")]
+    sigs = texts.select("cls", *marks)
+    return _rooted(held, cut(_star(held, sigs, near)), sigs, marks, texts, may, sets_of, percent)
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """``key, cls, pivot, members`` of the keys that two classes or more have; ``pivot`` is the least class, ``members`` counts to 3.
+
+    One exchange: each task goes once along its rows in order of key and class and holds two rows of a key at most, so a key of any
+    number of classes streams by.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 0), np.int64)  # the first rows of a key that has shown no third one yet
+        ruling: tuple[int, int, int] | None = None  # key, pivot and last class of a key whose rows go out already
+
+        def rows(key, cls, pivot, members):
+            return pa.record_batch([pa.array(key), pa.array(cls), pa.array(pivot), pa.array(np.broadcast_to(members, len(key)).astype(np.int64))], names=["key", "cls", "pivot", "members"])
+
+        for batch in batches:
+            key, cls = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("key", "cls")])], axis=1)
+            held = held[:, :0]
+            if not len(key):
+                continue
+            new = np.concatenate([[ruling is None or (key[0], cls[0]) != (ruling[0], ruling[2])], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
+            key, cls = key[new], cls[new]
+            if ruling:
+                on = int(np.searchsorted(key, ruling[0], side="right"))
+                if on:
+                    yield rows(key[:on], cls[:on], np.full(on, ruling[1]), 3)
+                    ruling = (ruling[0], ruling[1], int(cls[on - 1]))
+                    key, cls = key[on:], cls[on:]
+            if not len(key):
+                continue
+            ruling = None
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(first, len(key)))
+            if size[-1] >= 3:
+                ruling = (int(key[-1]), int(cls[first[-1]]), int(cls[-1]))
+            else:  # the next batch may go on with it
+                held = np.stack([key[first[-1] :], cls[first[-1] :]])
+                key, cls, first, size = key[: first[-1]], cls[: first[-1]], first[:-1], size[:-1]
+            members, pivot = np.repeat(size, size), np.repeat(cls[first], size)
+            out = members > 1
+            yield rows(key[out], cls[out], pivot[out], np.minimum(members[out], 3))
+        if held.shape[1] == 2:
+            yield rows(held[0], held[1], np.full(2, held[1, 0]), 2)
+
+    return keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(mark, "key long, cls long, pivot long, members long")
+
+
+def _star(held: DataFrame, sigs: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs (pivot, cls) of a key whose marks allow the similarity."""
     star = held.filter("cls <> pivot").select("pivot", "cls").distinct()
     a, b = sigs.alias("a"), sigs.alias("b")
     star = star.withColumnRenamed("cls", "leaf").join(a, F.col("pivot") == F.col("a.cls")).join(b, F.col("leaf") == F.col("b.cls"))
-    star = cut(star.filter(near("a", "b")).select("pivot", F.col("leaf").alias("cls")))
+    return star.filter(near("a", "b")).select("pivot", F.col("leaf").alias("cls"))
+
+
+def _rooted(held: DataFrame, star: DataFrame, sigs: DataFrame, marks: list[str], texts: DataFrame, may: Callable, sets_of: Callable, percent: int) -> DataFrame:
     # a key of two classes is settled by its star
     crowd = held.filter("members > 2")
-    texts = cut(texts_of(star.select("pivot").union(star.select("cls")).union(crowd.select("cls")).toDF("cls").distinct()))
-    linked = cut(verify(star, texts, sets_of, percent))
+    linked = cut(verify(star, texts.select("cls", "text"), sets_of, percent))
     roots = components(linked)
     keyed = crowd.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     sizes = keyed.groupBy("key", "root").count()
@@ -173,11 +280,14 @@ def join_classes(members: DataFrame, near: Callable[[str, str], Column], may: Ca
     met = ruled.select(F.col("root").alias("group"), "cls", "root", "parts").union(stragglers.join(parts, "group").select("group", "cls", "root", "parts"))
     met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = own.select("group", "part", F.lit(0).alias("role"), "cls", "root").union(met.select("group", "part", F.lit(1), "cls", "root"))
-    found = cut(_settle(rows.join(sigs, "cls").join(texts, "cls").select("group", "part", "role", "cls", "root", "text", *marks), marks, may, sets_of, percent))
+    rows = cut(_screen(rows.join(sigs.select("cls", *marks), "cls"), marks, may))
+    screened = rows
+    rows = rows.join(sigs.select("cls", *marks), "cls").join(texts.select("cls", "text"), "cls")
+    found = cut(_settle(rows.select("group", "part", "role", "cls", "root", "text", *marks), marks, may, sets_of, percent))
     merged = components(found)
     # roots that were lone classes until now have no row yet
     out = cut(_compose(roots, merged).union(merged.join(roots, "node", "left_anti").select("node", "root")))
-    for done in (held, star, texts, sigs, linked, roots, stragglers, found, merged):
+    for done in (held, star, texts, sigs, linked, roots, stragglers, screened, found, merged):
         discard(done)
     return out.select(F.col("node").alias("cls"), "root")
 

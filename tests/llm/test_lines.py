@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
-from fieldmarch.llm import lines, queries
+import numpy as np
+
+from fieldmarch.llm import lines, links, queries
 
 from . import brute
 
@@ -13,29 +15,6 @@ def shingle_set(line):
     return {line[i : i + 12] for i in range(max(1, len(line) - 11))}
 
 
-def plain(rows):
-    """rows: (id, text); kept and first of each line of 20 characters or more."""
-    found = [(d, n, shingle_set(x)) for d, t in rows for n, x in enumerate((t or "").split("\n")) if len(x.strip(" \t\n\x0b\x0c\r")) >= 20]
-    parent = list(range(len(found)))
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a in range(len(found)):
-        for b in range(a):
-            x, y = found[a][2], found[b][2]
-            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and 100 * len(x & y) >= 80 * len(x | y):
-                parent[root(a)] = root(b)
-    order = lambda i: (found[i][0] is None, found[i][0] or 0, found[i][1])
-    best = {}
-    for i in range(len(found)):
-        if root(i) not in best or order(i) < order(best[root(i)]):
-            best[root(i)] = i
-    return sorted([(d, n, *found[best[root(i)]][:2], best[root(i)] == i) for i, (d, n, _) in enumerate(found)], key=repr)
-
-
 def test_against_all_pairs(spark):
     rng = random.Random(3)
     word = lambda: rng.choice(["of", "the", "ßen", "tion", "and", "𝔘nder", "ing"]) + rng.choice(["a", "er", "st", "é"]) * rng.randrange(1, 4)
@@ -53,11 +32,11 @@ def test_against_all_pairs(spark):
     rows += [(None, stock[0]), (None, None), (200, ""), (201, "\n\n"), (202, "y" * 300_000 + "\n" + "y" * 300_000)]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, cls int").repartition(5)
     got = lines.fuzzy_lines(df).collect()
-    assert sorted([(r.doc_id, r.line, r.first_doc_id, r.first_line, r.kept) for r in got], key=repr) == plain(rows)
+    assert sorted([(r.doc_id, r.line, r.first_doc_id, r.first_line, r.kept) for r in got], key=repr) == brute.like_lines(rows, 5, 1)
     assert lines.fuzzy_lines(df.limit(0)).collect() == []
 
     gone = {}
-    for d, n, _, _, kept in plain(rows):
+    for d, n, _, _, kept in brute.like_lines(rows, 5, 1):
         if not kept:
             gone.setdefault(d, set()).add(n)
     want = []
@@ -126,3 +105,32 @@ def test_repeated_rows_stay_once(spark):
     left = lines.drop_repeated_lines(df, chars=5, least=1)
     assert left.columns == df.columns
     assert sorted(map(tuple, left.collect()), key=repr) == sorted([(1, text), (None, "second line, which is another one of no id at all"), *rows[-4:]], key=repr)
+
+
+def test_bands_find_pairs_at_the_threshold():
+    rng = np.random.default_rng(2)
+    for union in (5, 10, 40, 85, 160):
+        both, n = union * 4 // 5, 1500
+        values = rng.integers(0, 1 << 63, (n, union), dtype=np.uint64)
+        one = values[:, : both + (union - both) // 2]
+        two = np.concatenate([values[:, :both], values[:, one.shape[1] :]], axis=1)
+        keys = [lines.band_keys(np.ascontiguousarray(x).ravel(), np.arange(0, n * x.shape[1] + 1, x.shape[1])) for x in (one, two)]
+        assert (keys[0] == keys[1]).any(axis=1).mean() > 0.997, union
+        # unlike lines hardly meet
+        assert (keys[0] == np.roll(keys[0], 1, axis=0)).any(axis=1).mean() < 0.01
+
+
+def test_shared_keys_whatever_the_batches(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(-40, 40), rng.randrange(12) - 6) for _ in range(300)] + [(99, c) for c in range(50)] * 2 + [(100, 7)] * 30 + [(101, 1), (101, 2)]
+    by = {}
+    for k, c in rows:
+        by.setdefault(k, set()).add(c)
+    want = sorted((k, c, min(cs), min(3, len(cs))) for k, cs in by.items() if len(cs) > 1 for c in cs)
+    for size in (1, 2, 7, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = links.shared_keys(spark.createDataFrame(rows, "key long, cls long")).select("key", "cls", "pivot", "members").collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(map(tuple, got)) == want

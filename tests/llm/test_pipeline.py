@@ -6,7 +6,6 @@ import corpus_pipeline
 
 from . import brute
 from .test_leaks import plain_score
-from .test_lines import plain as plain_lines
 from .test_mixing import plain_targets
 
 
@@ -47,7 +46,7 @@ def test_pipeline(spark, tmp_path):
     source = {r[0]: r[3] for r in rows}
     left = [(d, t) for d, t, *_ in rows if "vileword" not in (t or "")]
     gone = {}
-    for d, n, _, _, kept in plain_lines(left):
+    for d, n, _, _, kept in brute.like_lines(left, 5, 1):
         if not kept:
             gone.setdefault(d, set()).add(n)
     cut = [(d, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d]) if d in gone else t) for d, t in left]
