@@ -82,7 +82,7 @@ def _select(columns: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray
     """The features that tell the classes apart best, by the chi-square statistic of presence."""
     n, positive = len(y), y.sum()
     seen = np.bincount(columns, minlength=1 << FEATURE_BITS).astype(float)
-    hit = np.bincount(columns, np.repeat(y, np.diff(first)), 1 << FEATURE_BITS)
+    hit = np.bincount(columns[np.repeat(y > 0, np.diff(first))], minlength=1 << FEATURE_BITS).astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = (hit * n - seen * positive) ** 2 / (seen * (n - seen) * positive * (n - positive)) * n
     chi[~np.isfinite(chi) | (seen < 2)] = 0
@@ -91,18 +91,21 @@ def _select(columns: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray
 
 
 def _narrow(columns: np.ndarray, first: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = np.full(1 << FEATURE_BITS, -1)
+    place = np.full(1 << FEATURE_BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     at = place[columns]
-    inside = np.concatenate([[0], np.cumsum(at >= 0)])
-    return at[at >= 0], inside[first]
+    some = at >= 0
+    inside = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(some, out=inside[1:])
+    return at[some], inside[first]
 
 
 def _take(columns: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.diff(first)[rows]
-    start = np.concatenate([[0], np.cumsum(counts)])
-    at = np.arange(start[-1]) + np.repeat(first[rows] - start[:-1], counts)
-    return columns[at], start
+    """Some rows, in ascending order."""
+    counts = np.diff(first)
+    wanted = np.zeros(len(counts), bool)
+    wanted[rows] = True
+    return columns[np.repeat(wanted, counts)], np.concatenate([[0], np.cumsum(counts[rows])])
 
 
 class Chain:
@@ -181,11 +184,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
                 yield pa.record_batch([lists, part.column("turn"), *(part.column(f"y{i}") for i in range(len(names)))], names=["f", "turn", *(f"y{i}" for i in range(len(names)))])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if sum(b.num_rows for b in held):
-            table = pa.Table.from_batches(held).sort_by("turn").combine_chunks()
+        table = pa.Table.from_batches(batches, pa.schema([("f", pa.list_(pa.int32())), ("turn", pa.int64()), *((f"y{i}", pa.int32()) for i in range(len(names)))]))
+        if table.num_rows:
+            table = table.sort_by("turn").combine_chunks()
             lists = table.column("f").combine_chunks()
-            columns = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            columns = lists.flatten().to_numpy(zero_copy_only=False)
             first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             y = np.stack([table.column(f"y{i}").to_numpy() for i in range(len(names))], axis=1)
             folds = table.column("turn").to_numpy() % FOLDS

@@ -76,3 +76,31 @@ def test_text_without_known_stop_words():
         # between good blocks a block in another language follows them
         assert html.main_text(f"<body><p>{PROSE * 3}</p><p>{text * 2}</p><p>{PROSE * 3}</p></body>") == "\n\n".join([(PROSE * 3).strip(), (text * 2).strip(), (PROSE * 3).strip()])
     assert html.main_text("<body>" + "<div class=sidebar>" * 3000 + PROSE * 3 + "</div>" * 3000) == (PROSE * 3).strip()
+
+
+def test_names_and_links_inside_the_article_do_not_cost_text():
+    pages = {
+        "<body><h1>T</h1><p>Short story.</p><p>It ends.</p></body>": "T\n\nShort story.\n\nIt ends.",
+        "<article><h1>Big</h1><p>The story of the man and the sea is that it was good.</p><p><a href=x>A linked paragraph</a></p><p>Final.</p></article><footer>f</footer>":
+            "Big\n\nThe story of the man and the sea is that it was good.\n\nA linked paragraph\n\nFinal.",
+        "<article><p class='related-work'>Earlier work is not enough.</p><blockquote class='share-quote'>Quote me.</blockquote><p>Use the <code>a</code> form.</p>"
+        "<ul><li><a>one</a></li><li><a>two</a></li><li><a>three</a></li></ul><div class='comments'><p>I hate it</p></div></article>":
+            "Earlier work is not enough.\n\nQuote me.\n\nUse the a form.",
+        "<main><p>Hello there.</p><figure><img><figcaption>A caption</figcaption></figure></main>": "Hello there.\n\nA caption",
+        "<article><div class='widget-body'><p>All of it is here.</p><p>And here.</p></div><p>End.</p></article>": "All of it is here.\n\nAnd here.\n\nEnd.",
+        "<nav><a>x</a></nav><p><a>only</a> <a>links</a></p>": "",
+        "<p title='a > b'>x < y</p><![CDATA[a<b]]><p>Half <a b": "x < y\n\na<b\n\nHalf",
+    }
+    for page, text in pages.items():
+        assert html.main_text(page) == text, page
+
+
+def test_time_grows_with_the_page_only():
+    import time
+
+    hostile = ["<a b=", '<a "', '<a b=">" ', "<![CDATA[", "<!--", "<script>", "<a b='", "</p>", "<p class=x ", "<div hidden>"]
+    start = time.process_time()
+    for piece in hostile:
+        html.main_text(piece * (400_000 // len(piece)))
+    html.main_text("<div hidden>" * 30_000 + "</div>" * 30_000)
+    assert time.process_time() - start < 30
