@@ -1,4 +1,4 @@
 """Queries over the given tables, grouped by job."""
 
-from . import alarms, evals, fleet, ingest, logs, maps, model, router, routes  # noqa: F401
+from . import acceptance, alarms, evals, fleet, ingest, logs, maps, model, router, routes  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
