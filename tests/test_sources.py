@@ -280,3 +280,18 @@ def test_state_line_of_a_latched_alarm(spark):
     full = dict(sun_computed=True, sunset_clock="18:05", remaining_min=7.5, sun_level="normal", route_available=True, target_id="checkpoint-3", distance_m=9.0, arrived=True)
     assert line(**full) == "gps=nofix | sun=set18:05 rem8min lvl=normal | route=checkpoint-3 9m | arrived=yes"
     assert line(18, **full) == "gps=nofix | sun=set18:05 rem8min lvl=normal" and line(2, **full) == "device=truncated"
+
+
+def test_bursts_end_with_the_clip_or_when_they_last_too_long(spark, tmp_path):
+    t = np.arange(16000 * 12) / 16000
+    tone, gap = 0.3 * np.sin(2 * math.pi * 440 * t), np.zeros(16000)
+    wav(tmp_path / "long.wav", np.concatenate([gap, tone]))
+    wav(tmp_path / "blips.wav", np.concatenate([gap, tone[:900], gap, tone[:900], gap]))
+    wav(tmp_path / "paused.wav", np.concatenate([gap, tone[:8192], gap[:4096], tone[:8192], gap]))
+    wav(tmp_path / "open.wav", np.concatenate([gap, tone[:8192]]))
+    wav(tmp_path / "none.wav", gap[:0])
+    (tmp_path / "junk.wav").write_bytes(b"RIFFxxxx")
+    got = {}
+    for r in capture.bursts(capture.files(spark, str(tmp_path))).orderBy("path", "start_s").collect():
+        got.setdefault(r.path.split("/")[-1][:-4], []).append((round(r.start_s, 1), round(r.end_s, 1)))
+    assert got == {"long": [(1.0, 9.0), (9.0, 13.0)], "paused": [(1.0, 2.3)], "open": [(1.0, 1.5)]}
