@@ -22,9 +22,12 @@ ROWS = 5
 SKETCH = 64
 UNLIKE = 20
 #: So many lines have their bins in memory at a time.
-LINES_AT_ONCE = 1 << 13
+LINES_AT_ONCE = 1 << 12
 LEAST_CHARS = 1
-SLICE = 2 << 20
+SLICE = 1 << 20
+MARKED_CHARS = 1 << 18
+#: So many keys are sorted by a task at a time.
+KEYS_A_TASK = 1 << 19
 _BLANK = np.zeros(128, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _CHAR = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -159,36 +162,42 @@ def _keyed(chars: int, least: int):
     return run
 
 
-def _marked(chars: int):
-    """Adds the number of distinct shingles and the sketch of each line."""
+def _pick(chars: int):
+    """Texts of wanted lines, with the number of distinct shingles and the sketch of each: ``wanted`` lists (line, cls) of the row.
+
+    Rows that repeat meet in one task and answer once.
+    """
+
+    def marked(cls: list[int], texts: list[str]) -> pa.RecordBatch:
+        column = pa.array(texts, pa.string())
+        values, first = _sets_of(chars)(column)
+        bits = mix(minima(values, first, SKETCH, seed=2)) >> np.uint64(63)
+        sketch = (bits << np.arange(SKETCH, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return pa.record_batch([pa.array(cls, pa.int64()), column, pa.array(np.diff(first)), pa.array(signed(sketch))], names=["cls", "text", "size", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        cls: list[int] = []
+        texts: list[str] = []
+        held = 0
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                values, first = _sets_of(chars)(part.column("text"))
-                bits = mix(minima(values, first, SKETCH, seed=2)) >> np.uint64(63)
-                sketch = (bits << np.arange(SKETCH, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-                yield pa.record_batch([part.column("cls"), part.column("text"), pa.array(np.diff(first)), pa.array(signed(sketch))], names=["cls", "text", "size", "sketch"])
+            for row, text, wanted in zip(*(batch.column(c) for c in ("row", "text", "wanted")), strict=True):
+                if row.as_py() in seen:
+                    continue
+                seen.add(row.as_py())
+                lines = text.as_py().split("\n")
+                for w in wanted.as_py():
+                    cls.append(w["cls"])
+                    texts.append(lines[w["line"]])
+                    held += len(texts[-1])
+                    if held >= MARKED_CHARS:
+                        yield marked(cls, texts)
+                        cls, texts, held = [], [], 0
+        yield marked(cls, texts)
 
     return run
 
 
-def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of wanted lines: ``wanted`` lists (line, cls) of the row. Rows that repeat meet in one task and answer once."""
-    seen: set[int] = set()
-    for batch in batches:
-        cls, texts = [], []
-        for row, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "wanted")), strict=True):
-            if row in seen:
-                continue
-            seen.add(row)
-            lines = text.split("\n")
-            for w in wanted:
-                cls.append(w["cls"])
-                texts.append(lines[w["line"]])
-        yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(texts, pa.string())], names=["cls", "text"])
-
-
 def _source(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return source.withColumn("row", F.xxhash64("doc_id", "text"))
@@ -215,7 +224,7 @@ def fuzzy_lines(docs: DataFrame, percent: int = 80, chars: int = SHINGLE, least:
     def texts_of(wanted: DataFrame) -> DataFrame:
         spots = classes.join(wanted, "cls", "left_semi").select(F.col("first.row").alias("row"), F.struct(F.col("first.line").alias("line"), "cls").alias("spot"))
         by_row = spots.groupBy("row").agg(F.collect_list("spot").alias("wanted"))
-        return source.select("row", "text").join(by_row.hint("shuffle_hash"), "row").mapInArrow(_pick, "cls long, text string")
+        return source.select("row", "text").join(by_row.hint("shuffle_hash"), "row").mapInArrow(_pick(chars), "cls long, text string, size long, sketch long")
 
     def near(a: str, b: str) -> Column:
         x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
@@ -226,8 +235,8 @@ def fuzzy_lines(docs: DataFrame, percent: int = 80, chars: int = SHINGLE, least:
         return fits & (np.bitwise_count((others[:, 1] ^ own[1]).view(np.uint64)) <= UNLIKE)
 
     keys = source.mapInArrow(_keyed(chars, least), "key long, cls long")
-    marked = lambda texts: texts.mapInArrow(_marked(chars), "cls long, text string, size long, sketch long")
-    roots = join_keyed(keys, marked, near, may, texts_of, _sets_of(chars), percent)
+    tasks = 1 + found.count() * BANDS // KEYS_A_TASK
+    roots = join_keyed(keys, tasks, near, may, texts_of, _sets_of(chars), percent)
     rooted = classes.select("cls", "first").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     named = rooted.join(best, "root").select("cls", "best")

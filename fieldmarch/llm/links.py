@@ -198,19 +198,19 @@ def join_classes(members: DataFrame, near: Callable[[str, str], Column], may: Ca
     return _rooted(held, star, sigs, marks, texts, may, sets_of, percent)
 
 
-def join_keyed(keys: DataFrame, marked: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], may: Callable[[np.ndarray, np.ndarray], np.ndarray], texts_of: Callable[[DataFrame], DataFrame], sets_of: Callable, percent: int) -> DataFrame:
-    """As ``join_classes``, from rows ``keys(key, cls)`` that may repeat; ``marked(texts)`` adds the marks to ``(cls, text)``.
+def join_keyed(keys: DataFrame, tasks: int, near: Callable[[str, str], Column], may: Callable[[np.ndarray, np.ndarray], np.ndarray], texts_of: Callable[[DataFrame], DataFrame], sets_of: Callable, percent: int) -> DataFrame:
+    """As ``join_classes``, from rows ``keys(key, cls)`` that may repeat, sorted in ``tasks``; ``texts_of`` gives the marks with the texts.
 
     Keys move once, and only classes that share one get marks.
     """
-    held = cut(shared_keys(keys))
-    texts = cut(marked(texts_of(held.select("cls").distinct())))
+    held = cut(shared_keys(keys, tasks))
+    texts = cut(texts_of(held.select("cls").distinct()))
     marks = [c for c in texts.columns if c not in ("cls", "text")]
     sigs = texts.select("cls", *marks)
     return _rooted(held, cut(_star(held, sigs, near)), sigs, marks, texts, may, sets_of, percent)
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
+def shared_keys(keys: DataFrame, tasks: int = 1) -> DataFrame:
     """``key, cls, pivot, members`` of the keys that two classes or more have; ``pivot`` is the least class, ``members`` counts to 3.
 
     One exchange: each task goes once along its rows in order of key and class and holds two rows of a key at most, so a key of any
@@ -253,7 +253,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
         if held.shape[1] == 2:
             yield rows(held[0], held[1], np.full(2, held[1, 0]), 2)
 
-    return keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(mark, "key long, cls long, pivot long, members long")
+    return keys.repartition(max(tasks, 1), "key").sortWithinPartitions("key", "cls").mapInArrow(mark, "key long, cls long, pivot long, members long")
 
 
 def _star(held: DataFrame, sigs: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
