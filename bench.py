@@ -17,7 +17,7 @@ HEADLINES = [
     "normalize_text", "route_utterance", "token_estimate", "device_state_text", "card_render",
     "intent_guard", "polish_guard", "eval_score", "latency_budget", "stage_latency", "acceptance", "energy_per_query", "co_rise",
     "line_kinds", "trail_status", "shortest_path", "route_geometry", "route_record", "suggested_points", "overlay_cascade",
-    "collapse_repeats", "rule_match",
+    "collapse_repeats", "rule_match", "telemetry_json", "waypoint_log", "conversation_sessions", "alerts_from_readings", "acceptance_runs",
 ]
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import bearing_deg, haversine_m
-from ..session import cut
+from ..session import cut, discard
 
 
 def mapped(df: DataFrame) -> DataFrame:
@@ -65,6 +65,7 @@ def _weak(nodes: DataFrame, links: DataFrame) -> DataFrame:
     label = nodes.select("node_id", F.col("node_id").alias("component"))
     live = _undirected(links)
     live = cut(live)
+    held, kept = live, label
     while not live.isEmpty():
         point = live.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
         point = _roots(point)
@@ -73,7 +74,12 @@ def _weak(nodes: DataFrame, links: DataFrame) -> DataFrame:
         left = point.select("a", F.col("to").alias("ra"))
         right = point.select(F.col("a").alias("b"), F.col("to").alias("rb"))
         live = live.join(left, "a").join(right, "b").select(F.col("ra").alias("u"), F.col("rb").alias("v"))
+        before = (held, kept, point)
         live, label = cut(_undirected(live)), cut(label)
+        held, kept = live, label
+        for table in before:
+            discard(table)
+    discard(live)
     return label
 
 
@@ -94,6 +100,7 @@ def _roots(point: DataFrame, jumps: int = 3) -> DataFrame:
             ahead = ahead.join(far, "to", "left").select("a", F.coalesce("far", "to").alias("to"))
         ahead = cut(ahead)
         after = ahead.select(F.col("a").alias("to"), F.col("to").alias("next"))
+        discard(point)
         if ahead.join(after, "to").filter("next <> to").isEmpty():
             return ahead
         point = ahead
@@ -154,7 +161,9 @@ def _peel(links: DataFrame) -> DataFrame:
         heads = links.select(F.col("u").alias("v")).distinct()
         tails = links.select(F.col("v").alias("u")).distinct()
         kept = cut(links.join(heads, "v", "left_semi").join(tails, "u", "left_semi"))
-        if kept.count() == links.count():
+        settled = kept.count() == links.count()
+        discard(links)
+        if settled:
             return kept
         links = kept
 
@@ -162,7 +171,7 @@ def _peel(links: DataFrame) -> DataFrame:
 def _reach(links: DataFrame) -> DataFrame:
     """``node_id, color``: the largest vertex id from which each vertex can be reached."""
     ids = links.select(F.col("u").alias("node_id")).unionByName(links.select(F.col("v").alias("node_id"))).distinct()
-    color = cut(ids.withColumn("color", F.col("node_id")))
+    held = color = cut(ids.withColumn("color", F.col("node_id")))
     while True:
         sent = links.join(color.withColumnRenamed("node_id", "u"), "u").groupBy(F.col("v").alias("node_id")).agg(
             F.max("color").alias("got"))
@@ -170,7 +179,8 @@ def _reach(links: DataFrame) -> DataFrame:
             "node_id", F.greatest("color", F.coalesce("got", "color")).alias("color"),
             (F.coalesce("got", "color") > F.col("color")).alias("changed"))
         new = cut(new)
-        color = new.select("node_id", "color")
+        discard(held)
+        held, color = new, new.select("node_id", "color")
         if new.filter("changed").isEmpty():
             return color
 
@@ -246,9 +256,11 @@ def _paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, detour: floa
     while not pairs.isEmpty():
         labels = cut(_search(pairs, roads))
         paths = cut(_trace(labels))
+        discard(labels)
         done = paths if done is None else done.unionByName(paths)
         rest = pairs.join(paths.select("start", "goal"), ["start", "goal"], "left_anti")
-        pairs = cut(rest.withColumn("budget", F.col("budget") * 2))
+        before, pairs = pairs, cut(rest.withColumn("budget", F.col("budget") * 2))
+        discard(before)
     if done is None:
         schema = "start bigint, goal bigint, distance_m double, hops int, path array<bigint>"
         return nodes.sparkSession.createDataFrame([], schema)
@@ -261,6 +273,7 @@ def _search(pairs: DataFrame, roads: DataFrame) -> DataFrame:
     none = F.lit(None).cast("bigint")
     state = pairs.select(
         *keys, F.col("start").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("fresh"), F.lit(0).alias("hops"), none.alias("parent"))
+    held = state
     while True:
         front = state.filter("fresh")
         if front.isEmpty():
@@ -276,7 +289,9 @@ def _search(pairs: DataFrame, roads: DataFrame) -> DataFrame:
         # false sorts before true, so a label is fresh only when it is really shorter.
         label = F.min(F.struct("d", "fresh", "hops", "parent")).alias("l")
         state = state.withColumn("fresh", F.lit(False)).unionByName(step).groupBy(*keys, "node").agg(label)
-        state = cut(state.select(*keys, "node", "l.d", "l.fresh", "l.hops", "l.parent"))
+        before, state = held, cut(state.select(*keys, "node", "l.d", "l.fresh", "l.hops", "l.parent"))
+        discard(before)
+        held = state
 
 
 def _trace(settled: DataFrame) -> DataFrame:

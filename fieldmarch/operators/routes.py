@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import EARTH_R_VOICE_M, M_PER_DEG_LAT, M_PER_DEG_LON, haversine_m
+from ..session import cut, discard
+from .ordered import CHUNK_S, chunked, previous, running
 
 # Limits (m) of the progress rule and of the route deviation.
 CACHE_CROSS_TRACK_M, BACKTRACK_M = 8.0, 3.0
@@ -111,3 +113,43 @@ def path_length(points: Column, radius: float = EARTH_R_VOICE_M) -> Column:
         F.slice(points, F.lit(1), F.size(points) - 1), F.slice(points, F.lit(2), F.size(points) - 1),
         lambda a, b: haversine_m(a["lon"], a["lat"], b["lon"], b["lat"], radius))
     return F.when(F.size(points) < 2, 0.0).otherwise(F.aggregate(legs, F.lit(0.0), lambda s, x: s + x))
+
+
+def _pick(spots: Column, low: Column) -> Column:
+    """The place among ``spots`` that goes on from ``low`` metres; NULL if there is none or near ties disagree."""
+    ahead = F.filter(spots, lambda s: s["progress"] + BACKTRACK_M >= low)
+    best = F.array_min(F.transform(ahead, lambda s: s["cross"]))
+    ties = F.transform(F.filter(ahead, lambda s: s["cross"] <= best + TIE_CROSS_TRACK_M), lambda s: F.struct(
+        s["cross"].alias("cross"), F.abs(s["progress"] - low).alias("jump"), s["progress"].alias("progress"), s["remaining"].alias("remaining")))
+    along = F.transform(ties, lambda s: s["progress"])
+    return F.when(F.array_max(along) - F.array_min(along) <= TIE_PROGRESS_M, F.array_min(ties))
+
+
+def follow(positions: DataFrame, keys: list[str], t: str = "t_s", order: str = "event_id", chunk_s: float = CHUNK_S) -> DataFrame:
+    """Progress along the route that only grows: adds ``reroute``, ``progress_m`` and ``remaining_m`` to each position.
+
+    ``positions`` has ``route_id`` and ``spots`` (:func:`candidates`). Progress starts at 0 and again when a key's route changes. A place counts
+    if it lies no more than 3 m behind the progress before it and within 8 m; else a new route is asked for and the progress stays.
+
+    What a position picks depends on the progress before it, and that on the picks before. All positions pick at once, from the progress
+    that the round before gave them, and a running maximum of the picks gives the next; when no progress changes, it is the one that
+    picking in order gives: a round settles at least one more position of each route, mostly all of them.
+    """
+    by, c = [t, order], F.col
+    df = previous(chunked(positions, t, chunk_s), keys, by, {"_was": "route_id"})
+    df = running(df, keys, by, "_leg", (~c("_was").eqNullSafe(c("route_id"))).cast("bigint"), "sum").drop("_was")
+    legs = [*keys, "_leg"]
+    state = cut(df.withColumn("_low", F.lit(0.0)))
+    while True:
+        at = _pick(c("spots"), c("_low"))
+        near = F.coalesce(at["cross"] <= CACHE_CROSS_TRACK_M, F.lit(False))
+        picked = state.withColumn("_at", F.when(near, at))
+        picked = running(picked, legs, by, "_run", c("_at.progress"), "max").withColumn("_after", F.greatest(F.coalesce("_run", F.lit(0.0)), F.lit(0.0)))
+        done = cut(picked.drop("_run"))
+        moved = previous(done, legs, by, {"_next": "_after"}).withColumn("_next", F.coalesce("_next", F.lit(0.0)))
+        settled = moved.filter("_next <> _low").isEmpty()
+        if settled:
+            return moved.select(*positions.columns, c("_at").isNull().alias("reroute"), c("_after").alias("progress_m"), c("_at.remaining").alias("remaining_m"))
+        before, state = state, cut(moved.withColumn("_low", c("_next")).drop("_next", "_at", "_after"))
+        for table in (before, done):
+            discard(table)

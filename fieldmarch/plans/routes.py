@@ -179,3 +179,40 @@ def route_record(spark, d):
         F.col("goal_lon").alias("to_lon"), (F.col("goal_lat") + 0.0001).alias("to_lat"))
     out = graph.route_records(trips, e, n)
     return out.select("req_id", "reason", "distance_m", "eta_min", "straight_m", "bearing_deg", F.size("points").alias("n_points"))
+
+
+def walkers(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of devices that walk their route with time, some metres beside it; some take another one for the last third."""
+    c = F.col
+    e = T.ev(spark, d)
+    route = F.when((c("t_s") > 6000) & (c("device_id") % 5 == 0) & (c("device_id") >= 3), c("device_id") - 3).otherwise(c("device_id"))
+    u = c("t_s") / 750.0
+    x = F.when(route % 3 == 1, F.least(u, 12.0 - u)).otherwise(u)
+    off = c("event_id") * 7919 % 1601 - 800
+    return e.select(
+        "event_id", "device_id", "t_s", route.alias("route_id"), ((1270000000 + x * 10000) / F.lit(1e7)).alias("lon"),
+        ((375000000 + F.floor(route * 5000 / 3) + off) / F.lit(1e7)).alias("lat"))
+
+
+T.define("walkers", ["ev"], """SELECT *, (1270000000+(CASE WHEN route_id%3=1 THEN least(t_s/750.0::DOUBLE, 12.0::DOUBLE-t_s/750.0::DOUBLE) ELSE t_s/750.0::DOUBLE END)*10000)/1e7 AS lon,
+    CAST(375000000+route_id*5000//3+event_id*7919%1601-800 AS DOUBLE)/1e7 AS lat, row_number() OVER (PARTITION BY device_id ORDER BY t_s, event_id) AS rn FROM (
+      SELECT event_id, device_id, t_s, CASE WHEN t_s>6000 AND device_id%5=0 AND device_id>=3 THEN device_id-3 ELSE device_id END AS route_id FROM ev)""")
+T.define("spots", ["walkers", "walk_segs"], """SELECT event_id, device_id, route_id, rn, list({'cr': sqrt(pow(ax+u*dx,2)+pow(ay+u*dy,2)), 'pr': before+len*u, 'rem': len*(1-u)+after}) AS spots FROM (
+      SELECT *, greatest(0.0,least(1.0,-(ax*dx+ay*dy)/(dx*dx+dy*dy))) AS u FROM (SELECT *, bx-ax AS dx, by_-ay AS dy FROM (
+        SELECT f.event_id, f.device_id, f.rn, s.*, (lon_a-lon)*111320.0*greatest(0.15,cos(radians((lat+lat_a+lat_b)/3.0))) AS ax, (lat_a-lat)*111132.0 AS ay,
+          (lon_b-lon)*111320.0*greatest(0.15,cos(radians((lat+lat_a+lat_b)/3.0))) AS bx, (lat_b-lat)*111132.0 AS by_
+        FROM walkers f JOIN walk_segs s USING (route_id)))) GROUP BY event_id, device_id, route_id, rn""")
+T.define("followed", ["spots"], """SELECT DISTINCT device_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS route_id, CAST(0 AS DOUBLE) AS p, true AS reroute, CAST(NULL AS DOUBLE) AS rem FROM spots
+    UNION ALL SELECT device_id, rn, event_id, route_id, CASE WHEN keep THEN greatest(low, pk.pr) ELSE low END, NOT keep, CASE WHEN keep THEN pk.rem END FROM (
+      SELECT *, coalesce(spread<=5 AND pk.cr<=8, false) AS keep FROM (
+        SELECT *, list_max(list_transform(ties, lambda x: x.pr))-list_min(list_transform(ties, lambda x: x.pr)) AS spread, list_min(list_transform(ties, lambda x: {'cr': x.cr, 'j': abs(x.pr-low), 'pr': x.pr, 'rem': x.rem})) AS pk FROM (
+          SELECT *, list_filter(ok, lambda x: x.cr<=list_min(list_transform(ok, lambda y: y.cr))+0.75) AS ties FROM (
+            SELECT *, list_filter(spots, lambda x: x.pr+3>=low) AS ok FROM (
+              SELECT b.*, CASE WHEN a.route_id=b.route_id THEN a.p ELSE 0 END AS low FROM followed a JOIN spots b ON b.device_id=a.device_id AND b.rn=a.rn+1)))))""")
+
+
+@query("route_follow", T.ctes("followed") + " SELECT event_id, reroute, round(p,3) AS progress_m, round(rem,3) AS remaining_m FROM followed WHERE rn>0")
+def route_follow(spark, d):
+    spots = routes.candidates(walkers(spark, d), routes.route_profile(walks(spark, d))).select("event_id", "device_id", "t_s", "route_id", "spots")
+    out = routes.follow(spots, ["device_id"], chunk_s=1000.0)
+    return out.select("event_id", "reroute", F.round("progress_m", 3).alias("progress_m"), F.round("remaining_m", 3).alias("remaining_m"))

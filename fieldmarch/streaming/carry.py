@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import fleet, latch, ordered
+from ..operators import fleet, latch, ordered, routes
 
 UNTIL = "_until"  # time of the newest row that the carried rows of a key stand for
 COUNT = "_count"  # how many rows of the key came before
@@ -210,3 +210,15 @@ def power(keys: list[str], t: str = "t_s") -> Job:
         return _points(state, keys, F.concat(F.coalesce(led, empty), F.coalesce(seen, empty), last), rows)
 
     return Job(keys, t, lambda rows: fleet.power_phase(rows, keys, t), carry)
+
+
+def following(keys: list[str], t: str = "t_s", order: str = "event_id") -> Job:
+    """Progress along routes (:func:`routes.follow`); a place on the newest route at its progress carries a key."""
+
+    def carry(rows: DataFrame, out: DataFrame) -> DataFrame:
+        newest = out.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in out.columns if c not in keys]), F.struct(t, order)).alias("r")).select(*keys, "r.*")
+        kind = rows.schema["spots"].dataType
+        here = F.array(F.struct(*[(F.col("progress_m") if f.name == "progress" else F.lit(0)).cast(f.dataType).alias(f.name) for f in kind.elementType.fields]))
+        return newest.withColumn("spots", here.cast(kind)).select(*rows.columns)
+
+    return Job(keys, t, lambda rows: routes.follow(rows, keys, t, order), carry)

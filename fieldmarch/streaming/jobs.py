@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.asof import STALE_AFTER_S
 from ..sources.telemetry import route_lines
 
-STATE = StructType([StructField("json", StringType())])
-
 
 def ingest(lines: DataFrame, path: str, checkpoint: str, **trigger):
     """Write routed lines as one table partitioned by kind: typed rows and the quarantine in one pass.
@@ -30,50 +24,6 @@ def once(df: DataFrame, event_time: str = "recv_ts", late: str = "10 minutes") -
     return df.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["device_id", "boot_id", "seq"])
 
 
-def _plain(value):
-    if isinstance(value, (list, tuple)) or hasattr(value, "tolist") and getattr(value, "ndim", 0) > 0:
-        return [_plain(v) for v in value]
-    if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
-    if value is None or value is pd.NA or (isinstance(value, float) and value != value):
-        return None
-    return value.item() if hasattr(value, "item") else value
-
-
-class Fold(StatefulProcessor):
-    """Runs a step over each key's rows in time order; the state is one small JSON value per key."""
-
-    def __init__(self, step: Callable, order: list[str], keys: list[str], columns: list[str], ttl_ms: int | None = None):
-        self.step, self.order, self.keys, self.columns, self.ttl_ms = step, order, keys, columns, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", STATE, ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        # One key's rows of one micro-batch; the trigger's file limit bounds them.
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        out = []
-        for row in batch.to_dict("records"):
-            out += self.step(state, {k: _plain(v) for k, v in row.items()})
-        self.state.update((json.dumps(state),))
-        if out:
-            frame = pd.DataFrame(out)
-            for name, value in zip(self.keys, key):
-                frame[name] = value
-            yield frame[self.columns]
-
-    def close(self) -> None:
-        pass
-
-
-def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str, mode: str = "none", ttl_ms: int | None = None) -> DataFrame:
-    """Apply a step to every key of a stream (or a table); ``schema`` lists keys and outputs."""
-    columns = [c.strip().split()[0] for c in schema.split(",")]
-    return df.groupBy(*keys).transformWithStateInPandas(
-        Fold(step, order, keys, columns, ttl_ms), outputStructType=schema, outputMode="append", timeMode=mode if ttl_ms is None else "processingTime")
-
-
 class Newest(StatefulProcessor):
     """Emits each device's newest reading, and an invalid one when nothing has come for three seconds."""
 

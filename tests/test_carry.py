@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldmarch.operators import fleet as fleet_ops
-from fieldmarch.plans import fleet, tables as T
+from fieldmarch.operators import routes
+from fieldmarch.plans import fleet, routes as plan_routes, tables as T
 from fieldmarch.streaming import carry
 
 
@@ -40,7 +41,12 @@ def power(spark, sf):
         (c("event_id") % 7 != 0).alias("gate_on"), (c("event_id") % 3 != 0).alias("shutdown_pending"))
 
 
-JOBS = [co, alerts, throttled, buttons, power]
+def following(spark, sf):
+    spots = routes.candidates(plan_routes.walkers(spark, sf), routes.route_profile(plan_routes.walks(spark, sf)))
+    return carry.following(["device_id"]), spots.select("event_id", "device_id", "t_s", "route_id", "spots")
+
+
+JOBS = [co, alerts, throttled, buttons, power, following]
 
 
 def rows_of(df, columns):

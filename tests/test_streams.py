@@ -5,9 +5,8 @@ import tempfile
 from pyspark.sql import functions as F
 
 from fieldmarch.operators import fleet as fleet_ops
-from fieldmarch.plans import ingest, routes as plan_routes, tables as T
-from fieldmarch.operators import routes
-from fieldmarch.streaming import carry, jobs, steps
+from fieldmarch.plans import ingest, tables as T
+from fieldmarch.streaming import carry, jobs
 
 
 def run(df, name, mode="append"):
@@ -52,22 +51,6 @@ def test_duplicates_are_dropped_within_the_watermark(spark, sf):
     assert out.count() == e.count()
 
 
-def test_route_progress_only_grows_and_asks_for_a_new_route(spark, sf):
-    profile = routes.route_profile(plan_routes.walks(spark, sf).filter("route_id % 3 = 2"))
-    pts = plan_routes.walks(spark, sf).filter("route_id % 3 = 2").select("route_id", F.posexplode("points").alias("i", "p"))
-    far = F.when(F.col("i") == 5, 0.01).otherwise(0.0)
-    pos = pts.select("route_id", F.col("i").cast("double").alias("t_s"), F.col("p.lon").alias("lon"), (F.col("p.lat") + far).alias("lat"))
-    rows = routes.candidates(pos, profile).select("route_id", F.col("route_id").alias("device_id"), "t_s", "spots")
-    out = jobs.fold(as_stream(rows, "t_s"), ["device_id"], ["t_s"], steps.follow_route,
-                    "device_id long, t_s double, reroute boolean, progress_m double, remaining_m double")
-    got = run(out, "route_stream").orderBy("device_id", "t_s").collect()
-    assert got and {r.t_s for r in got if r.reroute} == {5.0}
-    by = {}
-    for r in got:
-        assert r.progress_m >= by.get(r.device_id, 0.0)
-        by[r.device_id] = r.progress_m
-
-
 def test_a_stream_of_carried_rows(spark, sf):
     fx = fleet_ops.live_fixes(T.fixes(spark, sf)).select("event_id", "device_id", "boot_id", "t_s")
     job, folder = carry.throttled(["device_id", "boot_id"], "t_s", 100.0), tempfile.mkdtemp(prefix="spark-", dir="/tmp")
