@@ -95,6 +95,12 @@ def missing_runs(observed: DataFrame, run: str, expected: Column | int, by: list
     return want.join(observed.select(*by, run).distinct(), [*by, run], "left_anti")
 
 
+def extra_runs(observed: DataFrame, run: str, expected: Column | int, by: list[str]) -> DataFrame:
+    """Observed runs that are none of 1..N, each once; a run without a number is extra too."""
+    n = F.lit(expected) if isinstance(expected, int) else expected
+    return observed.filter(~F.coalesce(F.col(run).between(F.lit(1), n), F.lit(False))).select(*by, run).distinct()
+
+
 def acceptance(events: DataFrame, keys: list[str], order: str, fields: list[str], checks: dict[str, Column], need: list[str]) -> DataFrame:
     """Fold event rows into one row per run and judge it.
 

@@ -71,6 +71,14 @@ def missing_runs(spark, d):
     return E.missing_runs(e, "run", 30, ["device_id"])
 
 
+@query("extra_runs", """SELECT DISTINCT user_id AS device_id, CAST(CASE WHEN event_type<>'error' THEN day(ts)-3 END AS INTEGER) AS run FROM events
+    WHERE event_type='error' OR NOT day(ts)-3 BETWEEN 1 AND 20+user_id%5""")
+def extra_runs(spark, d):
+    run = F.when(F.col("event_type") != "error", F.dayofmonth("ts") - 3)
+    e = T.read(spark, d, "events").select(F.col("user_id").alias("device_id"), run.alias("run"))
+    return E.extra_runs(e, "run", 20 + F.col("device_id") % 5, ["device_id"])
+
+
 @query("latency_budget", """SELECT l_returnflag, max(l_quantity/20) AS max_s, median(l_quantity/20) AS median_s, count(*) FILTER (l_tax>0.07) AS errors, max(l_quantity/20)<=2.0 AS within_budget FROM lineitem GROUP BY l_returnflag""")
 def latency_budget(spark, d):
     li = T.read(spark, d, "lineitem").select("l_returnflag", (F.col("l_quantity") / 20).alias("s"), (F.col("l_tax") > 0.07).alias("err"))
