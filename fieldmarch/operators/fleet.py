@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .asof import RETENTION_S, STALE_AFTER_S, newest, stale
-from .ordered import CHUNK, CHUNK_S, automaton, chunked, previous, running
+from .ordered import CHUNK, CHUNK_S, automaton, chunked, previous, running, running_all
 
 # Firmware limits (s), button holds (ms), checkpoints kept, and command names.
 WARM_UP_S, VALID_FOR_S = 30.0, 5.0
@@ -22,14 +22,20 @@ COMMANDS = [
 
 
 def sensor_state(df: DataFrame, keys: list[str], t: str, since_boot: str, valid: str, fix: str, chunk_s=CHUNK_S) -> DataFrame:
-    """CO and GNSS state of every reading from the time of the last valid one."""
-    out = running(chunked(df, t, chunk_s), keys, [t], "_ok_t", F.when(F.col(valid), F.col(t)), "max")
-    out = running(out, keys, [t], "_fix_t", F.when(F.col(fix), F.col(t)), "max")
+    """CO and GNSS state of every reading: CO from the time of the last valid one, GNSS from the newest sentence.
+
+    ``fix`` is NULL in readings that came without a sentence. Without one for 5 s the receiver is not found; a sentence without a fix ends it.
+    """
+    out = running_all(chunked(df, t, chunk_s), keys, [t], {
+        "_ok_t": (F.when(F.col(valid), F.col(t)), "last"),
+        "_heard": (F.when(F.col(fix).isNotNull(), F.struct(F.col(t).alias("t"), F.col(fix).alias("fix"))), "last"),
+    })
     co = (
         F.when(F.col(since_boot) < WARM_UP_S, "warming_up")
         .when(F.col(t) - F.col("_ok_t") <= VALID_FOR_S, "valid").otherwise("stale")
     )
-    gps = F.when(F.col(t) - F.col("_fix_t") <= VALID_FOR_S, "fix").otherwise("no_fix")
+    # a fix is as old as the sentence that is the newest
+    gps = F.when(F.coalesce(F.col(t) - F.col("_heard.t") > VALID_FOR_S, F.lit(True)), "not_found").when(F.col("_heard.fix"), "fix").otherwise("no_fix")
     return out.withColumn("co_state", co).withColumn("gps_state", gps).select(*df.columns, "co_state", "gps_state")
 
 

@@ -210,14 +210,14 @@ def validate_ranges(spark, d):
     return e.groupBy("device_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sensor_state", T.ctes("ev") + """ SELECT event_id, device_id, t_s, CASE WHEN since<30 THEN 'warming_up' WHEN t_s-okt<=5 THEN 'valid' ELSE 'stale' END AS co_state,
-    CASE WHEN t_s-fixt<=5 THEN 'fix' ELSE 'no_fix' END AS gps_state FROM (SELECT *, t_s-boot_id*2880.0::DOUBLE AS since,
-      max(CASE WHEN event_type<>'error' THEN t_s END) OVER w AS okt, max(CASE WHEN event_id%3<>0 THEN t_s END) OVER w AS fixt
-      FROM ev WINDOW w AS (PARTITION BY device_id, boot_id ORDER BY t_s))""")
+@query("sensor_state", T.ctes("ev") + """ SELECT event_id, device_id, t AS t_s, CASE WHEN since<30 THEN 'warming_up' WHEN t-okt<=5 THEN 'valid' ELSE 'stale' END AS co_state,
+    CASE WHEN heard IS NULL OR t-heard>5 THEN 'not_found' WHEN fixed THEN 'fix' ELSE 'no_fix' END AS gps_state FROM (SELECT *, t-boot_id*57.6::DOUBLE AS since,
+      max(CASE WHEN event_type<>'error' THEN t END) OVER w AS okt, max(CASE WHEN fix IS NOT NULL THEN t END) OVER w AS heard, last_value(fix IGNORE NULLS) OVER w AS fixed
+      FROM (SELECT *, t_s/50.0::DOUBLE AS t, CASE WHEN event_id%7>2 THEN event_id%3<>0 END AS fix FROM ev) WINDOW w AS (PARTITION BY device_id, boot_id ORDER BY t ROWS UNBOUNDED PRECEDING))""")
 def sensor_state(spark, d):
-    e = T.ev(spark, d).withColumn("since", F.col("t_s") - F.col("boot_id") * 2880.0)
-    e = e.withColumn("ok", F.col("event_type") != "error").withColumn("has_fix", F.col("event_id") % 3 != 0)
-    out = fleet.sensor_state(e, ["device_id", "boot_id"], "t_s", "since", "ok", "has_fix")
+    e = T.ev(spark, d).withColumn("t_s", F.col("t_s") / 50.0).withColumn("since", F.col("t_s") - F.col("boot_id") * 57.6)
+    e = e.withColumn("ok", F.col("event_type") != "error").withColumn("has_fix", F.when(F.col("event_id") % 7 > 2, F.col("event_id") % 3 != 0))
+    out = fleet.sensor_state(e, ["device_id", "boot_id"], "t_s", "since", "ok", "has_fix", chunk_s=60.0)
     return out.select("event_id", "device_id", "t_s", "co_state", "gps_state")
 
 
