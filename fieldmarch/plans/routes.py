@@ -216,3 +216,13 @@ def route_follow(spark, d):
     spots = routes.candidates(walkers(spark, d), routes.route_profile(walks(spark, d))).select("event_id", "device_id", "t_s", "route_id", "spots")
     out = routes.follow(spots, ["device_id"], chunk_s=1000.0)
     return out.select("event_id", "reroute", F.round("progress_m", 3).alias("progress_m"), F.round("remaining_m", 3).alias("remaining_m"))
+
+
+@query("utc_offset", """SELECT event_id, CAST(CASE WHEN cfg BETWEEN -840 AND 840 THEN cfg WHEN zone IS NOT NULL THEN (epoch(timezone(zone, timezone('UTC', ts)))-epoch(ts))/60 ELSE 540 END AS BIGINT) AS offset_min FROM (
+    SELECT event_id, ts, CASE WHEN event_id%3=0 THEN event_id*37%2000-1000 END AS cfg, (['Asia/Seoul','Europe/Paris','America/New_York',NULL])[event_id%4+1] AS zone FROM events)""")
+def utc_offset(spark, d):
+    c = F.col
+    e = T.read(spark, d, "events")
+    zone = F.get(F.array(*[F.lit(z) for z in ("Asia/Seoul", "Europe/Paris", "America/New_York", None)]), (c("event_id") % 4).cast("int"))
+    cfg = F.when(c("event_id") % 3 == 0, c("event_id") * 37 % 2000 - 1000)
+    return e.select("event_id", solar.offset_minutes(cfg, zone, c("ts").cast("timestamp"), 540).cast("bigint").alias("offset_min"))
