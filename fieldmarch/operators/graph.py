@@ -33,7 +33,7 @@ def _numbered(df: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
     df = mapped(df)
     for name in columns:
         own = ids.select("map_id", F.col("node_id").alias(name), F.col("vid").alias("_vid"))
-        df = df.join(own, ["map_id", name]).drop(name).withColumnRenamed("_vid", name)
+        df = df.join(own.hint("merge"), ["map_id", name]).drop(name).withColumnRenamed("_vid", name)
     return df
 
 
@@ -337,7 +337,7 @@ def edge_points(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     edges, nodes = mapped(edges), mapped(nodes)
     u = nodes.select("map_id", F.col("node_id").alias("u"), F.col("lon").alias("lon_u"), F.col("lat").alias("lat_u"))
     v = nodes.select("map_id", F.col("node_id").alias("v"), F.col("lon").alias("lon_v"), F.col("lat").alias("lat_v"))
-    at = edges.join(u, ["map_id", "u"]).join(v, ["map_id", "v"]).withColumn("_g", linestring(F.col("geometry")))
+    at = edges.join(u.hint("merge"), ["map_id", "u"]).join(v.hint("merge"), ["map_id", "v"]).withColumn("_g", linestring(F.col("geometry")))
     pts = oriented(F.col("_g"), *[F.col(c) for c in ("lon_u", "lat_u", "lon_v", "lat_v")])
     return at.select(*edges.columns, pts.alias("points"))
 

@@ -71,7 +71,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     keep = F.when(F.col("dir") == 0, (F.col("a") % 40 < 39) & (F.col("a") % 11 != 0)).otherwise(
         F.expr("(a div 40) % 500 <> 24")
     )
-    pairs = steps.filter(keep).join(v, ["map_id", "b"])
+    pairs = steps.filter(keep).join(v.hint("merge"), ["map_id", "b"])
     variants = F.array(
         F.struct(F.lit(0).alias("rev"), F.lit(0).alias("key")), F.struct(F.lit(1).alias("rev"), F.lit(0).alias("key")),
         F.struct(F.lit(0).alias("rev"), F.lit(1).alias("key")),
