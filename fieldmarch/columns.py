@@ -26,3 +26,13 @@ def settle(df: DataFrame, **cols: Column) -> DataFrame:
     """
     made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
     return df.select("*", made.alias("_settled")).select(*df.columns, "_settled.*")
+
+
+def settle_wide(df: DataFrame, **cols: Column) -> DataFrame:
+    """The same for many or long expressions.
+
+    They pass through a ``transform``, which Spark runs outside its fused loop, in methods that it splits: in the loop they would make
+    one method of more than 8000 bytes, and the JVM runs such a method without ever compiling it.
+    """
+    made = F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])), lambda x: x), F.lit(0))
+    return df.select("*", made.alias("_settled")).select(*df.columns, "_settled.*")

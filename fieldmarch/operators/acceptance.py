@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..columns import settle, settle_wide
+
 # Budgets (ms), memory floor (MB), cases of the matrix, trusted sources, and the fields each event may set.
 PATH_A_BUDGET_MS, PATH_B_BUDGET_MS = 3500.0, 2000.0
 MEMORY_FLOOR_MB = 1024
@@ -69,8 +71,8 @@ def read_events(events: DataFrame) -> DataFrame:
 
     A payload is a JSON object; without an ``event`` it is a run's; all but the matrix name a whole run from 1 to ``requested``.
     """
-    df = events.withColumn("_v", F.try_parse_json("payload"))
-    df = df.withColumn("run", _value("run")).withColumn("run", _whole("run"))
+    df = settle(events, _v=F.try_parse_json("payload"))
+    df = settle(df, run=_value("run")).withColumn("run", _whole("run"))
     said = F.try_variant_get("_v", "$.event", "string")
     event = F.when(F.coalesce(said, F.lit("")).isin("", "false", "0"), "run").otherwise(said)
     known = [*EVENT_FIELDS, *OPEN_EVENTS]
@@ -80,16 +82,10 @@ def read_events(events: DataFrame) -> DataFrame:
     return df.withColumn("event", F.when(is_object, event)).withColumn("problem", problem)
 
 
-def _newest(names: list[str], order: str, allowed: Column | None = None) -> list[Column]:
-    """The newest given value of each field; a null that is given counts as given."""
-    out = []
-    for f in names:
-        value = _value(f)
-        if allowed is not None:
-            events = [e for e, fields in EVENT_FIELDS.items() if f in fields]
-            value = F.when(F.col("event").isin([*OPEN_EVENTS, *events]), value)
-        out.append(F.max_by(value, F.when(value.isNotNull(), F.col(order))).alias(f))
-    return out
+def _allowed(event: Column, key: Column) -> Column:
+    """Whether the event may set the field."""
+    own = [f"{e}.{f}" for e, fields in EVENT_FIELDS.items() for f in fields]
+    return key.isin(FIELDS) & (event.isin(OPEN_EVENTS) | F.concat(event, F.lit("."), key).isin(own))
 
 
 def checks() -> list[tuple[str, Column, Column]]:
@@ -131,13 +127,20 @@ def run_verdicts(events: DataFrame, keys: list[str], order: str) -> DataFrame:
     in a session; the newest given value of a field counts, and an event sets only the fields it may.
     """
     good = read_events(events).filter("problem IS NULL AND event <> 'stt_matrix'")
-    folded = good.groupBy(*keys, "run").agg(*_newest([f for f in FIELDS if f != "complete"], order, F.lit(True)), F.max(F.col("event") == "complete").alias("_complete"), *_newest(["complete"], order, F.lit(True)))
+    # Members travel as rows, so only those that are there are looked at; a good event has a run, which stands for the event itself.
+    said = good.select(*keys, "run", order, "event", "_v").lateralJoin(good.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    said = said.filter((F.col("key") == "run") | _allowed(F.col("event"), F.col("key"))).select(
+        *keys, "run", order, "key", (F.col("event") == "complete").alias("_complete"),
+        F.struct(F.schema_of_variant("value").alias("type"), F.try_variant_get("value", "$", "string").alias("text")).alias("said"))
+    newest = said.groupBy(*keys, "run", "key").agg(F.max_by("said", order).alias("said"), F.max("_complete").alias("_complete"))
+    folded = newest.groupBy(*keys, "run").agg(F.map_from_entries(F.collect_list(F.struct("key", "said"))).alias("_m"), F.max("_complete").alias("_complete"))
+    folded = settle_wide(folded, **{f: F.try_element_at("_m", F.lit(f)) for f in FIELDS}).drop("_m")
     # the event itself completes the run
     folded = folded.withColumn("complete", F.when(F.col("_complete"), F.struct(F.lit("BOOLEAN").alias("type"), F.lit("true").alias("text"))).otherwise(F.col("complete")))
     every = checks()
     results = F.array(*[F.struct(F.lit(n).alias("name"), ok.alias("ok"), (~ok & lack).alias("lacking")) for n, ok, lack in every])
-    rows = folded.select(*keys, F.col("run").cast("bigint").alias("run"), results.alias("r"), (
-        (_whole("first_sound_monotonic_ns") - _whole("button_release_monotonic_ns")) / 1e6).alias("_delta"))
+    delta = (_whole("first_sound_monotonic_ns") - _whole("button_release_monotonic_ns")) / 1e6
+    rows = settle_wide(folded, r=results, _delta=delta).select(*keys, F.col("run").cast("bigint").alias("run"), "r", "_delta")
     failed = F.transform(F.filter("r", lambda x: ~x["ok"]), lambda x: x["name"])
     status = F.when(F.size(failed) == 0, "pass").when(F.exists("r", lambda x: F.coalesce(x["lacking"], F.lit(False))), "unverified").otherwise("fail")
     return rows.select(
@@ -152,18 +155,21 @@ def session_verdicts(events: DataFrame, keys: list[str], order: str) -> DataFram
     positive and no miss. It is unverified if runs or parts of the matrix are missing, or nothing is wrong but a run's evidence.
     """
     read = read_events(events)
-    base = read.groupBy(*keys).agg(
-        F.max("requested").alias("requested"), F.count("problem").alias("n_problems"))
-    matrix = read.filter("event = 'stt_matrix'").groupBy(*keys).agg(*_newest(MATRIX_FIELDS, order))
+    tested = F.col("event") == "stt_matrix"
+    newest = []
+    for f in MATRIX_FIELDS:
+        value = F.when(tested, _value(f))
+        newest.append(F.max_by(value, F.when(value.isNotNull(), F.col(order))).alias(f))
+    base = read.groupBy(*keys).agg(F.max("requested").alias("requested"), F.count("problem").alias("n_problems"), *newest)
     ok = (
         _is("observed", True) & F.coalesce(_whole("stt_cases") == MATRIX_CASES, F.lit(False)) & _empty("stt_false_positive_keywords")
         & _empty("stt_expected_keywords_missed") & _is("stt_recall_ok", True))
     there = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in MATRIX_FIELDS])
-    matrix = matrix.select(*keys, ok.alias("matrix_ok"), there.alias("_there"))
+    base = base.select(*keys, "requested", "n_problems", ok.alias("matrix_ok"), there.alias("_there"))
     runs = run_verdicts(events, keys, order).groupBy(*keys).agg(
         F.count("*").alias("n_runs"), F.count_if(F.col("status") == "pass").alias("n_passed"), F.count_if(F.col("status") == "unverified").alias("_unverified"),
         F.max("delay_ms").alias("max_delay_ms"), F.collect_set("run").alias("_runs"))
-    df = base.join(matrix, keys, "left").join(runs, keys, "left")
+    df = base.join(runs, keys, "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     df = df.withColumn("matrix_ok", F.coalesce("matrix_ok", F.lit(False))).withColumn("n_runs", n("n_runs")).withColumn("n_passed", n("n_passed"))
     missing = F.array_sort(F.array_except(F.sequence(F.lit(1).cast("bigint"), F.col("requested").cast("bigint")), F.coalesce("_runs", F.array().cast("array<bigint>"))))
