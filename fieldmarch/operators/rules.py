@@ -125,12 +125,13 @@ def match_table(utterances: DataFrame, rules: DataFrame, text: str) -> DataFrame
     """Every (utterance, rule) pair that matches, for rules kept as rows ``rule_id, patterns, excludes``.
 
     Rules are a stated set, held against all texts in blocks of 500: an equality join on the block's number. The plan has the same
-    size for any number of rules, and what a text is joined with is bounded by the block.
+    size for any number of rules, and what a text is joined with is bounded by the block. The rules go to the texts: dealt by their few
+    block numbers, all texts would be read by as few tasks.
     """
     blocks = max(1, -(-rules.count() // RULE_BLOCK))
     place = F.floor((F.row_number().over(Window.orderBy("rule_id")) - 1) / RULE_BLOCK).cast("int")
     packed = rules.withColumn("_block", place).groupBy("_block").agg(F.collect_list(F.struct("rule_id", "patterns", "excludes")).alias("_rules"))
-    dealt = utterances.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "_block")
+    dealt = utterances.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(F.broadcast(packed), "_block")
     found = lambda patterns: F.exists(patterns, lambda p: F.coalesce(F.regexp_like(F.col(text), p), F.lit(False)))
     none = F.array().cast("array<string>")
     hits = F.filter("_rules", lambda r: found(F.coalesce(r["patterns"], none)) & ~found(F.coalesce(r["excludes"], none)))
