@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import EARTH_R_VOICE_M, M_PER_DEG_LAT, M_PER_DEG_LON, haversine_m
 from ..session import cut, discard
-from .ordered import CHUNK_S, chunked, previous, running
+from .ordered import CHUNK, CHUNK_S, chunked, previous, running
 
 # Limits (m) of the progress rule and of the route deviation.
 CACHE_CROSS_TRACK_M, BACKTRACK_M = 8.0, 3.0
@@ -35,25 +37,40 @@ def route_profile(routes: DataFrame, key: str = "route_id") -> DataFrame:
     return seg.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("segs"), F.sum("len").alias("total_m"))
 
 
-def _project(s: Column, lon: Column, lat: Column) -> Column:
-    mid = F.radians((lat + s["lat_a"] + s["lat_b"]) / 3.0)
-    sx = M_PER_DEG_LON * F.greatest(F.lit(0.15), F.cos(mid))
-    ax, ay = (s["lon_a"] - lon) * sx, (s["lat_a"] - lat) * M_PER_DEG_LAT
-    dx, dy = (s["lon_b"] - lon) * sx - ax, (s["lat_b"] - lat) * M_PER_DEG_LAT - ay
-    len2 = dx * dx + dy * dy
-    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / len2))
-    return F.when(len2 > 0, F.struct(
-        F.sqrt(F.pow(ax + u * dx, 2) + F.pow(ay + u * dy, 2)).alias("cross"),
-        (s["before"] + s["len"] * u).alias("progress"),
-        (s["len"] * (1.0 - u) + s["after"]).alias("remaining"),
-        (s["i"] + 1).alias("next"),
-    ))
+def _projected(segs: Column, lon: Column, lat: Column) -> Column:
+    """The nearest place on every segment; NULL for one without length.
+
+    Each step of the arithmetic is a pass of its own over the segments, so a value that is used many times is worked out once.
+    """
+    def scale(s):
+        mid = F.radians((lat + s["lat_a"] + s["lat_b"]) / 3.0)
+        return F.struct(s.alias("s"), (M_PER_DEG_LON * F.greatest(F.lit(0.15), F.cos(mid))).alias("sx"))
+
+    def legs(e):
+        s, sx = e["s"], e["sx"]
+        ax, ay = (s["lon_a"] - lon) * sx, (s["lat_a"] - lat) * M_PER_DEG_LAT
+        dx, dy = (s["lon_b"] - lon) * sx - ax, (s["lat_b"] - lat) * M_PER_DEG_LAT - ay
+        return F.struct(s.alias("s"), ax.alias("ax"), ay.alias("ay"), dx.alias("dx"), dy.alias("dy"), (dx * dx + dy * dy).alias("len2"))
+
+    def share(e):
+        u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(e["ax"] * e["dx"] + e["ay"] * e["dy"]) / e["len2"]))
+        return F.struct(e.alias("e"), F.when(e["len2"] > 0, u).alias("u"))
+
+    def place(x):
+        e, s, u = x["e"], x["e"]["s"], x["u"]
+        return F.when(e["len2"] > 0, F.struct(
+            F.sqrt(F.pow(e["ax"] + u * e["dx"], 2) + F.pow(e["ay"] + u * e["dy"], 2)).alias("cross"),
+            (s["before"] + s["len"] * u).alias("progress"),
+            (s["len"] * (1.0 - u) + s["after"]).alias("remaining"),
+            (s["i"] + 1).alias("next"),
+        ))
+
+    return reduce(F.transform, (scale, legs, share, place), segs)
 
 
 def candidates(positions: DataFrame, profile: DataFrame, key: str = "route_id") -> DataFrame:
     """Add ``spots``: the nearest place on every segment of the position's route."""
-    lon, lat = F.col("lon"), F.col("lat")
-    spots = F.array_compact(F.transform("segs", lambda s: _project(s, lon, lat)))
+    spots = F.array_compact(_projected(F.col("segs"), F.col("lon"), F.col("lat")))
     return positions.join(profile, key).withColumn("spots", spots).drop("segs")
 
 
@@ -67,7 +84,7 @@ def progress(positions: DataFrame, profile: DataFrame, key: str = "route_id", mi
     lon, lat, low = F.col("lon"), F.col("lat"), F.col(minimum)
     joined = positions.join(profile, key, "left")
     spots = F.filter(
-        F.transform("segs", lambda s: _project(s, lon, lat)),
+        _projected(F.col("segs"), lon, lat),
         lambda c: c.isNotNull() & (c["progress"] + BACKTRACK_M >= low))
     joined = joined.withColumn("_spots", spots)
     best = F.array_min(F.transform("_spots", lambda c: c["cross"]))
@@ -115,41 +132,73 @@ def path_length(points: Column, radius: float = EARTH_R_VOICE_M) -> Column:
     return F.when(F.size(points) < 2, 0.0).otherwise(F.aggregate(legs, F.lit(0.0), lambda s, x: s + x))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _pick(spots: Column, low: Column) -> Column:
-    """The place among ``spots`` that goes on from ``low`` metres; NULL if there is none or near ties disagree."""
-    ahead = F.filter(spots, lambda s: s["progress"] + BACKTRACK_M >= low)
-    best = F.array_min(F.transform(ahead, lambda s: s["cross"]))
-    ties = F.transform(F.filter(ahead, lambda s: s["cross"] <= best + TIE_CROSS_TRACK_M), lambda s: F.struct(
-        s["cross"].alias("cross"), F.abs(s["progress"] - low).alias("jump"), s["progress"].alias("progress"), s["remaining"].alias("remaining")))
-    along = F.transform(ties, lambda s: s["progress"])
-    return F.when(F.array_max(along) - F.array_min(along) <= TIE_PROGRESS_M, F.array_min(ties))
+    """The place among ``spots`` that goes on from ``low`` metres; NULL if there is none, or near ties disagree, or it is over 8 m away."""
+    def of_ties(ties):
+        along = F.transform(ties, lambda s: s["progress"])
+        clear = (F.array_max(along) - F.array_min(along) <= TIE_PROGRESS_M) & (F.array_min(ties)["cross"] <= CACHE_CROSS_TRACK_M)
+        return F.when(clear, F.array_min(ties))
+
+    def of_best(ahead, best):
+        return _let(F.transform(F.filter(ahead, lambda s: s["cross"] <= best + TIE_CROSS_TRACK_M), lambda s: F.struct(
+            s["cross"].alias("cross"), F.abs(s["progress"] - low).alias("jump"), s["progress"].alias("progress"), s["remaining"].alias("remaining"))), of_ties)
+
+    def of_ahead(ahead):
+        return _let(F.array_min(F.transform(ahead, lambda s: s["cross"])), lambda best: of_best(ahead, best))
+
+    return _let(F.filter(spots, lambda s: s["progress"] + BACKTRACK_M >= low), of_ahead)
 
 
 def follow(positions: DataFrame, keys: list[str], t: str = "t_s", order: str = "event_id", chunk_s: float = CHUNK_S) -> DataFrame:
-    """Progress along the route that only grows: adds ``reroute``, ``progress_m`` and ``remaining_m`` to each position.
+    """Progress along the route that only grows: each position without its ``spots``, with ``reroute``, ``progress_m`` and ``remaining_m``.
 
     ``positions`` has ``route_id`` and ``spots`` (:func:`candidates`). Progress starts at 0 and again when a key's route changes. A place counts
     if it lies no more than 3 m behind the progress before it and within 8 m; else a new route is asked for and the progress stays.
 
-    What a position picks depends on the progress before it, and that on the picks before. All positions pick at once, from the progress
-    that the round before gave them, and a running maximum of the picks gives the next; when no progress changes, it is the one that
-    picking in order gives: a round settles at least one more position of each route, mostly all of them.
+    Places farther than 8 m and the width of a tie can neither count nor tie with one that does, so they are left behind first. A chunk of
+    positions is walked in order from the progress that it enters with, and the largest progress that earlier chunks leave is the entry of
+    the next; when no entry changes, it is the one that walking in order gives. A round settles at least one more chunk of each
+    route, mostly all of them, and only chunks with a new entry are walked again.
     """
     by, c = [t, order], F.col
-    df = previous(chunked(positions, t, chunk_s), keys, by, {"_was": "route_id"})
+    payload = [x for x in positions.columns if x not in (*keys, "spots")]
+    near = F.filter("spots", lambda s: s["cross"] <= CACHE_CROSS_TRACK_M + TIE_CROSS_TRACK_M)
+    base = cut(chunked(positions.select(*keys, *payload, F.transform(near, lambda s: F.struct(*[s[x].alias(x) for x in ("cross", "progress", "remaining")])).alias("spots")), t, chunk_s))
+    df = previous(base, keys, by, {"_was": "route_id"})
     df = running(df, keys, by, "_leg", (~c("_was").eqNullSafe(c("route_id"))).cast("bigint"), "sum").drop("_was")
-    legs = [*keys, "_leg"]
-    state = cut(df.withColumn("_low", F.lit(0.0)))
+    at = [*keys, "_leg", CHUNK]
+    row = F.struct(c(t).alias("_t"), c(order).alias("_o"), F.struct(*payload).alias("_row"), c("spots").alias("_spots"))
+    walked = cut(df.groupBy(*at).agg(F.sort_array(F.collect_list(row)).alias("_rows")))
+    discard(base)
+    leave = F.aggregate("_rows", c("_entry"), lambda p, r: F.greatest(p, _pick(r["_spots"], p)["progress"]))
+    state = cut(walked.withColumn("_entry", F.lit(0.0)).select(*at, "_entry", leave.alias("_exit")))
+    earlier = Window.partitionBy(*keys, "_leg").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     while True:
-        at = _pick(c("spots"), c("_low"))
-        near = F.coalesce(at["cross"] <= CACHE_CROSS_TRACK_M, F.lit(False))
-        picked = state.withColumn("_at", F.when(near, at))
-        picked = running(picked, legs, by, "_run", c("_at.progress"), "max").withColumn("_after", F.greatest(F.coalesce("_run", F.lit(0.0)), F.lit(0.0)))
-        done = cut(picked.drop("_run"))
-        moved = previous(done, legs, by, {"_next": "_after"}).withColumn("_next", F.coalesce("_next", F.lit(0.0)))
-        settled = moved.filter("_next <> _low").isEmpty()
-        if settled:
-            return moved.select(*positions.columns, c("_at").isNull().alias("reroute"), c("_after").alias("progress_m"), c("_at.remaining").alias("remaining_m"))
-        before, state = state, cut(moved.withColumn("_low", c("_next")).drop("_next", "_at", "_after"))
-        for table in (before, done):
+        moved = state.withColumn("_next", F.coalesce(F.max("_exit").over(earlier), F.lit(0.0)))
+        new = cut(moved.filter("_next <> _entry").select(*at, c("_next").alias("_entry")))
+        if new.isEmpty():
+            break
+        again = walked.join(new, at).select(*at, c("_entry").alias("_in"), leave.alias("_out"))
+        before, state = state, cut(state.join(again, at, "left").select(*at, F.coalesce("_in", "_entry").alias("_entry"), F.coalesce("_out", "_exit").alias("_exit")))
+        for table in (before, new):
             discard(table)
+    spot = "struct<cross:double,jump:double,progress:double,remaining:double>"
+    start = F.struct(c("_entry").alias("p"), F.array().cast(f"array<struct<at:{spot},after:double>>").alias("seen"))
+
+    def step(acc, r):
+        def seen(found):
+            after = F.greatest(acc["p"], found["progress"])
+            return F.struct(after.alias("p"), F.concat(acc["seen"], F.array(F.struct(found.cast(spot).alias("at"), after.alias("after")))).alias("seen"))
+
+        return _let(_pick(r["_spots"], acc["p"]), seen)
+
+    path = F.aggregate("_rows", start, step)["seen"]
+    out = walked.join(state.select(*at, "_entry"), at).select(*keys, F.explode(F.arrays_zip(c("_rows"), path.alias("_path"))).alias("_z"))
+    return out.select(
+        *[c(x) if x in keys else c(f"_z._rows._row.{x}").alias(x) for x in positions.columns if x != "spots"],
+        c("_z._path.at").isNull().alias("reroute"), c("_z._path.after").alias("progress_m"), c("_z._path.at.remaining").alias("remaining_m"))
