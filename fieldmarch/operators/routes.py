@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..columns import settle
 from ..functions.geo import EARTH_R_VOICE_M, M_PER_DEG_LAT, M_PER_DEG_LON, haversine_m
 from ..session import cut, discard
 from .ordered import CHUNK, CHUNK_S, chunked, previous, running
@@ -80,23 +81,21 @@ def progress(positions: DataFrame, profile: DataFrame, key: str = "route_id", mi
     Only places not more than 3 m behind the progress so far count. Near ties in cross track must
     agree on progress within 5 m, or the place is ambiguous and ``at`` is NULL. The work is row
     by row, on the route's own segments; positions are shuffled only for the join on the route.
+    Places, the best of them and the ties are settled one after the other: put together, they would be worked out again for every segment.
     """
-    lon, lat, low = F.col("lon"), F.col("lat"), F.col(minimum)
+    low = F.col(minimum)
     joined = positions.join(profile, key, "left")
-    spots = F.filter(
-        _projected(F.col("segs"), lon, lat),
-        lambda c: c.isNotNull() & (c["progress"] + BACKTRACK_M >= low))
-    joined = joined.withColumn("_spots", spots)
-    best = F.array_min(F.transform("_spots", lambda c: c["cross"]))
-    joined = joined.withColumn("_best", best)
+    joined = settle(joined, _all=_projected(F.col("segs"), F.col("lon"), F.col("lat")))
+    joined = settle(joined, _spots=F.filter("_all", lambda c: c.isNotNull() & (c["progress"] + BACKTRACK_M >= low)))
+    joined = settle(joined, _best=F.array_min(F.transform("_spots", lambda c: c["cross"])))
     ties = F.filter("_spots", lambda c: c["cross"] <= F.col("_best") + TIE_CROSS_TRACK_M)
-    joined = joined.withColumn("_ties", F.transform(ties, lambda c: F.struct(
+    joined = settle(joined, _ties=F.transform(ties, lambda c: F.struct(
         c["cross"].alias("cross"), F.abs(c["progress"] - low).alias("jump"), c["next"].alias("next"),
         c["progress"].alias("progress"), c["remaining"].alias("remaining"))))
     along = F.transform("_ties", lambda c: c["progress"])
     clear = (F.array_max(along) - F.array_min(along)) <= TIE_PROGRESS_M
     return joined.withColumn("at", F.when(clear & (F.col("total_m") > 0), F.array_min("_ties"))).drop(
-        "_spots", "_best", "_ties", "segs")
+        "_all", "_spots", "_best", "_ties", "segs")
 
 
 def deviation_m(lon: Column, lat: Column, segs: Column) -> Column:

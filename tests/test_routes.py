@@ -3,9 +3,21 @@
 import random
 
 import pytest
+
 from fieldmarch.operators import routes
 
 
+def test_places_are_worked_out_once(spark):
+    pts = spark.createDataFrame([(1, [(127.0, 37.5), (127.001, 37.5), (127.002, 37.501)])], "route_id long, points array<struct<lon:double,lat:double>>")
+    pos = spark.createDataFrame([(1, 1, 127.0005, 37.50001, 0.0), (2, 7, 127.0, 37.5, 0.0)], "event_id long, route_id long, lon double, lat double, min_progress_m double")
+    out = routes.progress(pos, routes.route_profile(pts))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    scale = plan.count("greatest(0.15")
+    assert scale == 1
+    got = {r.event_id: r["at"] for r in out.collect()}
+    assert got[1].next == 1 and got[1].cross == pytest.approx(1.11, abs=0.01) and got[2] is None
+
+
 def walk(rows):
     """The plain fold: device, t, event, route, spots."""
     out, state = {}, {}
