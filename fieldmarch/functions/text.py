@@ -1,4 +1,4 @@
-"""Utterance text as column expressions. Only NFKC needs Python, and only for non-ASCII rows."""
+"""Utterance text as column expressions. Only NFKC needs Python, and only for characters that it may change."""
 
 from __future__ import annotations
 
@@ -9,11 +9,6 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 
-@F.pandas_udf(StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def _nfkc_all(s: pd.Series) -> pd.Series:
     import unicodedata
@@ -21,13 +16,23 @@ def _nfkc_all(s: pd.Series) -> pd.Series:
     return s.map(lambda items: None if items is None else [unicodedata.normalize("NFKC", x) for x in items])
 
 
-ASCII = r"^\p{ASCII}*$"
+#: Characters that NFKC leaves alone, that never join what stands before them, and that no mark moves past: of ASCII, Latin, basic Cyrillic, usual
+#: punctuation, kana, Han and Hangul syllables. A text of these is composed as it stands.
+STABLE = (
+    r"\x00-\x9f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0180-\u01c3\u01cd-\u01f0"
+    r"\u01f4-\u024f\u0400-\u045f\u2010\u2012-\u2016\u2018-\u2023\u3001-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+)
+COMPOSED = f"^[{STABLE}]*$"
+#: Other characters with the one before them, which a mark may join.
+UNSURE = f"[{STABLE}]?[^{STABLE}]+"
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; ASCII rows travel to Python as NULL."""
-    plain = text.rlike(ASCII)
-    return F.coalesce(_nfkc(F.when(~plain, text)), text)
+    """Compatibility composition; only characters that it may change travel to Python, so its memory does not grow with the texts."""
+    unsure = F.when(~text.rlike(COMPOSED), F.regexp_extract_all(text, F.lit(UNSURE), F.lit(0)))
+    fixed, none = _nfkc_all(unsure), F.lit("")
+    joined = F.array_join(F.zip_with(F.split(text, UNSURE, -1), fixed, lambda a, b: F.concat(F.coalesce(a, none), F.coalesce(b, none))), "")
+    return F.when(fixed.isNotNull(), joined).otherwise(text)
 
 
 def _tidy(text: Column) -> Column:
@@ -67,8 +72,8 @@ def repeat_pieces(text: Column) -> Column:
 
 
 def nfkc_pieces(pieces: Column) -> Column:
-    """Clauses in compatibility composition; arrays that are all ASCII skip Python."""
-    plain = F.forall(pieces, lambda p: p.rlike(ASCII))
+    """Clauses in compatibility composition; arrays that are composed as they stand skip Python."""
+    plain = F.forall(pieces, lambda p: p.rlike(COMPOSED))
     return F.coalesce(_nfkc_all(F.when(~plain, pieces)), pieces)
 
 
