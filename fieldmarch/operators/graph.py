@@ -51,7 +51,7 @@ def _parts(nodes: DataFrame, links: DataFrame, job, name: str) -> DataFrame:
     ids = dense_ids(nodes)
     found = job(ids.select(F.col("vid").alias("node_id")), _numbered(links.select(*[c for c in ("map_id", "u", "v") if c in links.columns]), ids, "u", "v"))
     least = ids.select(F.col("vid").alias(name), F.col("node_id").alias("_least"))
-    out = found.withColumnRenamed("node_id", "vid").join(ids, "vid").join(least, name)
+    out = found.withColumnRenamed("node_id", "vid").join(ids.hint("merge"), "vid").join(least.hint("merge"), name)
     return out.select("map_id", "node_id", F.col("_least").alias(name))
 
 
@@ -69,11 +69,11 @@ def _weak(nodes: DataFrame, links: DataFrame) -> DataFrame:
     while not live.isEmpty():
         point = live.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
         point = _roots(point)
-        label = label.join(point.select(F.col("a").alias("component"), "to"), "component", "left").select(
+        label = label.join(point.select(F.col("a").alias("component"), "to").hint("merge"), "component", "left").select(
             "node_id", F.coalesce("to", "component").alias("component"))
         left = point.select("a", F.col("to").alias("ra"))
         right = point.select(F.col("a").alias("b"), F.col("to").alias("rb"))
-        live = live.join(left, "a").join(right, "b").select(F.col("ra").alias("u"), F.col("rb").alias("v"))
+        live = live.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select(F.col("ra").alias("u"), F.col("rb").alias("v"))
         before = (held, kept, point)
         live, label = cut(_undirected(live)), cut(label)
         held, kept = live, label
@@ -97,11 +97,11 @@ def _roots(point: DataFrame, jumps: int = 3) -> DataFrame:
         ahead = point
         for _ in range(jumps):
             far = ahead.select(F.col("a").alias("to"), F.col("to").alias("far"))
-            ahead = ahead.join(far, "to", "left").select("a", F.coalesce("far", "to").alias("to"))
+            ahead = ahead.join(far.hint("merge"), "to", "left").select("a", F.coalesce("far", "to").alias("to"))
         ahead = cut(ahead)
         after = ahead.select(F.col("a").alias("to"), F.col("to").alias("next"))
         discard(point)
-        if ahead.join(after, "to").filter("next <> to").isEmpty():
+        if ahead.join(after.hint("merge"), "to").filter("next <> to").isEmpty():
             return ahead
         point = ahead
 
@@ -114,11 +114,11 @@ def _strong(nodes: DataFrame, links: DataFrame) -> DataFrame:
     every vertex takes the largest id that reaches it and the part is what can go back to it.
     """
     links = links.select("u", "v").filter("u <> v").distinct()
-    mutual = links.join(links.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"])
+    mutual = links.join(links.select(F.col("u").alias("v"), F.col("v").alias("u")).hint("merge"), ["u", "v"])
     block = _weak(nodes, mutual)
     left = block.select(F.col("node_id").alias("u"), F.col("component").alias("cu"))
     right = block.select(F.col("node_id").alias("v"), F.col("component").alias("cv"))
-    rest = links.join(left, "u").join(right, "v").filter("cu <> cv")
+    rest = links.join(left.hint("merge"), "u").join(right.hint("merge"), "v").filter("cu <> cv")
     rest = cut(rest.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
     merged = None
     while True:
@@ -128,15 +128,15 @@ def _strong(nodes: DataFrame, links: DataFrame) -> DataFrame:
         color = _reach(rest)
         by_u = color.select(F.col("node_id").alias("u"), F.col("color").alias("ku"))
         by_v = color.select(F.col("node_id").alias("v"), F.col("color").alias("kv"))
-        tinted = cut(rest.join(by_u, "u").join(by_v, "v"))
+        tinted = cut(rest.join(by_u.hint("merge"), "u").join(by_v.hint("merge"), "v"))
         inside = tinted.filter("ku = kv").select("u", "v", F.col("ku").alias("color"))
         # Walk back from each colour's own vertex along links of that colour.
         back = cut(color.filter("node_id = color"))
         front = back
         while True:
-            step = inside.join(front.select(F.col("node_id").alias("v"), "color"), ["v", "color"])
+            step = inside.join(front.select(F.col("node_id").alias("v"), "color").hint("merge"), ["v", "color"])
             step = step.select(F.col("u").alias("node_id"), "color").distinct()
-            front = cut(step.join(back, ["node_id", "color"], "left_anti"))
+            front = cut(step.join(back.hint("merge"), ["node_id", "color"], "left_anti"))
             if front.isEmpty():
                 break
             back = cut(back.unionByName(front))
@@ -144,15 +144,15 @@ def _strong(nodes: DataFrame, links: DataFrame) -> DataFrame:
         done = back.select("node_id")
         rest = cut(
             tinted.filter("ku = kv").select("u", "v")
-            .join(done.withColumnRenamed("node_id", "u"), "u", "left_anti")
-            .join(done.withColumnRenamed("node_id", "v"), "v", "left_anti")
+            .join(done.withColumnRenamed("node_id", "u").hint("merge"), "u", "left_anti")
+            .join(done.withColumnRenamed("node_id", "v").hint("merge"), "v", "left_anti")
         )
     out = block
     if merged is not None:
-        out = block.join(merged.select(F.col("node_id").alias("component"), "color"), "component", "left").select(
+        out = block.join(merged.select(F.col("node_id").alias("component"), "color").hint("merge"), "component", "left").select(
             "node_id", F.coalesce("color", "component").alias("component"))
     least = out.groupBy("component").agg(F.min("node_id").alias("scc"))
-    return out.join(least, "component").select("node_id", "scc")
+    return out.join(least.hint("merge"), "component").select("node_id", "scc")
 
 
 def _peel(links: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def _peel(links: DataFrame) -> DataFrame:
     while True:
         heads = links.select(F.col("u").alias("v")).distinct()
         tails = links.select(F.col("v").alias("u")).distinct()
-        kept = cut(links.join(heads, "v", "left_semi").join(tails, "u", "left_semi"))
+        kept = cut(links.join(heads.hint("merge"), "v", "left_semi").join(tails.hint("merge"), "u", "left_semi"))
         settled = kept.count() == links.count()
         discard(links)
         if settled:
@@ -173,9 +173,9 @@ def _reach(links: DataFrame) -> DataFrame:
     ids = links.select(F.col("u").alias("node_id")).unionByName(links.select(F.col("v").alias("node_id"))).distinct()
     held = color = cut(ids.withColumn("color", F.col("node_id")))
     while True:
-        sent = links.join(color.withColumnRenamed("node_id", "u"), "u").groupBy(F.col("v").alias("node_id")).agg(
+        sent = links.join(color.withColumnRenamed("node_id", "u").hint("merge"), "u").groupBy(F.col("v").alias("node_id")).agg(
             F.max("color").alias("got"))
-        new = color.join(sent, "node_id", "left").select(
+        new = color.join(sent.hint("merge"), "node_id", "left").select(
             "node_id", F.greatest("color", F.coalesce("got", "color")).alias("color"),
             (F.coalesce("got", "color") > F.col("color")).alias("changed"))
         new = cut(new)
@@ -199,20 +199,20 @@ def reachable(pairs: DataFrame, scc: DataFrame, links: DataFrame) -> DataFrame:
     """
     at = scc.select(F.col("node_id").alias("start"), F.col("scc").alias("cs"))
     to = scc.select(F.col("node_id").alias("goal"), F.col("scc").alias("cg"))
-    placed = cut(pairs.join(at, "start").join(to, "goal"))
+    placed = cut(pairs.join(at.hint("merge"), "start").join(to.hint("merge"), "goal"))
     asked = placed.filter("cs <> cg").select("cs", "cg").distinct()
     lu = scc.select(F.col("node_id").alias("u"), F.col("scc").alias("at"))
     lv = scc.select(F.col("node_id").alias("v"), F.col("scc").alias("next"))
-    over = cut(links.join(lu, "u").join(lv, "v").filter("at <> next").select("at", "next").distinct())
+    over = cut(links.join(lu.hint("merge"), "u").join(lv.hint("merge"), "v").filter("at <> next").select("at", "next").distinct())
     seen = cut(asked.select("cs", F.col("cs").alias("at")).distinct())
     front = seen
     while not front.isEmpty():
-        step = front.join(over, "at").select("cs", F.col("next").alias("at")).distinct()
-        front = cut(step.join(seen, ["cs", "at"], "left_anti"))
+        step = front.join(over.hint("merge"), "at").select("cs", F.col("next").alias("at")).distinct()
+        front = cut(step.join(seen.hint("merge"), ["cs", "at"], "left_anti"))
         seen = cut(seen.unionByName(front))
     yes = seen.select("cs", F.col("at").alias("cg"))
     same = placed.filter("cs = cg")
-    return same.unionByName(placed.filter("cs <> cg").join(yes, ["cs", "cg"], "left_semi")).select("start", "goal")
+    return same.unionByName(placed.filter("cs <> cg").join(yes.hint("merge"), ["cs", "cg"], "left_semi")).select("start", "goal")
 
 
 def shortest_paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, detour: float = 1.5, slack_m: float = 150.0) -> DataFrame:
@@ -231,11 +231,11 @@ def shortest_paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, deto
     paths = _paths(_numbered(wanted, ids, "start", "goal"), _numbered(lengths, ids, "u", "v"), places, detour, slack_m)
     back = ids.select("map_id", "node_id", F.col("vid").alias("node"))
     named = (
-        paths.select("start", "goal", F.posexplode("path").alias("pos", "node")).join(back, "node")
+        paths.select("start", "goal", F.posexplode("path").alias("pos", "node")).join(back.hint("merge"), "node")
         .groupBy("start", "goal").agg(F.first("map_id").alias("map_id"), F.sort_array(F.collect_list(F.struct("pos", "node_id"))).alias("_p"))
         .select("start", "goal", "map_id", F.col("_p.node_id").alias("path"))
     )
-    return paths.drop("path").join(named, ["start", "goal"]).select(
+    return paths.drop("path").join(named.hint("merge"), ["start", "goal"]).select(
         "map_id", F.get("path", F.lit(0)).alias("start"), F.element_at("path", -1).alias("goal"), "distance_m", "hops", "path")
 
 
@@ -247,18 +247,16 @@ def _paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, detour: floa
     at = nodes.select(F.col("node_id").alias("start"), F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"))
     to = nodes.select(F.col("node_id").alias("goal"), F.col("lon").alias("g_lon"), F.col("lat").alias("g_lat"))
     straight = haversine_m(F.col("s_lon"), F.col("s_lat"), F.col("g_lon"), F.col("g_lat"))
-    pairs = pairs.join(at, "start").join(to, "goal").select(
+    pairs = pairs.join(at.hint("merge"), "start").join(to.hint("merge"), "goal").select(
         "start", "goal", "g_lon", "g_lat", (straight * detour + slack_m).alias("budget"))
     pairs = cut(pairs)
-    roads = links.join(nodes.select(F.col("node_id").alias("v"), "lon", "lat"), "v").withColumnRenamed("u", "node")
+    roads = links.join(nodes.select(F.col("node_id").alias("v"), "lon", "lat").hint("merge"), "v").withColumnRenamed("u", "node")
     roads = cut(roads)
     done = None
     while not pairs.isEmpty():
-        labels = cut(_search(pairs, roads))
-        paths = cut(_trace(labels))
-        discard(labels)
+        paths = cut(_search(pairs, roads))
         done = paths if done is None else done.unionByName(paths)
-        rest = pairs.join(paths.select("start", "goal"), ["start", "goal"], "left_anti")
+        rest = pairs.join(paths.select("start", "goal").hint("merge"), ["start", "goal"], "left_anti")
         before, pairs = pairs, cut(rest.withColumn("budget", F.col("budget") * 2))
         discard(before)
     if done is None:
@@ -268,46 +266,38 @@ def _paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, detour: floa
 
 
 def _search(pairs: DataFrame, roads: DataFrame) -> DataFrame:
-    """Best label of each (start, goal, node) within the pair's budget."""
-    keys = ["start", "goal"]
-    none = F.lit(None).cast("bigint")
+    """``start, goal, distance_m, hops, path`` of the pairs that have a path within their budget.
+
+    A label holds its pair's goal and budget and its own path, so a round has one join with the roads and one exchange by pair. Once the
+    goal has a label, the others count only as far as they may still lead to a shorter one; pairs without a fresh label leave the state.
+    """
+    keys, own = ["start", "goal"], ["g_lon", "g_lat", "budget"]
+    c, w = F.col, Window.partitionBy("start", "goal")
     state = pairs.select(
-        *keys, F.col("start").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("fresh"), F.lit(0).alias("hops"), none.alias("parent"))
-    held = state
+        *keys, *own, c("start").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("fresh"), F.lit(0).alias("hops"), F.lit(None).cast("bigint").alias("parent"),
+        F.array("start").alias("path"), F.lit(0.0).alias("ahead"), F.when(c("start") == c("goal"), 0.0).otherwise(c("budget")).alias("limit"))
+    held = done = None
     while True:
-        front = state.filter("fresh")
-        if front.isEmpty():
-            return state.drop("fresh")
-        found = state.filter("node = goal").select(*keys, F.col("d").alias("found"))
-        limit = pairs.join(found, keys, "left").select(
-            *keys, "g_lon", "g_lat", F.least("budget", F.coalesce("found", "budget")).alias("limit"))
-        step = front.join(roads, "node").join(limit, keys)
-        nd = F.col("d") + F.col("length_m")
-        ahead = haversine_m(F.col("lon"), F.col("lat"), F.col("g_lon"), F.col("g_lat")) * (1 - 1e-9)
-        step = step.filter(nd + ahead <= F.col("limit") + 1e-6).select(
-            *keys, F.col("v").alias("node"), nd.alias("d"), F.lit(True).alias("fresh"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("parent"))
+        step = state.filter("fresh").join(roads.hint("merge"), "node")
+        nd = c("d") + c("length_m")
+        ahead = haversine_m(c("lon"), c("lat"), c("g_lon"), c("g_lat")) * (1 - 1e-9)
+        step = step.select(
+            *keys, *own, c("v").alias("node"), nd.alias("d"), F.lit(True).alias("fresh"), (c("hops") + 1).alias("hops"), c("node").alias("parent"),
+            F.concat("path", F.array("v")).alias("path"), ahead.alias("ahead"), "limit").filter("d + ahead <= limit + 1e-6").drop("limit")
         # false sorts before true, so a label is fresh only when it is really shorter.
-        label = F.min(F.struct("d", "fresh", "hops", "parent")).alias("l")
-        state = state.withColumn("fresh", F.lit(False)).unionByName(step).groupBy(*keys, "node").agg(label)
-        before, state = held, cut(state.select(*keys, "node", "l.d", "l.fresh", "l.hops", "l.parent"))
-        discard(before)
-        held = state
-
-
-def _trace(settled: DataFrame) -> DataFrame:
-    """Follow parents back from each goal; all routes take a step together."""
-    open_ = settled.filter("node = goal").select(
-        "start", "goal", F.col("d").alias("distance_m"), "hops", "parent", F.array("node").alias("path"))
-    parents = settled.select("start", "goal", F.col("node").alias("parent"), F.col("parent").alias("up"))
-    done = None
-    while True:
-        ready = open_.filter("parent IS NULL").drop("parent")
+        label = F.min(F.struct("d", "fresh", "hops", "parent", "path", "ahead")).alias("l")
+        new = state.drop("limit").withColumn("fresh", F.lit(False)).unionByName(step).repartition(*keys).groupBy(*keys, *own, "node").agg(label)
+        new = new.select(*keys, *own, "node", "l.*", F.least("budget", F.min(F.when(c("node") == c("goal"), c("l.d"))).over(w)).alias("limit"))
+        new = new.withColumn("_in", c("d") + c("ahead") <= c("limit") + 1e-6).withColumn("live", F.max(c("fresh") & c("_in")).over(w))
+        table = cut(new.filter((c("live") & c("_in")) | (c("node") == c("goal"))).drop("_in"))
+        ready = cut(table.filter("NOT live AND node = goal").select(*keys, c("d").alias("distance_m"), "hops", "path"))
         done = ready if done is None else done.unionByName(ready)
-        open_ = open_.filter("parent IS NOT NULL")
-        if open_.isEmpty():
+        if held is not None:
+            discard(held)
+        held, state = table, table.filter("live").drop("live")
+        if state.isEmpty():
+            discard(held)
             return done
-        open_ = cut(open_.join(parents, ["start", "goal", "parent"]).select(
-            "start", "goal", "distance_m", "hops", F.col("up").alias("parent"), F.concat(F.array("parent"), "path").alias("path")))
 
 
 POINTS = "array<struct<lon:double,lat:double>>"
@@ -353,7 +343,7 @@ def route_geometry(paths: DataFrame, edges: DataFrame, nodes: DataFrame) -> Data
     hops = paths.filter(F.size("path") > 1).select(
         *keys, F.posexplode(F.arrays_zip(
             F.slice("path", F.lit(1), F.size("path") - 1).alias("u"), F.slice("path", F.lit(2), F.size("path") - 1).alias("v"))).alias("hop", "e"))
-    hops = hops.select(*keys, "hop", "e.u", "e.v").join(best, ["map_id", "u", "v"])
+    hops = hops.select(*keys, "hop", "e.u", "e.v").join(best.hint("merge"), ["map_id", "u", "v"])
     tail = F.when(F.col("hop") == 0, F.col("points")).otherwise(F.slice("points", F.lit(2), F.size("points") - 1))
     joined = hops.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("hop", tail.alias("points"), "length_m"))).alias("_h"))
@@ -361,7 +351,7 @@ def route_geometry(paths: DataFrame, edges: DataFrame, nodes: DataFrame) -> Data
         *keys, F.flatten(F.transform("_h", lambda h: h["points"])).alias("points"),
         F.aggregate("_h", F.lit(0.0), lambda a, h: a + h["length_m"]).alias("distance_m"))
     place = nodes.select("map_id", F.col("node_id").alias("start"), "lon", "lat")
-    single = paths.filter(F.size("path") == 1).join(place, ["map_id", "start"]).select(
+    single = paths.filter(F.size("path") == 1).join(place.hint("merge"), ["map_id", "start"]).select(
         *keys, F.array(F.struct("lon", "lat")).cast(POINTS).alias("points"), F.lit(0.0).alias("distance_m"))
     return lines.withColumn("points", F.col("points").cast(POINTS)).unionByName(single)
 
@@ -373,11 +363,11 @@ def route_records(trips: DataFrame, edges: DataFrame, nodes: DataFrame, max_snap
     a = snap(trips, nodes, "req_id", max_snap_m).select("req_id", F.col("node_id").alias("start"), F.col("snap_m").alias("start_snap_m"), F.col("snapped").alias("_a"))
     b = snap(trips.select("req_id", "map_id", F.col("to_lon").alias("lon"), F.col("to_lat").alias("lat")), nodes, "req_id", max_snap_m).select(
         "req_id", F.col("node_id").alias("goal"), F.col("snap_m").alias("goal_snap_m"), F.col("snapped").alias("_b"))
-    ends = cut(trips.join(a, "req_id", "left").join(b, "req_id", "left"))
+    ends = cut(trips.join(a.hint("merge"), "req_id", "left").join(b.hint("merge"), "req_id", "left"))
     wanted = ends.filter("_a AND _b")
     paths = cut(shortest_paths(wanted, edges, nodes))
     lines = route_geometry(paths, edges, nodes)
-    out = ends.join(lines.withColumn("_found", F.lit(True)), ["map_id", "start", "goal"], "left")
+    out = ends.join(lines.withColumn("_found", F.lit(True)).hint("merge"), ["map_id", "start", "goal"], "left")
     c = F.col
     reason = (
         F.when(~F.coalesce("_a", F.lit(False)), "start_out_of_bounds").when(~F.coalesce("_b", F.lit(False)), "goal_out_of_bounds")

@@ -149,7 +149,7 @@ def suggested_points(spark, d):
 def shortest_path(spark, d):
     req = T.requests(spark, d)
     paths = graph.shortest_paths(req, T.edges(spark, d), T.nodes(spark, d))
-    out = req.join(paths, ["map_id", "start", "goal"], "left")
+    out = req.join(paths.hint("merge"), ["map_id", "start", "goal"], "left")
     return out.select("req_id", "start", "goal", F.round("distance_m", 3).alias("distance_m"), F.col("distance_m").isNull().alias("no_path"))
 
 

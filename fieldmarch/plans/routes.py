@@ -173,7 +173,7 @@ def route_geometry(spark, d):
 def route_record(spark, d):
     n, e = T.nodes(spark, d), T.edges(spark, d)
     at = lambda k: n.select(F.col("node_id").alias(k), F.col("lon").alias(f"{k}_lon"), F.col("lat").alias(f"{k}_lat"))
-    r = T.requests(spark, d).join(at("start"), "start").join(at("goal"), "goal")
+    r = T.requests(spark, d).join(at("start").hint("merge"), "start").join(at("goal").hint("merge"), "goal")
     trips = r.select(
         "req_id", "map_id", (F.col("start_lon") + F.col("req_id") % 50 * 0.0001 - 0.001).alias("lon"), F.col("start_lat").alias("lat"),
         F.col("goal_lon").alias("to_lon"), (F.col("goal_lat") + 0.0001).alias("to_lat"))
