@@ -238,7 +238,7 @@ def telemetry_lines(spark: SparkSession, d: str) -> DataFrame:
     # a foreign member named like a flag changes nothing; a flag sent as text is none
     payload = F.when(k % 31 == 0, F.replace(payload, F.lit('{"v":1'), F.lit('{"v":1,"note":{"ok":"true","alarm":"false"}'))).when(
         k % 37 == 0, F.regexp_replace(payload, '"fix":(true|false)', '"fix":"$1"')).otherwise(payload)
-    e = settle(T.fixes(spark, d).join(T.ev(spark, d).select("event_id", "t_us"), "event_id"), payload=payload)
+    e = settle(T.fixes(spark, d), payload=payload)
     e = settle(e, line=S.frame_json(c("payload")))
     return e.select("event_id", "device_id", F.when(k % 23 == 0, F.replace("line", F.lit('"seq":'), F.lit('"seq":1'))).otherwise(c("line")).alias("line"))
 

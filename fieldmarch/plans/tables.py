@@ -37,7 +37,7 @@ def fixes(spark: SparkSession, d: str) -> DataFrame:
     lat = F.expr("375000000 + (device_id * 5000) div 3 + event_id * 7919 % 20001 - 10000")
     lon = F.expr("1270000000 + event_id * 104729 % 600001 - 200000")
     return e.select(
-        "event_id", "device_id", "boot_id", "t_s", "event_type",
+        "event_id", "device_id", "boot_id", "t_us", "t_s", "event_type",
         F.expr("(device_id div 3) div 500").alias("map_id"),
         lat.alias("lat_e7"), lon.alias("lon_e7"),
         (lat / F.lit(1e7)).alias("lat"), (lon / F.lit(1e7)).alias("lon"),
