@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from fieldmarch.columns import settle
 from fieldmarch.session import cut, discard
 
 from .links import join_keyed, one_of_each
-from .words import minima, mix, range_hashes, sets, signed, slices, text_buffers
+from .words import mix, range_hashes, sets, signed, slices, text_buffers
 
 SHINGLE = 5
 BANDS = 22
@@ -22,7 +23,8 @@ ROWS = 5
 SKETCH = 64
 UNLIKE = 20
 #: So many lines have their bins in memory at a time.
-LINES_AT_ONCE = 1 << 12
+LINES_AT_ONCE = 1 << 9
+RUNS_AT_ONCE = 1 << 15
 LEAST_CHARS = 1
 SLICE = 1 << 20
 MARKED_CHARS = 1 << 18
@@ -30,6 +32,7 @@ MARKED_CHARS = 1 << 18
 KEYS_A_TASK = 1 << 19
 _BLANK = np.zeros(128, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 _CHAR = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -39,8 +42,10 @@ class Lines:
     def __init__(self, texts: pa.Array):
         raw, offsets = text_buffers(texts)
         points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        begun = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        at = begun[offsets]
+        at = offsets
+        if len(points) < len(raw):
+            begun = (raw & 0xC0) != 0x80
+            at = np.concatenate([[0], np.cumsum([np.count_nonzero(begun[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])])
         self.points = np.where((points >= 65) & (points <= 90), points + 32, points)
         breaks = np.flatnonzero(points == 10)
         owner = np.searchsorted(at, breaks, side="right") - 1
@@ -58,16 +63,42 @@ class Lines:
         self.start, self.stop = start.copy(), start.copy()
         self.start[full], self.stop[full] = solid[lo[full]], solid[hi[full] - 1] + 1
         self.size = self.stop - self.start
+        self._known: dict[int, np.ndarray] = {}
 
+    @cached_property
     def values(self) -> np.ndarray:
-        return _CHAR[self.points & 0xFFFF] + (self.points >> 16).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        high = self.points >> 16
+        out = _CHAR[self.points & 0xFFFF]
+        return out + high.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) if high.any() else out
+
+    def _runs(self, chars: int) -> np.ndarray:
+        """Hash of the ``chars`` characters from each place on, worked out once for all parts of the lines."""
+        if chars in self._known:
+            return self._known[chars]
+        n = max(len(self.points) - chars + 1, 0)
+        out = np.zeros(n, np.uint64)
+        for a in range(0, n, RUNS_AT_ONCE):
+            b = min(a + RUNS_AT_ONCE, n)
+            h = self.values[a:b].copy()
+            for j in range(1, chars):
+                h *= _STEP
+                h += self.values[a + j : b + j]
+            out[a:b] = mix(h)
+        self._known[chars] = out
+        return out
 
     def shingles(self, rows: np.ndarray, chars: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``chars`` characters of the chosen lines, shorter lines whole, and where each line's begin."""
         runs = np.where(self.size[rows] >= chars, self.size[rows] - chars + 1, np.minimum(self.size[rows], 1))
         first = np.concatenate([[0], np.cumsum(runs)])
-        start = np.arange(first[-1]) + np.repeat(self.start[rows] - first[:-1], runs)
-        return range_hashes(self.values(), start, np.minimum(start + chars, np.repeat(self.stop[rows], runs))), first
+        short = np.flatnonzero((runs > 0) & (self.size[rows] < chars))
+        at = np.arange(first[-1]) + np.repeat(self.start[rows] - first[:-1], runs)
+        at[first[short]] = 0
+        known = self._runs(chars)
+        out = known[at] if len(known) else np.zeros(len(at), np.uint64)
+        if len(short):
+            out[first[short]] = range_hashes(self.values, self.start[rows[short]], self.stop[rows[short]])
+        return out, first
 
 
 def _sets_of(chars: int):
@@ -87,17 +118,32 @@ def _scatter(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint32(16))
 
 
-def _donors() -> np.ndarray:
-    """For each bin the order in which it looks at others when it is empty: the same for all lines."""
-    order = _scatter(np.arange(BANDS, dtype=np.uint32)[:, None] * np.uint32(0x9E3779B1) + np.arange(BANDS, dtype=np.uint32)[None] + np.uint32(1))
-    order[np.arange(BANDS), np.arange(BANDS)] = 0  # itself first
+def _folded(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint32) ^ (values >> np.uint64(32)).astype(np.uint32)
+
+
+def _donors(n: int) -> np.ndarray:
+    """For each of ``n`` bins the order in which it looks at others when it is empty: the same for all lines."""
+    order = _scatter(np.arange(n, dtype=np.uint32)[:, None] * np.uint32(0x9E3779B1) + np.arange(n, dtype=np.uint32)[None] + np.uint32(1))
+    order[np.arange(n), np.arange(n)] = 0  # itself first
     return np.argsort(order, axis=1, kind="stable")
 
 
-_DONORS = _donors()
+_DONORS, _SKETCH_DONORS = _donors(BANDS), _donors(8)
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
+def _filled(at: np.ndarray, h: np.ndarray, lines: int, n: int, donors: np.ndarray) -> np.ndarray:
+    """The least hash of each of a line's ``n`` bins, or that of the bin's first donor with one."""
+    bins = np.full(lines * n, _EMPTY)
+    np.minimum.at(bins, at, h)
+    bins = bins.reshape(lines, n)
+    short = np.flatnonzero((bins == _EMPTY).any(axis=1))
+    donor = np.argmax((bins[short] != _EMPTY)[:, donors], axis=2)
+    bins[short] = np.take_along_axis(bins[short], donors[np.arange(n), donor], axis=1)
+    return bins
+
+
 def band_keys(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A row of BANDS keys for each line of at least one shingle.
 
@@ -105,25 +151,31 @@ def band_keys(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     of the first filled one in its own order of the others. A band's key joins its bin of all permutations.
     """
     n, line = len(first) - 1, np.repeat(np.arange(len(first) - 1) * BANDS, np.diff(first))
-    low = values.astype(np.uint32) ^ (values >> np.uint64(32)).astype(np.uint32)
+    low = _folded(values)
     keys = np.zeros((n, BANDS), np.uint64)
     for k in range(ROWS):
         h = _scatter(low ^ np.uint32(0x9E3779B1 * (k + 1) & 0xFFFFFFFF))
-        bins = np.full(n * BANDS, _EMPTY)
-        np.minimum.at(bins, line + (h.astype(np.uint64) * np.uint64(BANDS) >> np.uint64(32)).astype(np.int64), h)
-        bins = bins.reshape(n, BANDS)
-        short = np.flatnonzero((bins == _EMPTY).any(axis=1))
-        filled = bins[short] != _EMPTY
-        donor = np.argmax(filled[:, _DONORS], axis=2)
-        bins[short] = np.take_along_axis(bins[short], _DONORS[np.arange(BANDS), donor], axis=1)
+        bins = _filled(line + ((h >> np.uint32(16)) * np.uint32(BANDS) >> np.uint32(16)), h, n, BANDS, _DONORS)
         keys = mix(keys + bins + np.uint64(k))
     return mix(keys + np.arange(BANDS, dtype=np.uint64))
 
 
+def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SKETCH bits of each line of at least one shingle: one of each least hash of 8 bins in 8 permutations, empty bins filled as for keys."""
+    low, n = _folded(values), len(first) - 1
+    out, line = np.zeros(n, np.uint64), np.repeat(np.arange(n) * 8, np.diff(first))
+    for k in range(SKETCH // 8):
+        h = _scatter(low ^ np.uint32(0x85EBCA6B * (k + 1) & 0xFFFFFFFF))
+        bins = _filled(line + (h >> np.uint32(29)), h, n, 8, _SKETCH_DONORS)
+        bits = _scatter(bins ^ np.arange(1, 9, dtype=np.uint32)) & np.uint32(1)
+        out |= (bits.astype(np.uint64) << np.arange(8 * k, 8 * k + 8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return out
+
+
 def _classes(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     """Lines that are not blank, and a number for each that equal ones share."""
     rows = np.flatnonzero(lines.size > 0)
-    return rows, range_hashes(lines.values(), lines.start[rows], lines.stop[rows]) if len(rows) else np.zeros(0, np.uint64)
+    return rows, range_hashes(lines.values, lines.start[rows], lines.stop[rows]) if len(rows) else np.zeros(0, np.uint64)
 
 
 def _found(least: int):
@@ -152,9 +204,9 @@ def _keyed(chars: int, least: int):
                 lines = Lines(part.column("text"))
                 rows, cls = _classes(lines)
                 keep = lines.size[rows] >= least
-                cls, once = np.unique(cls[keep], return_index=True)
-                rows = np.sort(rows[keep][once])
-                cls = range_hashes(lines.values(), lines.start[rows], lines.stop[rows]) if len(rows) else cls
+                rows, cls = rows[keep], cls[keep]
+                once = np.sort(np.unique(cls, return_index=True)[1])
+                rows, cls = rows[once], cls[once]
                 for a in range(0, len(rows), LINES_AT_ONCE):
                     keys = band_keys(*lines.shingles(rows[a : a + LINES_AT_ONCE], chars))
                     yield pa.record_batch([pa.array(signed(keys.ravel())), pa.array(np.repeat(signed(cls[a : a + LINES_AT_ONCE]), BANDS))], names=["key", "cls"])
@@ -171,9 +223,7 @@ def _pick(chars: int):
     def marked(cls: list[int], texts: list[str]) -> pa.RecordBatch:
         column = pa.array(texts, pa.string())
         values, first = _sets_of(chars)(column)
-        bits = mix(minima(values, first, SKETCH, seed=2)) >> np.uint64(63)
-        sketch = (bits << np.arange(SKETCH, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return pa.record_batch([pa.array(cls, pa.int64()), column, pa.array(np.diff(first)), pa.array(signed(sketch))], names=["cls", "text", "size", "sketch"])
+        return pa.record_batch([pa.array(cls, pa.int64()), column, pa.array(np.diff(first)), pa.array(signed(sketches(values, first)))], names=["cls", "text", "size", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

@@ -126,8 +126,14 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sets(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each text, and where each text's begin."""
-    parts = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-    return (np.concatenate(parts) if parts else hashes[:0]), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+    out = hashes.copy()
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    # the first of a text is new whatever the text before ended in
+    new[first[:-1][first[:-1] < first[1:]]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[first]
 
 
 def fold(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 
-from fieldmarch.llm import lines, links, queries
+from fieldmarch.llm import lines, links, queries, words
 
 from . import brute
 
@@ -120,6 +120,25 @@ def test_bands_find_pairs_at_the_threshold():
         assert (keys[0] == np.roll(keys[0], 1, axis=0)).any(axis=1).mean() < 0.01
 
 
+def test_sketches_allow_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for union in (5, 10, 85, 400):
+        both, n = union * 4 // 5, 3000
+        values = rng.integers(0, 1 << 63, (n, union), dtype=np.uint64)
+        one = values[:, : both + (union - both) // 2]
+        two = np.concatenate([values[:, :both], values[:, one.shape[1] :]], axis=1)
+        bits = [lines.sketches(np.ascontiguousarray(x).ravel(), np.arange(0, n * x.shape[1] + 1, x.shape[1])) for x in (one, two)]
+        apart = np.bitwise_count(bits[0] ^ bits[1])
+        assert apart.max() <= lines.UNLIKE and 6 < apart.mean() < 7, union
+        # of unlike lines half the bits differ
+        assert (np.bitwise_count(bits[0] ^ np.roll(bits[0], 1)) > lines.UNLIKE).mean() > 0.99
+
+
+def test_sets_of_texts_apart():
+    values, first = words.sets(np.array([7, 3, 7, 7, 9, 9, 2], np.uint64), np.array([0, 3, 3, 4, 7, 7]))
+    assert values.tolist() == [3, 7, 7, 2, 9] and first.tolist() == [0, 2, 2, 3, 5, 5]
+
+
 def test_shared_keys_whatever_the_batches(spark):
     rng = random.Random(4)
     rows = [(rng.randrange(-40, 40), rng.randrange(12) - 6) for _ in range(300)] + [(99, c) for c in range(50)] * 2 + [(100, 7)] * 30 + [(101, 1), (101, 2)]
