@@ -31,8 +31,8 @@ def chunked(df: DataFrame, t: str | Column, chunk_s: float = CHUNK_S) -> DataFra
     return df.withColumn(CHUNK, F.floor(t / F.lit(float(chunk_s))).cast("bigint"))
 
 
-def with_carry(df: DataFrame, keys: list[str], carries: list[Carry]) -> DataFrame:
-    """Add the combined summary of all earlier chunks of the same keys to every row."""
+def with_carry(df: DataFrame, keys: list[str], carries: list[Carry], tasks: int | None = None) -> DataFrame:
+    """Add the combined summary of all earlier chunks of the same keys to every row; rows go to ``tasks`` tasks if given."""
     combine = {
         "last": lambda c: F.last(c, ignorenulls=True),
         "sum": F.sum,
@@ -43,20 +43,20 @@ def with_carry(df: DataFrame, keys: list[str], carries: list[Carry]) -> DataFram
     part = part.select(
         *keys, CHUNK, *[combine[c.how](F.col(c.name)).over(before).alias(c.name) for c in carries]
     )
-    return df.join(part, [*keys, CHUNK])
+    return (df.repartition(tasks, *keys, CHUNK) if tasks else df).join(part, [*keys, CHUNK])
 
 
 def within(keys: list[str], *order) -> "Window":
     return Window.partitionBy(*keys, CHUNK).orderBy(*order)
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str]) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str], tasks: int | None = None) -> DataFrame:
     """``lag`` of several columns over an already chunked table: ``cols`` maps new name to source.
 
     A row always has its chunk's predecessor or the newest row of the chunk before it.
     """
     row = F.struct(*[F.col(src).alias(new) for new, src in cols.items()])
-    df = with_carry(df, keys, [Carry("_prev_in", F.max_by(row, F.struct(*order)), "last")])
+    df = with_carry(df, keys, [Carry("_prev_in", F.max_by(row, F.struct(*order)), "last")], tasks)
     prev = F.coalesce(F.lag(row).over(within(keys, *order)), F.col("_prev_in"))
     return df.withColumn("_prev", prev).select(
         *[c for c in df.columns if c != "_prev_in"], *[F.col(f"_prev.{n}").alias(n) for n in cols]
@@ -81,7 +81,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], name: str, value:
     return out.withColumn(name, total).drop("_v", "_in")
 
 
-def running_all(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, tuple[Column, str]]) -> DataFrame:
+def running_all(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, tuple[Column, str]], tasks: int | None = None) -> DataFrame:
     """Several running values in one pass over the chunks: running ``sum``, or the ``last`` value that is not NULL, each up to its row.
 
     A register that can be emptied holds structs, whose members may be NULL.
@@ -93,7 +93,7 @@ def running_all(df: DataFrame, keys: list[str], order: list[str], cols: dict[str
     for i, (_, how) in enumerate(cols.values()):
         v = F.col(f"_v{i}")
         carries.append(Carry(f"_in{i}", F.sum(v) if how == "sum" else F.max_by(v, F.when(v.isNotNull(), F.struct(*order))), how))
-    out = with_carry(df, keys, carries)
+    out = with_carry(df, keys, carries, tasks)
     for i, (name, (_, how)) in enumerate(cols.items()):
         v, before = F.col(f"_v{i}"), F.col(f"_in{i}")
         local = F.coalesce(F.sum(v).over(upto), F.lit(0)) + F.coalesce(before, F.lit(0)) if how == "sum" else F.coalesce(F.last(v, ignorenulls=True).over(upto), before)

@@ -19,6 +19,8 @@ from .ordered import CHUNK, CHUNK_S, chunked, previous, running_all
 # Kinds of places and commands of the map screen.
 KINDS = ["basecamp", "destination", "checkpoint"]
 SCREEN = ["save_current", "set", "select", "remove"]
+#: A task gets about so many commands, so what it sorts does not grow with the log.
+ROWS_A_TASK = 100_000
 
 
 def _point(lat: Column, lon: Column) -> Column:
@@ -31,6 +33,13 @@ def _written(*cases: tuple[Column, Column]) -> Column:
     return reduce(lambda acc, c: acc.when(c[0], F.struct(c[1].alias("v"))), rest, F.when(first[0], F.struct(first[1].alias("v"))))
 
 
+def _with_removal(df: DataFrame, removed: DataFrame, keys: list[str], by: list[str], tasks: int) -> DataFrame:
+    """``_removed_at`` of the checkpoint ``_k``; rows that name none are dealt by a number below all checkpoints, not to one task a device."""
+    at = F.coalesce("_k", -1 - F.pmod(F.xxhash64(*by), F.lit(1 << 20)))
+    rows = df.withColumn("_at_k", at).repartition(tasks, *keys, "_at_k")
+    return rows.join(removed.withColumnRenamed("_k", "_at_k").hint("merge"), [*keys, "_at_k"], "left").drop("_at_k")
+
+
 def waypoint_log(commands: DataFrame, keys: list[str], t: str = "t_s", order: str = "event_id", chunk_s: float = CHUNK_S) -> DataFrame:
     """Each command with ``status`` and the registers after it.
 
@@ -57,6 +66,7 @@ def waypoint_log(commands: DataFrame, keys: list[str], t: str = "t_s", order: st
     number = F.when(named.rlike("^checkpoint-[1-9][0-9]{0,17}$"), F.substring(named, 12, 18).try_cast("bigint"))
     df = chunked(commands, t, chunk_s).withColumn("_put", put).withColumn("_place", place).withColumn("_named", named).withColumn("_k", number)
     df = df.withColumn("_voice", action.isin(COMMANDS))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, commands.count() // ROWS_A_TASK + 1)
 
     # what no other register decides
     sought = (action == "find_nearest_water") & live & c("poi_lat").isNotNull()
@@ -67,9 +77,9 @@ def waypoint_log(commands: DataFrame, keys: list[str], t: str = "t_s", order: st
         "_toggles": ((action == "night_toggle").cast("bigint"), "sum"),
         "_pending": (_written((sought, _point(c("poi_lat"), c("poi_lon"))), (drops, null.cast("struct<lat:double,lon:double>"))), "last"),
         "_base": (_written((c("_put") == "basecamp", c("_place")), ((action == "remove") & (c("_named") == "basecamp"), null.cast("struct<lat:double,lon:double>"))), "last"),
-    })
+    }, tasks)
     # a written table between the layers: each of them reads its rows twice
-    first = df = cut(previous(df, keys, by, {"_pending_before": "_pending", "_base_before": "_base", "_saved_before": "n_saved"}))
+    first = df = cut(previous(df, keys, by, {"_pending_before": "_pending", "_base_before": "_base", "_saved_before": "n_saved"}, tasks))
     pending, saved = c("_pending_before.v"), F.coalesce("_saved_before", F.lit(0))
 
     # the destination, which a pending one may become; the night, which a toggle turns
@@ -78,23 +88,24 @@ def waypoint_log(commands: DataFrame, keys: list[str], t: str = "t_s", order: st
         "_dest": (_written((c("_put") == "destination", c("_place")), ((action == "confirm_destination") & pending.isNotNull(), pending),
                            (gone, null.cast("struct<lat:double,lon:double>"))), "last"),
         "_night": (F.when(action.isin("night_on", "night_off"), F.struct((action == "night_on").alias("on"), c("_toggles").alias("at"))), "last"),
-    })
-    second = df = cut(previous(df, keys, by, {"_dest_before": "_dest"}))
+    }, tasks)
+    second = df = cut(previous(df, keys, by, {"_dest_before": "_dest"}, tasks))
     discard(first)
 
     # when each checkpoint was removed: the first removal after it was saved
     saves = df.filter("_put = 'checkpoint'").select(*keys, c("n_saved").alias("_k"), spot.alias("_saved_at"))
     removals = df.filter((action == "remove") & c("_k").isNotNull()).select(*keys, "_k", spot.alias("_at"))
-    removed = cut(removals.join(saves, [*keys, "_k"]).filter("_at > _saved_at").groupBy(*keys, "_k").agg(F.min("_at").alias("_removed_at")))
+    removed = cut(removals.repartition(tasks, *keys, "_k").join(saves, [*keys, "_k"]).filter("_at > _saved_at").groupBy(*keys, "_k").agg(F.min("_at").alias("_removed_at")))
 
     # the newest checkpoint that is left, asked for by a route: mostly the last one saved, else one of the fifty before
-    df = df.withColumn("_k", F.when(action == "route_last_checkpoint", F.when(saved > 0, saved)).otherwise(c("_k"))).join(removed, [*keys, "_k"], "left")
+    df = df.withColumn("_k", F.when(action == "route_last_checkpoint", F.when(saved > 0, saved)).otherwise(c("_k")))
+    df = _with_removal(df, removed, keys, by, tasks)
     there = (c("_k") <= saved) & (saved - c("_k") < CHECKPOINTS_KEPT) & F.coalesce(c("_removed_at") >= spot, F.lit(True))
     df = df.withColumn("_there", F.coalesce(there, F.lit(False)))
     lost = df.filter((action == "route_last_checkpoint") & (saved > 0) & ~c("_there")).select(*keys, *by, F.explode(
         F.sequence(F.greatest(F.lit(1), saved - CHECKPOINTS_KEPT + 1), saved)).alias("_k"))
-    older = lost.join(removed, [*keys, "_k"], "left").filter(F.coalesce(c("_removed_at") > spot, F.lit(True))).groupBy(*keys, *by).agg(F.max("_k").alias("_older"))
-    df = df.join(older, [*keys, *by], "left")
+    older = lost.repartition(tasks, *keys, "_k").join(removed, [*keys, "_k"], "left").filter(F.coalesce(c("_removed_at") > spot, F.lit(True))).groupBy(*keys, *by).agg(F.max("_k").alias("_older"))
+    df = df.repartition(tasks, *keys, *by).join(older, [*keys, *by], "left")
     last = F.when(action == "route_last_checkpoint", F.when(c("_there"), c("_k")).otherwise(c("_older")))
 
     # what each command comes to
@@ -124,9 +135,9 @@ def waypoint_log(commands: DataFrame, keys: list[str], t: str = "t_s", order: st
         "_select": (F.when(c("_chosen").isNotNull(), F.struct(c("_chosen").alias("id"), spot.alias("at"))), "last"),
         "_dest_gone": (cleared, "last"),
         "_base_gone": (F.when((action == "remove") & (c("_named") == "basecamp"), spot), "last"),
-    })
+    }, tasks)
     mark = F.when(c("_select.id").startswith("checkpoint-"), F.substring(c("_select.id"), 12, 18).cast("bigint"))
-    df = df.drop("_k", "_removed_at").withColumn("_k", mark).join(removed, [*keys, "_k"], "left")
+    df = _with_removal(df.drop("_k", "_removed_at").withColumn("_k", mark), removed, keys, by, tasks)
     away = (
         F.when(c("_select.id") == "destination", c("_dest_gone") > c("_select.at")).when(c("_select.id") == "basecamp", c("_base_gone") > c("_select.at"))
         .otherwise(c("_removed_at") <= spot)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldmarch.operators import conversation as talk, waypoints
 from fieldmarch.plans import logs
@@ -147,3 +148,13 @@ def test_conversation_waits_run_out(spark):
     for r in sorted(talk.conversation(df, ["device_id"]).collect(), key=lambda r: (r.seq, r.n)):
         by.setdefault(r.seq, []).append(r.event)
     assert list(by.values()) == [["no_wake"], ["wake"], ["command"], ["short_confirm", "command"], ["command"], ["timeout", "no_wake"], ["ignored_length"]]
+
+
+def test_commands_that_name_no_checkpoint_are_dealt_to_many_tasks(spark):
+    rows = spark.range(4000).selectExpr("CAST(id >= 0 AS int) AS device_id", "CAST(id AS double) AS t_s", "id AS event_id", "CASE WHEN id % 40 = 0 THEN id DIV 40 END AS _k")
+    removed = spark.range(0, 100, 2).selectExpr("CAST(id >= 0 AS int) AS device_id", "id AS _k", "id * 10 AS _removed_at")
+    out = waypoints._with_removal(rows, removed, ["device_id"], ["t_s", "event_id"], 8)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
+    got = {r.event_id: r._removed_at for r in out.collect()}
+    assert got == {i: i // 40 * 10 if i % 80 == 0 else None for i in range(4000)}
