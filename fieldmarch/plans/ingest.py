@@ -21,6 +21,17 @@ CRC_SQL = (
 )
 
 
+#: So many events go to a task that makes and reads lines; a file packs far more of them into one split.
+EVENTS_A_TASK = 50_000
+
+
+def dealt(df: DataFrame, d: str) -> DataFrame:
+    """A row an event, dealt to tasks in proportion to the events."""
+    spark = df.sparkSession
+    tasks = T.read(spark, d, "events").count() // EVENTS_A_TASK + 1
+    return df.repartition(max(tasks, spark.sparkContext.defaultParallelism), "event_id")
+
+
 def frame_fields(spark: SparkSession, d: str) -> DataFrame:
     """Telemetry fields of every device event; sequence numbers skip where a frame was lost."""
     e = ordered.chunked(T.ev(spark, d), "t_s")
@@ -50,7 +61,7 @@ T.define("frames", ["ev"], """SELECT event_id, device_id, boot_id, t_s, event_ty
 
 def csv_lines(spark: SparkSession, d: str) -> DataFrame:
     """CSV frames as devices send them; every 23rd event's checksum has a flipped bit, every 29th line a letter that is not ASCII."""
-    f = frame_fields(spark, d)
+    f = dealt(frame_fields(spark, d), d)
     line = S.frame_csv([F.col(c) for c in S.CSV_FIELDS])
     f = settle(f, line=line)
     flipped = F.conv(F.substring_index("line", "*", -1), 16, 10).cast("int").bitwiseXOR(F.lit(1))
@@ -62,7 +73,7 @@ def csv_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def event_lines(spark: SparkSession, d: str) -> DataFrame:
     """JSON lines of the same devices: buttons, output acknowledgements, power states and junk."""
-    e = T.ev(spark, d)
+    e = dealt(T.ev(spark, d).drop("props"), d)
     c = F.col
     held = F.when(c("event_id") % 2 == 0, 0).otherwise(F.floor(c("value") * 100)).cast("bigint")
     state = F.when(c("event_id") % 2 == 0, "pressed").otherwise("released")
@@ -238,7 +249,7 @@ def telemetry_lines(spark: SparkSession, d: str) -> DataFrame:
     # a foreign member named like a flag changes nothing; a flag sent as text is none
     payload = F.when(k % 31 == 0, F.replace(payload, F.lit('{"v":1'), F.lit('{"v":1,"note":{"ok":"true","alarm":"false"}'))).when(
         k % 37 == 0, F.regexp_replace(payload, '"fix":(true|false)', '"fix":"$1"')).otherwise(payload)
-    e = settle(T.fixes(spark, d), payload=payload)
+    e = settle(dealt(T.fixes(spark, d), d), payload=payload)
     e = settle(e, line=S.frame_json(c("payload")))
     return e.select("event_id", "device_id", F.when(k % 23 == 0, F.replace("line", F.lit('"seq":'), F.lit('"seq":1'))).otherwise(c("line")).alias("line"))
 
