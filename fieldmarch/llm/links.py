@@ -70,7 +70,7 @@ def verify(pairs: DataFrame, texts: DataFrame, sets_of: Callable, percent: int)
     rows = (
         dealt.select("pivot", "part").distinct().select("pivot", "part", F.lit(0).alias("role"), F.col("pivot").alias("cls"))
         .union(dealt.select("pivot", "part", F.lit(1), "cls"))
-        .join(texts, "cls").select("pivot", "part", "role", "cls", "text")
+        .join(texts.hint("merge"), "cls").select("pivot", "part", "role", "cls", "text")
         .repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role", "cls")
     )
 
@@ -190,7 +190,8 @@ def join_classes(members: DataFrame, near: Callable[[str, str], Column], may: Ca
     """
     keys = members.select("cls", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other"), F.count("*").alias("members")).filter("pivot < other")
-    held = cut(keys.join(shared.select("key", "pivot", "members"), "key"))
+    # by merge: Spark sizes exploded keys as their lists, a small part of what they are, and would broadcast them
+    held = cut(keys.join(shared.select("key", "pivot", "members").hint("merge"), "key"))
     marks = [c for c in members.columns if c not in ("cls", "keys")]
     sigs = cut(members.select("cls", *marks).join(held.select("cls").distinct(), "cls", "left_semi"))
     star = cut(_star(held, sigs, near))
@@ -282,7 +283,7 @@ def _rooted(held: DataFrame, star: DataFrame, sigs: DataFrame, marks: list[str],
     rows = own.select("group", "part", F.lit(0).alias("role"), "cls", "root").union(met.select("group", "part", F.lit(1), "cls", "root"))
     rows = cut(_screen(rows.join(sigs.select("cls", *marks), "cls"), marks, may))
     screened = rows
-    rows = rows.join(sigs.select("cls", *marks), "cls").join(texts.select("cls", "text"), "cls")
+    rows = rows.join(sigs.select("cls", *marks), "cls").join(texts.select("cls", "text").hint("merge"), "cls")
     found = cut(_settle(rows.select("group", "part", "role", "cls", "root", "text", *marks), marks, may, sets_of, percent))
     merged = components(found)
     # roots that were lone classes until now have no row yet
