@@ -291,7 +291,7 @@ def fuzzy_lines(docs: DataFrame, percent: int = 80, chars: int = SHINGLE, least:
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     named = rooted.join(best, "root").select("cls", "best")
     out = cut(
-        found.select("doc_id", "row", "line", "cls").join(named, "cls")
+        found.select("doc_id", "row", "line", "cls").join(named.hint("merge"), "cls")
         .select(
             "doc_id", "row", "line", F.col("best.doc_id").alias("first_doc_id"), F.col("best.line").alias("first_line"),
             ((F.col("row") == F.col("best.row")) & (F.col("line") == F.col("best.line"))).alias("kept"),

@@ -16,6 +16,8 @@ from fieldmarch.session import cut, discard
 STEPS = 80
 BUCKETS = 64
 REPAIRS = 4
+#: Tables of a few rows a source are broadcast up to so many sources, so no source is one task; tables of documents never are.
+FEW = 10_000
 CLOSE = 1e-8
 
 
@@ -104,6 +106,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, do
         totals.join(aimed, F.col("source").eqNullSafe(F.col("named")))
         .select("source_key", "source_size", "mean", "target", (F.col("target") >= limit * F.col("source_size")).alias("full"))
     )
+    by_source = "broadcast" if aims.count() <= FEW else "merge"
     histogram = cut(fine.filter("size > 0").groupBy("source_key", "size").agg(F.sum("n").alias("n")))
     solved = balance(histogram, aims.filter("source_size > 0"), limit)
 
@@ -114,12 +117,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, do
         histogram.join(solved, "source_key").withColumn("rate", _rate(limit))
         .withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(by_size), F.lit(0.0))).select("source_key", "size", "rate", "before")
     )
-    parts = fine.select("source_key", "size", "bucket", F.coalesce(F.sum("n").over(in_level), F.lit(0)).alias("ahead")).join(levels, ["source_key", "size"])
+    parts = fine.select("source_key", "size", "bucket", F.coalesce(F.sum("n").over(in_level), F.lit(0)).alias("ahead")).join(levels.hint("merge"), ["source_key", "size"])
     number = F.row_number().over(Window.partitionBy("source_key", "size", "bucket").orderBy("doc_id", "row"))
     start = F.col("before") + (F.col("ahead") + F.col("number") - 1) * F.col("rate") + 0.5
     rounded = F.least(F.lit(most), (F.floor(start + F.col("rate")) - F.floor(start)).cast("int"))
     chosen = cut(
-        sized.withColumn("number", number).join(parts, ["source_key", "size", "bucket"], "left")
+        sized.withColumn("number", number).join(parts.hint("merge"), ["source_key", "size", "bucket"], "left")
         .select("source_key", "doc_id", "row", "size", "bucket", "number", F.coalesce(rounded, F.lit(1)).alias("copies"))
     )
     place = ["source_key", "size", "bucket", "number"]
@@ -131,15 +134,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, do
         better = F.abs(F.abs(F.col("gap")) - F.col("size"))
         can = (F.col("size") > 0) & (better < F.abs(F.col("gap"))) & F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
         best = (
-            chosen.join(gaps, "source_key").filter(can).groupBy("source_key", F.signum("gap").cast("int").alias("change"))
+            chosen.join(gaps.hint(by_source), "source_key").filter(can).groupBy("source_key", F.signum("gap").cast("int").alias("change"))
             .agg(F.min(F.struct(better.alias("off"), "size", "bucket", "number")).alias("b")).select("source_key", "b.size", "b.bucket", "b.number", "change")
         )
-        fresh = cut(chosen.join(best, place, "left").select(*place, "doc_id", "row", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")))
+        fresh = cut(chosen.join(best.hint(by_source), place, "left").select(*place, "doc_id", "row", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")))
         discard(chosen)
         chosen = fresh
     for done in (sized, fine, histogram, solved):
         discard(done)
-    return chosen.join(aims, "source_key").select("row", "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return chosen.join(aims.hint(by_source), "source_key").select("row", "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def repeat_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:

@@ -48,3 +48,23 @@ def test_exploded_keys_and_texts_are_not_broadcast(spark, plans):
             # 36 rows a class, sized as one
             assert "explode" not in part or "sequence" in part, part
             assert "text#" not in part, part
+
+
+def test_tables_of_documents_and_lines_are_not_broadcast(spark, plans):
+    docs = cut(documents(spark))
+    assert mixing.mix(docs).count() == 40
+    assert lines.fuzzy_lines(docs).count() == 40
+    assert any("number" in columns for columns, _ in plans) and any("first_line" in columns for columns, _ in plans)
+    for _, plan in plans:
+        for part in broadcasts(plan):
+            # a document's place, a cell of the histogram, a line of a document: rows as they are, not summed up
+            assert "Aggregate" in part or not any(f"{c}#" in part for c in ("number", "bucket", "line")), part
+
+
+def test_sources_without_number_are_not_broadcast(spark, plans, monkeypatch):
+    docs = cut(documents(spark))
+    few = {(r.doc_id, r.copies) for r in mixing.mix(docs).collect()}
+    del plans[:]
+    monkeypatch.setattr(mixing, "FEW", 1)
+    assert {(r.doc_id, r.copies) for r in mixing.mix(docs).collect()} == few
+    assert not [p for columns, p in plans if "copies" in columns and "number" in columns for part in broadcasts(p) if "gap" in part or "Aggregate" in part]
