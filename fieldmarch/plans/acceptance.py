@@ -10,6 +10,8 @@ from ..operators import acceptance as A
 from . import tables as T
 from .registry import query
 
+#: Eight events a run are made and read where it lies, so runs are dealt to tasks of so many.
+RUNS_A_TASK = 50_000
 #: What a flawless run's events say.
 FLAWLESS = {
     "run": {"simulated": False, "evidence_origin": "hardware_observation", "path": "b", "tts_pcm_valid": True, "tts_playback_observed": True, "tts_engine": "x"},
@@ -77,8 +79,10 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
     """Events of all runs, out of order in time with those of other runs, and one matrix a session."""
     c = F.col
     by = Window.partitionBy("o_custkey")
-    runs = T.read(spark, d, "orders").select(
-        c("o_custkey").alias("session"), c("o_orderkey"), F.row_number().over(by.orderBy("o_orderkey")).cast("bigint").alias("run"), F.count("*").over(by).alias("n"))
+    orders = T.read(spark, d, "orders")
+    tasks = max(orders.count() // RUNS_A_TASK + 1, 4 * spark.sparkContext.defaultParallelism)
+    runs = orders.select(
+        c("o_custkey").alias("session"), c("o_orderkey"), F.row_number().over(by.orderBy("o_orderkey")).cast("bigint").alias("run"), F.count("*").over(by).alias("n")).repartition(tasks, "o_orderkey")
     requested = c("n") + F.when(c("session") % 6 == 0, 1).when((c("session") % 6 == 1) & (c("n") > 1), -1).otherwise(0)
     templates = F.array(*[F.array(*[F.lit(p) for p in _payloads(changes)]) for changes, _, _ in DEFECTS])
     said = runs.select("session", requested.alias("requested"), "run", F.posexplode(F.get(templates, (c("o_orderkey") % len(DEFECTS)).cast("int"))).alias("i", "p"))

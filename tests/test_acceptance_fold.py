@@ -60,3 +60,11 @@ def test_batches_do_not_matter(spark, rows):
     assert (two.n_runs, two.n_problems, two.matrix_ok, two.requested) == (1, 6, False, 1)
     assert (three.n_runs, three.n_problems, three.requested, three.missing, three.status) == (0, 1, None, [], "unverified")
     assert (none.n_runs, none.max_delay_ms) == (1, 1.5)
+
+
+def test_events_are_dealt_to_tasks_by_the_number_of_runs(spark, sf, monkeypatch):
+    from fieldmarch.plans import acceptance as P
+
+    monkeypatch.setattr(P, "RUNS_A_TASK", 10)
+    # the exchange of the runs is small, and Spark would make few tasks of it
+    assert P.observations(spark, sf).rdd.getNumPartitions() >= 150
